@@ -39,7 +39,7 @@ class Powers:
 
     def at_least(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = max(n, min(2 * len(self.up), len(self.up) + (1 << 20)))
             self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
         return self.up, self.down
 

@@ -38,7 +38,7 @@ from quarrymill.llm.tokenisation import text_chunks
 WINDOW = 50
 ANCHOR = 8
 GROUP_DOCS = 32
-_GROUP_WINDOWS = 1 << 19
+_GROUP_WINDOWS = 1 << 18
 
 
 def _rows(**columns) -> pa.RecordBatch:

@@ -48,8 +48,8 @@ WIDTH = 5
 HOT = 8
 PAIRS_PER_KEY = 256
 #: Signatures that a task holds before it hands them on.
-_FLUSH = 4_000_000
-_SEEN = 500_000
+_FLUSH = 1_500_000
+_SEEN = 200_000
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pre-tokens remembered by a worker; when full it starts afresh, so memory is bounded.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 _CONTROL = "[\x1c-\x1f]"
 _NO_LIMIT = np.int64(1 << 40)
 
@@ -117,7 +117,7 @@ def merger(path: str) -> RankMerger:
     return _mergers[path]
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterable[pa.RecordBatch], name: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches of at most about ``most`` bytes of text, one row at least."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
