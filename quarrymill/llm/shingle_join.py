@@ -18,7 +18,10 @@ similarity of 4/5 or more differ in at most ``(|r| + |s|) / 9`` shingles.
 * One-deletion neighbourhoods: a band of small sets may leave a set with fewer filled
   segments than differences allowed; it is entered under one common signature of its
   band beside its own, which compares all such sets with each other.
-* Every candidate pair is verified on the whole sets.
+* A candidate pair must share as many signatures as a set fills beyond the differences
+  allowed (signatures too dear to be counted are granted), and sizes that fit.
+* Pairs are verified on the whole sets: first each document's likeliest partner, then
+  every pair that would still join two components.
 
 Identical sets enter once.  Shingles are compared by 64-bit hashes.  Texts travel to
 verification once for each candidate pair, keyed by the smaller partner; a partner
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import documents, materialise, shuffle_width
@@ -101,16 +104,22 @@ def set_id(items: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def spare_segments(items: np.ndarray) -> list[int]:
+    """For each membership: filled segments beyond those a partner can differ in, less one."""
+    return [int(np.unique(mixed(items ^ np.uint64(band + 1)) % np.uint64(segments(band))).size) - differ - 1 for band, differ in memberships(items.size)]
+
+
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, node`` of every document; equal sets have equal nodes."""
+    """``doc_id, n_shingles, node, spare`` of every document; equal sets have equal nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
             sets = shingle_sets(batch.column("text"), width)
-            arrays = [batch.column("doc_id"), pa.array([s.size for s in sets], pa.int64()), pa.array([set_id(s) if s.size else None for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node"])
+            spare = pa.array([spare_segments(s) if s.size else None for s in sets], pa.list_(pa.int64()))
+            arrays = [batch.column("doc_id"), pa.array([s.size for s in sets], pa.int64()), pa.array([set_id(s) if s.size else None for s in sets], pa.int64()), spare]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "spare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, spare array<long>")
 
 
 _PACK = np.dtype([("low", "<u4"), ("high", "u1"), ("part", "u1"), ("node", "<i8")])
@@ -164,44 +173,58 @@ def packed_signatures(docs: DataFrame, bins: int, width: int) -> DataFrame:
 
 
 def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of packs ordered by bin: candidate pairs (``sig`` null), and the members of dear
-    signatures (``a``: the set, ``b``: null, ``sig`` and ``part`` set)."""
+    """Of packs ordered by bin: candidate pairs with the number of signatures they share
+    (``sig`` null), and the members of dear signatures (``b`` null).
+
+    Two sets that both belong to the band from above meet in their own band, not here."""
     at, parts = None, []
 
     def solve() -> pa.RecordBatch:
         pack = np.frombuffer(b"".join(parts), dtype=_PACK)
         sig = pack["low"].astype(np.int64) | (pack["high"].astype(np.int64) << 32)
         node, part = pack["node"], pack["part"]
-        order = np.lexsort((node, sig))
+        order = np.lexsort((node, part, sig))
         sig, node, part = sig[order], node[order], part[order]
-        new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+        new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (part[1:] != part[:-1]))
         sig, node, part = sig[new], node[new], part[new]
         starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         count = np.diff(np.append(starts, sig.size))
+        count[part[starts] == 1] = 1  # no set of the band itself
         first, second = [], []
         for k in np.unique(count[(count > 1) & (count <= HOT)]).tolist():
-            group = node[starts[count == k][:, None] + np.arange(k)]
+            group = starts[count == k][:, None] + np.arange(k)
             i, j = np.triu_indices(k, 1)
             first.append(group[:, i].ravel())
             second.append(group[:, j].ravel())
-        dear = np.repeat(count > HOT, count)
-        lead = np.repeat(node[starts], count)
-        star = dear & (node != lead)
-        first.append(lead[star])
-        second.append(node[star])
-        pairs = np.unique(np.stack([np.concatenate(first), np.concatenate(second)]), axis=1)
-        n, m = pairs.shape[1], int(dear.sum())
+        span = np.diff(np.append(starts, sig.size))
+        dear = np.repeat(count > HOT, span)
+        lead = np.repeat(starts, span)
+        star = np.flatnonzero(dear & (np.arange(sig.size) != lead))
+        # a star is a candidate that shares no counted signature
+        one = np.concatenate([*first, lead[star]]).astype(np.int64)
+        two = np.concatenate([*second, star]).astype(np.int64)
+        shares = np.append(np.ones(one.size - star.size, dtype=np.int64), np.zeros(star.size, dtype=np.int64))
+        fit = (part[one] + part[two] <= 1) & (node[one] != node[two])
+        one, two, shares = one[fit], two[fit], shares[fit]
+        swap = node[one] > node[two]
+        one, two = np.where(swap, two, one), np.where(swap, one, two)
+        order = np.lexsort((part[two], part[one], node[two], node[one]))
+        one, two, shares = one[order], two[order], shares[order]
+        head = np.append(True, (node[one][1:] != node[one][:-1]) | (node[two][1:] != node[two][:-1]) | (part[one][1:] != part[one][:-1]) | (part[two][1:] != part[two][:-1])) if one.size else np.zeros(0, dtype=bool)
+        n = np.add.reduceat(shares, np.flatnonzero(head)) if one.size else shares
+        one, two = one[head], two[head]
+        m = int(dear.sum())
         none = lambda k, kind: pa.nulls(k, kind)
-        key = sig[dear] | (np.int64(at) << np.int64(40))
+        join = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), y if isinstance(y, pa.Array) else pa.array(y, kind)])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([pairs[0], node[dear]]), pa.int64()),
-                pa.concat_arrays([pa.array(pairs[1], pa.int64()), none(m, pa.int64())]),
-                pa.concat_arrays([none(n, pa.int64()), pa.array(key, pa.int64())]),
-                pa.concat_arrays([none(n, pa.int32()), pa.array(part[dear], pa.int32())]),
+                join(node[one], node[dear], pa.int64()), join(part[one], part[dear], pa.int32()),
+                join(node[two], none(m, pa.int64()), pa.int64()), join(part[two], none(m, pa.int32()), pa.int32()),
+                join(n, none(m, pa.int64()), pa.int64()),
+                pa.concat_arrays([none(one.size, pa.int64()), pa.array(sig[dear] | (np.int64(at) << np.int64(40)), pa.int64())]),
             ],
-            ["a", "b", "sig", "part"],
-        )
+            ["a", "part_a", "b", "part_b", "n", "sig"],
+        )
 
     for batch in batches:
         for where, pack in zip(batch.column("bin").to_pylist(), batch.column("pack").to_pylist(), strict=True):
@@ -248,53 +271,66 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def candidates(docs: DataFrame, sets: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (``node, first, n``); candidate pairs of first documents (``a, b, n``); and
+    members of dear signatures that cannot do without them (``sig, first``).
+
+    A pair must share as many signatures as a set fills beyond the differences allowed;
+    those of its dear ones that the count left out are granted."""
+    known = sets.where("node IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = materialise(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.first("spare").alias("spare")), "nodes")
+    packs = packed_signatures(docs.where("doc_id IS NOT NULL"), 4 * shuffle_width(docs.sparkSession), width)
+    found = materialise(packs.repartition("bin").sortWithinPartitions("bin").mapInArrow(bucket_rows, "a long, part_a int, b long, part_b int, n long, sig long"), "candidates")
+    dear = found.where("sig IS NOT NULL").select(F.col("a").alias("node"), F.col("part_a").alias("part"), "sig")
+    load = dear.groupBy("node", "part").agg(F.count(F.lit(1)).alias("dear"))
+    spare = nodes.select("node", "first", "size", F.posexplode("spare").alias("part", "spare"))
+    needs = spare.join(load, ["node", "part"], "left").select("node", "part", "first", "size", (F.col("spare") + 1 - F.coalesce("dear", F.lit(0))).alias("need"))
+    side = lambda x: needs.select(*(F.col(c).alias(f"{c}_{x}") for c in needs.columns))
+    shared = found.where("sig IS NULL").groupBy("a", "b", "part_a", "part_b").agg(F.sum("n").alias("n"))
+    pairs = (
+        shared.withColumnsRenamed({"part_a": "pa", "part_b": "pb"})
+        .join(side("a"), (F.col("a") == F.col("node_a")) & (F.col("pa") == F.col("part_a")))
+        .join(side("b"), (F.col("b") == F.col("node_b")) & (F.col("pb") == F.col("part_b")))
+        .where("n >= need_a AND n >= need_b AND 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
+        .groupBy(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+        .agg(F.max("n").alias("n"))
+    )
+    over = dear.join(needs.where("need < 1"), ["node", "part"]).select("sig", "first", "size")
+    return nodes.select("node", "first"), materialise(pairs, "pairs"), materialise(over, "over")
+
+
 def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     sets = materialise(set_table(docs, width), "sets")
-    nodes = sets.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"))
-    bins = 4 * shuffle_width(spark)
-    packs = packed_signatures(docs.where("doc_id IS NOT NULL"), bins, width)
-    found = materialise(packs.repartition("bin").sortWithinPartitions("bin").mapInArrow(bucket_rows, "a long, b long, sig long, part int"), "candidates")
-
-    one, two = nodes.select(F.col("node").alias("a"), F.col("first").alias("x")), nodes.select(F.col("node").alias("b"), F.col("first").alias("y"))
-    pairs = found.where("b IS NOT NULL").select("a", "b").distinct().join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = materialise(verified(materialise(pairs, "pairs"), docs, width), "verified")
-    labels = components(links)
+    nodes, pairs, over = candidates(docs, sets, width)
+    involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(over.select(F.col("first").alias("doc_id"))).distinct()
+    texts = materialise(docs.join(involved, "doc_id", "left_semi"), "texts")
 
-    # sets with more dear segments than they can do without, in each band they belong to
-    dear = found.where("b IS NULL").select(F.col("a").alias("node"), "sig", "part")
-    load = dear.groupBy("node", "part").agg(F.count(F.lit(1)).alias("dear"))
-    spare = spare_table(docs, width, load.select("node").distinct(), nodes)
-    over = load.join(spare, ["node", "part"]).where("dear > spare").select("node", "part", "first")
-    joined = dear.join(over, ["node", "part"]).join(labels.withColumnRenamed("node", "first"), "first", "left")
-    members = joined.select("sig", "first", F.coalesce("component", "first").alias("component"))
-    mixed_sigs = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    open_members = materialise(members.join(mixed_sigs, "sig"), "open")
-    if not open_members.isEmpty():
-        other = open_members.withColumnsRenamed({"first": "y", "component": "d"})
-        more = open_members.join(other, "sig").where("first < y AND component <> d").select(F.col("first").alias("a"), F.col("y").alias("b")).distinct()
-        links = materialise(links.unionByName(verified(materialise(more, "pairs"), docs, width)), "verified")
+    def labelled(table: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+        own = labels.select(F.col("node").alias(column), F.col("component").alias(name))
+        return table.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+    # each document's likeliest partner first: groups of near copies become one component
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    links = materialise(verified(best, texts, width), "verified")
+    labels = components(links)
+    # then every other pair that would join two components
+    rest = labelled(labelled(pairs, labels, "a", "left_of"), labels, "b", "right_of").where("left_of <> right_of").select("a", "b")
+    links = materialise(links.unionByName(verified(materialise(rest.join(best, ["a", "b"], "left_anti"), "rest"), texts, width)), "verified")
+    labels = components(links)
+    # then sets with more dear signatures than they can do without, across components
+    members = labelled(over, labels, "first", "component")
+    torn = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+    members = materialise(members.join(torn, "sig"), "members")
+    if not members.isEmpty():
+        other = members.withColumnsRenamed({"first": "y", "component": "d", "size": "z"})
+        more = members.join(other, "sig").where("first < y AND component <> d AND 5 * least(size, z) >= 4 * greatest(size, z)").select(F.col("first").alias("a"), F.col("y").alias("b")).distinct()
+        links = materialise(links.unionByName(verified(materialise(more, "more"), texts, width)), "verified")
         labels = components(links)
-    label = nodes.select("node", "first").join(labels.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("component", "first").alias("component"))
+    label = labelled(nodes, labels, "first", "component").select("node", "component")
     return sets.join(label.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def spare_table(docs: DataFrame, width: int, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, part, spare, first``: filled segments beyond the differences to allow for."""
-    texts = wanted.join(nodes, "node").select("node", "first").join(docs.select(F.col("doc_id").alias("first"), "text"), "first")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
-            rows = []
-            for node, first, items in zip(batch.column("node").to_pylist(), batch.column("first").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
-                rows += [(node, part, signatures(items, band).size - differ - 1, first) for part, (band, differ) in enumerate(memberships(items.size))]
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["node", "part", "spare", "first"])
-
-    return texts.select("node", "first", "text").mapInArrow(run, "node long, part int, spare long, first long")
-
-
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
