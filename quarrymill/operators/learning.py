@@ -1,0 +1,157 @@
+"""Event folds, preference pairs, the pairwise ranker and the bucket bandit."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarrymill.config import COLD_START_JOBS, COLD_START_PICKS, EPSILON, FIT, HOLDOUT_FRACTION, TTL_SECONDS
+from quarrymill.functions.numeric import expired
+from quarrymill.operators.rules import action_sign
+
+
+def fold_events(events: DataFrame) -> DataFrame:
+    """One row for each (job, sha): shown, position, action, last time.  The result does
+    not depend on the order of arrival: every pick carries the whole line as its order."""
+    order = F.struct("t", "job", "svg_sha", "event", "pos")
+    sign = action_sign(F.col("event"))
+    shown = F.col("event") == "shown"
+    return (
+        events.where("svg_sha IS NOT NULL")
+        .groupBy("job", "svg_sha")
+        .agg(
+            F.bool_or(shown).alias("shown"),
+            F.coalesce(F.max_by(F.when(shown, F.col("pos")), F.when(shown, order)), F.min_by(F.when(~shown, F.col("pos")), F.when(~shown, order))).alias("pos"),
+            F.when(F.max(sign) > 0, 1).when(F.min(sign) < 0, -1).otherwise(0).alias("action"),
+            F.max("t").alias("last_t"),
+        )
+    )
+
+
+def preference_pairs(observed: DataFrame) -> DataFrame:
+    """Within a job: what was acted on over what was shown and not acted on, or rejected."""
+    up = observed.where("action > 0").select("job", F.col("svg_sha").alias("winner"))
+    down = observed.where("action < 0 OR (action = 0 AND shown)").select("job", F.col("svg_sha").alias("loser"))
+    return up.join(down, "job")
+
+
+def held_out_jobs(observed: DataFrame, fraction: float = HOLDOUT_FRACTION) -> DataFrame:
+    """The last part of the jobs, never all of them."""
+    jobs = observed.select("job").distinct()
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy("job"))  # one row for each job
+    return jobs.select("job", (place > n - F.least(F.ceil(n * fraction), n - 1)).alias("held_out"))
+
+
+def feature_scales(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``feature, mean, scale`` over known values; a scale of nothing counts as 1."""
+    sums = df.agg(*(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features))
+    scale = lambda f: F.when(F.coalesce(F.col(f"s_{f}"), F.lit(0.0)) <= 1e-9, 1.0).otherwise(F.col(f"s_{f}"))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f"m_{f}"), F.lit(0.0)).alias("mean"), scale(f).alias("scale")) for f in features))).alias("x")).select("x.*")
+
+
+def fit_ranker(candidates: DataFrame, pairs: DataFrame, key: str, features: Sequence[str], **options) -> dict:
+    """Pairwise logistic weights by a fixed number of full-batch steps.
+
+    Each step is one distributed aggregation over the standardised differences of the
+    pairs; only the gradient, one number for each feature, comes to the driver."""
+    settings = FIT | options
+    picks = candidates.sparkSession.createDataFrame([(1,)], "x int") if pairs is None else pairs.select("winner").distinct()
+    jobs = pairs.select("job").distinct().limit(COLD_START_JOBS).count()
+    if picks.limit(COLD_START_PICKS).count() < options.get("cold_start_picks", COLD_START_PICKS) or jobs < COLD_START_JOBS:
+        return {"kind": "cold", "features": list(features), "weights": {}}
+    scales = {r.feature: (r["mean"], r["scale"]) for r in feature_scales(candidates, features).collect()}
+    standard = [((F.coalesce(F.col(f).cast("double"), F.lit(scales[f][0])) - scales[f][0]) / scales[f][1]).alias(f"z_{f}") for f in features]
+    z = candidates.select(F.col(key).alias("_k"), F.array(*standard).alias("z"))
+    won, lost = z.select(F.col("_k").alias("winner"), F.col("z").alias("zw")), z.select(F.col("_k").alias("loser"), F.col("z").alias("zl"))
+    diff = pairs.join(won, "winner").join(lost, "loser").select(F.zip_with("zw", "zl", lambda a, b: a - b).alias("d")).persist()
+    weights = np.zeros(len(features))
+    try:
+        for _ in range(settings["iterations"]):
+            margin = sum((F.col("d")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+            miss = 1 / (1 + F.exp(margin))
+            sums = diff.agg(*(F.avg(miss * F.col("d")[i]).alias(f"g{i}") for i in range(len(features)))).first()
+            step = np.array([sums[f"g{i}"] or 0.0 for i in range(len(features))]) - settings["l2"] * weights
+            weights = weights + settings["rate"] * step
+    finally:
+        diff.unpersist()
+    return {"kind": "pairwise", "features": list(features), "weights": dict(zip(features, weights.tolist(), strict=True)), "means": {f: scales[f][0] for f in features}, "scales": {f: scales[f][1] for f in features}}
+
+
+def score(model: dict):
+    """Score expression of a model; a cold one falls back on the hand order's weights."""
+    if model["kind"] == "cold":
+        return -(F.coalesce("hard", F.lit(0)) * 1e6 + F.coalesce("advisory", F.lit(0)) * 1e3 + F.coalesce("mae_art", F.lit(999.999)))
+    total = F.lit(0.0)
+    for f in model["features"]:
+        mean, scale = model["means"][f], model["scales"][f]
+        total = total + (F.coalesce(F.col(f).cast("double"), F.lit(mean)) - mean) / scale * model["weights"][f]
+    return total
+
+
+def pair_accuracy(pairs: DataFrame, winner: str, loser: str):
+    """1 for a pair in order, one half for a tie."""
+    return pairs.agg(F.avg(F.when(F.col(winner) > F.col(loser), 1.0).when(F.col(winner) == F.col(loser), 0.5).otherwise(0.0)).alias("accuracy"))
+
+
+_MASK = (1 << 64) - 1
+
+
+def digest_number(values: Sequence[str]) -> int:
+    return int.from_bytes(hashlib.sha256("\n".join(values).encode()).digest()[:8], "big")
+
+
+def mix64(value: int) -> int:
+    """The public splitmix64 finaliser, on unsigned 64-bit numbers."""
+    value = (value + 0x9E3779B97F4A7C15) & _MASK
+    value = ((value ^ (value >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    value = ((value ^ (value >> 27)) * 0x94D049BB133111EB) & _MASK
+    return value ^ (value >> 31)
+
+
+def rank_with_slots(ordered: DataFrame, key: str, window: int = 8, slots: int = 1) -> list[str]:
+    """The visible window in order, its last ``slots`` places drawn from just below the cut.
+    Reads only the window and the pool, a fixed number of rows."""
+    head = [r[0] for r in ordered.select(key).limit(window + 4 * slots).collect()]
+    if len(head) <= window or not slots:
+        return head[:window]
+    kept, pool, state = head[: window - slots], head[window - slots :], digest_number([str(x) for x in head])
+    for _ in range(slots):
+        state = mix64(state)
+        kept.append(pool.pop(state % len(pool)))
+    return kept
+
+
+def bucket_stats(outcomes: DataFrame) -> DataFrame:
+    """Counters of each bucket; ``outcomes`` has ``bucket, success boolean, t string``."""
+    return outcomes.groupBy("bucket").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("success").alias("successes"), F.max("t").alias("last_t"))
+
+
+def live_posterior(stats: DataFrame, now, ttl: float = TTL_SECONDS) -> DataFrame:
+    """Beta parameters; an expired bucket is back at the prior."""
+    gone = expired(F.col("last_t"), now, ttl)
+    good, tried = F.when(gone, 0).otherwise(F.col("successes")), F.when(gone, 0).otherwise(F.col("attempts"))
+    return stats.withColumns({"expired": gone, "alpha": 1 + good, "beta": 1 + tried - good})
+
+
+def choose_bucket(stats: DataFrame, now, seed: int, epsilon: float = EPSILON, veto: Sequence[str] = ()) -> DataFrame:
+    """Thompson draws of the live buckets: one seeded draw a bucket in a pandas function,
+    the largest wins, ties keep the first; with probability epsilon any bucket."""
+    live = live_posterior(stats, now).where(~F.col("bucket").isin(list(veto)) if veto else F.lit(True))
+
+    def draw(batches):
+        for pdf in batches:
+            seeds = [digest_number([str(seed), b]) for b in pdf["bucket"]]
+            pdf["draw"] = [np.random.default_rng(s).beta(a, b) for s, a, b in zip(seeds, pdf["alpha"], pdf["beta"], strict=True)]
+            pdf["lot"] = [np.random.default_rng(s + 1).random() for s in seeds]
+            yield pdf[["bucket", "alpha", "beta", "draw", "lot"]]
+
+    drawn = live.select("bucket", F.col("alpha").cast("long"), F.col("beta").cast("long")).mapInPandas(draw, "bucket string, alpha long, beta long, draw double, lot double")
+    explore = np.random.default_rng(seed).random() < epsilon
+    return drawn.orderBy(F.col("lot" if explore else "draw").desc(), "bucket").limit(1).withColumn("explored", F.lit(bool(explore)))
+
+

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quarrymill.plans import candidates, events, pixels, records, texts
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (candidates, records, pixels, texts, events):
+    QUERIES |= _module.family.queries
+    ORACLES |= _module.family.oracles
