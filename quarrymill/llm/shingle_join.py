@@ -15,8 +15,8 @@ similarity of 4/5 or more differ in at most ``(|r| + |s|) / 9`` shingles.
   one first (a star), and afterwards only overloaded sets of one signature that are
   still in different components are compared.  So a group of near copies costs its
   size, not its square, and no link that joins components is missed.
-* One-deletion neighbourhoods: a band of small sets may leave a set with fewer filled
-  segments than differences allowed; it is entered under one common signature of its
+* No one-deletion neighbourhoods are indexed: segments are as many as exact agreement
+  needs.  The rare set that fills too few is entered under one common signature of its
   band beside its own, which compares all such sets with each other.
 * A candidate pair must share as many signatures as a set fills beyond the differences
   allowed (signatures too dear to be counted are granted), and sizes that fit.
