@@ -8,9 +8,12 @@ suffix tree of the corpus is an internal node with a smaller document below it.
   its ``ANCHOR``-word runs is its anchor (equal windows have equal anchors), and only
   anchors that two documents share are kept.  Exact copies enter once.
 * The suffixes are split by prefix, the anchor.  An anchor that more than
-  ``GROUP_DOCS`` documents share is extended to the whole window, so groups stay small
-  where a passage stands in a third of all documents; such windows take their smallest
-  and largest document by partial aggregation and a join that Spark can split.
+  ``GROUP_DOCS`` documents share is extended, so groups stay small where a passage stands
+  in a third of all documents: first to chunks of consecutive windows, cut where a
+  window's own hash says so, hence alike wherever the passage stands.  A chunk that also
+  starts in a smaller document goes whole, as one row; the chunks of smallest documents
+  are extended to single windows.  Both take their smallest and largest document by
+  partial aggregation and a join that Spark can split.
 * A group's suffixes are sorted; equal ones at the full depth are a deep node, whose
   smallest document keeps its words.
 
@@ -39,6 +42,9 @@ WINDOW = 50
 ANCHOR = 8
 GROUP_DOCS = 32
 _GROUP_WINDOWS = 1 << 18
+#: Mean windows of a chunk: a passage of twice the window costs about as many rows for its
+#: chunks as for the windows at its two ends, where the chunks are cut off.
+CHUNK = 5
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -74,7 +80,13 @@ def anchor_table(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 def suffixes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """Suffixes under shared anchors.  Short prefix: a row for each run of windows with
-    the anchor ``key`` (``windows``: their hashes); long prefix: a row for each window."""
+    the anchor ``key`` (``windows``: their hashes); extended prefix: a row for each chunk
+    (``key, code``: sums of its windows' hashes, which ``fulls`` and ``others`` list)."""
+    schema = "key long, doc_id long, tkey long, start long, code long, windows binary, fulls array<long>, others array<long>"
+
+    def lists(parts: list[np.ndarray], sizes: np.ndarray, ahead: int) -> pa.Array:
+        at = np.concatenate((np.zeros(ahead + 1, dtype=np.int32), np.cumsum(sizes, dtype=np.int32)))
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts), pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
@@ -83,38 +95,51 @@ def suffixes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             full, other = window_hashes(words, window).view(np.int64), window_hashes(words, window, second=True).view(np.int64)
             shared = [np.array(x, dtype=np.int64) for x in batch.column("few").to_pylist()]
             common = [np.array(x, dtype=np.int64) for x in batch.column("many").to_pylist()]
-            row, key, start, blob, code = [], [], [], [], []
+            row, key, start, blob = [], [], [], []
+            none = np.zeros(0, dtype=np.int64)
+            rows2, keys2, starts2, codes2, sizes2, fulls, others = [none], [none], [none], [none], [none], [none], [none]
             for i in range(batch.num_rows):
                 lo, hi = cuts[i], cuts[i + 1] - window + 1
                 if hi <= lo:
                     continue
                 own = first[lo:hi]
+                turns = np.append(True, own[1:] != own[:-1])
                 if shared[i].size:
-                    turn = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    turn = np.flatnonzero(turns)
                     stop = np.append(turn[1:], own.size)
                     for a in np.flatnonzero(np.isin(own[turn], shared[i])).tolist():
                         s, e = turn[a], stop[a]
                         row.append(i)
                         key.append(own[s])
                         start.append(s)
-                        code.append(None)
                         blob.append(other[lo + s : lo + e].tobytes())
                 if common[i].size:
-                    places = np.flatnonzero(np.isin(own, common[i]))
-                    row += [i] * places.size
-                    key += full[lo + places].tolist()
-                    start += places.tolist()
-                    code += other[lo + places].tolist()
-                    blob += [None] * places.size
-            part = batch.take(pa.array(row, pa.int64()))
-            yield _rows(key=pa.array(key, pa.int64()), doc_id=part.column("doc_id"), tkey=part.column("tkey"), start=pa.array(start, pa.int64()), code=pa.array(code, pa.int64()), windows=pa.array(blob, pa.binary()))
-
-    return docs.mapInArrow(run, "key long, doc_id long, tkey long, start long, code long, windows binary")
+                    head, tail = full[lo:hi], other[lo:hi]
+                    turn = np.flatnonzero(turns | (tail % CHUNK == 0))
+                    size = np.diff(np.append(turn, own.size))
+                    pick = np.isin(own[turn], common[i])
+                    rows2.append(np.full(int(pick.sum()), i))
+                    keys2.append(np.add.reduceat(head, turn)[pick])
+                    codes2.append(np.add.reduceat(tail, turn)[pick])
+                    starts2.append(turn[pick])
+                    sizes2.append(size[pick])
+                    inside = np.repeat(pick, size)
+                    fulls.append(head[inside])
+                    others.append(tail[inside])
+            codes, sizes, n = np.concatenate(codes2), np.concatenate(sizes2), len(row)
+            part = batch.take(pa.array(np.append(np.array(row, dtype=np.int64), np.concatenate(rows2))))
+            yield _rows(
+                key=pa.array(np.append(np.array(key, dtype=np.int64), np.concatenate(keys2))), doc_id=part.column("doc_id"), tkey=part.column("tkey"),
+                start=pa.array(np.append(np.array(start, dtype=np.int64), np.concatenate(starts2))), code=pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(codes)]),
+                windows=pa.concat_arrays([pa.array(blob, pa.binary()), pa.nulls(codes.size, pa.binary())]), fulls=lists(fulls, sizes, n), others=lists(others, sizes, n),
+            )
+
+    return docs.mapInArrow(run, schema)
 
 
 def subtree_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of short-prefix groups that also start in a smaller document.  Rows come
-    ordered by key; whole groups are sorted together until they fill the memory set aside."""
+    """Runs of ``n`` windows of short-prefix groups that also start in a smaller document.
+    Rows come ordered by key; whole groups are sorted together until they fill the memory set aside."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -131,8 +156,12 @@ def subtree_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         least = doc[np.maximum.accumulate(np.where(head, np.arange(key.size), 0))] if key.size else doc
         gone = doc > least
         row, place = row[gone], place[gone]
-        part = table.take(pa.array(row))
-        return _rows(doc_id=part.column("doc_id"), tkey=part.column("tkey"), start=pa.array(part.column("start").to_numpy() + place, pa.int64()))
+        order = np.lexsort((place, row))
+        row, place = row[order], place[order]
+        begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))) if row.size else row
+        n = np.diff(np.append(begin, row.size))
+        part = table.take(pa.array(row[begin]))
+        return _rows(doc_id=part.column("doc_id"), tkey=part.column("tkey"), start=pa.array(part.column("start").to_numpy() + place[begin], pa.int64()), n=pa.array(n, pa.int64()))
 
     def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -156,7 +185,7 @@ def subtree_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """Starts of windows to remove (``doc_id, tkey, start``), and exact copies (``doc_id, tkey``)."""
+    """Runs of windows to remove (``doc_id, tkey, start, n``), and exact copies (``doc_id, tkey``)."""
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     table = materialise(anchor_table(known, window, anchor), "anchors")
     firsts = table.groupBy("whole").agg(F.min(F.struct("doc_id", "tkey")).alias("first")).select("whole", F.col("first.doc_id").alias("first_id"), F.col("first.tkey").alias("first_key"))
@@ -167,11 +196,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     marks = spread.join(hot.hint("merge"), "key").groupBy("doc_id", "tkey").agg(F.collect_list(F.when(~F.col("many"), F.col("key"))).alias("few"), F.collect_list(F.when(F.col("many"), F.col("key"))).alias("many"))
     found = materialise(suffixes(known.join(marks, ["doc_id", "tkey"]), window, anchor), "suffixes")
     short = found.where("windows IS NOT NULL").select("key", "doc_id", "tkey", "start", "windows")
-    gone = short.repartition("key").sortWithinPartitions("key").mapInArrow(subtree_repeats, "doc_id long, tkey long, start long")
-    long = found.where("windows IS NULL").select("key", "code", "doc_id", "tkey", "start")
-    nodes = long.groupBy("key", "code").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    gone_long = long.join(nodes, ["key", "code"]).where("doc_id > least").select("doc_id", "tkey", "start")
-    return gone.unionByName(gone_long), copies
+    gone = short.repartition("key").sortWithinPartitions("key").mapInArrow(subtree_repeats, "doc_id long, tkey long, start long, n long")
+    chunks = found.where("windows IS NULL").select("key", "code", "doc_id", "tkey", "start", "fulls", "others")
+    nodes = _nodes(chunks)
+    whole = chunks.withColumn("n", F.size("fulls").cast("long")).join(nodes, ["key", "code"]).where("doc_id > least").select("doc_id", "tkey", "start", "n")
+    smallest = chunks.join(nodes, (chunks["key"] == nodes["key"]) & (chunks["code"] == nodes["code"]) & (F.col("doc_id") > F.col("least")), "left_anti")
+    single = smallest.select("doc_id", "tkey", "start", F.posexplode(F.arrays_zip("fulls", "others")).alias("place", "w"))
+    single = materialise(single.select(F.col("w.fulls").alias("key"), F.col("w.others").alias("code"), "doc_id", "tkey", (F.col("start") + F.col("place")).alias("start")), "windows")
+    ends = single.join(_nodes(single), ["key", "code"]).where("doc_id > least").select("doc_id", "tkey", "start", F.lit(1).cast("long").alias("n"))
+    return gone.unionByName(whole).unionByName(ends), copies
+
+
+def _nodes(table: DataFrame) -> DataFrame:
+    """``key, code, least`` of what stands in two documents or more."""
+    return table.groupBy("key", "code").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -182,8 +220,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` of every document."""
     docs = keyed(docs)
     gone, copies = repeated_windows(docs, window, anchor)
-    cuts = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "tkey", F.lit(None).cast("long").alias("start"), F.lit(True).alias("copy")))
-    cuts = cuts.groupBy("doc_id", "tkey").agg(F.collect_list("start").alias("starts"), F.bool_or("copy").alias("copy"))
+    cuts = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "tkey", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("n"), F.lit(True).alias("copy")))
+    cuts = cuts.groupBy("doc_id", "tkey").agg(F.collect_list(F.when(~F.col("copy"), F.struct("start", "n"))).alias("runs"), F.bool_or("copy").alias("copy"))
+    # starts and lengths in turn
+    cuts = cuts.select("doc_id", "tkey", "copy", F.flatten(F.transform("runs", lambda x: F.array(x["start"], x["n"]))).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text"):
@@ -194,9 +234,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     kept = []
                 elif starts:
                     depth = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = np.array(starts, dtype=np.int64)
+                    at, n = np.array(starts, dtype=np.int64).reshape(-1, 2).T
                     np.add.at(depth, at, 1)
-                    np.add.at(depth, at + window, -1)
+                    np.add.at(depth, at + n + window - 1, -1)
                     stay = np.cumsum(depth[:-1]) == 0
                     kept = [words[i] for i in np.flatnonzero(stay).tolist()]
                 else:
