@@ -42,6 +42,8 @@ WINDOW = 50
 ANCHOR = 8
 GROUP_DOCS = 32
 _GROUP_WINDOWS = 1 << 18
+#: Bytes of text hashed at once; numpy holds some 80 times as many.
+_CHUNK_BYTES = 1 << 19
 #: Mean windows of a chunk: a passage of twice the window costs about as many rows for its
 #: chunks as for the windows at its two ends, where the chunks are cut off.
 CHUNK = 5
@@ -59,7 +61,7 @@ def anchor_table(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """``doc_id, tkey, n_words, whole, anchors`` of every document with a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", _CHUNK_BYTES):
             words, cuts, _, _ = word_hashes(batch.column("text"))
             first = _anchors(words, window, anchor)
             keep, whole, found = [], [], []
@@ -89,7 +91,7 @@ def suffixes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts), pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", _CHUNK_BYTES):
             words, cuts, _, _ = word_hashes(batch.column("text"))
             first = _anchors(words, window, anchor).view(np.int64)
             full, other = window_hashes(words, window).view(np.int64), window_hashes(words, window, second=True).view(np.int64)
@@ -226,7 +228,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     cuts = cuts.select("doc_id", "tkey", "copy", F.flatten(F.transform("runs", lambda x: F.array(x["start"], x["n"]))).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
+        for batch in text_chunks(batches, "text", _CHUNK_BYTES):
             n_words, n_removed, sha, kept_texts = [], [], [], []
             for text, starts, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "copy")), strict=True):
                 words = (text or b"").split()  # bytes.split parts at exactly the six blanks
