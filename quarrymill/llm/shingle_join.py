@@ -11,9 +11,10 @@ similarity of 4/5 or more differ in at most ``(|r| + |s|) / 9`` shingles.
 * Cost-based allocation: a signature that more than ``HOT`` sets share is dear.  A set
   may do without as many segments as it fills beyond the differences allowed; a pair
   is lost only if both its sets have more dear segments than that.  Such overloaded
-  sets keep their dear segments: each dear signature links every set with its least
-  one first (a star), and afterwards only overloaded sets of one signature that are
-  still in different components are compared.  So a group of near copies costs its
+  sets keep dear segments, the rarest first, until they have one more than the
+  differences allowed: each dear signature links every set with its least
+  one first (a star), and afterwards only overloaded sets of one kept signature that
+  are still in different components are compared.  So a group of near copies costs its
   size, not its square, and no link that joins components is missed.
 * No one-deletion neighbourhoods are indexed: segments are as many as exact agreement
   needs.  The rare set that fills too few is entered under one common signature of its
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import documents, materialise, shuffle_width
@@ -297,7 +298,12 @@ def candidates(docs: DataFrame, sets: DataFrame, width: int) -> tuple[DataFrame,
         .groupBy(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
         .agg(F.max("n").alias("n"))
     )
-    over = dear.join(needs.where("need < 1"), ["node", "part"]).select("sig", "first", "size")
+    # of signatures ordered from rare to common, similar sets share one among the first that exceed
+    # the differences allowed: those that are not dear, then as many of the dear ones as are lacking
+    common = dear.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("node", "part").orderBy("sets", "sig"))
+    lacking = dear.join(needs.where("need < 1"), ["node", "part"]).join(common.hint("merge"), "sig")
+    over = lacking.withColumn("rank", rank).where("rank <= 1 - need").select("sig", "first", "size")
     return nodes.select("node", "first"), materialise(pairs, "pairs"), materialise(over, "over")
 
 
