@@ -14,7 +14,8 @@ similarity of 4/5 or more differ in at most ``(|r| + |s|) / 9`` shingles.
   sets keep dear segments, the rarest first, until they have one more than the
   differences allowed: each dear signature links every set with its least
   one first (a star), and afterwards only overloaded sets of one kept signature that
-  are still in different components are compared.  So a group of near copies costs its
+  are still in different components are compared, where sketches of the sets do not
+  already show more differences than the sizes allow.  So a group of near copies costs its
   size, not its square, and no link that joins components is missed.
 * No one-deletion neighbourhoods are indexed: segments are as many as exact agreement
   needs.  The rare set that fills too few is entered under one common signature of its
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import documents, materialise, shuffle_width
@@ -51,6 +52,7 @@ from quarrymill.llm.tokenisation import text_chunks
 WIDTH = 5
 HOT = 8
 PAIRS_PER_KEY = 256
+SKETCH_WORDS = 16
 #: Signatures that a task holds before it hands them on.
 _FLUSH = 1_500_000
 _SEEN = 200_000
@@ -112,17 +114,29 @@ def spare_segments(items: np.ndarray) -> list[int]:
     return [int(np.unique(mixed(items ^ np.uint64(band + 1)) % np.uint64(segments(band))).size) - differ - 1 for band, differ in memberships(items.size)]
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in ``SKETCH_WORDS * 64`` places.  Two sketches disagree in no
+    more places than their sets have shingles apart, so they rule pairs out without loss."""
+    odd = np.bincount((mixed(items) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def apart(left: str, right: str) -> Column:
+    """Places in which two sketches disagree."""
+    return sum((F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col(left)[0].bitwiseXOR(F.col(right)[0])))
+
+
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, node, spare`` of every document; equal sets have equal nodes."""
+    """``doc_id, n_shingles, node, spare, sketch`` of every document; equal sets have equal nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", _CHUNK_BYTES):
             sets = shingle_sets(batch.column("text"), width)
             spare = pa.array([spare_segments(s) if s.size else None for s in sets], pa.list_(pa.int64()))
-            arrays = [batch.column("doc_id"), pa.array([s.size for s in sets], pa.int64()), pa.array([set_id(s) if s.size else None for s in sets], pa.int64()), spare]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "spare"])
+            arrays = [batch.column("doc_id"), pa.array([s.size for s in sets], pa.int64()), pa.array([set_id(s) if s.size else None for s in sets], pa.int64()), spare, pa.array([sketch(s).tolist() if s.size else None for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "spare", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, spare array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, spare array<long>, sketch array<long>")
 
 
 _PACK = np.dtype([("low", "<u4"), ("high", "u1"), ("part", "u1"), ("node", "<i8")])
@@ -281,7 +295,7 @@ def candidates(docs: DataFrame, sets: DataFrame, width: int) -> tuple[DataFrame,
     A pair must share as many signatures as a set fills beyond the differences allowed;
     those of its dear ones that the count left out are granted."""
     known = sets.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = materialise(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.first("spare").alias("spare")), "nodes")
+    nodes = materialise(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch")), "nodes")
     packs = packed_signatures(docs.where("doc_id IS NOT NULL"), 4 * shuffle_width(docs.sparkSession), width)
     found = materialise(packs.repartition("bin").sortWithinPartitions("bin").mapInArrow(bucket_rows, "a long, part_a int, b long, part_b int, n long, sig long"), "candidates")
     dear = found.where("sig IS NOT NULL").select(F.col("a").alias("node"), F.col("part_a").alias("part"), "sig")
@@ -303,7 +317,7 @@ def candidates(docs: DataFrame, sets: DataFrame, width: int) -> tuple[DataFrame,
     common = dear.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"))
     rank = F.row_number().over(Window.partitionBy("node", "part").orderBy("sets", "sig"))
     lacking = dear.join(needs.where("need < 1"), ["node", "part"]).join(common.hint("merge"), "sig")
-    over = lacking.withColumn("rank", rank).where("rank <= 1 - need").select("sig", "first", "size")
+    over = lacking.withColumn("rank", rank).where("rank <= 1 - need").join(nodes.select("node", "sketch"), "node").select("sig", "first", "size", "sketch")
     return nodes.select("node", "first"), materialise(pairs, "pairs"), materialise(over, "over")
 
 
@@ -332,8 +346,8 @@ def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     torn = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     members = materialise(members.join(torn, "sig"), "members")
     if not members.isEmpty():
-        other = members.withColumnsRenamed({"first": "y", "component": "d", "size": "z"})
-        more = members.join(other, "sig").where("first < y AND component <> d AND 5 * least(size, z) >= 4 * greatest(size, z)").select(F.col("first").alias("a"), F.col("y").alias("b")).distinct()
+        other = members.withColumnsRenamed({"first": "y", "component": "d", "size": "z", "sketch": "other"})
+        more = members.join(other, "sig").where("first < y AND component <> d AND 5 * least(size, z) >= 4 * greatest(size, z)").where(9 * apart("sketch", "other") <= F.col("size") + F.col("z")).select(F.col("first").alias("a"), F.col("y").alias("b")).distinct()
         links = materialise(links.unionByName(verified(materialise(more, "more"), texts, width)), "verified")
         labels = components(links)
     label = labelled(nodes, labels, "first", "component").select("node", "component")
