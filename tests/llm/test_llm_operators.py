@@ -238,3 +238,13 @@ def test_quality(spark, docs, none):
         if twice is not None:
             assert r.n_repeat_words == len({i + k for i, g in enumerate(grams) if g in twice for k in range(3)})
     assert quality.quality_rules(none, marks.limit(0)).count() == 0
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 20, 300, 3000):
+        one = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        two = np.unique(np.concatenate([one[n // 5 :], rng.integers(0, 1 << 60, n // 3).astype(np.uint64)]))
+        differ = sum(int(x).bit_count() for x in (shingle_join.sketch(one) ^ shingle_join.sketch(two)).view(np.uint64))
+        assert differ <= np.setxor1d(one, two).size
+        assert shingle_join.sketch(one).size == shingle_join.SKETCH_WORDS
