@@ -8,8 +8,10 @@ strata x ratios x cutoffs); of the cutoffs that pass, the lowest is used, and a
 stratum whose holdout proves nothing rejects nothing.  The four ratios share the
 permitted false-rejection rate, so together they keep it.
 
-The holdout is a documented, bounded sample: at most ``HOLDOUT_ROWS`` good documents
-of each stratum, taken in hash order.  Counts and verdicts cover all rows.
+The holdout is every labelled good document of a stratum that passes the base rule,
+counted by plain aggregation; binomial tails are summed in log space, so no size of a
+stratum makes them underflow.  ``OP10_SQL`` still takes at most ``HOLDOUT_ROWS`` of them
+(in hash order) and tells the same only for strata of up to that many.
 
 Repeated three-word windows are found inside a row: window hashes carry their place
 in the low bits, a primitive sort brings equal ones together, and neighbours are
@@ -31,7 +33,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 FALSE_REJECTION = 0.05
 CONFIDENCE_MISS = 0.05
-HOLDOUT_ROWS = 4000
+HOLDOUT_ROWS = 4000  # of OP10_SQL only
 CUTOFFS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "capital_ratio")
 
@@ -81,23 +83,28 @@ def with_ratios(counts: DataFrame) -> DataFrame:
     )
 
 
+def binomial_tail(share: float) -> str:
+    """SQL text of ``P(X <= k)`` of ``n`` trials with ``share``, term by term in log space.
+
+    From ``n * share`` on the tail is a half or more (the median is no larger than the
+    mean rounded up), which no level allows: 1 stands for it, and nothing is summed."""
+    step = f"a.t + ln((n - i + 1) / i * {share}D / (1 - {share}D))"
+    start = f"n * ln(1 - {share}D)"
+    added = f"greatest(a.s, {step}) + ln(1 + exp(-abs(a.s - ({step}))))"
+    summed = f"aggregate(if(k < 1, cast(array() AS array<long>), sequence(1L, k)), named_struct('t', {start}, 's', {start}), (a, i) -> named_struct('t', {step}, 's', {added}), a -> exp(a.s))"
+    return f"if(k >= n * {share}D, 1D, {summed})"
+
+
 def certified_cutoffs(judged: DataFrame, marks: DataFrame, rate: float = FALSE_REJECTION, miss: float = CONFIDENCE_MISS) -> DataFrame:
     """One row for each stratum: ``stratum`` and, for each ratio, the lowest certified cutoff or null."""
     good = marks.where("quality = 1").select(F.col("doc_id").cast("long")).distinct()
-    pool = judged.where("NOT base_failed").join(good, "doc_id").select("stratum", "doc_id", *RATIOS)
-    order = F.expr("row_number() OVER (PARTITION BY stratum ORDER BY md5(cast(doc_id AS string)), doc_id)")
-    holdout = pool.withColumn("place", order).where(F.col("place") <= HOLDOUT_ROWS)
+    holdout = judged.where("NOT base_failed").join(good, "doc_id").select("stratum", *RATIOS)
     over = [F.count_if(F.col(r) > c).alias(f"k{i}_{j}") for i, r in enumerate(RATIOS) for j, c in enumerate(CUTOFFS)]
     sums = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over)
     tests = F.array(*(F.struct(F.lit(r).alias("ratio"), F.lit(c).alias("cutoff"), F.col(f"k{i}_{j}").alias("k")) for i, r in enumerate(RATIOS) for j, c in enumerate(CUTOFFS)))
-    share = rate / len(RATIOS)
-    # P(X <= k) of a binomial with n trials and the permitted share, term by term
-    tail = (
-        f"aggregate(if(k < 1, cast(array() AS array<long>), sequence(1L, k)), named_struct('t', exp(n * ln(1 - {share}D)), 's', exp(n * ln(1 - {share}D))),"
-        f" (a, i) -> named_struct('t', a.t * (n - i + 1) / i * {share}D / (1 - {share}D), 's', a.s + a.t * (n - i + 1) / i * {share}D / (1 - {share}D)), a -> a.s)"
-    )
-    tried = sums.select("stratum", "n", F.inline(tests), F.expr("count(1) OVER ()").alias("strata"))
-    passed = tried.withColumn("tail", F.expr(tail)).where(F.col("tail") <= F.lit(miss) / (F.col("strata") * len(RATIOS) * len(CUTOFFS)))
+    # strata are counted before the tests unfold them: counted in one step with inline, each would count once a test
+    tried = sums.withColumn("strata", F.expr("count(1) OVER ()")).select("stratum", "n", "strata", F.inline(tests))
+    passed = tried.withColumn("tail", F.expr(binomial_tail(rate / len(RATIOS)))).where(F.col("tail") <= F.lit(miss) / (F.col("strata") * len(RATIOS) * len(CUTOFFS)))
     return passed.groupBy("stratum").agg(*(F.min(F.when(F.col("ratio") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RATIOS))
 
 

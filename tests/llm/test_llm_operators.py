@@ -1,6 +1,7 @@
 """Brute force, round trips and odd inputs (nulls, blanks, repeats, no rows, clashing columns)."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -248,3 +249,35 @@ def test_sketches_never_exceed_the_difference():
         differ = sum(int(x).bit_count() for x in (shingle_join.sketch(one) ^ shingle_join.sketch(two)).view(np.uint64))
         assert differ <= np.setxor1d(one, two).size
         assert shingle_join.sketch(one).size == shingle_join.SKETCH_WORDS
+
+
+def test_quality_cutoffs_rest_on_all_labelled_rows(spark):
+    """A share of 1 % is proven by 80,000 rows and not by 4,000; one of 5 % by none."""
+    rows = spark.range(80_000).selectExpr(
+        "id AS doc_id", "'en' AS stratum", "false AS base_failed", "if(id % 100 = 0, 0.95D, 0D) AS symbol_ratio",
+        "if(id % 20 = 0, 0.95D, 0D) AS dup_line_ratio", "0D AS repeat_ratio", "0.95D AS capital_ratio",
+    )
+    marks = rows.selectExpr("doc_id", "1 AS quality")
+    found = quality.certified_cutoffs(rows, marks).first()
+    assert (found.symbol_ratio_cutoff, found.dup_line_ratio_cutoff, found.repeat_ratio_cutoff, found.capital_ratio_cutoff) == (0.02, None, 0.02, None)
+    few = quality.certified_cutoffs(rows.where("doc_id < 4000"), marks).first()
+    assert (few.symbol_ratio_cutoff, few.dup_line_ratio_cutoff, few.repeat_ratio_cutoff) == (None, None, 0.02)
+
+
+def test_quality_level_is_shared_by_strata_ratios_and_cutoffs(spark):
+    """Nine of 1,973 are allowed at 0.05 / (4 strata x 4 ratios x 12 cutoffs), ten are not."""
+    rows = spark.range(4 * 1973).selectExpr(
+        "id AS doc_id", "cast(id % 4 AS string) AS stratum", "false AS base_failed", "if(id < 4 * 9, 0.95D, 0D) AS symbol_ratio",
+        "if(id < 4 * 10, 0.95D, 0D) AS dup_line_ratio", "0D AS repeat_ratio", "0D AS capital_ratio",
+    )
+    found = quality.certified_cutoffs(rows, rows.selectExpr("doc_id", "1 AS quality")).collect()
+    assert [(r.symbol_ratio_cutoff, r.dup_line_ratio_cutoff) for r in found] == [(0.02, None)] * 4
+
+
+def test_binomial_tail(spark):
+    share = 0.0125
+    cases = [(n, k) for n in (1, 50, 4000, 59_000, 400_000) for k in {0, 1, n // 200, n // 90, n // 81, n // 79} if k < n * share]
+    log = lambda n, i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)
+    for r in spark.createDataFrame(cases, "n long, k long").selectExpr("n", "k", f"{quality.binomial_tail(share)} AS tail").collect():
+        assert r.tail == pytest.approx(sum(math.exp(log(r.n, i)) for i in range(r.k + 1)), rel=1e-6, abs=1e-300)
+    assert spark.sql(f"SELECT {quality.binomial_tail(share)} AS tail FROM VALUES (59000L, 3000L) t(n, k)").first().tail == 1
