@@ -57,11 +57,11 @@ def feature_matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @family.query()
 def pairwise_ranker_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixed-step fit; thirty steps here, three hundred by default."""
+    """The fixed-step fit with the settings of ``config.FIT``: three hundred full-batch steps."""
     features = _features(spark, sf_dir)
     pairs = lrn.preference_pairs(lrn.fold_events(event_log(spark, sf_dir)))
     keyed = pairs.select("job", F.concat("job", F.lit("/"), "winner").alias("winner"), F.concat("job", F.lit("/"), "loser").alias("loser"))
-    model = lrn.fit_ranker(features, keyed, "key", ["level", "lines", "place"], iterations=30)
+    model = lrn.fit_ranker(features, keyed, "key", ["level", "lines", "place"])
     return spark.createDataFrame([(f, float(w)) for f, w in model["weights"].items()], "feature string, weight double")
 
 

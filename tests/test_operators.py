@@ -1,8 +1,12 @@
 import json
+import os
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import learning, pixels, relations
+from quarrymill.plans import events as event_plans
 from quarrymill.sources import readers
 from quarrymill.streaming import exposure
 
@@ -59,3 +63,19 @@ def test_ranker_learns_the_sign(spark):
     model = learning.fit_ranker(df, pairs, "key", ["colours"], iterations=5, cold_start_picks=2)
     assert model["weights"]["colours"] > 0
     assert learning.fit_ranker(df, pairs, "key", ["colours"])["kind"] == "cold"
+
+
+DATA = os.environ.get("QUARRYMILL_TEST_DATA", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_ranker_query_takes_all_three_hundred_steps(spark):
+    features = event_plans._features(spark, DATA).toPandas().set_index("key")[["level", "lines", "place"]]
+    z = (features - features.mean()) / features.std(ddof=0)
+    pairs = learning.preference_pairs(learning.fold_events(event_plans.event_log(spark, DATA))).toPandas()
+    d = z.loc[pairs["job"] + "/" + pairs["winner"]].to_numpy() - z.loc[pairs["job"] + "/" + pairs["loser"]].to_numpy()
+    weights = np.zeros(3)
+    for _ in range(300):
+        weights += 0.5 * ((d / (1 + np.exp(d @ weights))[:, None]).mean(axis=0) - 0.01 * weights)
+    got = {r.feature: r.weight for r in event_plans.pairwise_ranker_fit(spark, DATA).collect()}
+    assert [got[f] for f in features.columns] == pytest.approx(weights.tolist(), abs=1e-9)
