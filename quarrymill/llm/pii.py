@@ -3,9 +3,10 @@ r"""Personal data: base patterns, and a character BiLSTM-CRF that adds spans.
 The base spans (email, ip, card, phone) are the contract's patterns, leftmost and
 non-overlapping within each kind.  The tagger is trained on the driver from labelled
 spans: windows of a documented, bounded sample of the corpus (``TRAIN_DOCS`` texts,
-labelled by the base patterns) and made-up spans in varied layouts.  Every span of any
-kind holds a digit or an ``@``, so the tagger reads exactly the regions around those
-characters, of every whole text: a region is cut into overlapping windows, each is
+labelled by the base patterns) and made-up spans in varied layouts, base or not.  Every
+span of any kind holds a digit or an ``@``, so the tagger reads the regions around those
+characters, of every whole text: the whole blank-delimited run that holds one, and
+``WINDOW`` characters on either side.  A region is cut into overlapping windows, each is
 run through both LSTMs, emissions of overlapping windows are averaged, and one Viterbi
 pass over the whole region reconciles them.  Tagged spans that touch no base span are
 added; base spans always stay.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.char_tagger import PAD, Tagger, codes
-from quarrymill.llm.common import documents
+from quarrymill.llm.common import BLANK_CLASS, BLANKS, documents
 from quarrymill.llm.tokenisation import text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,8 +39,9 @@ PATTERNS = {
 }
 TRAIN_DOCS = 200
 TRAIN_WINDOWS = 384
-WINDOW, STRIDE, MARGIN = 64, 48, 12
+WINDOW, STRIDE = 64, 48
 _TRIGGER = re.compile(r"[0-9@]")
+_BLANK = re.compile(BLANK_CLASS)
 _LONG_NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9]){11}")
 _TAGS = 1 + 2 * len(KINDS)
 
@@ -74,10 +76,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Places that can hold a span: around digits and ``@``, merged where they meet."""
+    """Places that can hold a span: runs with a digit or ``@`` and their context, merged where they meet."""
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - MARGIN), min(len(text), m.start() + MARGIN)
+    end = 0
+    while m := _TRIGGER.search(text, end):
+        start = max(text.rfind(c, end, m.start()) for c in BLANKS) + 1 or end
+        blank = _BLANK.search(text, m.end())
+        end = blank.start() if blank else len(text)
+        lo, hi = max(0, start - WINDOW), min(len(text), end + WINDOW)
         if out and lo <= out[-1][1]:
             out[-1][1] = hi
         else:
@@ -105,17 +111,18 @@ def _made_up(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[int
     """Texts with spans in varied layouts, and decoys without."""
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
+    name = lambda: "".join(str(rng.choice(list("äöüéñ"))) if rng.random() < 0.05 else c for c in word() + str(rng.choice(["", "-"])) + (word() if rng.random() < 0.5 else ""))
 
     def span(kind: int) -> str:
         if kind == 0:
-            return f"{word()}{rng.choice(['', '.', '_', '+'])}{word()}@{word()}.{rng.choice(['com', 'org', 'net', 'example', 'io'])}"
+            return f"{name()}{rng.choice(['', '.', '_', '+'])}{name()}@{name()}{word()}.{rng.choice(['com', 'org', 'net', 'example', 'io', 'de', 'fr', 'co.uk'])}"
         if kind == 1:
             return ".".join(str(x) for x in rng.integers(0, 256, 4))
         if kind == 2:
             d = digits(15)
             d += next(c for c in "0123456789" if luhn(d + c))
             return rng.choice(["", " ", "-", "."]).join(d[i : i + 4] for i in range(0, 16, 4))
-        gap = rng.choice([" ", "-", ".", " (0) "])
+        gap = rng.choice([" ", "-", ".", "/", " (0) "])
         return f"+{rng.integers(1, 99)}{gap}{digits(3)}{gap[0]}{digits(3)}{gap[0]}{digits(4)}"
 
     out = []
@@ -135,16 +142,17 @@ def _made_up(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[int
 
 def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Codes and tags of windows with labelled spans."""
-    pairs = _made_up(np.random.default_rng(seed), most // 2)
-    for text in texts:
-        spans = base_spans(text)
-        for a, b in regions(text)[:4]:
-            pairs.append((text[a : min(b, a + WINDOW)], [(s - a, k, e - a) for s, k, e in spans if s < b and e > a]))
-        if len(pairs) >= most:
-            break
+    rng = np.random.default_rng(seed)
+
+    def cut(text: str, spans: list[tuple[int, int, int]], places: list[tuple[int, int]]) -> list:
+        at = [(a + s, min(b, a + s + WINDOW)) for a, b in places for s in windows_of(b - a)]
+        return [(text[a:b], [(s - a, k, e - a) for s, k, e in spans if s < b and e > a]) for a, b in at]
+
+    pairs = [w for text, spans in _made_up(rng, most // 2) for w in cut(text, spans, [(0, len(text))])]
+    own = [w for text in texts for w in cut(text, base_spans(text), regions(text))]
+    pairs += [own[i] for i in rng.permutation(len(own))[: most - most // 2]]  # from all regions of all texts
     x, y = np.full((len(pairs), WINDOW), PAD), np.zeros((len(pairs), WINDOW), np.int64)
     for i, (text, spans) in enumerate(pairs):
-        text = text[:WINDOW]
         x[i, : len(text)], y[i, : len(text)] = codes(text), tags_of(len(text), spans)
     return x, y
 

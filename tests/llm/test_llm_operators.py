@@ -220,6 +220,26 @@ def test_pii(docs, none):
     assert len(pii.find_pii(docs, tagger).collect()) == len(rows()) and pii.find_pii(none, tagger).count() == 0
 
 
+def test_pii_regions_hold_whole_runs():
+    text = "x " * 200 + "anna.lindqvist@müller-gesellschaft.de" + "\ty" * 200 + " at " + "9" * 300
+    (a, b), (c, d) = pii.regions(text)
+    assert text[a:b] == text[400 - 64 : 437 + 64] and (d, text[c + 64 : d]) == (len(text), "9" * 300)
+    assert pii.regions("") == pii.regions("no such place") == [] and pii.regions("1") == [(0, 1)]
+
+
+def test_pii_adds_whole_spans_beyond_the_patterns():
+    """Recall of planted emails and phones that no base pattern finds."""
+    tagger = char_tagger.Tagger(pii._TAGS)
+    tagger.fit(*pii.training_windows([]), epochs=48)  # half the windows of a corpus, so as many steps as the query's
+    planted = ["anna.lindqvist@müller-gesellschaft.de", "josé.fernandez@compañia-general.example", "katharina.vogel@börse-nord.de", "rené.duchamp@château-royal.fr"]
+    planted += ["+49/301/555/0199", "+33/142/685/3000", "+1/555/010/9999", "+44/207/946/0958"]
+    texts = [f"please write or call to {p} before the end of the week" for p in planted]
+    assert not any(pii.base_spans(t) for t in texts)
+    found = [pii.merged(t, [], g) for t, g in zip(texts, pii.tagged_spans(tagger, texts), strict=True)]
+    whole = [(24, 0 if "@" in p else 3, 24 + len(p)) in f for p, f in zip(planted, found, strict=True)]
+    assert sum(whole) >= 6, (whole, found)
+
+
 def test_tagger_gradients_and_learning():
     x, y = pii.training_windows([], 64)
     tagger = char_tagger.Tagger(9)
