@@ -73,7 +73,7 @@ def turn_order(messages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def chat_format(messages: DataFrame) -> DataFrame:
-    """Every message without its quotes, in reply order, ready for a chat template."""
+    """Every message without its quotes, placed in turn order (not that of replies), ready for a chat template."""
     messages = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     order = turn_order(messages, quote_links(messages)).withColumnsRenamed({"conv_id": "c", "turn": "t"})
     quoted = F.coalesce(F.col("text").rlike(_MARK), F.lit(False))
