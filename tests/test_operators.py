@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import learning, pixels, relations
 from quarrymill.plans import events as event_plans
+from quarrymill.plans import pixels as pixel_plans
 from quarrymill.sources import readers
 from quarrymill.streaming import exposure
 
@@ -79,3 +80,9 @@ def test_ranker_query_takes_all_three_hundred_steps(spark):
         weights += 0.5 * ((d / (1 + np.exp(d @ weights))[:, None]).mean(axis=0) - 0.01 * weights)
     got = {r.feature: r.weight for r in event_plans.pairwise_ranker_fit(spark, DATA).collect()}
     assert [got[f] for f in features.columns] == pytest.approx(weights.tolist(), abs=1e-9)
+
+
+def test_inks_go_by_their_share_of_the_image(spark):
+    rows = [("small", 0, 8), ("small", 90, 2), ("large", 0, 19_980), ("large", 90, 11), ("large", 180, 9)]
+    hist = spark.createDataFrame([(i, r, r, r, n) for i, r, n in rows], "image string, r long, g long, b long, n long")
+    assert sorted((x.image, x.r) for x in pixel_plans.inks(hist).collect()) == [("large", 0), ("large", 90), ("small", 0), ("small", 90)]
