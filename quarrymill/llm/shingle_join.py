@@ -25,6 +25,9 @@ similarity of 4/5 or more differ in at most ``(|r| + |s|) / 9`` shingles.
 * Pairs are verified on the whole sets: first each document's likeliest partner, then
   every pair that would still join two components.
 
+The output is components only: pairs inside one component are dropped unverified, so
+neither the links themselves nor their number is known.
+
 Identical sets enter once.  Shingles are compared by 64-bit hashes.  Texts travel to
 verification once for each candidate pair, keyed by the smaller partner; a partner
 with many pairs is dealt over as many keys as ``PAIRS_PER_KEY`` asks for.
