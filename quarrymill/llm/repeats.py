@@ -4,24 +4,24 @@ A word goes when a window of ``WINDOW`` words that covers it also starts in a do
 with a smaller id.  Such windows are the suffixes whose ancestor at that depth in the
 suffix tree of the corpus is an internal node with a smaller document below it.
 
-* Only suffixes that can have such a node enter: of each window the smallest hash of
-  its ``ANCHOR``-word runs is its anchor (equal windows have equal anchors), and only
-  anchors that two documents share are kept.  Exact copies enter once.
-* The suffixes are split by prefix, the anchor.  An anchor that more than
-  ``GROUP_DOCS`` documents share is extended, so groups stay small where a passage stands
-  in a third of all documents: first to chunks of consecutive windows, cut where a
-  window's own hash says so, hence alike wherever the passage stands.  A chunk that also
-  starts in a smaller document goes whole, as one row; the chunks of smallest documents
-  are extended to single windows.  Both take their smallest and largest document by
-  partial aggregation and a join that Spark can split.
-* A group's suffixes are sorted; equal ones at the full depth are a deep node, whose
-  smallest document keeps its words.
-
-Keys and windows are two independent 64-bit hashes, 128 bits together.
+* Only suffixes that can have such a node enter.  Of the corpus' runs of ``GRAM`` words
+  those are counted whose own hash is drawn (one in ``DRAWN``, alike wherever a run
+  stands); a window that holds a drawn run of one document only is repeated nowhere.
+  Exact copies enter once.
+* Suffixes are split by prefix: of each window the run with the smallest hash (equal
+  windows have equal ones) names its group, and consecutive suffixes of one group travel
+  as one piece of text.  A group of more than ``GROUP_WINDOWS`` suffixes is split further:
+  its pieces are dealt over parts, each part's subtree keeps for each deep node the
+  suffixes of its smallest document, and these meet by their full depth (a 128-bit hash of the
+  window's bytes) in an aggregation that combines before it shuffles.
+* A part's suffixes are sorted as text, the leaves of its subtree in order; neighbours
+  that agree in ``WINDOW`` words lie under one deep internal node.  Consecutive places under
+  nodes with a smaller document make one maximal repeat, and so one row.
 
 Defined results: null and blank texts have no words; a null ``doc_id`` is never smaller
-and never loses words; rows that repeat an id are not smaller than each other; no rows
-give no rows; extra columns are unused.
+and never loses words; rows that repeat an id are not smaller than each other, so ties
+lose nothing; very long and periodic texts are cut into pieces of ``PIECE`` windows, each
+whole; no rows give no rows; extra columns are unused.
 """
 
 from __future__ import annotations
@@ -34,194 +34,186 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import documents, materialise
-from quarrymill.llm.hashing import sliding_min, window_hashes, word_hashes
+from quarrymill.llm.common import dispose, documents, materialise
+from quarrymill.llm.hashing import run_hashes, sliding_min, word_hashes
 from quarrymill.llm.tokenisation import text_chunks
 
 WINDOW = 50
-ANCHOR = 8
-GROUP_DOCS = 32
-_GROUP_WINDOWS = 1 << 18
+GRAM = 8
+DRAWN = 8
+GROUP_WINDOWS = 1 << 14
+PIECE = 1 << 10
 #: Bytes of text hashed at once; numpy holds some 80 times as many.
 _CHUNK_BYTES = 1 << 19
-#: Mean windows of a chunk: a passage of twice the window costs about as many rows for its
-#: chunks as for the windows at its two ends, where the chunks are cut off.
-CHUNK = 5
 
 
 def _rows(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([a for a in columns.values()], list(columns))
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _anchors(words: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    return sliding_min(window_hashes(words, anchor), window - anchor + 1)
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    at = np.append(0, np.cumsum([p.size for p in parts])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
 
 
-def anchor_table(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``doc_id, tkey, n_words, whole, anchors`` of every document with a window."""
+def _gram(window: int) -> int:
+    return min(GRAM, window)
+
+
+def gram_table(docs: DataFrame, window: int) -> DataFrame:
+    """``doc_id, rid, whole, grams, bare`` of every document with a window: its distinct drawn
+    runs, and whether a window holds none of them."""
+    gram = _gram(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", _CHUNK_BYTES):
-            words, cuts, _, _ = word_hashes(batch.column("text"))
-            first = _anchors(words, window, anchor)
-            keep, whole, found = [], [], []
+            words, cuts = word_hashes(batch.column("text"))
+            runs = run_hashes(words[0], gram)
+            keep, whole, found, bare = [], [], [], []
             for i in range(batch.num_rows):
-                lo, hi = cuts[i], cuts[i + 1]
+                lo, hi = int(cuts[i]), int(cuts[i + 1])
                 if hi - lo >= window:
-                    own = first[lo : hi - window + 1]
+                    own = runs[lo : hi - gram + 1]
+                    at = np.flatnonzero(own % DRAWN == 0)
                     keep.append(i)
-                    found.append(np.unique(own).view(np.int64))
-                    whole.append(hashlib.blake2b(words[lo:hi].tobytes(), digest_size=16).digest())
+                    found.append(np.unique(own[at]).view(np.int64))
+                    bare.append(bool((np.diff(np.concatenate(([-1], at, [own.size]))) > window - gram + 1).any()))
+                    whole.append(hashlib.blake2b(np.ascontiguousarray(words[:, lo:hi]).tobytes(), digest_size=16).digest())
             part = batch.take(pa.array(keep, pa.int64()))
-            at = np.append(0, np.cumsum([f.size for f in found])).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-            yield _rows(doc_id=part.column("doc_id"), tkey=part.column("tkey"), whole=pa.array(whole, pa.binary()), anchors=pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int64())))
+            yield _rows(doc_id=part.column("doc_id"), tkey=part.column("tkey"), rid=part.column("rid"), whole=pa.array(whole, pa.binary()), grams=_lists(found), bare=pa.array(bare, pa.bool_()))
 
-    return docs.mapInArrow(run, "doc_id long, tkey long, whole binary, anchors array<long>")
+    return docs.mapInArrow(run, "doc_id long, tkey long, rid long, whole binary, grams array<long>, bare boolean")
 
 
-def suffixes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Suffixes under shared anchors.  Short prefix: a row for each run of windows with
-    the anchor ``key`` (``windows``: their hashes); extended prefix: a row for each chunk
-    (``key, code``: sums of its windows' hashes, which ``fulls`` and ``others`` list)."""
-    schema = "key long, doc_id long, tkey long, start long, code long, windows binary, fulls array<long>, others array<long>"
-
-    def lists(parts: list[np.ndarray], sizes: np.ndarray, ahead: int) -> pa.Array:
-        at = np.concatenate((np.zeros(ahead + 1, dtype=np.int32), np.cumsum(sizes, dtype=np.int32)))
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts), pa.int64()))
+def suffixes(docs: DataFrame, window: int) -> DataFrame:
+    """Consecutive suffixes of one group, as text: ``key, doc_id, tkey, start, n, body``.
+    ``grams`` lists the drawn runs of a document that another has, too."""
+    gram = _gram(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", _CHUNK_BYTES):
-            words, cuts, _, _ = word_hashes(batch.column("text"))
-            first = _anchors(words, window, anchor).view(np.int64)
-            full, other = window_hashes(words, window).view(np.int64), window_hashes(words, window, second=True).view(np.int64)
-            shared = [np.array(x, dtype=np.int64) for x in batch.column("few").to_pylist()]
-            common = [np.array(x, dtype=np.int64) for x in batch.column("many").to_pylist()]
-            row, key, start, blob = [], [], [], []
-            none = np.zeros(0, dtype=np.int64)
-            rows2, keys2, starts2, codes2, sizes2, fulls, others = [none], [none], [none], [none], [none], [none], [none]
-            for i in range(batch.num_rows):
-                lo, hi = cuts[i], cuts[i + 1] - window + 1
-                if hi <= lo:
+            words, cuts = word_hashes(batch.column("text"))
+            runs = run_hashes(words[0], gram)
+            least = sliding_min(runs, window - gram + 1).view(np.int64)
+            row, key, start, size, body = [], [], [], [], []
+            for i, (text, shared) in enumerate(zip(batch.column("text").to_pylist(), batch.column("grams").to_pylist(), strict=True)):
+                lo, hi = int(cuts[i]), int(cuts[i + 1])
+                n = hi - lo - window + 1
+                if n <= 0:
                     continue
-                own = first[lo:hi]
-                turns = np.append(True, own[1:] != own[:-1])
-                if shared[i].size:
-                    turn = np.flatnonzero(turns)
-                    stop = np.append(turn[1:], own.size)
-                    for a in np.flatnonzero(np.isin(own[turn], shared[i])).tolist():
-                        s, e = turn[a], stop[a]
+                own = runs[lo : hi - gram + 1]
+                lone = (own % DRAWN == 0) & ~np.isin(own.view(np.int64), np.array(shared, dtype=np.int64))
+                sums = np.append(0, np.cumsum(lone))
+                can = sums[window - gram + 1 :] == sums[:n]
+                if not can.any():
+                    continue
+                keys = least[lo : lo + n]
+                turn = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (can[1:] != can[:-1])))
+                stop = np.append(turn[1:], n)
+                parts = text.split()
+                for s, e in zip(turn[can[turn]].tolist(), stop[can[turn]].tolist(), strict=True):
+                    for p in range(s, e, PIECE):
+                        q = min(p + PIECE, e)
                         row.append(i)
-                        key.append(own[s])
-                        start.append(s)
-                        blob.append(other[lo + s : lo + e].tobytes())
-                if common[i].size:
-                    head, tail = full[lo:hi], other[lo:hi]
-                    turn = np.flatnonzero(turns | (tail % CHUNK == 0))
-                    size = np.diff(np.append(turn, own.size))
-                    pick = np.isin(own[turn], common[i])
-                    rows2.append(np.full(int(pick.sum()), i))
-                    keys2.append(np.add.reduceat(head, turn)[pick])
-                    codes2.append(np.add.reduceat(tail, turn)[pick])
-                    starts2.append(turn[pick])
-                    sizes2.append(size[pick])
-                    inside = np.repeat(pick, size)
-                    fulls.append(head[inside])
-                    others.append(tail[inside])
-            codes, sizes, n = np.concatenate(codes2), np.concatenate(sizes2), len(row)
-            part = batch.take(pa.array(np.append(np.array(row, dtype=np.int64), np.concatenate(rows2))))
-            yield _rows(
-                key=pa.array(np.append(np.array(key, dtype=np.int64), np.concatenate(keys2))), doc_id=part.column("doc_id"), tkey=part.column("tkey"),
-                start=pa.array(np.append(np.array(start, dtype=np.int64), np.concatenate(starts2))), code=pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(codes)]),
-                windows=pa.concat_arrays([pa.array(blob, pa.binary()), pa.nulls(codes.size, pa.binary())]), fulls=lists(fulls, sizes, n), others=lists(others, sizes, n),
-            )
-
-    return docs.mapInArrow(run, schema)
-
-
-def subtree_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of ``n`` windows of short-prefix groups that also start in a smaller document.
-    Rows come ordered by key; whole groups are sorted together until they fill the memory set aside."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def solve(table: pa.RecordBatch) -> pa.RecordBatch:
-        blobs = table.column("windows").to_pylist()
-        counts = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
-        code = np.frombuffer(b"".join(blobs), dtype=np.int64)
-        row = np.repeat(np.arange(counts.size), counts)
-        place = np.arange(code.size) - np.repeat(np.cumsum(counts) - counts, counts)
-        key, doc = table.column("key").to_numpy()[row], table.column("doc_id").to_numpy()[row]
-        order = np.lexsort((doc, code, key))
-        key, code, doc, row, place = key[order], code[order], doc[order], row[order], place[order]
-        head = np.append(True, (key[1:] != key[:-1]) | (code[1:] != code[:-1])) if key.size else np.zeros(0, dtype=bool)
-        least = doc[np.maximum.accumulate(np.where(head, np.arange(key.size), 0))] if key.size else doc
-        gone = doc > least
-        row, place = row[gone], place[gone]
-        order = np.lexsort((place, row))
-        row, place = row[order], place[order]
-        begin = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1))) if row.size else row
-        n = np.diff(np.append(begin, row.size))
-        part = table.take(pa.array(row[begin]))
-        return _rows(doc_id=part.column("doc_id"), tkey=part.column("tkey"), start=pa.array(part.column("start").to_numpy() + place[begin], pa.int64()), n=pa.array(n, pa.int64()))
-
-    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += sum(len(b) // 8 for b in batch.column("windows").to_pylist())
-        if size > _GROUP_WINDOWS:
-            table = joined(held)
-            keys = table.column("key").to_numpy()
-            others = np.flatnonzero(keys != keys[-1])
-            if others.size:  # the last group may go on in the next batch
-                cut = int(others[-1]) + 1
-                yield solve(table.slice(0, cut))
-                held = [table.slice(cut)]
-                size = sum(len(b) // 8 for b in held[0].column("windows").to_pylist())
-    if held:
-        yield solve(joined(held))
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+                        key.append(int(keys[p]))
+                        start.append(p)
+                        size.append(q - p)
+                        body.append(b" ".join(parts[p : q + window - 1]))
+            part = batch.take(pa.array(row, pa.int64()))
+            yield _rows(key=pa.array(key, pa.int64()), doc_id=part.column("doc_id"), tkey=part.column("tkey"), start=pa.array(start, pa.int64()), n=pa.array(size, pa.int64()), body=pa.array(body, pa.binary()))
+
+    return docs.mapInArrow(run, "key long, doc_id long, tkey long, start long, n long, body binary")
+
+
+def subtrees(window: int):
+    """Over pieces ordered by (key, part): runs of ``n`` suffixes under a deep node with a
+    smaller document (``code`` null); and, of split groups, each deep node's suffixes of its
+    smallest document (``n`` null) with its ``code``."""
+
+    def solve(pieces: list[tuple]) -> list[tuple]:
+        leaves = []
+        for k, (_, _, split, _, _, _, n, body) in enumerate(pieces):
+            words = body.split(b" ")
+            at = np.append(0, np.cumsum([len(w) + 1 for w in words])).tolist()
+            leaves += [(body[at[i] : at[i + window] - 1], pieces[k][3], k, i) for i in range(n)]
+        leaves.sort()  # the subtree's leaves in order: by text, then document
+        node, least, gone, out = None, 0, [], []
+        for text, doc, k, i in leaves:
+            if text != node:
+                node, least = text, doc
+            if doc > least:
+                gone.append((k, i))
+            elif pieces[k][2]:
+                _, _, _, doc_id, tkey, start, _, _ = pieces[k]
+                out.append((doc_id, tkey, start + i, None, hashlib.blake2b(text, digest_size=16).digest()))
+        gone.sort()
+        at = 0
+        while at < len(gone):
+            k, i = gone[at]
+            end = at + 1
+            while end < len(gone) and gone[end] == (k, i + end - at):
+                end += 1
+            _, _, _, doc_id, tkey, start, _, _ = pieces[k]
+            out.append((doc_id, tkey, start + i, end - at, None))
+            at = end
+        return out
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return _rows(**{name: pa.array(column, kind) for name, column, kind in zip(("doc_id", "tkey", "start", "n", "code"), zip(*rows, strict=True), kinds, strict=True)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, [], []
+        for batch in batches:
+            for piece in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "split", "doc_id", "tkey", "start", "n", "body")), strict=True):
+                if piece[:2] != at:
+                    out += solve(held)
+                    at, held = piece[:2], []
+                held.append(piece)
+                if len(out) > 20_000:
+                    yield packed(out)
+                    out = []
+        out += solve(held)
+        if out:
+            yield packed(out)
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Runs of windows to remove (``doc_id, tkey, start, n``), and exact copies (``doc_id, tkey``)."""
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    table = materialise(anchor_table(known, window, anchor), "anchors")
-    firsts = table.groupBy("whole").agg(F.min(F.struct("doc_id", "tkey")).alias("first")).select("whole", F.col("first.doc_id").alias("first_id"), F.col("first.tkey").alias("first_key"))
-    copies = table.select("doc_id", "tkey", "whole").join(firsts, "whole").where("doc_id > first_id").select("doc_id", "tkey")
-    alone = firsts.select(F.col("first_id").alias("doc_id"), F.col("first_key").alias("tkey"))
-    spread = table.join(alone, ["doc_id", "tkey"], "left_semi").select("doc_id", "tkey", F.explode("anchors").alias("key"))
-    hot = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", (F.col("n") > GROUP_DOCS).alias("many"))
-    marks = spread.join(hot.hint("merge"), "key").groupBy("doc_id", "tkey").agg(F.collect_list(F.when(~F.col("many"), F.col("key"))).alias("few"), F.collect_list(F.when(F.col("many"), F.col("key"))).alias("many"))
-    found = materialise(suffixes(known.join(marks, ["doc_id", "tkey"]), window, anchor), "suffixes")
-    short = found.where("windows IS NOT NULL").select("key", "doc_id", "tkey", "start", "windows")
-    gone = short.repartition("key").sortWithinPartitions("key").mapInArrow(subtree_repeats, "doc_id long, tkey long, start long, n long")
-    chunks = found.where("windows IS NULL").select("key", "code", "doc_id", "tkey", "start", "fulls", "others")
-    nodes = _nodes(chunks)
-    whole = chunks.withColumn("n", F.size("fulls").cast("long")).join(nodes, ["key", "code"]).where("doc_id > least").select("doc_id", "tkey", "start", "n")
-    smallest = chunks.join(nodes, (chunks["key"] == nodes["key"]) & (chunks["code"] == nodes["code"]) & (F.col("doc_id") > F.col("least")), "left_anti")
-    single = smallest.select("doc_id", "tkey", "start", F.posexplode(F.arrays_zip("fulls", "others")).alias("place", "w"))
-    single = materialise(single.select(F.col("w.fulls").alias("key"), F.col("w.others").alias("code"), "doc_id", "tkey", (F.col("start") + F.col("place")).alias("start")), "windows")
-    ends = single.join(_nodes(single), ["key", "code"]).where("doc_id > least").select("doc_id", "tkey", "start", F.lit(1).cast("long").alias("n"))
-    return gone.unionByName(whole).unionByName(ends), copies
-
-
-def _nodes(table: DataFrame) -> DataFrame:
-    """``key, code, least`` of what stands in two documents or more."""
-    return table.groupBy("key", "code").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("rid", F.xxhash64("doc_id", "text"))
+    table = materialise(gram_table(known, window), "grams")
+    firsts = table.groupBy("whole").agg(F.min(F.struct("doc_id", "tkey", "rid")).alias("first")).select("whole", "first.*")
+    copies = table.select("doc_id", "tkey", "whole").join(firsts.select("whole", F.col("doc_id").alias("first_id")), "whole").where("doc_id > first_id").select("doc_id", "tkey")
+    alone = table.join(firsts.select("doc_id", "tkey", "rid"), ["doc_id", "tkey", "rid"], "left_semi")
+    # ``rid`` only brings a document's runs together: two documents under one get more candidates, no other result
+    spread = alone.select("rid", F.explode("grams").alias("key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    kept = spread.join(shared.hint("merge"), "key").groupBy("rid").agg(F.collect_list("key").alias("grams"))
+    marks = kept.unionByName(alone.where("bare").select("rid", F.array().cast("array<long>").alias("grams"))).groupBy("rid").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    found = materialise(suffixes(known.join(marks, "rid"), window), "suffixes")
+    # a group of one document holds no repeat
+    groups = found.groupBy("key").agg(F.sum("n").alias("size"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", F.ceil(F.col("size") / GROUP_WINDOWS).cast("int").alias("parts"))
+    dealt = found.join(groups.hint("merge"), "key").select("key", F.pmod(F.xxhash64("doc_id", "tkey", "start"), F.col("parts")).cast("int").alias("part"), (F.col("parts") > 1).alias("split"), "doc_id", "tkey", "start", "n", "body")
+    solved = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(subtrees(window), "doc_id long, tkey long, start long, n long, code binary")
+    solved = materialise(solved, "repeats")
+    deep = solved.where("code IS NOT NULL").select("doc_id", "tkey", "start", "code")
+    nodes = deep.groupBy("code").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    across = deep.join(nodes.hint("merge"), "code").where("doc_id > least").select("doc_id", "tkey", "start", F.lit(1).cast("long").alias("n"))
+    dispose(found)
+    return solved.where("code IS NULL").select("doc_id", "tkey", "start", "n").unionByName(across), copies
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), F.col("text").cast("binary").alias("text"))
+    """``tkey`` tells apart rows that share a ``doc_id``: 63 bits of the text's SHA-256."""
+    return docs.select(F.col("doc_id").cast("long"), F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 15), 16, 10).cast("long").alias("tkey"), F.col("text").cast("binary").alias("text"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` of every document."""
     docs = keyed(docs)
-    gone, copies = repeated_windows(docs, window, anchor)
+    gone, copies = repeated_windows(docs, window)
     cuts = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "tkey", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("n"), F.lit(True).alias("copy")))
     cuts = cuts.groupBy("doc_id", "tkey").agg(F.collect_list(F.when(~F.col("copy"), F.struct("start", "n"))).alias("runs"), F.bool_or("copy").alias("copy"))
     # starts and lengths in turn
