@@ -34,10 +34,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests) an own folder."""
+    """The cluster's ``spark.checkpoint.dir``.  Where it is unset an own folder serves a
+    session in one process (tests); executors elsewhere could not see such a folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own_dirs:
         _own_dirs[key] = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
@@ -47,12 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a lost executor
     costs a re-read of files, never a re-run of the stages before.  The folder
-    is removed when the driver's interpreter ends."""
+    is removed by ``dispose``, or when the driver's interpreter ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrymill/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def dispose(*written: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote, once nothing reads them any more."""
+    for df in written:
+        if path := getattr(df, "_written", None):
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -3,38 +3,38 @@
 A text's set is its distinct ``WIDTH``-word shingles.  Two sets with a Jaccard
 similarity of 4/5 or more differ in at most ``(|r| + |s|) / 9`` shingles.
 
-* Sets fall into size bands that double; a set belongs to its own band and, when
-  smaller partners may lie there, to the band below.  A band cuts the universe of
-  shingles by hash into segments, so many that a set fills more of them than any
-  partner can differ in: similar sets share a filled segment.  Signatures are hashes
-  of (band, segment, the shingles of the set in it).
-* Cost-based allocation: a signature that more than ``HOT`` sets share is dear.  A set
-  may do without as many segments as it fills beyond the differences allowed; a pair
-  is lost only if both its sets have more dear segments than that.  Such overloaded
-  sets keep dear segments, the rarest first, until they have one more than the
-  differences allowed: each dear signature links every set with its least
-  one first (a star), and afterwards only overloaded sets of one kept signature that
-  are still in different components are compared, where sketches of the sets do not
-  already show more differences than the sizes allow.  So a group of near copies costs its
-  size, not its square, and no link that joins components is missed.
-* No one-deletion neighbourhoods are indexed: segments are as many as exact agreement
-  needs.  The rare set that fills too few is entered under one common signature of its
-  band beside its own, which compares all such sets with each other.
-* A candidate pair must share as many signatures as a set fills beyond the differences
-  allowed (signatures too dear to be counted are granted), and sizes that fit.
-* Pairs are verified on the whole sets: first each document's likeliest partner, then
-  every pair that would still join two components.
+* Universe partition: sets fall into size bands that double; a set belongs to its own
+  band and, when smaller partners may lie there, to the band below.  A band cuts the
+  universe of shingles by hash into segments, so many that a set fills more of them than
+  any partner can differ in: similar sets agree in a filled segment.  Signatures are
+  hashes of (band, segment, the shingles of the set in it).
+* Allocation: a set needs one credit more than the differences to allow for.  Agreement
+  in a whole segment is worth one; agreement up to one shingle (the one-deletion
+  neighbourhood: the segment, and the segment without each of its shingles) is worth two.
+  Segments that few sets share (``HOT`` at most) are taken first.  A set that lacks
+  credits then buys them from its dear segments at least cost: the rarest whole, or one
+  neighbourhood in place of two whole ones where these together have more sets than
+  the largest.  Only sets that lack credits can miss each other among the cheap segments,
+  so only they are entered, with all their segments, in the neighbourhood index.
+* Nothing quadratic leaves a group.  A dear signature links each of its sets with its
+  least one (a star); map tasks do so for their own sets first and pass on a few.  In
+  the neighbourhood index a set asks for its nearest partners of a lower component, by
+  parity sketches of the sets, which show no more differences than there are; a few go
+  on to verification.  Rounds go on until no set finds a partner it has not been refuted with.
+* Verification is exact: words are numbered, not hashed, and sets of shingles compared.
 
 The output is components only: pairs inside one component are dropped unverified, so
 neither the links themselves nor their number is known.
 
-Identical sets enter once.  Shingles are compared by 64-bit hashes.  Texts travel to
-verification once for each candidate pair, keyed by the smaller partner; a partner
-with many pairs is dealt over as many keys as ``PAIRS_PER_KEY`` asks for.
+Equal sets enter once, named by a 128-bit digest.  Texts travel to verification once for
+each candidate pair, keyed by the smaller partner; a partner with many pairs is dealt
+over as many keys as ``PAIRS_PER_KEY`` asks for.
 
 Defined results: null and blank texts have empty sets and are their own components;
-a null ``doc_id`` has component null and links nothing; repeated rows share a set;
-no rows give no rows; extra columns are unused.
+a null ``doc_id`` has component null and links nothing; repeated rows share a set, and
+rows that share a ``doc_id`` with other texts each have their own component; ties have no
+influence, since components do not depend on the order; very long texts are read whole, a
+chunk holding one at least; no rows give no rows; extra columns are unused.
 """
 
 from __future__ import annotations
@@ -44,37 +44,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import documents, materialise, shuffle_width
+from quarrymill.llm.common import dispose, documents, materialise, shuffle_width
 from quarrymill.llm.components import components
-from quarrymill.llm.hashing import mixed, window_hashes, word_hashes
+from quarrymill.llm.hashing import mixed, numbered, run_hashes, word_hashes, word_numbers
 from quarrymill.llm.tokenisation import text_chunks
 
 WIDTH = 5
 HOT = 8
 PAIRS_PER_KEY = 256
 SKETCH_WORDS = 16
+#: Partners a set asks for at once: in a group, and in a round.
+ASK, ASK_ROUND = 16, 64
+#: Sets of one group that a task holds; larger groups are dealt in blocks.
+BLOCK = 4096
 #: Signatures that a task holds before it hands them on.
-_FLUSH = 1_500_000
-_SEEN = 200_000
+_FLUSH = 500_000
+_SEEN = 100_000
 #: Bytes of text hashed at once; numpy holds some 80 times as many.
 _CHUNK_BYTES = 1 << 19
 
 
-def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    words, cuts, _, _ = word_hashes(texts, lower=True)
-    runs = window_hashes(words, width)
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingle hashes of each text, sorted by the first of their two lanes."""
+    words, cuts = word_hashes(texts, lower=True)
+    runs = [run_hashes(words[k], width, k) for k in (0, 1)]
     out = []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if hi - lo >= width:
-            out.append(np.unique(runs[lo : hi - width + 1]))
+            first, at = np.unique(runs[0][lo : hi - width + 1], return_index=True)
+            out.append((first, runs[1][lo : hi - width + 1][at]))
         elif hi > lo:
-            out.append(window_hashes(words[lo:hi], hi - lo) ^ np.uint64(hi - lo))
+            out.append(tuple(run_hashes(words[k, lo:hi], hi - lo, k) ^ np.uint64(hi - lo) for k in (0, 1)))
         else:
-            out.append(runs[:0])
+            out.append((words[0, :0], words[1, :0]))
     return out
 
 
@@ -98,88 +104,146 @@ def memberships(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(items: np.ndarray, band: int) -> np.ndarray:
-    """One signature for each filled segment."""
+def by_segment(items: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle values ordered by segment, starts of the filled segments, their sums and salts."""
     spread = mixed(items ^ np.uint64(band + 1))
     segment = spread % np.uint64(segments(band))
     order = np.argsort(segment, kind="stable")
     segment, value = segment[order], mixed(spread[order])
     starts = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-    return mixed(np.add.reduceat(value, starts) ^ mixed(segment[starts] + np.uint64((band + 1) << 40)))
+    return value, starts, np.add.reduceat(value, starts), mixed(segment[starts] + np.uint64((band + 1) << 40))
+
+
+def signatures(items: np.ndarray, band: int) -> np.ndarray:
+    """One signature for each filled segment."""
+    _, _, sums, salts = by_segment(items, band)
+    return mixed(sums ^ salts)
+
+
+def neighbourhood(items: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the filled segments, those without each one shingle (segments of two or
+    more), and the segment of each of the latter."""
+    value, starts, sums, salts = by_segment(items, band)
+    size = np.diff(np.append(starts, value.size))
+    owner = np.repeat(np.arange(starts.size), size)
+    many = size[owner] > 1
+    return mixed(sums ^ salts), mixed((sums[owner] - value) ^ salts[owner])[many], owner[many]
 
 
-def set_id(items: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(items: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return hashlib.blake2b(items[0].tobytes() + items[1].tobytes(), digest_size=16).digest()
 
 
 def spare_segments(items: np.ndarray) -> list[int]:
     """For each membership: filled segments beyond those a partner can differ in, less one."""
-    return [int(np.unique(mixed(items ^ np.uint64(band + 1)) % np.uint64(segments(band))).size) - differ - 1 for band, differ in memberships(items.size)]
+    out = []
+    for band, differ in memberships(items.size):
+        filled = np.zeros(segments(band), dtype=bool)
+        filled[(mixed(items ^ np.uint64(band + 1)) % np.uint64(segments(band))).astype(np.int64)] = True
+        out.append(int(filled.sum()) - differ - 1)
+    return out
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
     """Parities of the shingles in ``SKETCH_WORDS * 64`` places.  Two sketches disagree in no
     more places than their sets have shingles apart, so they rule pairs out without loss."""
     odd = np.bincount((mixed(items) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def apart(left: str, right: str) -> Column:
-    """Places in which two sketches disagree."""
-    return sum((F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col(left)[0].bitwiseXOR(F.col(right)[0])))
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, node, spare, sketch`` of every document; equal sets have equal nodes."""
+    """``doc_id, key, n_shingles, node, spare`` of every document; equal sets have equal nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", _CHUNK_BYTES):
             sets = shingle_sets(batch.column("text"), width)
-            spare = pa.array([spare_segments(s) if s.size else None for s in sets], pa.list_(pa.int64()))
-            arrays = [batch.column("doc_id"), pa.array([s.size for s in sets], pa.int64()), pa.array([set_id(s) if s.size else None for s in sets], pa.int64()), spare, pa.array([sketch(s).tolist() if s.size else None for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "spare", "sketch"])
+            arrays = [
+                batch.column("doc_id"), batch.column("key"), pa.array([s.size for s, _ in sets], pa.int64()),
+                pa.array([set_id(s) if s[0].size else None for s in sets], pa.binary()),
+                pa.array([spare_segments(s) if s.size else None for s, _ in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_shingles", "node", "spare"])
+
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, n_shingles long, node binary, spare array<long>")
+
+
+_PACK = np.dtype([("low", "<u4"), ("high", "u1"), ("part", "u1"), ("n0", "<u8"), ("n1", "<u8")])
+_FOUND = "a binary, part_a int, b binary, part_b int, n long, sig long"
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, spare array<long>, sketch array<long>")
 
+def _nodes(pack: np.ndarray) -> pa.Array:
+    body = np.stack([pack["n0"], pack["n1"]], axis=1).tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), pack.size, [None, pa.py_buffer(body)]).cast(pa.binary())
 
-_PACK = np.dtype([("low", "<u4"), ("high", "u1"), ("part", "u1"), ("node", "<i8")])
+
+def _found(pack: np.ndarray, one: np.ndarray, two: np.ndarray, shares: np.ndarray, dear: np.ndarray, sig: np.ndarray) -> list[pa.Array]:
+    """Candidate pairs (``sig`` null), then members of dear signatures (``b`` null)."""
+    m = dear.size
+    return [
+        _nodes(pack[np.append(one, dear)]), pa.array(pack["part"][np.append(one, dear)].astype(np.int32)),
+        pa.concat_arrays([_nodes(pack[two]), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(pack["part"][two].astype(np.int32)), pa.nulls(m, pa.int32())]),
+        pa.concat_arrays([pa.array(shares, pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(one.size, pa.int64()), pa.array(sig[dear], pa.int64())]),
+    ]
+
+
+def _groups(pack: np.ndarray, bins: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packs in order of (signature, part, node) without repeats; signatures; starts of groups."""
+    sig = pack["low"].astype(np.int64) | (pack["high"].astype(np.int64) << 32) | (np.asarray(bins, dtype=np.int64) << 40)
+    order = np.lexsort((pack["n1"], pack["n0"], pack["part"], sig))
+    pack, sig = pack[order], sig[order]
+    if sig.size:
+        new = np.append(True, (sig[1:] != sig[:-1]) | (pack["n0"][1:] != pack["n0"][:-1]) | (pack["n1"][1:] != pack["n1"][:-1]) | (pack["part"][1:] != pack["part"][:-1]))
+        pack, sig = pack[new], sig[new]
+    return pack, sig, np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if sig.size else np.zeros(0, dtype=np.int64)
 
 
 def packed_signatures(docs: DataFrame, bins: int, width: int) -> DataFrame:
-    """``bin, pack``: signatures of a task for each of ``bins`` ranges, 14 bytes each
-    (40 bits of signature: a chance agreement is a candidate that verification drops)."""
+    """``bin, pack``: signatures of a task for each of ``bins`` ranges, 22 bytes each (40
+    bits of signature and the bin: a chance agreement is a candidate that verification
+    drops); and rows as ``bucket_rows`` gives them, ``bin`` null.
+
+    Of a signature that many sets of a task share only ``HOT + 1`` go on to the bin, which
+    suffice to show that it is dear; the others hang on the least of them here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        seen: set[bytes] = set()
+        held: list[tuple[np.ndarray, bytes, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            sig = np.concatenate([h[0] for h in held])
+            full = np.concatenate([h[0] for h in held])
             count = [h[0].size for h in held]
-            pack = np.empty(sig.size, dtype=_PACK)
-            top = sig >> np.uint64(24)
-            pack["low"], pack["high"] = top & np.uint64(0xFFFFFFFF), top >> np.uint64(32)
-            pack["node"], pack["part"] = np.repeat([h[1] for h in held], count), np.repeat([h[2] for h in held], count)
-            where = (sig % np.uint64(bins)).astype(np.int64)
+            pack = np.empty(full.size, dtype=_PACK)
+            top = full >> np.uint64(24)
+            pack["low"], pack["high"], pack["part"] = top & np.uint64(0xFFFFFFFF), (top >> np.uint64(32)) & np.uint64(255), np.repeat([h[2] for h in held], count)
+            ids = np.frombuffer(b"".join(h[1] for h in held), dtype="<u8").reshape(-1, 2)
+            pack["n0"], pack["n1"] = np.repeat(ids[:, 0], count), np.repeat(ids[:, 1], count)
+            pack, sig, starts = _groups(pack, (full % np.uint64(bins)).astype(np.int64))
+            span = np.diff(np.append(starts, sig.size))
+            beyond = np.arange(sig.size) - np.repeat(starts, span) > HOT
+            beyond &= np.repeat(pack["part"][starts] == 0, span)  # without a set of the band itself nothing can be said here
+            over, lead = np.flatnonzero(beyond), np.repeat(starts, span)[beyond]
+            own = pack["part"][lead] + pack["part"][over] <= 1
+            rows = _found(pack, lead[own], over[own], np.zeros(int(own.sum()), dtype=np.int64), over, sig)
+            pack, where = pack[~beyond], (sig[~beyond] >> 40)
             order = np.argsort(where, kind="stable")
             where, pack = where[order], pack[order]
-            starts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-            ends = np.append(starts[1:], where.size)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(where[starts], pa.int32()), pa.array([pack[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())], ["bin", "pack"]
-            )
+            begin = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+            end = np.append(begin[1:], where.size)
+            m, k = len(rows[0]), begin.size
+            ahead = [pa.concat_arrays([pa.array(where[begin], pa.int32()), pa.nulls(m, pa.int32())]), pa.concat_arrays([pa.array([pack[s:e].tobytes() for s, e in zip(begin, end, strict=True)], pa.binary()), pa.nulls(m, pa.binary())])]
+            return pa.RecordBatch.from_arrays([*ahead, *(pa.concat_arrays([pa.nulls(k, r.type), r]) for r in rows)], ["bin", "pack", "a", "part_a", "b", "part_b", "n", "sig"])
 
         for batch in text_chunks(batches, "text", _CHUNK_BYTES):
             for items in shingle_sets(batch.column("text"), width):
-                if not items.size or (node := set_id(items)) in seen:
+                if not items[0].size or (node := set_id(items)) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(node)
-                for part, (band, differ) in enumerate(memberships(items.size)):
-                    sig = signatures(items, band)
-                    if sig.size <= differ:
+                for part, (band, differ) in enumerate(memberships(items[0].size)):
+                    sig = signatures(items[0], band)
+                    if sig.size <= differ:  # the rare set that fills too few meets all such sets of its band
                         sig = np.append(sig, mixed(np.array([band], dtype=np.uint64) + np.uint64(1 << 60)))
                     held.append((sig, node, part))
                     size += sig.size
@@ -189,7 +253,12 @@ def packed_signatures(docs: DataFrame, bins: int, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bin int, pack binary")
+    return docs.select("text").mapInArrow(run, f"bin int, pack binary, {_FOUND}")
+
+
+def sig_ids(sig: np.ndarray, bins: int) -> np.ndarray:
+    """Signatures as the bins name them: the bin, then 40 bits."""
+    return ((sig >> np.uint64(24)) & np.uint64((1 << 40) - 1)).astype(np.int64) | ((sig % np.uint64(bins)).astype(np.int64) << 40)
 
 
 def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,23 +269,16 @@ def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, parts = None, []
 
     def solve() -> pa.RecordBatch:
-        pack = np.frombuffer(b"".join(parts), dtype=_PACK)
-        sig = pack["low"].astype(np.int64) | (pack["high"].astype(np.int64) << 32)
-        node, part = pack["node"], pack["part"]
-        order = np.lexsort((node, part, sig))
-        sig, node, part = sig[order], node[order], part[order]
-        new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (part[1:] != part[:-1]))
-        sig, node, part = sig[new], node[new], part[new]
-        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        count = np.diff(np.append(starts, sig.size))
-        count[part[starts] == 1] = 1  # no set of the band itself
+        pack, sig, starts = _groups(np.frombuffer(b"".join(parts), dtype=_PACK), at)
+        part = pack["part"]
+        span = np.diff(np.append(starts, sig.size))
+        count = np.where(part[starts] == 1, 1, span)  # no set of the band itself
         first, second = [], []
         for k in np.unique(count[(count > 1) & (count <= HOT)]).tolist():
             group = starts[count == k][:, None] + np.arange(k)
             i, j = np.triu_indices(k, 1)
             first.append(group[:, i].ravel())
             second.append(group[:, j].ravel())
-        span = np.diff(np.append(starts, sig.size))
         dear = np.repeat(count > HOT, span)
         lead = np.repeat(starts, span)
         star = np.flatnonzero(dear & (np.arange(sig.size) != lead))
@@ -224,30 +286,30 @@ def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.concatenate([*first, lead[star]]).astype(np.int64)
         two = np.concatenate([*second, star]).astype(np.int64)
         shares = np.append(np.ones(one.size - star.size, dtype=np.int64), np.zeros(star.size, dtype=np.int64))
-        fit = (part[one] + part[two] <= 1) & (node[one] != node[two])
+        fit = part[one] + part[two] <= 1
         one, two, shares = one[fit], two[fit], shares[fit]
-        swap = node[one] > node[two]
-        one, two = np.where(swap, two, one), np.where(swap, one, two)
-        order = np.lexsort((part[two], part[one], node[two], node[one]))
-        one, two, shares = one[order], two[order], shares[order]
-        head = np.append(True, (node[one][1:] != node[one][:-1]) | (node[two][1:] != node[two][:-1]) | (part[one][1:] != part[one][:-1]) | (part[two][1:] != part[two][:-1])) if one.size else np.zeros(0, dtype=bool)
-        n = np.add.reduceat(shares, np.flatnonzero(head)) if one.size else shares
-        one, two = one[head], two[head]
-        m = int(dear.sum())
-        none = lambda k, kind: pa.nulls(k, kind)
-        join = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), y if isinstance(y, pa.Array) else pa.array(y, kind)])
-        return pa.RecordBatch.from_arrays(
-            [
-                join(node[one], node[dear], pa.int64()), join(part[one], part[dear], pa.int32()),
-                join(node[two], none(m, pa.int64()), pa.int64()), join(part[two], none(m, pa.int32()), pa.int32()),
-                join(n, none(m, pa.int64()), pa.int64()),
-                pa.concat_arrays([none(one.size, pa.int64()), pa.array(sig[dear] | (np.int64(at) << np.int64(40)), pa.int64())]),
-            ],
-            ["a", "part_a", "b", "part_b", "n", "sig"],
-        )
+        # places in ``pack`` differ from signature to signature: pairs are of distinct (node, part)
+        place, at_place = np.unique(np.concatenate([one, two]), return_inverse=True)
+        named = pack[place]
+        order = np.lexsort((named["part"], named["n1"], named["n0"]))
+        named = named[order]
+        new = np.append(False, (named["n0"][1:] != named["n0"][:-1]) | (named["n1"][1:] != named["n1"][:-1]) | (named["part"][1:] != named["part"][:-1]))
+        same = np.empty(place.size, dtype=np.int64)
+        same[order] = np.cumsum(new[: place.size])
+        same = same[at_place]
+        both = same[: one.size] * np.int64(sig.size + 1) + same[one.size :]
+        _, head, owner = np.unique(both, return_index=True, return_inverse=True)
+        n = np.bincount(owner, weights=shares, minlength=head.size).astype(np.int64) if both.size else shares
+        rows = _found(pack, one[head], two[head], n, np.flatnonzero(dear), sig)
+        return pa.RecordBatch.from_arrays(rows, ["a", "part_a", "b", "part_b", "n", "sig"])
 
     for batch in batches:
+        done = batch.filter(pc.is_null(batch.column("bin")))
+        if done.num_rows:
+            yield done.select(["a", "part_a", "b", "part_b", "n", "sig"])
         for where, pack in zip(batch.column("bin").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+            if where is None:
+                continue
             if where != at and parts:
                 yield solve()
                 parts = []
@@ -257,104 +319,251 @@ def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Pairs (``a < b``, document ids) whose sets have a similarity of 4/5 or more."""
+def exact_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sets of shingles as sorted numbers, equal within this call where the words are equal."""
+    words, cuts = word_numbers(pa.array(texts, pa.binary()), lower=True)
+    out, span = words, 1
+    while span < width and out.size:
+        step = min(span, width - span)
+        out = numbered(out[:-step], out[step:])
+        span += step
+    short: dict[bytes, int] = {}
+    found = []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if hi - lo >= width:
+            found.append(np.unique(out[lo : hi - width + 1]))
+        else:
+            found.append(np.array([-1 - short.setdefault(words[lo:hi].tobytes(), len(short))] if hi > lo else [], dtype=np.int64))
+    return found
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``a, b, similar`` of pairs of nodes, by their texts (``node, text``)."""
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("keys", F.ceil(F.col("n") / PAIRS_PER_KEY).cast("int"))
-    leads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("salt")).join(docs.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    others = (
-        pairs.join(counts.select("a", "keys"), "a")
-        .withColumn("salt", F.pmod(F.xxhash64("b"), F.col("keys")).cast("int"))
-        .join(docs.select(F.col("doc_id").alias("b"), "text"), "b")
-        .select("a", "salt", "b", "text")
-    )
+    named = lambda name: texts.select(F.col("node").alias(name), "text")
+    leads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("salt")).join(named("a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    others = pairs.join(counts.select("a", "keys"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("keys")).cast("int")).join(named("b"), "b").select("a", "salt", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lead = None, np.zeros(0, dtype=np.uint64)
+        lead = b""
         for batch in text_chunks(batches, "text", _CHUNK_BYTES):
-            sets = shingle_sets(batch.column("text"), width)
-            left, right = [], []
-            for a, salt, b, items in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")), sets, strict=True):
+            texts = [lead, *batch.column("text").to_pylist()]
+            sets = exact_sets(texts, width)
+            own, similar, pick = sets[0], [], []
+            for i, b in enumerate(batch.column("b").to_pylist()):
+                items = sets[i + 1]
                 if b is None:
-                    at, lead = (a, salt), items
-                    continue
-                assert (a, salt) == at
-                small, large = sorted((items.size, lead.size))
-                if 5 * small < 4 * large:
+                    lead, own = texts[i + 1], items
                     continue
-                both = np.intersect1d(items, lead, assume_unique=True).size
-                if 100 * both >= 80 * (small + large - both):
-                    left.append(a)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                pick.append(i)
+                both = 0 if 5 * min(items.size, own.size) < 4 * max(items.size, own.size) else np.intersect1d(items, own, assume_unique=True).size
+                similar.append(both > 0 and 100 * both >= 80 * (items.size + own.size - both))
+            part = batch.take(pa.array(pick, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similar, pa.bool_())], ["a", "b", "similar"])
 
     dealt = leads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a binary, b binary, similar boolean")
+
+
+def allocate(lack: int, dear: list[tuple[int, int]], wide: set[int]) -> tuple[list[int], list[int]]:
+    """Signatures to agree on whole, and up to one deletion, that give ``lack`` credits.
+
+    ``dear`` has (sets that share it, signature); a neighbourhood is priced as the sets of
+    the dearest signature, since members of other variants of the segment come with it.
+    ``wide``: signatures of segments with two shingles or more."""
+    dear = sorted(dear)
+    price = dear[-1][0] if dear else 0
+    whole, near = [], []
+    while lack > 0 and dear:
+        two = sum(n for n, _ in dear[: min(2, lack)])
+        if lack > 1 and two > price and dear[0][1] in wide:
+            near.append(dear.pop(0)[1])
+            lack -= 2
+        else:
+            whole.append(dear.pop(0)[1])
+            lack -= 1
+    return whole, near
 
 
-def candidates(docs: DataFrame, sets: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (``node, first, n``); candidate pairs of first documents (``a, b, n``); and
-    members of dear signatures that cannot do without them (``sig, first``).
+def neighbourhood_index(lacking: DataFrame, bins: int, width: int) -> DataFrame:
+    """``key, node, deleted, probe, size, sketch`` of sets that lack credits: all their segments
+    (``deleted``: without one shingle).  ``probe`` is 1 where the set asks for whole
+    agreement, 2 where for agreement up to one deletion, else 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text", _CHUNK_BYTES):
+            owner, keys, deleted, probes, sizes, sketches = [], [], [], [], [], []
+            for i, ((items, _), wants) in enumerate(zip(shingle_sets(batch.column("text"), width), batch.column("wants").to_pylist(), strict=True)):
+                bands = memberships(items.size)
+                sizes.append(items.size)
+                sketches.append(sketch(items).tobytes())
+                for want in wants:
+                    band, differ = bands[want["part"]]
+                    full, less, seg = neighbourhood(items, band)
+                    ids = sig_ids(full, bins)
+                    whole, near = allocate(want["lack"], [(d["sets"], d["sig"]) for d in want["dear"]], set(ids[seg].tolist()))
+                    ask = np.where(np.isin(ids, near), 2, np.where(np.isin(ids, whole), 1, 0))
+                    if full.size <= differ:  # its common signature, too
+                        own = mixed(np.array([band], dtype=np.uint64) + np.uint64(1 << 60))
+                        full, ask = np.append(full, own), np.append(ask, 1)
+                    keys += [full, less]
+                    probes += [ask, np.where(ask[seg] == 2, 2, 0)]
+                    deleted += [np.zeros(full.size, dtype=bool), np.ones(less.size, dtype=bool)]
+                    owner.append(np.full(full.size + less.size, i))
+            if not keys:
+                continue
+            row = pa.array(np.concatenate(owner))
+            part = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["node", "size", "sketch"]).take(row)
+            arrays = [pa.array(np.concatenate(keys).view(np.int64)), part.column("node"), pa.array(np.concatenate(deleted)), pa.array(np.concatenate(probes).astype(np.int32)), part.column("size"), part.column("sketch")]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "deleted", "probe", "size", "sketch"])
+
+    return lacking.mapInArrow(run, "key long, node binary, deleted boolean, probe int, size long, sketch binary")
+
+
+def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of index rows ordered by (key, block): for each asking set its ``ASK`` nearest partners
+    of lower components that it has not been refuted with (``x, y, apart``)."""
+    names = ("node", "component", "deleted", "probe", "size", "role", "refuted", "sketch")
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        node, component, deleted, probe, size, role, refuted, sk = zip(*rows, strict=True)
+        comp = np.unique(np.array(component, dtype=object), return_inverse=True)[1]
+        probe, role, deleted, size = np.array(probe), np.array(role), np.array(deleted), np.array(size)
+        sk = np.frombuffer(b"".join(sk), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
+        asks, offers = np.flatnonzero((probe > 0) & (role & 1 > 0)), np.flatnonzero(role & 2 > 0)
+        asks = asks[comp[asks] > (comp[offers].min() if offers.size else 0)]
+        where: dict[bytes, list[int]] = {}
+        for k, y in enumerate(offers.tolist()):
+            where.setdefault(node[y], []).append(k)
+        out = []
+        for lo in range(0, asks.size, 64):
+            x = asks[lo : lo + 64]
+            apart = np.bitwise_count(sk[x][:, None, :] ^ sk[offers][None]).sum(axis=2, dtype=np.int64)
+            total = size[x][:, None] + size[offers][None]
+            fit = (comp[x][:, None] > comp[offers][None]) & (9 * apart <= total) & (9 * np.minimum(size[x][:, None], size[offers][None]) >= 4 * total)
+            fit &= ~(deleted[x][:, None] & deleted[offers][None]) & ((probe[x][:, None] == 2) | ~deleted[offers][None])
+            for i, p in enumerate(x.tolist()):
+                for y in refuted[p] or ():
+                    fit[i, where.get(y, [])] = False
+                near = np.flatnonzero(fit[i])
+                if near.size > ASK:
+                    near = near[np.argpartition(apart[i, near], ASK - 1)[:ASK]]
+                out += [(node[p], node[offers[k]], int(apart[i, k])) for k in near.tolist()]
+        return out
+
+    at, rows, out = None, [], []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("key", "bx", "by", *names)]
+        for key, bx, by, *row in zip(*columns, strict=True):
+            if (key, bx, by) != at:
+                out += solve(rows) if len(rows) > 1 else []
+                at, rows = (key, bx, by), []
+            rows.append(tuple(row))
+        if len(out) > 50_000:
+            yield _near_rows(out)
+            out = []
+    out += solve(rows) if len(rows) > 1 else []
+    if out:
+        yield _near_rows(out)
+
+
+def _near_rows(rows: list[tuple]) -> pa.RecordBatch:
+    x, y, apart = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(apart, pa.int64())], ["x", "y", "apart"])
+
+
+def partners(index: DataFrame, labels: DataFrame, refuted: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that asking sets have still to be compared with, the nearest few of each."""
+    members = _labelled(index, labels, "node", "component")
+    torn = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("asked"), F.count(F.lit(1)).alias("n")).where("lo < hi AND asked > 0").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    no = refuted.groupBy("x").agg(F.collect_list("y").alias("refuted")).withColumnRenamed("x", "node")
+    held = members.join(torn, "key").join(no, "node", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    side = lambda x, y, role: F.struct(x.cast("int").alias("bx"), y.cast("int").alias("by"), F.lit(role).alias("role"))
+    steps = F.sequence(F.lit(0), F.col("blocks") - 1)
+    places = F.when(F.col("blocks") == 1, F.array(side(F.lit(0), F.lit(0), 3))).otherwise(F.concat(F.transform(steps, lambda k: side(F.col("own"), k, 1)), F.transform(steps, lambda k: side(k, F.col("own"), 2))))
+    dealt = held.withColumn("place", F.explode(places)).select("key", "place.*", "node", "component", "deleted", "probe", "size", "refuted", "sketch")
+    found = dealt.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by").mapInArrow(nearest, "x binary, y binary, apart long")
+    best = found.groupBy("x", "y").agg(F.min("apart").alias("apart")).groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "y"))), 1, ASK_ROUND).alias("near"))
+    return best.select("x", F.explode("near.y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _labelled(table: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    own = labels.select(F.col("node").alias(column), F.col("component").alias(name))
+    return table.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def candidates(docs: DataFrame, nodes: DataFrame, bins: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of nodes (``a, b, n``), and sets that lack credits (``node, wants``:
+    for each membership the credits lacking and the dear signatures, by number of sets).
 
     A pair must share as many signatures as a set fills beyond the differences allowed;
     those of its dear ones that the count left out are granted."""
-    known = sets.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = materialise(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch")), "nodes")
-    packs = packed_signatures(docs.where("doc_id IS NOT NULL"), 4 * shuffle_width(docs.sparkSession), width)
-    found = materialise(packs.repartition("bin").sortWithinPartitions("bin").mapInArrow(bucket_rows, "a long, part_a int, b long, part_b int, n long, sig long"), "candidates")
-    dear = found.where("sig IS NOT NULL").select(F.col("a").alias("node"), F.col("part_a").alias("part"), "sig")
+    packs = packed_signatures(docs, bins, width)
+    deal = F.coalesce("bin", F.pmod(F.xxhash64("a"), F.lit(bins)).cast("int"))
+    found = materialise(packs.repartition(deal).sortWithinPartitions("bin").mapInArrow(bucket_rows, _FOUND), "candidates")
+    dear = found.where("sig IS NOT NULL").select(F.col("a").alias("node"), F.col("part_a").alias("part"), "sig").distinct()
     load = dear.groupBy("node", "part").agg(F.count(F.lit(1)).alias("dear"))
-    spare = nodes.select("node", "first", "size", F.posexplode("spare").alias("part", "spare"))
-    needs = spare.join(load, ["node", "part"], "left").select("node", "part", "first", "size", (F.col("spare") + 1 - F.coalesce("dear", F.lit(0))).alias("need"))
+    spare = nodes.select("node", "size", F.posexplode("spare").alias("part", "spare"))
+    needs = spare.join(load, ["node", "part"], "left").select("node", "part", "size", (F.col("spare") + 1 - F.coalesce("dear", F.lit(0))).alias("need"))
     side = lambda x: needs.select(*(F.col(c).alias(f"{c}_{x}") for c in needs.columns))
-    shared = found.where("sig IS NULL").groupBy("a", "b", "part_a", "part_b").agg(F.sum("n").alias("n"))
+    a, b = F.least("a", "b"), F.greatest("a", "b")
+    shared = found.where("sig IS NULL").select(a.alias("a"), b.alias("b"), F.when(F.col("a") < F.col("b"), F.col("part_a")).otherwise(F.col("part_b")).alias("pa"), F.when(F.col("a") < F.col("b"), F.col("part_b")).otherwise(F.col("part_a")).alias("pb"), "n")
     pairs = (
-        shared.withColumnsRenamed({"part_a": "pa", "part_b": "pb"})
+        shared.where("a <> b").groupBy("a", "b", "pa", "pb").agg(F.sum("n").alias("n"))
         .join(side("a"), (F.col("a") == F.col("node_a")) & (F.col("pa") == F.col("part_a")))
         .join(side("b"), (F.col("b") == F.col("node_b")) & (F.col("pb") == F.col("part_b")))
         .where("n >= need_a AND n >= need_b AND 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
-        .groupBy(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
-        .agg(F.max("n").alias("n"))
-    )
-    # of signatures ordered from rare to common, similar sets share one among the first that exceed
-    # the differences allowed: those that are not dear, then as many of the dear ones as are lacking
+        .groupBy("a", "b").agg(F.max("n").alias("n"))
+    )
     common = dear.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"))
-    rank = F.row_number().over(Window.partitionBy("node", "part").orderBy("sets", "sig"))
     lacking = dear.join(needs.where("need < 1"), ["node", "part"]).join(common.hint("merge"), "sig")
-    over = lacking.withColumn("rank", rank).where("rank <= 1 - need").join(nodes.select("node", "sketch"), "node").select("sig", "first", "size", "sketch")
-    return nodes.select("node", "first"), materialise(pairs, "pairs"), materialise(over, "over")
+    wants = lacking.groupBy("node", "part").agg((1 - F.first("need")).alias("lack"), F.collect_list(F.struct("sets", "sig")).alias("dear"))
+    pairs, wants = materialise(pairs, "pairs"), materialise(wants.groupBy("node").agg(F.collect_list(F.struct("part", "lack", "dear")).alias("wants")), "wants")
+    dispose(found)
+    return pairs, wants
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    bins = 4 * shuffle_width(docs.sparkSession)
     sets = materialise(set_table(docs, width), "sets")
-    nodes, pairs, over = candidates(docs, sets, width)
-    involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(over.select(F.col("first").alias("doc_id"))).distinct()
-    texts = materialise(docs.join(involved, "doc_id", "left_semi"), "texts")
-
-    def labelled(table: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
-        own = labels.select(F.col("node").alias(column), F.col("component").alias(name))
-        return table.join(own, column, "left").withColumn(name, F.coalesce(name, column))
-
-    # each document's likeliest partner first: groups of near copies become one component
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialise(verified(best, texts, width), "verified")
-    labels = components(links)
+    known = sets.where("node IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = materialise(known.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.min("n_shingles").alias("size"), F.first("spare").alias("spare")).select("node", "rep.doc_id", "rep.key", "size", "spare"), "nodes")
+    pairs, wants = candidates(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), nodes, bins, width)
+    involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(wants.select("node")).distinct()
+    texts = materialise(docs.join(nodes.join(involved, "node", "left_semi").select("doc_id", "key", "node"), ["doc_id", "key"]).select("node", "text"), "texts")
+
+    # each set's likeliest partner first: groups of near copies become one component
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    labels = components(verified(best, texts, width).where("similar").select("a", "b"))
+    joined = lambda more: components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     # then every other pair that would join two components
-    rest = labelled(labelled(pairs, labels, "a", "left_of"), labels, "b", "right_of").where("left_of <> right_of").select("a", "b")
-    links = materialise(links.unionByName(verified(materialise(rest.join(best, ["a", "b"], "left_anti"), "rest"), texts, width)), "verified")
-    labels = components(links)
-    # then sets with more dear signatures than they can do without, across components
-    members = labelled(over, labels, "first", "component")
-    torn = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    members = materialise(members.join(torn, "sig"), "members")
-    if not members.isEmpty():
-        other = members.withColumnsRenamed({"first": "y", "component": "d", "size": "z", "sketch": "other"})
-        more = members.join(other, "sig").where("first < y AND component <> d AND 5 * least(size, z) >= 4 * greatest(size, z)").where(9 * apart("sketch", "other") <= F.col("size") + F.col("z")).select(F.col("first").alias("a"), F.col("y").alias("b")).distinct()
-        links = materialise(links.unionByName(verified(materialise(more, "more"), texts, width)), "verified")
-        labels = components(links)
-    label = labelled(nodes, labels, "first", "component").select("node", "component")
-    return sets.join(label.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    rest = _labelled(_labelled(pairs, labels, "a", "left_of"), labels, "b", "right_of").where("left_of <> right_of").select("a", "b")
+    rest = materialise(rest.join(best, ["a", "b"], "left_anti"), "rest")
+    labels = joined(verified(rest, texts, width).where("similar").select("a", "b"))
+    # then sets that lack credits, across components
+    refuted = docs.sparkSession.createDataFrame([], "x binary, y binary")
+    if not wants.isEmpty():
+        index = materialise(neighbourhood_index(texts.dropDuplicates(["node"]).join(wants, "node"), bins, width), "index")
+        while True:
+            more = materialise(partners(index, labels, refuted), "partners")
+            if more.isEmpty():
+                break
+            judged = materialise(verified(more, texts, width).distinct(), "judged")
+            found = judged.where("similar").select("a", "b")
+            if not found.isEmpty():
+                labels = joined(found)
+            no = judged.where("NOT similar")
+            refuted = refuted.unionByName(no.selectExpr("a AS x", "b AS y")).unionByName(no.selectExpr("b AS x", "a AS y"))
+            dispose(more)
+        dispose(index, more)
+    dispose(pairs, wants, texts, rest)
+    label = _labelled(nodes.select("node", "doc_id"), labels, "node", "component")
+    least = label.groupBy("component").agg(F.min("doc_id").alias("least"))
+    ids = label.join(least.hint("merge"), "component").select("node", "least")
+    # a row's own id counts, too: its set's representative has the least id of all with that set
+    return sets.join(ids.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
