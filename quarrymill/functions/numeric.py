@@ -34,16 +34,20 @@ def length_points(raw: Column, mm_per_unit: float = 25.4 / 96) -> Column:
 def opacity(raw: Column) -> Column:
     s = F.trim(raw)
     value = F.when(s.endswith("%"), F.regexp_replace(s, "%$", "").try_cast("double") / 100.0).otherwise(s.try_cast("double"))
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
 def declarations(style: Column) -> Column:
-    """``a: b; c: d !important`` as a map of lower-case names to values without the mark."""
+    """``a: b; c: d !important`` as a map of lower-case names to values without the mark.
+    The last declaration of a name wins, but an important one yields to important ones only."""
     parts = F.filter(F.split(F.regexp_replace(style, r"(?s)/\*.*?\*/", ""), ";"), lambda p: p.contains(":"))
     name = lambda p: F.lower(F.trim(F.substring_index(p, ":", 1)))
-    value = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"^[^:]*:", ""), r"(?i)\s*!important\s*$", ""))
-    last = F.aggregate(parts, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != name(p)), F.create_map(name(p), value(p))))
-    return last
+    value = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"^[^:]*:", ""), r"(?i)\s*!\s*important\s*$", ""))
+    marked = lambda p: p.rlike(r"(?i)!\s*important\s*$")
+    put = lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != name(p)), F.create_map(name(p), value(p)))
+    fold = lambda some: F.aggregate(some, F.create_map().cast("map<string,string>"), put)
+    plain, important = fold(F.filter(parts, lambda p: ~marked(p))), fold(F.filter(parts, marked))
+    return F.map_concat(F.map_filter(plain, lambda k, _: ~F.map_contains_key(important, k)), important)
 
 
 def specificity(selector: Column) -> Column:

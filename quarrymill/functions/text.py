@@ -70,3 +70,28 @@ def digest(s: Column) -> Column:
 def pair_map(s: Column) -> Column:
     """``a=b,c=d`` as a map."""
     return F.str_to_map(s, F.lit(","), F.lit("="))
+
+
+def csv(value: Column, listed: Column, default: str) -> Column:
+    """A comma string from a string or a list, whichever there is; blank items go."""
+    items = F.array_join(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != ""), ",")
+    return F.when(F.coalesce(value, F.lit("")) != "", value).when(F.size(listed) > 0, items).otherwise(default)
+
+
+def flattened(texts: dict[str, Column], lists: dict[str, Column]) -> Column:
+    """A record as text: names in order, each with its value; lists of strings are sorted."""
+    values = {k: F.coalesce(v, F.lit("")) for k, v in texts.items()} | {k: F.array_join(F.array_sort(v), " ") for k, v in lists.items()}
+    return F.concat_ws(" ", *(part for name in sorted(values) for part in (F.lit(name), values[name])))
+
+
+def published(slug_value: Column, name: Column) -> Column:
+    """The name under which a candidate's file is given out; without a job's name its own."""
+    pattern = r"^candidate_(\d+)(\..*)?$"
+    given = F.concat(slug_value, F.lit("-candidate-"), F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2))
+    return F.when((F.coalesce(slug_value, F.lit("")) != "") & name.rlike(pattern), given).otherwise(name)
+
+
+def internal(name: Column) -> Column:
+    """The pipeline's own spelling of a given-out name; any other name stays."""
+    pattern = r"candidate-(\d+\.[A-Za-z]+)$"
+    return F.when(name.rlike(pattern), F.concat(F.lit("candidate_"), F.regexp_extract(name, pattern, 1))).otherwise(name)

@@ -34,8 +34,10 @@ def first_of(*candidates: tuple[str, Column]) -> tuple[Column, Column]:
 
 
 def duplicate_groups(df: DataFrame, digest: str, key: str) -> DataFrame:
-    """Groups of more than one key with the same digest."""
-    return df.groupBy(digest).agg(F.sort_array(F.collect_list(key)).alias("members")).where(F.size("members") > 1)
+    """``key, digest, first, n`` of rows whose digest others share: membership, a row for each
+    key, so that a digest that many share is no giant row."""
+    groups = df.groupBy(digest).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df.select(key, digest).join(groups.hint("merge"), digest)
 
 
 def mark_duplicates(df: DataFrame, digest: str, key: str) -> DataFrame:
@@ -66,11 +68,22 @@ def top_with_rest(df: DataFrame, key: str, order: list[Column], k: int, value: s
     return top.unionByName(rest)
 
 
-def running_share(df: DataFrame, count: str, order: list[Column]) -> DataFrame:
-    """Share of the total and running share, over one row for each group (not for each input row)."""
-    total = F.sum(count).over(Window.partitionBy())
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("share", F.col(count) / total).withColumn("cumulative", F.sum(count).over(upto) / total)
+def running_share(df: DataFrame, count: str, order: list[Column], level: Column) -> DataFrame:
+    """``share, cumulative, rn``: share of the total, running share and place of each group.
+
+    ``level`` is an ascending number by which the order begins: totals of the levels are
+    carried over, and only one level's groups meet in a window."""
+    out = df.withColumn("_level", level)
+    ahead = Window.orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
+    levels = out.groupBy("_level").agg(F.sum(count).alias("_sum"), F.count(F.lit(1)).alias("_rows"))  # one row a level
+    total = F.sum("_sum").over(Window.partitionBy())
+    carried = levels.select("_level", total.alias("_total"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"), F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_place"))
+    inside = Window.partitionBy("_level").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    joined = out.join(carried, "_level").withColumns({
+        "share": F.col(count) / F.col("_total"), "cumulative": (F.col("_base") + F.sum(count).over(upto)) / F.col("_total"), "rn": (F.col("_place") + F.row_number().over(inside)).cast("long"),
+    })
+    return joined.drop("_level", "_total", "_base", "_place")
 
 
 def ordinal_zip(a: Column, b: Column, name: str = "pair") -> Column:
@@ -106,16 +119,70 @@ def comparison_order() -> list[Column]:
 
 def hand_order(key: str) -> list[Column]:
     """Hard, advisory, artwork error; here a missing reading comes last."""
-    clamped = F.least(F.greatest(F.col("mae_art"), F.lit(0.0)), F.lit(999.999))
+    clamped = F.when(F.col("mae_art").isNotNull(), F.least(F.greatest(F.col("mae_art"), F.lit(0.0)), F.lit(999.999)))
     return [F.col("hard").asc_nulls_last(), F.col("advisory").asc_nulls_last(), clamped.asc_nulls_last(), F.col(key).asc()]
 
 
+def bench_order(error: str, colours: str, energy: str, name: str) -> list[Column]:
+    """Errors last; then fewest colours, least edge energy, name."""
+    known = lambda c: F.when(F.col(error), F.lit(0)).otherwise(F.coalesce(F.col(c), F.lit(0)))
+    return [F.coalesce(error, F.lit(False)).asc(), known(colours).asc(), known(energy).asc(), F.col(name).asc()]
+
+
+def variant_order(passed: str, error: str, advisory: str, name: str) -> list[Column]:
+    """Passed, then not passed, by advisories; without a reading, or a faulty one, last."""
+    none = F.col(passed).isNull() | F.coalesce(error, F.lit(False))
+    return [F.when(none, 2).when(F.col(passed), 0).otherwise(1).asc(), F.when(none, 0).otherwise(F.coalesce(advisory, F.lit(0))).asc(), F.col(name).asc()]
+
+
+def cell_order(mae: str, nodes: str, name: str) -> list[Column]:
+    return [F.col(mae).asc_nulls_last(), F.col(nodes).asc_nulls_last(), F.col(name).asc()]
+
+
+def weak_images(images: DataFrame, page: str, least: float) -> DataFrame:
+    """Images whose lesser resolution is below the least, and the worst one's, for each page."""
+    lesser = images.withColumn("_ppi", F.least("x_ppi", "y_ppi")).where(F.col("_ppi") < least)
+    return lesser.groupBy(page).agg(F.count(F.lit(1)).alias("weak"), F.min("_ppi").alias("worst"))
+
+
+def area_slots(counts: DataFrame, image: str, colour: str, n: str, slots: list[int], background: int) -> DataFrame:
+    """Heaviest colour to the background, the next ones to the slots in order of area; the
+    rest to the slot whose value is nearest, the first on a tie."""
+    place = F.row_number().over(Window.partitionBy(image).orderBy(F.col(n).desc(), F.col(colour)))
+    near = F.array_min(F.array(*(F.struct(F.abs(F.col(colour) - s).alias("d"), F.lit(i).alias("i"), F.lit(s).cast("long").alias("s")) for i, s in enumerate(slots))))["s"]
+    rank = F.col("place") - 1
+    return counts.withColumn("place", place.cast("long")).withColumns({
+        "slot": F.when(rank == 0, F.lit(background)).when(rank <= len(slots), F.get(F.array(*map(F.lit, slots)), rank.cast("int") - 1)).otherwise(near).cast("long"),
+        "why": F.when(rank == 0, "background anchor").when(rank <= len(slots), F.concat(F.lit("area rank "), rank)).otherwise("collapsed onto nearest"),
+    })
+
+
+def next_index(files: DataFrame, run: str, name: str) -> DataFrame:
+    """``following``: one more than the highest candidate number among a run's files."""
+    number = F.regexp_extract(name, r"candidate_(\d+)", 1)
+    return files.groupBy(run).agg((1 + F.coalesce(F.max(F.when(number != "", number.cast("long"))), F.lit(0))).alias("following"))
+
+
+def nearest_ancestors(elements: DataFrame, props: list[str]) -> DataFrame:
+    """Each element's inherited properties: its own, or its nearest ancestor's.
+
+    Pointers double each round, so the rounds grow as the logarithm of the depth; the
+    state between rounds is a written table."""
+    from quarrymill.scratch import written
+
+    names = [f"v{i}" for i in range(len(props))]
+    own = [F.try_element_at("attrs", F.lit(p)).alias(n) for p, n in zip(props, names, strict=True)]
+    state = elements.select("doc_id", "node_id", *own, F.col("parent_id").alias("up"))
+    lacks = F.lit(False)
+    for n in names:
+        lacks = lacks | F.col(n).isNull()
+    state = written(state.withColumn("up", F.when(lacks, F.col("up"))), "ancestors")
+    while not state.where("up IS NOT NULL").isEmpty():
+        above = state.select("doc_id", F.col("node_id").alias("up"), *(F.col(n).alias(f"_{n}") for n in names), F.col("up").alias("_up"))
+        joined = state.join(above, ["doc_id", "up"], "left").select("doc_id", "node_id", *(F.coalesce(n, f"_{n}").alias(n) for n in names), F.col("_up").alias("up"))
+        state = written(joined.withColumn("up", F.when(lacks, F.col("up"))), "ancestors")
+    return state.select("doc_id", "node_id", *(F.col(n).alias(p) for p, n in zip(props, names, strict=True)))
+
+
 def nearest_ancestor(elements: DataFrame, prop: str) -> DataFrame:
-    """Each element's inherited property: its own, or its nearest ancestor's.
-
-    Pointers double each round, so the rounds grow as the logarithm of the depth."""
-    state = elements.select("doc_id", "node_id", F.try_element_at("attrs", F.lit(prop)).alias("value"), F.col("parent_id").alias("up"))
-    while not state.where("value IS NULL AND up IS NOT NULL").isEmpty():
-        above = state.select("doc_id", F.col("node_id").alias("up"), F.col("value").alias("_v"), F.col("up").alias("_up"))
-        state = state.join(above, ["doc_id", "up"], "left").select("doc_id", "node_id", F.coalesce("value", "_v").alias("value"), F.when(F.col("value").isNull() & F.col("_v").isNull(), F.col("_up")).alias("up"))
-    return state.select("doc_id", "node_id", F.col("value").alias(prop))
+    return nearest_ancestors(elements, [prop])

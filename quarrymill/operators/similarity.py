@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.config import INTENT_THRESHOLD
@@ -28,9 +28,20 @@ def unit_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Pairs by an equi-join on grams, never all pairs of documents that share none."""
-    a, b = vectors.select(F.col(key).alias("a"), "gram", F.col("w").alias("wa")), vectors.select(F.col(key).alias("b"), "gram", F.col("w").alias("wb"))
-    return a.join(b, "gram").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
+    """Pairs of unit vectors whose cosine reaches the threshold, by prefix filtering.
+
+    With grams in order of rarity, the rest of a vector beyond its prefix weighs less than
+    the threshold, so similar vectors share a gram of both prefixes: only rare grams are
+    joined, and the pairs found are scored on their whole vectors."""
+    common = vectors.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    ahead = Window.partitionBy(key).orderBy(F.col("df").desc(), "gram").rowsBetween(Window.unboundedPreceding, 0)
+    tail = vectors.join(common, "gram").withColumn("tail", F.sum(F.col("w") * F.col("w")).over(ahead))
+    prefix = tail.where(F.sqrt("tail") >= threshold - 1e-9).select(key, "gram")
+    pairs = prefix.withColumnRenamed(key, "a").join(prefix.withColumnRenamed(key, "b"), "gram").where("a < b").select("a", "b").distinct()
+    whole = vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("m"))
+    scored = pairs.join(whole.select(F.col(key).alias("a"), F.col("m").alias("x")), "a").join(whole.select(F.col(key).alias("b"), F.col("m").alias("y")), "b")
+    dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0.0)))
+    return scored.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def intent_groups(ids: DataFrame, pairs: DataFrame, key: str, block: str | None = None) -> DataFrame:

@@ -108,7 +108,7 @@ comp AS (
     count(*) FILTER (l_returnflag = 'R') AS rendered, count(*) FILTER (l_tax > 0.07) AS advisory, count(*) FILTER (l_quantity > 49) AS hard
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
 ), judged AS (
-  SELECT *, CASE WHEN mae > 8 THEN 'artwork_lost' WHEN declared <> 0 AND rendered < 0.5 * declared THEN 'colours_dropped' WHEN mae > 1 THEN 'drift' ELSE 'faithful' END AS verdict FROM comp
+  SELECT *, CASE WHEN mae > 8 THEN 'artwork_lost' WHEN declared <> 0 AND rendered < 0.5 * declared THEN 'colour_dropped' WHEN mae > 1 THEN 'drift' ELSE 'faithful' END AS verdict FROM comp
 ), placed AS (
   SELECT *, CASE verdict WHEN 'faithful' THEN 0 WHEN 'drift' THEN 1 WHEN 'artwork_lost' THEN 3 ELSE 2 END AS vr FROM judged
 )"""
@@ -127,12 +127,12 @@ def comparison_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @family.query(
-    f"WITH {_VERDICT} SELECT file, verdict, hard, advisory, row_number() OVER (PARTITION BY file % 100 ORDER BY hard, vr, advisory, coalesce(mae, 0), file) AS position FROM placed"
+    f"WITH {_VERDICT} SELECT file, verdict, hard, advisory, row_number() OVER (PARTITION BY file // 100 ORDER BY hard, vr, advisory, coalesce(mae, 0), file) AS position FROM placed"
 )
 def fidelity_verdict_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position within each run of candidates (a run: orders with the same last two digits)."""
+    """Position within each run of candidates (a run: a hundred order keys in sequence)."""
     view = comparison_view(spark, sf_dir)
-    w = Window.partitionBy(F.col("file") % 100).orderBy(*rel.comparison_order())
+    w = Window.partitionBy(F.floor(F.col("file") / 100)).orderBy(*rel.comparison_order())
     return view.select("file", "verdict", "hard", "advisory", F.row_number().over(w).cast("long").alias("position"))
 
 
@@ -144,7 +144,7 @@ def advisory_augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @family.query(
     f"WITH {_VIEW} SELECT doc_id, position FROM (SELECT doc_id, row_number() OVER (ORDER BY hard NULLS LAST, advisory NULLS LAST,"
-    " least(greatest(mae, 0), 999.999) NULLS LAST, doc_id) AS position FROM cand) WHERE position <= 50"
+    " CASE WHEN mae IS NOT NULL THEN least(greatest(mae, 0), 999.999) END NULLS LAST, doc_id) AS position FROM cand) WHERE position <= 50"
 )
 def hand_order_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifty only (that is the feature): ordered partially before the window."""
@@ -154,19 +154,20 @@ def hand_order_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @family.query(
-    f"WITH {_VIEW} SELECT doc_id, round(score, 6) AS score, position FROM (SELECT *, row_number() OVER (PARTITION BY preset ORDER BY score DESC, doc_id) AS position FROM (SELECT *,"
+    f"WITH {_VIEW} SELECT doc_id, round(score, 6) AS score, position FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY round(score, 9) DESC, hard IS NULL, hard, advisory IS NULL, advisory, mae IS NULL, least(greatest(mae, 0), 999.999), doc_id) AS position FROM (SELECT *,"
     " 0.5::DOUBLE * (colours - 4) / 2 - 0.25::DOUBLE * (coalesce(mae, 5.0) - 5) / 3 + 0.1::DOUBLE * (nodes - 350) / 200 AS score FROM cand))"
 )
 def ranker_score_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarrymill.operators.learning import score
+    from quarrymill.operators.learning import hand_key, score
 
     model = {
         "kind": "pairwise", "features": ["colours", "mae_art", "node_count_max"], "weights": {"colours": 0.5, "mae_art": -0.25, "node_count_max": 0.1},
         "means": {"colours": 4.0, "mae_art": 5.0, "node_count_max": 350.0}, "scales": {"colours": 2.0, "mae_art": 3.0, "node_count_max": 200.0},
     }
     view = candidate_view(spark, sf_dir).withColumn("colours", rules.colours())
-    scored = view.select("doc_id", "preset", score(model).alias("raw"))
-    w = Window.partitionBy("preset").orderBy(F.round("raw", 9).desc(), "doc_id")
+    scored = view.select("doc_id", "hard", "advisory", "mae_art", score(model).alias("raw"))
+    # a job is a run of 64 documents; scores are rounded so that both engines see the same ties
+    w = Window.partitionBy(F.floor(F.col("doc_id") / 64)).orderBy(F.round("raw", 9).desc(), *hand_key(), "doc_id")
     return scored.select("doc_id", F.round("raw", 6).alias("score"), F.row_number().over(w).cast("long").alias("position"))
 
 

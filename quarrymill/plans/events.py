@@ -11,8 +11,8 @@ from quarrymill.tables import load
 
 family = Family()
 
-_LOG = "log AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t, CAST(user_id AS VARCHAR) AS job, CAST(event_id % 50 AS VARCHAR) AS sha, CASE WHEN event_type = 'view' THEN 'shown' ELSE event_type END AS event, event_id % 13 AS pos, value FROM events)"
-_FOLD = f"""{_LOG}, signed AS (SELECT *, CASE event WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS sgn, event = 'shown' AS s FROM log),
+_LOG = "log AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t, CAST(user_id AS VARCHAR) AS job, CAST(event_id % 50 AS VARCHAR) AS sha, CASE event_type WHEN 'view' THEN 'shown' WHEN 'purchase' THEN ' Pick' WHEN 'error' THEN 'reject' ELSE event_type END AS event, event_id % 13 AS pos, value FROM events)"
+_FOLD = f"""{_LOG}, signed AS (SELECT *, CASE WHEN lower(trim(event)) IN ('star','pick','proof','chosen','selected') THEN 1 WHEN lower(trim(event)) IN ('unstar','discard','delete','reject','rejected') THEN -1 ELSE 0 END AS sgn, event = 'shown' AS s FROM log),
 fold AS (SELECT job, sha, bool_or(s) AS shown, coalesce(arg_max(pos, (t, job, sha, event, pos)) FILTER (s), arg_min(pos, (t, job, sha, event, pos)) FILTER (NOT s)) AS pos,
   CASE WHEN max(sgn) > 0 THEN 1 WHEN min(sgn) < 0 THEN -1 ELSE 0 END AS action, max(t) AS last_t FROM signed GROUP BY job, sha)"""
 
@@ -21,7 +21,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events")
     return events.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"), F.col("user_id").cast("string").alias("job"), (F.col("event_id") % 50).cast("string").alias("svg_sha"),
-        F.when(F.col("event_type") == "view", "shown").otherwise(F.col("event_type")).alias("event"), (F.col("event_id") % 13).cast("int").alias("pos"), "value",
+        F.when(F.col("event_type") == "view", "shown").when(F.col("event_type") == "purchase", " Pick").when(F.col("event_type") == "error", "reject").otherwise(F.col("event_type")).alias("event"), (F.col("event_id") % 13).cast("int").alias("pos"), "value",
     )
 
 

@@ -78,12 +78,12 @@ def priority_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @family.query(
     """
 WITH h AS (SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS sha FROM documents)
-SELECT sha, count(*) AS n, min(doc_id) AS first_id, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members FROM h GROUP BY sha HAVING count(*) > 1"""
+SELECT doc_id, sha, first_id, n FROM (SELECT doc_id, sha, min(doc_id) OVER (PARTITION BY sha) AS first_id, count(*) OVER (PARTITION BY sha) AS n FROM h) WHERE n > 1"""
 )
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", text.digest(text.normal(F.col("text"))).alias("sha"))
-    groups = rel.duplicate_groups(docs, "sha", "doc_id")
-    return groups.select("sha", F.size("members").cast("long").alias("n"), F.get("members", F.lit(0)).alias("first_id"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    return rel.duplicate_groups(docs, "sha", "doc_id").select("doc_id", "sha", F.col("first").alias("first_id"), "n")
+
 
 
 @family.query(
@@ -102,25 +102,62 @@ def common_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.common_to_all(items, "rule", "l_suppkey")
 
 
-_REQ = [("R1", "balance", "at_least", "1000"), ("R2", "nation", "present", None), ("R3", "balance cap", "at_most", "9000"), ("R4", "layer", "layer_pass", None), ("R5", "sign-off", "manual", None), ("R6", "stamp", "always", None), ("R7", "n/a", "not_applicable", None)]
+_KINDS = ["layer_a_passed", "layer_b_passed", "back_half_passed", "tac_exact", "no_continuous_tone", "rendered_colors_le", "node_max_le", "vtracer_only", "unique", "visual_review_present", "human_decision_present", "unheard_of"]
+_VALUES = {"rendered_colors_le": "20", "node_max_le": "300"}
+_RECORD = """
+c AS (SELECT o_custkey % 10 AS run, o_orderkey AS id, o_orderkey % 3 <> 0 AS comp, CASE o_orderkey % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN '' WHEN 3 THEN 'pass' END AS la,
+  CASE o_custkey % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'skipped' END AS lb, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS back, o_orderkey % 2 = 0 AS passed,
+  CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN false END AS tac, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN false END AS tone,
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 31 END AS inks, CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey % 701 END AS nodes,
+  CASE o_orderkey % 4 WHEN 0 THEN 'vtracer_api' WHEN 1 THEN 'vtracer_cli' WHEN 2 THEN 'other' END AS backend, CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey - 1 END AS dup,
+  o_orderkey % 4 = 1 AS seen, o_orderkey % 8 = 1 AS decided, CASE WHEN o_orderkey % 16 = 1 THEN 'production' ELSE 'reject' END AS label, o_orderkey % 3 AS missing, o_orderkey % 4 AS open FROM orders)"""
+
+
+def record_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda x, **at: F.coalesce(*(F.when(x == int(i[1:]), F.lit(v)) for i, v in at.items()))
+    return load(spark, sf_dir, "orders").select(
+        (c % 10).alias("run"), k.alias("id"), (k % 3 != 0).alias("has_comparison"), pick(k % 5, _0="pass", _1="fail", _2="", _3="pass").alias("layer_a_status"),
+        pick(c % 4, _0="pass", _1="skipped").alias("layer_b_status"), F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("back_run"),
+        (k % 2 == 0).alias("manifest_passed"), pick(k % 7, _0=True, _1=False).alias("tac_exact"), pick(k % 6, _0=True, _1=False).alias("rendered_continuous_tone"),
+        F.when(k % 3 != 0, k % 31).alias("rendered_ink_colors"), F.when(k % 3 == 1, k % 701).alias("node_count_max"), pick(k % 4, _0="vtracer_api", _1="vtracer_cli", _2="other").alias("backend_kind"),
+        F.when(k % 9 == 0, k - 1).alias("duplicate_of"), (k % 4 == 1).alias("visual_found"), (k % 8 == 1).alias("decision_found"),
+        F.when(k % 16 == 1, "production").otherwise("reject").alias("decision_label"), (k % 3 != 0).alias("comparison_passed"),
+        F.array_repeat(F.lit("link"), (k % 3).cast("int")).alias("missing_links"), F.array_repeat(F.lit("item"), (k % 4).cast("int")).alias("open_items"),
+    )
+
+
+@family.query(
+    f"""
+WITH {_RECORD}, req(kind) AS (VALUES {", ".join(f"('{k}')" for k in _KINDS)}),
+b AS (SELECT kind AS check_type, CASE
+  WHEN kind = 'layer_a_passed' THEN CASE WHEN NOT comp OR la IS NULL OR la = '' THEN 'N/A' WHEN la = 'pass' THEN 'PASS' ELSE 'FAIL' END
+  WHEN kind = 'layer_b_passed' THEN CASE WHEN NOT comp OR lb IS NULL OR lb = '' THEN 'N/A' WHEN lb = 'pass' THEN 'PASS' ELSE 'FAIL' END
+  WHEN kind IN ('back_half_passed', 'tac_exact', 'no_continuous_tone') AND back IS NOT TRUE THEN 'N/A'
+  WHEN kind = 'back_half_passed' THEN CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END
+  WHEN kind = 'tac_exact' THEN CASE WHEN tac IS TRUE THEN 'PASS' ELSE 'FAIL' END
+  WHEN kind = 'no_continuous_tone' THEN CASE WHEN tone IS FALSE THEN 'PASS' ELSE 'FAIL' END
+  WHEN kind = 'rendered_colors_le' THEN CASE WHEN inks IS NULL THEN 'N/A' WHEN inks <= 20 THEN 'PASS' ELSE 'FAIL' END
+  WHEN kind = 'node_max_le' THEN CASE WHEN nodes IS NULL THEN 'N/A' WHEN nodes <= 300 THEN 'PASS' ELSE 'FAIL' END
+  WHEN kind = 'vtracer_only' THEN CASE WHEN backend IN ('vtracer_api', 'vtracer_cli') THEN 'PASS' ELSE 'FAIL' END
+  WHEN kind = 'unique' THEN CASE WHEN dup IS NULL THEN 'PASS' ELSE 'FAIL' END
+  WHEN kind = 'visual_review_present' THEN CASE WHEN seen THEN 'PASS' ELSE 'PENDING' END
+  WHEN kind = 'human_decision_present' THEN CASE WHEN decided THEN 'PASS' ELSE 'PENDING' END ELSE 'N/A' END AS status FROM c, req)
+SELECT check_type, count(*) FILTER (status = 'PASS') AS n_pass, count(*) FILTER (status = 'FAIL') AS n_fail, count(*) FILTER (status = 'PENDING') AS n_pending, count(*) FILTER (status = 'N/A') AS n_na FROM b GROUP BY 1"""
+)
+def closeout_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requirements = spark.createDataFrame([(k, _VALUES.get(k)) for k in _KINDS], "check_type string, check_value string")
+    full = rules.board(record_view(spark, sf_dir), requirements)
+    count = lambda s: F.count_if(F.col("status") == s)
+    return full.groupBy("check_type").agg(count("PASS").alias("n_pass"), count("FAIL").alias("n_fail"), count("PENDING").alias("n_pending"), count("N/A").alias("n_na"))
 
 
 @family.query(
-    """
-WITH req(id, kind, val) AS (VALUES ('R1','at_least',1000.0),('R2','present',NULL),('R3','at_most',9000.0),('R4','layer_pass',NULL),('R5','manual',NULL),('R6','always',NULL),('R7','not_applicable',NULL)),
-c AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS reading, CASE WHEN s_nationkey % 2 = 0 THEN 'pass' END AS layer FROM supplier),
-b AS (SELECT id, CASE kind WHEN 'at_least' THEN CASE WHEN reading IS NULL THEN 'PENDING' WHEN reading >= val THEN 'PASS' ELSE 'FAIL' END
-  WHEN 'at_most' THEN CASE WHEN reading IS NULL THEN 'PENDING' WHEN reading <= val THEN 'PASS' ELSE 'FAIL' END
-  WHEN 'present' THEN CASE WHEN reading IS NULL THEN 'FAIL' ELSE 'PASS' END WHEN 'layer_pass' THEN CASE WHEN layer = 'pass' THEN 'PASS' ELSE 'FAIL' END
-  WHEN 'manual' THEN 'PENDING' WHEN 'always' THEN 'PASS' ELSE 'N/A' END AS status FROM c, req)
-SELECT id, count(*) FILTER (status = 'PASS') AS n_pass, count(*) FILTER (status = 'FAIL') AS n_fail, count(*) FILTER (status = 'PENDING') AS n_pending, count(*) FILTER (status = 'N/A') AS n_na FROM b GROUP BY id"""
+    f"WITH {_RECORD} SELECT run, count(*) AS candidates, count(*) FILTER (back) AS back_half, count(*) FILTER (seen) AS reviews, count(*) FILTER (decided) AS decisions,"
+    " CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(open) AS BIGINT) AS open, count(*) FILTER (comp AND label = 'production') AS production_ready FROM c GROUP BY run"
 )
-def closeout_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("reading"), F.when(F.col("s_nationkey") % 2 == 0, "pass").alias("layer"))
-    requirements = spark.createDataFrame(_REQ, "id string, requirement string, check_type string, check_value string")
-    full = rules.board(suppliers, requirements)
-    count = lambda s: F.count_if(F.col("status") == s)
-    return full.groupBy("id").agg(count("PASS").alias("n_pass"), count("FAIL").alias("n_fail"), count("PENDING").alias("n_pending"), count("N/A").alias("n_na"))
+def closeout_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.closeout_counts(record_view(spark, sf_dir), "run")
 
 
 @family.query(

@@ -12,6 +12,58 @@ from quarrymill.tables import load
 
 family = Family()
 
+#: Query vectors, and other vectors, that meet in a task.
+QUERY_BLOCK, VECTOR_BLOCK = 2_000, 20_000
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query vector, exactly, in blocks.
+
+    Both tables are dealt in blocks of bounded size, and each block of queries meets each of
+    vectors in a task of its own, which keeps k of each query; those are then ranked."""
+    import numpy as np
+    import pandas as pd
+
+    columns = max(1, -(-queries.count() // QUERY_BLOCK))
+    rows = max(1, -(-vectors.count() // VECTOR_BLOCK))
+    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"), F.lit(True).alias("asks"), deal(columns, 1).alias("q"), each(rows).alias("v"))
+    told = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"), F.lit(False).alias("asks"), each(columns).alias("q"), deal(rows, 2).alias("v"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda part: (m := np.array(part["e"].tolist(), dtype=np.float64)) / np.linalg.norm(m, axis=1, keepdims=True)
+        ask, tell = group[group["asks"]], group[~group["asks"]]
+        out = []
+        if len(ask) and len(tell):
+            here, ids = unit(tell), tell["id"].to_numpy()
+            for lo in range(0, len(ask), 128):
+                part = ask.iloc[lo : lo + 128]
+                cosine = np.round(np.clip(unit(part) @ here.T, 0, 1), 5)
+                for q, row in zip(part["id"], cosine, strict=True):
+                    order = np.lexsort((ids, -row))
+                    out += [(q, ids[i], row[i]) for i in order[ids[order] != q][:k]]
+        return pd.DataFrame(out, columns=["query", "vec_id", "cosine"])
+
+    found = asked.unionByName(told).groupBy("q", "v").applyInPandas(run, "query long, vec_id long, cosine double")
+    w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "vec_id")
+    return found.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
+
+
+def similar_hashes(hashes: DataFrame, most: int) -> DataFrame:
+    """Pairs of one label whose bit hashes differ in few places, by bands: cut in more bands
+    than places may differ, two hashes agree in one band at least."""
+    bands = most + 1
+    n = 56
+    edges = [round(i * n / bands) for i in range(bands + 1)]
+    text = F.array_join(F.transform("bits", lambda b: F.when(b, F.lit("1")).otherwise(F.lit("0"))), "")
+    keys = F.array(*(F.concat(F.lit(f"{i}:"), F.substring(text, a + 1, b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    banded = hashes.select("vec_id", "label", "bits", F.explode(keys).alias("band"))
+    a, b = banded.select(F.col("vec_id").alias("a"), "label", "band", F.col("bits").alias("x")), banded.select(F.col("vec_id").alias("b"), "label", "band", F.col("bits").alias("y"))
+    near = a.join(b, ["label", "band"]).where("a < b").withColumn("distance", numeric.hamming(F.col("x"), F.col("y")).cast("long"))
+    return near.where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+
+
 _NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -73,10 +125,8 @@ def intent_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top ten of each query vector; every hundredth vector is a query, against all."""
     all_vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = all_vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    scored = all_vectors.join(queries, F.col("vec_id") != F.col("query")).select("query", "vec_id", F.round(numeric.cosine(F.col("q"), F.col("embedding")), 5).alias("cosine"))
-    w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "vec_id")
-    return scored.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10")
+    return nearest_vectors(all_vectors.where("vec_id % 100 = 0"), all_vectors, 10)
+
 
 
 @family.query(
@@ -96,9 +146,8 @@ def dhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = load(spark, sf_dir, "embeddings").select("vec_id", "label", numeric.difference_bits(F.col("embedding"), 8).alias("bits"))
-    a, b = h.select(F.col("vec_id").alias("a"), "label", F.col("bits").alias("x")), h.select(F.col("vec_id").alias("b"), "label", F.col("bits").alias("y"))
-    pairs = a.join(b, "label").where("a < b").select("a", "b", numeric.hamming(F.col("x"), F.col("y")).cast("long").alias("distance"))
-    return pairs.where("distance <= 16")
+    return similar_hashes(h, 16)
+
 
 
 @family.query(

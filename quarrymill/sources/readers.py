@@ -52,25 +52,66 @@ def events_from(spark: SparkSession, source) -> DataFrame:
 
 
 def save_table(df: DataFrame, path: str) -> None:
-    """Write beside, then the caller swaps: a reader never sees half a table."""
-    df.write.mode("overwrite").parquet(path)
+    """A keyed store is a folder of versions: each save writes a new one beside the others and
+    is taken up by its marker of success, so a reader never sees half a table."""
+    versions = _versions(df.sparkSession, path)
+    df.write.parquet(f"{path}/v{max(versions, default=-1) + 1:08d}")
 
 
-def load_bucket_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Counters with defaults for what a record lacks."""
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version of a keyed store."""
+    whole = [v for v, done in _versions(spark, path).items() if done]
+    if not whole:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v{max(whole):08d}")
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, bool]:
+    """Versions of a store, and whether each is whole."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    return {int(n[1:]): fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")) for n in names if n[1:].isdigit()}
+
+
+def load_bucket_stats(source: DataFrame) -> DataFrame:
+    """Counters with defaults for the columns and values that a store lacks."""
+    from pyspark.sql.types import _parse_datatype_string
+
     from quarrymill.schemas import BUCKET
 
-    raw = spark.read.schema(BUCKET).json(path)
+    fields = _parse_datatype_string(BUCKET).fields
+    raw = source.select(*((F.col(f.name) if f.name in source.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
     zero = {c: 0 for c, kind in raw.dtypes if kind == "bigint"}
     return raw.fillna(zero).fillna({"veto": False})
 
 
+def save_model(spark: SparkSession, model: dict, path: str) -> None:
+    from quarrymill.operators.learning import model_rows
+    from quarrymill.schemas import MODEL
+
+    save_table(spark.createDataFrame(model_rows(model), MODEL), path)
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    from quarrymill.operators.learning import model_of
+
+    return model_of(load_table(spark, path).collect())  # a row for each feature
+
+
 def checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``file, algo, sha256, size, t`` of every file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select(F.col("path").alias("file"), F.lit("sha256").alias("algo"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("t"))
 
 
+def stamp_checksums(files: DataFrame, path: str) -> None:
+    """A sidecar line for each file (``file, content``): algorithm, digest, size and time."""
+    stamped = files.select(F.lit("sha256").alias("algo"), "file", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("t"))
+    stamped.write.mode("append").json(path)
+
+
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Metadata of a folder tree, contents unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
@@ -90,11 +131,12 @@ def read_live_keys(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(keys).alias("key")).where("key <> ''").distinct()
 
 
-def read_palettes(spark: SparkSession, path: str) -> DataFrame:
-    """``name, ord, colour`` of a palette library; colours that are no #rrggbb are dropped."""
+def read_palettes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``name, ord, colour`` of a palette library, and those entries whose colour is no #rrggbb."""
     raw = read_json(spark, path, "palettes array<struct<name: string, colors: array<string>>>")
     each = raw.select(F.explode("palettes").alias("p")).select("p.name", F.posexplode("p.colors").alias("ord", "colour"))
-    return each.where(F.col("colour").rlike("^#[0-9A-Fa-f]{6}$")).withColumn("colour", F.lower("colour"))
+    plain = F.coalesce(F.col("colour").rlike("^#[0-9A-Fa-f]{6}$"), F.lit(False))
+    return each.where(plain).withColumn("colour", F.lower("colour")), each.where(~plain)
 
 
 def fixed_width(lines: DataFrame, header: str, columns: list[str]) -> DataFrame:
