@@ -1,18 +1,21 @@
 r"""Personal data: base patterns, and a character BiLSTM-CRF that adds spans.
 
 The base spans (email, ip, card, phone) are the contract's patterns, leftmost and
-non-overlapping within each kind.  The tagger is trained on the driver from labelled
-spans: windows of a documented, bounded sample of the corpus (``TRAIN_DOCS`` texts,
-labelled by the base patterns) and made-up spans in varied layouts, base or not.  Every
-span of any kind holds a digit or an ``@``, so the tagger reads the regions around those
-characters, of every whole text: the whole blank-delimited run that holds one, and
-``WINDOW`` characters on either side.  A region is cut into overlapping windows, each is
-run through both LSTMs, emissions of overlapping windows are averaged, and one Viterbi
-pass over the whole region reconciles them.  Tagged spans that touch no base span are
-added; base spans always stay.
+non-overlapping within each kind; email is sought from each ``@`` outwards, so a long run
+without one costs its length.  The tagger is trained on the driver from labelled spans:
+windows of all regions of a documented, bounded sample of the corpus (``TRAIN_DOCS`` texts,
+of which ids are chosen first and ``TRAIN_WINDOWS`` windows are cut in the executors), labelled
+by the base patterns, and as many made-up ones in layouts that these patterns miss: letters
+beyond ASCII, ``(at)`` signs, dots and slashes between groups.  Every span of any kind holds a
+digit or an at sign, so the tagger reads the regions around those characters, of every whole
+text: the whole blank-delimited run that holds one, and ``WINDOW`` characters on either side.  A
+region is cut into overlapping windows, each is run through both LSTMs, emissions of
+overlapping windows are averaged, and one Viterbi pass over the whole region reconciles
+them.  Tagged spans that touch no base span are added; base spans always stay.
 
 Defined results: null and empty texts have no spans; rows that repeat are searched
-each; no rows give no rows; extra columns are unused.
+each, and ties have no influence, since a text's spans depend on it alone; very long texts
+are read whole; no rows give no rows; extra columns are unused.
 """
 
 from __future__ import annotations
@@ -32,15 +35,15 @@ from quarrymill.llm.tokenisation import text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    # a run of digits is tried once, from its first: what fails there fails from every later one
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 TRAIN_DOCS = 200
 TRAIN_WINDOWS = 384
 WINDOW, STRIDE = 64, 48
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _BLANK = re.compile(BLANK_CLASS)
 _LONG_NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9]){11}")
 _TAGS = 1 + 2 * len(KINDS)
@@ -65,11 +68,35 @@ def _valid(kind: str, found: str) -> bool:
     return True
 
 
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """What the email pattern finds, leftmost and without overlap, in one pass: a match holds one
+    ``@``, its local part reaches back to the last match or the last character that it cannot hold."""
+    out, floor = [], 0
+    at = text.find("@")
+    while at >= 0:
+        if domain := _DOMAIN.match(text, at):
+            start = at
+            while start > floor and (text[start - 1] in _LOCAL_SET):
+                start -= 1
+            if start < at:
+                out.append((start, domain.end()))
+                floor = domain.end()
+        floor = max(floor, at + 1)
+        at = text.find("@", at + 1)
+    return out
+
+
+_LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind index, end)`` in order."""
-    out = []
-    for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text or kind == "card" and not _LONG_NUMBER.search(text):
+    out = [(s, 0, e) for s, e in emails(text)]
+    for k, kind in enumerate(KINDS[1:], 1):
+        if kind == "phone" and "+" not in text or kind == "card" and not _LONG_NUMBER.search(text):
             continue
         out += [(m.start(), k, m.end()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
     return sorted(out)
@@ -115,7 +142,8 @@ def _made_up(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[int
 
     def span(kind: int) -> str:
         if kind == 0:
-            return f"{name()}{rng.choice(['', '.', '_', '+'])}{name()}@{name()}{word()}.{rng.choice(['com', 'org', 'net', 'example', 'io', 'de', 'fr', 'co.uk'])}"
+            at = str(rng.choice(["@", "@", "@", "@", "(at)", "[at]"]))
+            return f"{name()}{rng.choice(['', '.', '_', '+'])}{name()}{at}{name()}{word()}.{rng.choice(['com', 'org', 'net', 'example', 'io', 'de', 'fr', 'co.uk'])}"
         if kind == 1:
             return ".".join(str(x) for x in rng.integers(0, 256, 4))
         if kind == 2:
@@ -140,28 +168,43 @@ def _made_up(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[int
     return out
 
 
-def training_windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of windows with labelled spans."""
-    rng = np.random.default_rng(seed)
+def cut_windows(text: str, spans: list[tuple[int, int, int]], places: list[tuple[int, int]]) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Windows of the places, each with its part of the spans."""
+    at = [(a + s, min(b, a + s + WINDOW)) for a, b in places for s in windows_of(b - a)]
+    return [(text[a:b], [(s - a, k, e - a) for s, k, e in spans if s < b and e > a]) for a, b in at]
 
-    def cut(text: str, spans: list[tuple[int, int, int]], places: list[tuple[int, int]]) -> list:
-        at = [(a + s, min(b, a + s + WINDOW)) for a, b in places for s in windows_of(b - a)]
-        return [(text[a:b], [(s - a, k, e - a) for s, k, e in spans if s < b and e > a]) for a, b in at]
 
-    pairs = [w for text, spans in _made_up(rng, most // 2) for w in cut(text, spans, [(0, len(text))])]
-    own = [w for text in texts for w in cut(text, base_spans(text), regions(text))]
-    pairs += [own[i] for i in rng.permutation(len(own))[: most - most // 2]]  # from all regions of all texts
+def training_windows(own: list[tuple[str, list]], most: int = TRAIN_WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of made-up windows and of the corpus' own."""
+    pairs = [w for text, spans in _made_up(np.random.default_rng(seed), most // 2) for w in cut_windows(text, spans, [(0, len(text))])] + own
     x, y = np.full((len(pairs), WINDOW), PAD), np.zeros((len(pairs), WINDOW), np.int64)
     for i, (text, spans) in enumerate(pairs):
         x[i, : len(text)], y[i, : len(text)] = codes(text), tags_of(len(text), spans)
     return x, y
 
 
+def sample_windows(docs: DataFrame, most: int = TRAIN_WINDOWS - TRAIN_WINDOWS // 2) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Labelled windows out of all regions of ``TRAIN_DOCS`` texts: ids are drawn by hash, then
+    their texts are joined to them, cut where they lie, and windows drawn by hash."""
+    marked = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(_TRIGGER.pattern))
+    ids = marked.select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(TRAIN_DOCS).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                found = cut_windows(text, base_spans(text), regions(text))
+                for at in range(0, len(found), 4096):
+                    part = found[at : at + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([[x for s in spans for x in s] for _, spans in part], pa.list_(pa.int64()))], ["part", "spans"])
+
+    windows = marked.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "part string, spans array<long>")  # at most TRAIN_DOCS ids
+    drawn = windows.orderBy(F.md5("part"), "part").limit(most).collect()
+    return [(r["part"], [tuple(r["spans"][i : i + 3]) for i in range(0, len(r["spans"]), 3)]) for r in drawn]
+
+
 def train_tagger(docs: DataFrame, epochs: int = 24) -> Tagger:
-    sample = docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.md5(F.col("doc_id").cast("string"))).select("text").limit(TRAIN_DOCS)
-    texts = [r.text for r in sample.collect()]  # the bounded training sample
     tagger = Tagger(_TAGS)
-    tagger.fit(*training_windows(texts), epochs=epochs)
+    tagger.fit(*training_windows(sample_windows(docs)), epochs=epochs)
     return tagger
 
 
@@ -216,7 +259,7 @@ def plausible(text: str, kind: int, start: int, end: int) -> bool:
     part = text[start:end]
     digits = sum(c.isdigit() for c in part)
     if kind == 0:
-        return "@" in part[1:-1]
+        return "." in part and re.search(r"[^\s](@|\(at\)|\[at\])[^\s]", part) is not None
     return (4 <= digits <= 12 and part.count(".") >= 3) if kind == 1 else 12 <= digits <= 19 if kind == 2 else 9 <= digits <= 15
 
 
