@@ -10,16 +10,17 @@ permitted false-rejection rate, so together they keep it.
 
 The holdout is every labelled good document of a stratum that passes the base rule,
 counted by plain aggregation; binomial tails are summed in log space, so no size of a
-stratum makes them underflow.  ``OP10_SQL`` still takes at most ``HOLDOUT_ROWS`` of them
-(in hash order) and tells the same only for strata of up to that many.
+stratum makes them underflow.
 
 Repeated three-word windows are found inside a row: window hashes carry their place
 in the low bits, a primitive sort brings equal ones together, and neighbours are
 compared word by word, so nothing is exploded or shuffled.
 
 Defined results: null and blank texts have no words and fail the base rule; a null
-``lang`` is a stratum of its own; repeated rows are judged each; an unlabelled or
-empty label table certifies no cutoff.
+``lang`` is a stratum of its own, apart from the empty one; repeated rows are judged each
+(and rows that share a labelled ``doc_id`` all count as labelled), so ties have no influence;
+very long texts are counted whole; an unlabelled or empty label table certifies no cutoff;
+no documents give no rows; extra columns are unused.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 FALSE_REJECTION = 0.05
 CONFIDENCE_MISS = 0.05
-HOLDOUT_ROWS = 4000  # of OP10_SQL only
 CUTOFFS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "capital_ratio")
 
@@ -77,7 +77,7 @@ def with_ratios(counts: DataFrame) -> DataFrame:
     of = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1)).cast("double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counts.select(
-        "*", failed.alias("base_failed"), F.coalesce("lang", F.lit("")).alias("stratum"),
+        "*", failed.alias("base_failed"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")).alias("stratum"),
         of("n_symbols", "word_chars").alias("symbol_ratio"), of("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         of("n_repeat_words", "n_words").alias("repeat_ratio"), of("n_capitals", "word_chars").alias("capital_ratio"),
     )
@@ -126,7 +126,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = ", ".join(str(c) for c in CUTOFFS)
 OP10_SQL = rf"""
 WITH body AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS body FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS body FROM documents
 ), words AS (
   SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT rid, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM body)
 ), windows AS (
@@ -152,10 +152,7 @@ WITH body AS (
     n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeat_ratio, n_capitals / greatest(word_chars, 1)::DOUBLE AS capital_ratio
   FROM counts
 ), holdout AS (
-  SELECT * FROM (
-    SELECT j.*, row_number() OVER (PARTITION BY stratum ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS place
-    FROM judged j WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
-  ) WHERE place <= {HOLDOUT_ROWS}
+  SELECT * FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
 ), long AS (
   SELECT stratum, ratio, value FROM holdout UNPIVOT (value FOR ratio IN (symbol_ratio, dup_line_ratio, repeat_ratio, capital_ratio))
 ), tests AS (
@@ -163,8 +160,8 @@ WITH body AS (
   FROM long, (SELECT unnest([{_GRID}]::DOUBLE[]) AS cutoff) GROUP BY ALL
 ), passed AS (
   SELECT stratum, ratio, min(cutoff) AS cutoff FROM (
-    SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-      + i * ln({FALSE_REJECTION / len(RATIOS)}) + (n - i) * ln(1 - {FALSE_REJECTION / len(RATIOS)})))) AS tail
+    SELECT *, CASE WHEN k >= n * {FALSE_REJECTION / len(RATIOS)} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+      + i * ln({FALSE_REJECTION / len(RATIOS)}) + (n - i) * ln(1 - {FALSE_REJECTION / len(RATIOS)})))) END AS tail
     FROM tests
   ) WHERE tail <= {CONFIDENCE_MISS} / ((SELECT count(DISTINCT stratum) FROM tests) * {len(RATIOS) * len(CUTOFFS)}) GROUP BY ALL
 ), rejected AS (
