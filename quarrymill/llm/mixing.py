@@ -15,7 +15,8 @@ is each bucket ordered.  Slots are ranked in runs in the same way.
 
 Defined results: null and blank texts have size 0 and are never taken; a null source
 is a source of its own, the last; a null ``doc_id`` is a document; repeated rows are
-documents each; no rows give no rows; extra columns are unused.
+documents each, and rows that tie in id, source and size are told apart by number alone; very
+long texts lie in as many blocks as they fill; no rows give no rows; extra columns are unused.
 """
 
 from __future__ import annotations
@@ -126,18 +127,19 @@ def mix(sized: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, max_epo
 
 
 def taken_by_document(docs: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
-    """One row for each document, with the tokens that the mix takes of it."""
+    """One row for each document, with the tokens that the mix takes of it, and the slot of the
+    schedule (and the place in its block) at which the mix first plays it."""
     sized = sized_documents(docs)
     targets = materialise(source_targets(sized), "targets")
-    taken = mix(sized, targets, block).select("idx", "doc_id", "size", "copy", F.col("n").alias("taken"))
+    taken = mix(sized, targets, block).select("idx", "doc_id", "size", "copy", F.col("n").alias("taken"), F.struct("slot", "at", "epoch").alias("place"))
     named = targets.withColumnRenamed("source", "named")
-    rest = sized.join(named, F.col("source").eqNullSafe(F.col("named"))).select("idx", "doc_id", "size", "copy", F.lit(0).cast("long").alias("taken"))
-    total = taken.unionByName(rest).groupBy("idx", "doc_id", "size", "copy").agg(F.sum("taken").alias("taken"))
-    return total.join(targets, "idx")
+    rest = sized.join(named, F.col("source").eqNullSafe(F.col("named"))).select("idx", "doc_id", "size", "copy", F.lit(0).cast("long").alias("taken"), F.lit(None).cast(taken.schema["place"].dataType).alias("place"))
+    total = taken.unionByName(rest).groupBy("idx", "doc_id", "size", "copy").agg(F.sum("taken").alias("taken"), F.min("place").alias("place"))
+    return total.join(targets, "idx").withColumns({"first_slot": F.col("place.slot"), "first_at": F.col("place.at")}).drop("place")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_by_document(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_by_document(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "first_at")
 
 
 OP1_SQL = r"""
@@ -168,9 +170,28 @@ WITH counted AS (
     md5('mix:' || e.epoch || ':' || coalesce(CAST(s.doc_id AS VARCHAR), '')) AS key
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) e(epoch)
 ), placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY idx ORDER BY epoch, key, doc_id, size, copy ROWS UNBOUNDED PRECEDING) - size AS start FROM stream
+  SELECT *, CAST(sum(size) OVER (PARTITION BY idx ORDER BY epoch, key, doc_id, size, copy ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM stream
+), blocks AS (
+  SELECT idx, CAST(ceil(floor(target) / 1024.0::DOUBLE) AS BIGINT) AS blocks FROM targets WHERE floor(target) > 0
+), upto AS (
+  SELECT idx, blocks, sum(blocks) OVER (ORDER BY idx) AS upto, sum(blocks) OVER ()::DOUBLE AS needed FROM blocks
+), width AS (
+  SELECT CAST(ceil(log2(2 * max(needed))) AS BIGINT) AS bits FROM upto
+), edges AS (
+  SELECT idx, blocks, floor((upto - blocks) / needed * pow(2, bits)) AS lo, floor(upto / needed * pow(2, bits)) AS hi FROM upto, width
+), slots AS (
+  SELECT slot, list_sum(list_transform(range(0, bits), lambda i: ((slot >> i) & 1) << (bits - 1 - i))) AS point
+  FROM (SELECT bits, unnest(range(0, CAST(pow(2, bits) AS BIGINT))) AS slot FROM width)
+), schedule AS (
+  SELECT slot, idx, block FROM (SELECT slot, idx, blocks, row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS block FROM slots JOIN edges ON point >= lo AND point < hi) WHERE block < blocks
+), pieces AS (
+  SELECT *, least(start + size, quota) AS stop, unnest(range(CAST(floor(start / 1024) AS BIGINT), CAST(floor((least(start + size, quota) - 1) / 1024) AS BIGINT) + 1)) AS block FROM placed WHERE size > 0 AND start < quota
+), played AS (
+  SELECT doc_id, copy, p.idx, size, min({'slot': slot, 'at': CAST(greatest(start, block * 1024) - block * 1024 AS BIGINT)}) AS place FROM pieces p JOIN schedule USING (idx, block) GROUP BY ALL
+), summed AS (
+  SELECT doc_id, copy, idx, size, source_size, target, CAST(sum(greatest(0, least(start + size, quota) - start)) AS BIGINT) AS taken
+  FROM placed GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target,
-  CAST(sum(greatest(0, least(start + size, quota) - start)) AS BIGINT) AS taken
-FROM placed GROUP BY doc_id, copy, idx, size, source_size, target
+SELECT s.doc_id, s.size, source_size, target, taken, place.slot AS first_slot, place.at AS first_at
+FROM summed s LEFT JOIN played p ON s.doc_id IS NOT DISTINCT FROM p.doc_id AND s.copy = p.copy AND s.idx = p.idx AND s.size = p.size
 """
