@@ -12,9 +12,13 @@ and the weights of the clause labels.  Learning uses a documented, bounded sampl
 ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows, in hash order.  Scoring reads every
 whole text in one pass without a shuffle.
 
+Clauses are read whole, from end to end, however far apart their words stand.
+
 Defined results: null and empty texts have no clause and get the base score; rows
-that repeat are scored each; without labels of both kinds every score is the base
-score of 0.5 / (rows + 1) or so; extra columns are unused.
+that repeat are scored each, and ties have no influence; a null ``doc_id`` is not held out;
+very long texts, and ones without any clause end, are read whole; without labels of both
+kinds every score is the base score of 0.5 / (rows + 1) or so; empty tables give no rows, or
+learn nothing; extra columns are unused.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ TARGET = frozenset("you your yours u ur he him his she her they them their this
 NEGATION = frozenset("not no never none nobody isn't aren't wasn't don't doesn't didn't nicht kein keine pas jamais nunca".split())
 REPORTED = frozenset("said says say called calls quoted quote wrote claimed alleged reported allegedly".split())
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
-_CLAUSE_END = re.compile(r"[.!?;:\n|]+")
+_CLAUSE_END = re.compile("[.!?;:\n|\u2026\u3002\uff01\uff1f\uff1b\uff1a\u061f\u061b]+")  # also the ellipsis, CJK and Arabic ends
 
 
 class Transducer:
@@ -137,10 +141,9 @@ class Scorer:
         for hit in hits:
             if hit < upto:
                 continue  # its clause has been read
-            begin = max((m.end() for m in _CLAUSE_END.finditer(text, max(0, hit - 400), hit)), default=max(0, hit - 400))
+            begin = max((m.end() for m in _CLAUSE_END.finditer(text, max(upto, 0), hit)), default=max(upto, 0))
             end = _CLAUSE_END.search(text, hit)
             upto = end.start() if end else len(text)
-            upto = min(upto, hit + 400)
             words = _WORD.findall(text, begin, upto)
             state, total, best = self.machine.start, 0.0, 0.0
             for word in words:
