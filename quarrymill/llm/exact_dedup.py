@@ -7,14 +7,19 @@ stays (most code points, then smallest id) and the number of rows.
 
 A text that a third of all rows share is inserted in each input partition first, so
 at most one byte string for each distinct text and partition is shuffled.  Both
-tries give up memory by subtree: the combiner emits its largest subtree's terminals
-when its strings exceed ``TRIE_BYTES`` (a text may then be sent twice, which the
-owner merges), and an owner reads its partition in order of (length, hash), so each
-finished subtree is emitted and dropped.
+tries give up memory by subtree.  The combiner hands on its largest subtree when its strings
+exceed ``TRIE_BYTES`` (a text may then be sent twice, which the owner merges).  An owner reads
+its partition in order of the strings (Spark's sort spills to disk), so whatever branches
+off before the path of the string at hand is finished: beyond ``TRIE_BYTES`` these
+subtrees are handed on, and the path alone stays.
+
+Rows then meet their groups by the SHA-256 that the result carries anyway.
 
 Defined results: null counts as the empty text, and all empty texts are one group;
 a null ``doc_id`` stays only when its group has no other id of as many code points;
-repeated rows are counted each.
+repeated rows are counted each, and where two rows of one text share the id that stays, both
+are marked as kept, since nothing tells them apart; a text is held whole, however long, and
+batches are cut by size; no rows give no rows; extra columns are unused.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import BLANK_BYTES, BLANKS, documents
+from quarrymill.llm.tokenisation import text_chunks
 
 TRIE_BYTES = 64 << 20
 PARTIAL = "size long, hash binary, sha binary, body binary, n_chars long, doc_id long, rows long"
@@ -88,6 +94,26 @@ class Trie:
     def largest(self) -> int:
         return max(self.root[1], key=lambda b: len(self.root[1][b][1]) * 1000 + len(self.root[1][b][0]))
 
+    def finished(self, key: bytes) -> Iterator[tuple[bytes, list]]:
+        """Terminals of the subtrees before ``key`` in order; they leave the trie."""
+        node, at = self.root, 0
+        while True:
+            following = key[at] if at < len(key) else 256
+            for first in [b for b in node[1] if b < following]:
+                above, tops = key[:at], [(key[:at], node[1].pop(first))]
+                while tops:
+                    above, top = tops.pop()
+                    full = above + top[0]
+                    self.bytes -= len(top[0]) + 200
+                    if top[2] is not None:
+                        yield full, top[2]
+                    tops += [(full, child) for child in top[1].values()]
+            child = node[1].get(following)
+            if child is None or not key.startswith(child[0], at):
+                return
+            at += len(child[0])
+            node = child
+
 
 def better(kept: list, n_chars: int, doc_id: int | None) -> None:
     if n_chars > kept[0] or n_chars == kept[0] and doc_id is not None and (kept[1] is None or doc_id < kept[1]):
@@ -128,7 +154,7 @@ def _packed(found: Iterator[tuple[bytes, list]], most: int = 8 << 20) -> Iterato
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct texts of an input partition."""
     trie = Trie()
-    for batch in batches:
+    for batch in text_chunks(batches, "text"):
         for doc_id, text, n_chars in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "n_chars")), strict=True):
             trie.insert((text or b"").translate(None, BLANK_BYTES), n_chars, doc_id, 1)
             while trie.bytes > TRIE_BYTES and trie.root[1]:
@@ -137,20 +163,25 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of a partition that is ordered by (size, hash)."""
-    trie, at = Trie(), None
-    for batch in batches:
-        out: list[tuple] = []
-        names = ("size", "hash", "body", "n_chars", "doc_id", "rows")
-        for size, key, body, n_chars, doc_id, rows in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            if (size, key) != at:
-                out += [(hashlib.sha256(b).digest(), t[1], t[2]) for b, t in trie.drain()]
-                at = (size, key)
+    """Groups of a partition that is ordered by its strings."""
+    trie = Trie()
+    for batch in text_chunks(batches, "body"):
+        for body, n_chars, doc_id, rows in zip(*(batch.column(c).to_pylist() for c in ("body", "n_chars", "doc_id", "rows")), strict=True):
+            if trie.bytes > TRIE_BYTES:
+                yield from _hashed(trie.finished(body))
             trie.insert(body, n_chars, doc_id, rows)
-        if out:
-            yield _groups(out)
-    if last := [(hashlib.sha256(b).digest(), t[1], t[2]) for b, t in trie.drain()]:
-        yield _groups(last)
+    yield from _hashed(trie.drain())
+
+
+def _hashed(found: Iterator[tuple[bytes, list]], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for body, (_, doc_id, count) in found:
+        rows.append((hashlib.sha256(body).digest(), doc_id, count))
+        if len(rows) >= most:
+            yield _groups(rows)
+            rows = []
+    if rows:
+        yield _groups(rows)
 
 
 def _groups(rows: list[tuple]) -> pa.RecordBatch:
@@ -162,7 +193,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """One row for each distinct text: ``sha, keep_id, group_size``."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
     partial = rows.mapInArrow(combine, PARTIAL).drop("sha")
-    return partial.repartition(F.col("size"), F.col("hash")).sortWithinPartitions("size", "hash").mapInArrow(own, "sha binary, keep_id long, group_size long")
+    return partial.repartition(F.col("size"), F.col("hash")).sortWithinPartitions("body").mapInArrow(own, "sha binary, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
