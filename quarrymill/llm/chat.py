@@ -1,20 +1,28 @@
 r"""Chat formatting by quotation linking (DataFrame functions only).
 
-A line's quote level is the number of ``>`` before its text.  Quoted lines are
-normalised (lower case, blanks collapsed) and hashed, and meet the unquoted lines of
-earlier turns of the same conversation: within a (conversation, line hash) group,
-ordered by turn, each quoted line takes the latest earlier turn that said it, so a
-line said or quoted a thousand times costs a thousand rows, never their product.  A
-message replies to the turn that most lines of its outermost matched level name
-(ties: the latest), else to the turn before it.
-
-Order inside a conversation is built in blocks of turns: block totals are carried
-over, and only a block is ordered in one task, so one conversation may hold any share
-of the rows.
+A line's quote level is the number of ``>`` before its text.  Passages are normalised (lower
+case, blanks and line ends collapsed) and hashed by SHA-256: each line; each run of lines of
+one level without a blank line between, so a quotation may be wrapped anew; and the whole
+unquoted text of a message.  Quoted passages meet the unquoted ones of earlier turns of the
+same conversation, each the latest earlier turn that said it.  A message replies to the turn
+that the longest quoted words of its outermost matched level name (ties: the latest), else
+to the turn before it.
+
+A message that answers an earlier turn than the one before it opens a branch; those after
+it, up to the next such one, carry it on.  Branches hang on the turns they answer.  Messages
+are placed in reply order: after a message first what carries its branch on, then the branches
+that answer it, by turn; no message comes before the one it answers.  Paths of branches are
+built by pointer doubling over written tables, so rounds grow as the logarithm of their depth.
+
+A line said in every turn of a giant conversation, or that conversation itself, may hold any
+share of the rows: turns are cut in blocks, totals and last sayings of blocks are carried
+over, and only a block is ordered in one task.  Branches of one conversation are ordered
+together; they are as many as messages that skip back.
 
 Defined results: a null text has an empty body; rows without conversation or turn
-keep a null ``reply_to`` and ``position``; repeated turns share position and reply;
-a quote that matches nothing leaves the message a plain reply; no rows give no rows.
+keep a null ``reply_to`` and ``position``; repeated turns tie, and share position and reply;
+a quote that matches nothing, or a part of a line, leaves the message a plain reply; very long
+texts are split by lines, each whole; no rows give no rows; extra columns are unused.
 """
 
 from __future__ import annotations
@@ -22,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrymill.llm.common import dispose, materialise
+
 BLOCK_TURNS = 1024
 QUOTED = r"^[ \t]*>[> \t]*"
 _MARK = r"(?m)^[ \t]*>"
@@ -35,45 +45,85 @@ def _normal(line):
     return F.lower(F.btrim(F.regexp_replace(F.regexp_replace(line, QUOTED, ""), r"[\x20\x09-\x0D]+", " ")))
 
 
+def passages(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, level, said, words`` of lines, runs of lines and whole unquoted texts."""
+    line = F.transform(F.split("text", "\n"), lambda x: F.struct(_level(x).alias("level"), _normal(x).alias("said")))
+    joined = lambda some: F.btrim(F.array_join(some, " "))
+    # a run ends where the level changes or a line is blank
+    step = lambda acc, x: F.when(
+        (F.size(acc) > 0) & (x["said"] != "") & (F.element_at(acc, -1)["said"] != "") & (F.element_at(acc, -1)["level"] == x["level"]),
+        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat_ws(" ", F.element_at(acc, -1)["said"], x["said"]).alias("said")))),
+    ).otherwise(F.concat(acc, F.array(x)))
+    empty = F.array().cast("array<struct<level:int,said:string>>")
+    whole = F.array(F.struct(F.lit(0).alias("level"), joined(F.transform(F.filter("lines", lambda x: (x["level"] == 0) & (x["said"] != "")), lambda x: x["said"])).alias("said")))
+    rows = messages.select("conv_id", "turn", line.alias("lines"))
+    runs = rows.select("conv_id", "turn", F.explode(F.array_distinct(F.concat("lines", F.aggregate("lines", empty, step), whole))).alias("p"))
+    return runs.select("conv_id", "turn", "p.level", "p.said").where("said <> ''").withColumn("words", F.size(F.split("said", " ")).cast("long"))
+
+
 def quote_links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, reply_to`` of messages whose quoted lines were said before."""
+    """``conv_id, turn, quoted`` of messages whose quoted passages were said before."""
     known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
     with_quotes = known.where(F.col("text").rlike(_MARK)).select("conv_id").distinct()
-    lines = (
-        known.join(with_quotes, "conv_id", "left_semi")
-        .select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
-        .select("conv_id", "turn", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("said"))
-        .where("said != ''")
-        .groupBy("conv_id", "turn", "level", F.xxhash64("said").alias("hash"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    said = F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)
-    votes = lines.withColumn("source", said).where("level > 0 AND source IS NOT NULL").groupBy("conv_id", "turn", "level", "source").agg(F.sum("n").alias("n"))
+    found = passages(known.join(with_quotes, "conv_id", "left_semi"))
+    said = found.groupBy("conv_id", "turn", "level", F.sha2("said", 256).alias("hash")).agg(F.max("words").alias("words")).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
+    plain = F.when(F.col("level") == 0, F.col("turn"))
+    blocks = said.groupBy("conv_id", "hash", "block").agg(F.max(plain).alias("last"))
+    ahead = Window.partitionBy("conv_id", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("conv_id", "hash", "block", F.max("last").over(ahead).alias("carried"))
+    earlier = Window.partitionBy("conv_id", "hash", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    placed = said.withColumn("here", F.max(plain).over(earlier)).join(carried, ["conv_id", "hash", "block"])
+    matched = placed.withColumn("source", F.coalesce("here", "carried")).where("level > 0 AND source IS NOT NULL")
+    votes = matched.groupBy("conv_id", "turn", "level", "source").agg(F.sum("words").alias("n"))
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "source")).alias("best"))
     return best.select("conv_id", "turn", F.col("best.source").alias("quoted"))
 
 
 def turn_order(messages: DataFrame, links: DataFrame) -> DataFrame:
-    """``conv_id, turn, position, before, thread``: place, turn before, and the latest
-    turn so far that answered a quotation (its own branch of the conversation)."""
+    """``conv_id, turn, quoted, position, before, thread``: place in reply order, turn before, and
+    the turn that opened the message's branch (null for the conversation's own)."""
     turns = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
     turns = turns.join(links, ["conv_id", "turn"], "left").withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    branch = F.when(F.col("quoted").isNotNull(), F.col("turn"))
-    blocks = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"), F.max(branch).alias("branch"))
+    blocks = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
     ahead = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("conv_id", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), F.max("last").over(ahead).alias("last"), F.max("branch").over(ahead).alias("branch"))
+    carried = blocks.select("conv_id", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), F.max("last").over(ahead).alias("last"))
     within = Window.partitionBy("conv_id", "block").orderBy("turn")
-    return turns.join(carried, ["conv_id", "block"]).select(
-        "conv_id", "turn", "quoted",
-        (F.col("base") + F.row_number().over(within)).cast("long").alias("position"),
-        F.coalesce(F.lag("turn").over(within), "last").alias("before"),
-        F.coalesce(F.max(branch).over(within), "branch").alias("thread"),
-    )
+    placed = turns.join(carried, ["conv_id", "block"]).select(
+        "conv_id", "turn", "quoted", "block", (F.col("base") + F.row_number().over(within)).cast("long").alias("rank"), F.coalesce(F.lag("turn").over(within), "last").alias("before")
+    )
+    # branches: their first turn, carried over blocks as above
+    opens = F.when(F.col("quoted") != F.col("before"), F.col("turn"))
+    firsts = placed.groupBy("conv_id", "block").agg(F.max(opens).alias("branch"))
+    carried = firsts.select("conv_id", "block", F.max("branch").over(ahead).alias("carried"))
+    placed = placed.join(carried, ["conv_id", "block"]).withColumn("thread", F.coalesce(F.max(opens).over(within), "carried"))
+    placed = materialise(placed.select("conv_id", "turn", "quoted", "rank", "before", "thread"), "turns")
+    branches = placed.groupBy("conv_id", "thread").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
+    heads = placed.where("turn = thread").select("conv_id", "thread", F.col("quoted").alias("at"))
+    above = placed.select("conv_id", F.col("turn").alias("at"), F.col("thread").alias("up"))
+    paths = branch_paths(heads.join(above, ["conv_id", "at"]))
+    ordered = branches.join(paths, ["conv_id", "thread"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<struct<at:bigint,turn:bigint>>")))
+    so_far = Window.partitionBy("conv_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ordered.select(F.col("conv_id").alias("of"), F.col("thread").alias("own"), "first", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"))
+    full = placed.join(bases, (F.col("conv_id") == F.col("of")) & F.col("thread").eqNullSafe(F.col("own")))
+    return full.select("conv_id", "turn", "quoted", (F.col("base") + F.col("rank") - F.col("first") + 1).cast("long").alias("position"), "before", "thread")
+
+
+def branch_paths(branches: DataFrame) -> DataFrame:
+    """``conv_id, thread, path`` of branches (``conv_id, thread, at, up``): the places where its
+    ancestors and it hang, outermost first; later places come before earlier ones."""
+    step = F.array(F.struct((-F.col("at")).alias("at"), F.col("thread").alias("turn")))
+    state = materialise(branches.select("conv_id", "thread", step.alias("path"), "up"), "paths")
+    while not state.where("up IS NOT NULL").isEmpty():
+        above = state.select("conv_id", F.col("thread").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"))
+        joined = state.join(above, ["conv_id", "up"], "left")
+        following = materialise(joined.select("conv_id", "thread", F.when(F.col("_path").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path")).alias("path"), F.col("_up").alias("up")), "paths")
+        dispose(state)
+        state = following
+    return state.select("conv_id", "thread", "path")
 
 
 def chat_format(messages: DataFrame) -> DataFrame:
-    """Every message without its quotes, placed in turn order (not that of replies), ready for a chat template."""
+    """Every message without its quotes, placed in reply order, ready for a chat template."""
     messages = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     order = turn_order(messages, quote_links(messages)).withColumnsRenamed({"conv_id": "c", "turn": "t"})
     quoted = F.coalesce(F.col("text").rlike(_MARK), F.lit(False))
@@ -100,25 +150,42 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM conversations),
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM conversations),
 l AS (
   SELECT rid, conv_id, turn, line, regexp_matches(line, '^[ \t]*>') AS q,
     length(regexp_replace(regexp_extract(line, '^[ \t]*>[> \t]*'), '[ \t]', '', 'g')) AS level,
     lower(trim(regexp_replace(regexp_replace(line, '^[ \t]*>[> \t]*', ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS said, pos
   FROM (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m WHERE text IS NOT NULL)
+), marked AS (
+  SELECT *, sum(CASE WHEN said = '' OR lag_said = '' OR lag_level <> level THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos) AS run
+  FROM (SELECT *, lag(said) OVER w AS lag_said, lag(level) OVER w AS lag_level FROM l WINDOW w AS (PARTITION BY rid ORDER BY pos))
+), said AS (
+  SELECT conv_id, turn, level, said FROM l
+  UNION SELECT conv_id, turn, any_value(level), string_agg(said, ' ' ORDER BY pos) FROM marked GROUP BY rid, conv_id, turn, run
+  UNION SELECT conv_id, turn, 0, trim(string_agg(said, ' ' ORDER BY pos) FILTER (level = 0 AND said <> ''), ' ') FROM l GROUP BY rid, conv_id, turn
 ), h AS (
-  SELECT conv_id, turn, level, said, count(*) AS n FROM l WHERE said <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+  SELECT conv_id, turn, level, said, length(said) - length(replace(said, ' ', '')) + 1 AS words FROM said WHERE said <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
 ), s AS (
   SELECT *, max(CASE WHEN level = 0 THEN turn END) OVER (PARTITION BY conv_id, said ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM h
 ), v AS (
-  SELECT conv_id, turn, level, source, sum(n) AS n FROM s WHERE level > 0 AND source IS NOT NULL GROUP BY ALL
+  SELECT conv_id, turn, level, source, sum(words) AS n FROM s WHERE level > 0 AND source IS NOT NULL GROUP BY ALL
 ), k AS (
   SELECT conv_id, turn, arg_max(source, (-level, n, source)) AS quoted FROM v GROUP BY ALL
-), t AS (
-  SELECT conv_id, turn, quoted, row_number() OVER w AS position, lag(turn) OVER w AS before,
-    max(CASE WHEN quoted IS NOT NULL THEN turn END) OVER w AS thread
+), ranked AS (
+  SELECT conv_id, turn, quoted, row_number() OVER w AS rnk, lag(turn) OVER w AS before
   FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL) LEFT JOIN k USING (conv_id, turn)
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), branched AS (
+  SELECT *, max(CASE WHEN quoted <> before THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS thread FROM ranked
+), paths AS (
+  SELECT DISTINCT conv_id, CAST(NULL AS BIGINT) AS thread, CAST([] AS BIGINT[][]) AS path FROM branched
+  UNION ALL SELECT b.conv_id, b.turn, p.path || [[-b.quoted, b.turn]] FROM paths p JOIN branched o ON o.conv_id = p.conv_id AND o.thread IS NOT DISTINCT FROM p.thread
+    JOIN branched b ON b.conv_id = o.conv_id AND b.turn = b.thread AND b.quoted = o.turn
+), bases AS (
+  SELECT paths.conv_id, paths.thread, coalesce(sum(n) OVER (PARTITION BY paths.conv_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, first
+  FROM paths JOIN (SELECT conv_id, thread, count(*) AS n, min(rnk) AS first FROM branched GROUP BY ALL) c ON c.conv_id = paths.conv_id AND c.thread IS NOT DISTINCT FROM paths.thread
+), t AS (
+  SELECT b.conv_id, b.turn, quoted, before, b.thread, CAST(base + rnk - first + 1 AS BIGINT) AS position FROM branched b JOIN bases a ON a.conv_id = b.conv_id AND a.thread IS NOT DISTINCT FROM b.thread
 ), p AS (
   SELECT rid, count(*) FILTER (q) AS quoted_lines, max(level) AS quote_depth, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT q), '') AS plain FROM l GROUP BY rid
 )
