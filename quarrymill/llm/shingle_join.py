@@ -524,7 +524,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, bins: int, width: int) -> tupl
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+    """``doc_id, key, n_shingles, component_id`` of every row; ``key`` is 16 bytes of the text's SHA-256."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     bins = 4 * shuffle_width(docs.sparkSession)
     sets = materialise(set_table(docs, width), "sets")
@@ -563,8 +563,8 @@ def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     least = label.groupBy("component").agg(F.min("doc_id").alias("least"))
     ids = label.join(least.hint("merge"), "component").select("node", "least")
     # a row's own id counts, too: its set's representative has the least id of all with that set
-    return sets.join(ids.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    return sets.join(ids.hint("merge"), "node", "left").select("doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(documents(spark, sf_dir))
+    return similar_components(documents(spark, sf_dir)).drop("key")

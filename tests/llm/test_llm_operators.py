@@ -119,7 +119,7 @@ def test_chat(spark):
     talk = [(1, 0, "user", "Hello there\nhow are you"), (1, 1, "assistant", "fine thanks"), (1, 2, "user", "> Hello  there\n>> how ARE you\n\nI asked that"), (1, 3, None, None), (None, 1, "user", "x"), (1, 9, "user", ">fine thanks\nnew"), (2, 1, "user", "> nothing")]
     got = {(r.conv_id, r.turn): r for r in chat.chat_format(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1, 2].reply_to, got[1, 2].body, got[1, 2].quote_depth, got[1, 2].thread) == (0, "I asked that", 2, 2)
-    assert (got[1, 9].reply_to, got[1, 9].link, got[1, 9].position) == (1, "quotation", 5)
+    assert (got[1, 9].reply_to, got[1, 9].link, got[1, 9].position) == (1, "quotation", 3)
     assert got[1, 3].body == "" and got[1, 3].reply_to == 2 and got[2, 1].link == "opening" and got[None, 1].position is None
 
 
