@@ -8,6 +8,7 @@ cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -61,10 +62,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def dispose(*written: DataFrame) -> None:
-    """Remove tables that ``materialise`` wrote, once nothing reads them any more."""
+    """Remove tables that ``materialise`` wrote, once nothing reads them any more.  Shuffle files
+    of finished plans go when the driver's JVM collects those plans, so it is asked to."""
     for df in written:
         if path := getattr(df, "_written", None):
             _remove(df.sparkSession, path)
+    if written:
+        gc.collect()
+        written[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

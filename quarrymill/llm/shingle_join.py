@@ -26,7 +26,7 @@ similarity of 4/5 or more differ in at most ``(|r| + |s|) / 9`` shingles.
 The output is components only: pairs inside one component are dropped unverified, so
 neither the links themselves nor their number is known.
 
-Equal sets enter once, named by a 128-bit digest.  Texts travel to verification once for
+Equal sets enter once, named by a 96-bit digest.  Texts travel to verification once for
 each candidate pair, keyed by the smaller partner; a partner with many pairs is dealt
 over as many keys as ``PAIRS_PER_KEY`` asks for.
 
@@ -44,7 +44,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,7 +130,7 @@ def neighbourhood(items: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def set_id(items: tuple[np.ndarray, np.ndarray]) -> bytes:
-    return hashlib.blake2b(items[0].tobytes() + items[1].tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(items[0].tobytes() + items[1].tobytes(), digest_size=12).digest()
 
 
 def spare_segments(items: np.ndarray) -> list[int]:
@@ -167,28 +166,34 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, n_shingles long, node binary, spare array<long>")
 
 
-_PACK = np.dtype([("low", "<u4"), ("high", "u1"), ("part", "u1"), ("n0", "<u8"), ("n1", "<u8")])
+_PACK = np.dtype([("sig", "<u4"), ("part", "u1"), ("n0", "<u8"), ("n1", "<u4")])
+#: A member of a signature that is dear in one task already, with the least one there.
+_OVER = np.dtype([("sig", "<i8"), ("part", "u1"), ("n0", "<u8"), ("n1", "<u4"), ("lead_part", "u1"), ("l0", "<u8"), ("l1", "<u4")])
 _FOUND = "a binary, part_a int, b binary, part_b int, n long, sig long"
 
 
-def _nodes(pack: np.ndarray) -> pa.Array:
-    body = np.stack([pack["n0"], pack["n1"]], axis=1).tobytes()
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), pack.size, [None, pa.py_buffer(body)]).cast(pa.binary())
+def _nodes(n0: np.ndarray, n1: np.ndarray) -> pa.Array:
+    body = np.empty(n0.size, dtype=[("a", "<u8"), ("b", "<u4")])
+    body["a"], body["b"] = n0, n1
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), n0.size, [None, pa.py_buffer(body.tobytes())]).cast(pa.binary())
 
 
-def _found(pack: np.ndarray, one: np.ndarray, two: np.ndarray, shares: np.ndarray, dear: np.ndarray, sig: np.ndarray) -> list[pa.Array]:
-    """Candidate pairs (``sig`` null), then members of dear signatures (``b`` null)."""
-    m = dear.size
-    return [
-        _nodes(pack[np.append(one, dear)]), pa.array(pack["part"][np.append(one, dear)].astype(np.int32)),
-        pa.concat_arrays([_nodes(pack[two]), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(pack["part"][two].astype(np.int32)), pa.nulls(m, pa.int32())]),
-        pa.concat_arrays([pa.array(shares, pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(one.size, pa.int64()), pa.array(sig[dear], pa.int64())]),
+def _found(first: tuple, second: tuple, shares: np.ndarray, dear: tuple, sig: np.ndarray) -> pa.RecordBatch:
+    """Candidate pairs (``sig`` null), then members of dear signatures (``b`` null); sides are
+    ``(n0, n1, part)``."""
+    m, k = sig.size, shares.size
+    both = [np.append(x, y) for x, y in zip(first, dear, strict=True)]
+    arrays = [
+        _nodes(both[0], both[1]), pa.array(both[2].astype(np.int32)),
+        pa.concat_arrays([_nodes(second[0], second[1]), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(second[2].astype(np.int32)), pa.nulls(m, pa.int32())]),
+        pa.concat_arrays([pa.array(shares, pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(sig, pa.int64())]),
     ]
+    return pa.RecordBatch.from_arrays(arrays, ["a", "part_a", "b", "part_b", "n", "sig"])
 
 
 def _groups(pack: np.ndarray, bins: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packs in order of (signature, part, node) without repeats; signatures; starts of groups."""
-    sig = pack["low"].astype(np.int64) | (pack["high"].astype(np.int64) << 32) | (np.asarray(bins, dtype=np.int64) << 40)
+    sig = pack["sig"].astype(np.int64) | (np.asarray(bins, dtype=np.int64) << 32)
     order = np.lexsort((pack["n1"], pack["n0"], pack["part"], sig))
     pack, sig = pack[order], sig[order]
     if sig.size:
@@ -198,12 +203,12 @@ def _groups(pack: np.ndarray, bins: np.ndarray | int) -> tuple[np.ndarray, np.nd
 
 
 def packed_signatures(docs: DataFrame, bins: int, width: int) -> DataFrame:
-    """``bin, pack``: signatures of a task for each of ``bins`` ranges, 22 bytes each (40
-    bits of signature and the bin: a chance agreement is a candidate that verification
-    drops); and rows as ``bucket_rows`` gives them, ``bin`` null.
+    """``bin, pack``: signatures of a task for each of ``bins`` ranges, 17 bytes each (32
+    bits of signature and the bin: a chance agreement is a candidate that verification drops).
 
     Of a signature that many sets of a task share only ``HOT + 1`` go on to the bin, which
-    suffice to show that it is dear; the others hang on the least of them here."""
+    suffice to show that it is dear; the others hang on the least of them here, in packs
+    whose ``bin`` is negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -214,25 +219,28 @@ def packed_signatures(docs: DataFrame, bins: int, width: int) -> DataFrame:
             full = np.concatenate([h[0] for h in held])
             count = [h[0].size for h in held]
             pack = np.empty(full.size, dtype=_PACK)
-            top = full >> np.uint64(24)
-            pack["low"], pack["high"], pack["part"] = top & np.uint64(0xFFFFFFFF), (top >> np.uint64(32)) & np.uint64(255), np.repeat([h[2] for h in held], count)
-            ids = np.frombuffer(b"".join(h[1] for h in held), dtype="<u8").reshape(-1, 2)
-            pack["n0"], pack["n1"] = np.repeat(ids[:, 0], count), np.repeat(ids[:, 1], count)
+            pack["sig"], pack["part"] = full >> np.uint64(32), np.repeat([h[2] for h in held], count)
+            ids = np.frombuffer(b"".join(h[1] for h in held), dtype=[("a", "<u8"), ("b", "<u4")])
+            pack["n0"], pack["n1"] = np.repeat(ids["a"], count), np.repeat(ids["b"], count)
             pack, sig, starts = _groups(pack, (full % np.uint64(bins)).astype(np.int64))
             span = np.diff(np.append(starts, sig.size))
             beyond = np.arange(sig.size) - np.repeat(starts, span) > HOT
             beyond &= np.repeat(pack["part"][starts] == 0, span)  # without a set of the band itself nothing can be said here
-            over, lead = np.flatnonzero(beyond), np.repeat(starts, span)[beyond]
-            own = pack["part"][lead] + pack["part"][over] <= 1
-            rows = _found(pack, lead[own], over[own], np.zeros(int(own.sum()), dtype=np.int64), over, sig)
-            pack, where = pack[~beyond], (sig[~beyond] >> 40)
+            at, lead = np.flatnonzero(beyond), np.repeat(starts, span)[beyond]
+            over = np.empty(at.size, dtype=_OVER)
+            for name, values in (("sig", sig[at]), ("part", pack["part"][at]), ("n0", pack["n0"][at]), ("n1", pack["n1"][at]), ("lead_part", pack["part"][lead]), ("l0", pack["n0"][lead]), ("l1", pack["n1"][lead])):
+                over[name] = values
+            pack, where = pack[~beyond], (sig[~beyond] >> 32)
             order = np.argsort(where, kind="stable")
             where, pack = where[order], pack[order]
             begin = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
             end = np.append(begin[1:], where.size)
-            m, k = len(rows[0]), begin.size
-            ahead = [pa.concat_arrays([pa.array(where[begin], pa.int32()), pa.nulls(m, pa.int32())]), pa.concat_arrays([pa.array([pack[s:e].tobytes() for s, e in zip(begin, end, strict=True)], pa.binary()), pa.nulls(m, pa.binary())])]
-            return pa.RecordBatch.from_arrays([*ahead, *(pa.concat_arrays([pa.nulls(k, r.type), r]) for r in rows)], ["bin", "pack", "a", "part_a", "b", "part_b", "n", "sig"])
+            packs = [pack[s:e].tobytes() for s, e in zip(begin, end, strict=True)]
+            names = where[begin].tolist()
+            for k in range(0, over.size, 20_000):
+                packs.append(over[k : k + 20_000].tobytes())
+                names.append(-1 - (hash(held[0][1]) + k // 20_000) % bins)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(packs, pa.binary())], ["bin", "pack"])
 
         for batch in text_chunks(batches, "text", _CHUNK_BYTES):
             for items in shingle_sets(batch.column("text"), width):
@@ -253,12 +261,12 @@ def packed_signatures(docs: DataFrame, bins: int, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, f"bin int, pack binary, {_FOUND}")
+    return docs.select("text").mapInArrow(run, "bin int, pack binary")
 
 
 def sig_ids(sig: np.ndarray, bins: int) -> np.ndarray:
-    """Signatures as the bins name them: the bin, then 40 bits."""
-    return ((sig >> np.uint64(24)) & np.uint64((1 << 40) - 1)).astype(np.int64) | ((sig % np.uint64(bins)).astype(np.int64) << 40)
+    """Signatures as the bins name them: the bin, then 32 bits."""
+    return (sig >> np.uint64(32)).astype(np.int64) | ((sig % np.uint64(bins)).astype(np.int64) << 32)
 
 
 def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,15 +308,18 @@ def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = same[: one.size] * np.int64(sig.size + 1) + same[one.size :]
         _, head, owner = np.unique(both, return_index=True, return_inverse=True)
         n = np.bincount(owner, weights=shares, minlength=head.size).astype(np.int64) if both.size else shares
-        rows = _found(pack, one[head], two[head], n, np.flatnonzero(dear), sig)
-        return pa.RecordBatch.from_arrays(rows, ["a", "part_a", "b", "part_b", "n", "sig"])
+        side = lambda at: (pack["n0"][at], pack["n1"][at], pack["part"][at])
+        return _found(side(one[head]), side(two[head]), n, side(dear), sig[dear])
+
+    def hung(pack: bytes) -> pa.RecordBatch:
+        over = np.frombuffer(pack, dtype=_OVER)
+        fit = over[over["lead_part"] + over["part"] <= 1]
+        return _found((fit["l0"], fit["l1"], fit["lead_part"]), (fit["n0"], fit["n1"], fit["part"]), np.zeros(fit.size, dtype=np.int64), (over["n0"], over["n1"], over["part"]), over["sig"])
 
     for batch in batches:
-        done = batch.filter(pc.is_null(batch.column("bin")))
-        if done.num_rows:
-            yield done.select(["a", "part_a", "b", "part_b", "n", "sig"])
         for where, pack in zip(batch.column("bin").to_pylist(), batch.column("pack").to_pylist(), strict=True):
-            if where is None:
+            if where < 0:
+                yield hung(pack)
                 continue
             if where != at and parts:
                 yield solve()
@@ -386,17 +397,15 @@ def allocate(lack: int, dear: list[tuple[int, int]], wide: set[int]) -> tuple[li
 
 
 def neighbourhood_index(lacking: DataFrame, bins: int, width: int) -> DataFrame:
-    """``key, node, deleted, probe, size, sketch`` of sets that lack credits: all their segments
+    """``key, node, deleted, probe`` of sets that lack credits: all their segments
     (``deleted``: without one shingle).  ``probe`` is 1 where the set asks for whole
     agreement, 2 where for agreement up to one deletion, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", _CHUNK_BYTES):
-            owner, keys, deleted, probes, sizes, sketches = [], [], [], [], [], []
+            owner, keys, deleted, probes = [], [], [], []
             for i, ((items, _), wants) in enumerate(zip(shingle_sets(batch.column("text"), width), batch.column("wants").to_pylist(), strict=True)):
                 bands = memberships(items.size)
-                sizes.append(items.size)
-                sketches.append(sketch(items).tobytes())
                 for want in wants:
                     band, differ = bands[want["part"]]
                     full, less, seg = neighbourhood(items, band)
@@ -412,12 +421,22 @@ def neighbourhood_index(lacking: DataFrame, bins: int, width: int) -> DataFrame:
                     owner.append(np.full(full.size + less.size, i))
             if not keys:
                 continue
-            row = pa.array(np.concatenate(owner))
-            part = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["node", "size", "sketch"]).take(row)
-            arrays = [pa.array(np.concatenate(keys).view(np.int64)), part.column("node"), pa.array(np.concatenate(deleted)), pa.array(np.concatenate(probes).astype(np.int32)), part.column("size"), part.column("sketch")]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "deleted", "probe", "size", "sketch"])
+            node = batch.column("node").take(pa.array(np.concatenate(owner)))
+            arrays = [pa.array(np.concatenate(keys).view(np.int64)), node, pa.array(np.concatenate(deleted)), pa.array(np.concatenate(probes).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "deleted", "probe"])
+
+    return lacking.mapInArrow(run, "key long, node binary, deleted boolean, probe int")
+
+
+def profiles(lacking: DataFrame, width: int) -> DataFrame:
+    """``node, size, sketch`` of sets that lack credits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text", _CHUNK_BYTES):
+            sets = [s for s, _ in shingle_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.size for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["node", "size", "sketch"])
 
-    return lacking.mapInArrow(run, "key long, node binary, deleted boolean, probe int, size long, sketch binary")
+    return lacking.select("node", "text").mapInArrow(run, "node binary, size long, sketch binary")
 
 
 def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,12 +491,13 @@ def _near_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(apart, pa.int64())], ["x", "y", "apart"])
 
 
-def partners(index: DataFrame, labels: DataFrame, refuted: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that asking sets have still to be compared with, the nearest few of each."""
+def partners(index: DataFrame, known: DataFrame, labels: DataFrame, refuted: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that asking sets have still to be compared with, the nearest few of each.
+    Sketches (``known``) join only the rows of keys that still hold two components."""
     members = _labelled(index, labels, "node", "component")
     torn = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("asked"), F.count(F.lit(1)).alias("n")).where("lo < hi AND asked > 0").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     no = refuted.groupBy("x").agg(F.collect_list("y").alias("refuted")).withColumnRenamed("x", "node")
-    held = members.join(torn, "key").join(no, "node", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = members.join(torn, "key").join(known, "node").join(no, "node", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     side = lambda x, y, role: F.struct(x.cast("int").alias("bx"), y.cast("int").alias("by"), F.lit(role).alias("role"))
     steps = F.sequence(F.lit(0), F.col("blocks") - 1)
     places = F.when(F.col("blocks") == 1, F.array(side(F.lit(0), F.lit(0), 3))).otherwise(F.concat(F.transform(steps, lambda k: side(F.col("own"), k, 1)), F.transform(steps, lambda k: side(k, F.col("own"), 2))))
@@ -499,8 +519,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, bins: int, width: int) -> tupl
     A pair must share as many signatures as a set fills beyond the differences allowed;
     those of its dear ones that the count left out are granted."""
     packs = packed_signatures(docs, bins, width)
-    deal = F.coalesce("bin", F.pmod(F.xxhash64("a"), F.lit(bins)).cast("int"))
-    found = materialise(packs.repartition(deal).sortWithinPartitions("bin").mapInArrow(bucket_rows, _FOUND), "candidates")
+    found = materialise(packs.repartition("bin").sortWithinPartitions("bin").mapInArrow(bucket_rows, _FOUND), "candidates")
     dear = found.where("sig IS NOT NULL").select(F.col("a").alias("node"), F.col("part_a").alias("part"), "sig").distinct()
     load = dear.groupBy("node", "part").agg(F.count(F.lit(1)).alias("dear"))
     spare = nodes.select("node", "size", F.posexplode("spare").alias("part", "spare"))
@@ -545,9 +564,15 @@ def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # then sets that lack credits, across components
     refuted = docs.sparkSession.createDataFrame([], "x binary, y binary")
     if not wants.isEmpty():
-        index = materialise(neighbourhood_index(texts.dropDuplicates(["node"]).join(wants, "node"), bins, width), "index")
+        lacking = materialise(texts.dropDuplicates(["node"]).join(wants, "node"), "lacking")
+        known = materialise(profiles(lacking, width), "profiles")
+        every = materialise(neighbourhood_index(lacking, bins, width), "every")
+        # a key serves where one set asks and another answers
+        asked = every.groupBy("key").agg(F.max("probe").alias("probe"), F.min("node").alias("a"), F.max("node").alias("b")).where("probe > 0 AND a < b").select("key")
+        index = materialise(every.join(asked, "key"), "index")
+        dispose(every, lacking)
         while True:
-            more = materialise(partners(index, labels, refuted), "partners")
+            more = materialise(partners(index, known, labels, refuted), "partners")
             if more.isEmpty():
                 break
             judged = materialise(verified(more, texts, width).distinct(), "judged")
@@ -557,7 +582,7 @@ def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             no = judged.where("NOT similar")
             refuted = refuted.unionByName(no.selectExpr("a AS x", "b AS y")).unionByName(no.selectExpr("b AS x", "a AS y"))
             dispose(more)
-        dispose(index, more)
+        dispose(index, more, known)
     dispose(pairs, wants, texts, rest)
     label = _labelled(nodes.select("node", "doc_id"), labels, "node", "component")
     least = label.groupBy("component").agg(F.min("doc_id").alias("least"))
