@@ -34,9 +34,9 @@ from quarrymill.llm.toxicity import clean_rows, learn
 def _only(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
     """The rows of ``docs`` whose id and text are among ``kept`` (``doc_id, digest``; null ids
     compare equal)."""
-    marks = kept.select(F.struct(F.col("doc_id").alias("i"), F.col("digest").alias("d")).alias("_kept_row"))
-    own = F.struct(docs["doc_id"].cast("long").alias("i"), digest.alias("d"))
-    return docs.join(marks, own.eqNullSafe(marks["_kept_row"]), "left_semi")
+    marks = kept.select(F.struct(F.col("doc_id").alias("i"), F.col("digest").alias("d")).alias("kept_row"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(docs["doc_id"].cast("long").alias("i"), digest.alias("d")).alias("own"))
+    return rows.join(marks, F.col("own").eqNullSafe(F.col("kept_row")), "left_semi").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
