@@ -1,6 +1,7 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
 from quarrymill.llm.chat import OP4_SQL, op4_chat_formatting
+from quarrymill.llm.divergence import OP12_SQL, op12_divergence
 from quarrymill.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from quarrymill.llm.mixing import OP1_SQL, op1_mixing
 from quarrymill.llm.packing import op5_best_fit_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op12_divergence": op12_divergence,
 }
 
-ORACLES = {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op10_quality_rules": OP10_SQL, "op12_divergence": OP12_SQL}
