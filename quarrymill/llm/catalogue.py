@@ -6,6 +6,7 @@ from quarrymill.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from quarrymill.llm.mixing import OP1_SQL, op1_mixing
 from quarrymill.llm.packing import op5_best_fit_packing
 from quarrymill.llm.pii import op9_pii
+from quarrymill.llm.point_in_time import OP13_SQL, op13_point_in_time
 from quarrymill.llm.quality import OP10_SQL, op10_quality_rules
 from quarrymill.llm.repeats import op6_substring_dedup
 from quarrymill.llm.shingle_join import op3_ngram_jaccard
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
     "op12_divergence": op12_divergence,
+    "op13_point_in_time": op13_point_in_time,
 }
 
-ORACLES = {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op10_quality_rules": OP10_SQL, "op12_divergence": OP12_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op10_quality_rules": OP10_SQL, "op12_divergence": OP12_SQL, "op13_point_in_time": OP13_SQL}
