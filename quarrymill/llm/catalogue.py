@@ -9,6 +9,7 @@ from quarrymill.llm.pii import op9_pii
 from quarrymill.llm.point_in_time import OP13_SQL, op13_point_in_time
 from quarrymill.llm.quality import OP10_SQL, op10_quality_rules
 from quarrymill.llm.repeats import op6_substring_dedup
+from quarrymill.llm.secret_scan import op11_secrets
 from quarrymill.llm.shingle_join import op3_ngram_jaccard
 from quarrymill.llm.token_count import op8_token_counts
 from quarrymill.llm.toxicity import op7_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op11_secrets": op11_secrets,
     "op12_divergence": op12_divergence,
     "op13_point_in_time": op13_point_in_time,
 }
