@@ -351,7 +351,12 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, days: tuple[
     dispose(found)
     names = [*SUMS, "n_items"]
     small = swept.where(F.col("state") == FINAL).select("sale_id", "d", "t", "next_sale", F.struct("click_ts", "click_id").alias("click"), *names)
-    part = swept.where(F.col("state") == OPEN).withColumn("click", F.when(F.col("click_ts").isNotNull(), F.struct("click_ts", "click_id"))).join(carries(swept), ["client", "d", "shard"])
+    # a shard's answers and its one row of carried sums meet in a window, not in a join
+    own = swept.where(F.col("state") == OPEN).withColumn("click", F.when(F.col("click_ts").isNotNull(), F.struct("click_ts", "click_id"))).select("client", "shard", "d", "state", "sale_id", "t", "next_sale", "click", *names)
+    shard = Window.partitionBy("client", "d", "shard")
+    base = carries(swept)
+    part = own.unionByName(base, allowMissingColumns=True)
+    part = part.withColumns({c: F.max(c).over(shard) for c in base.columns if c.startswith("base_")}).where("state IS NOT NULL")
     # the next sale is in this shard or a later one; the latest click in its trees or before it
     part = part.select("sale_id", "d", "t", F.least("next_sale", "base_next").alias("next_sale"), F.greatest("click", "base_click").alias("click"), *((F.col(n) + F.col(f"base_{n}")).alias(n) for n in names))
     out = small.unionByName(part)
