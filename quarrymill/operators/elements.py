@@ -12,16 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions import colour, numeric
-from quarrymill.operators.relations import nearest_ancestor, nearest_ancestors
+from quarrymill.functions import numeric
+from quarrymill.operators import scopes
+from quarrymill.operators.cascade import style_rules
+from quarrymill.operators.scopes import GRADIENTS, SHAPES
 
-SHAPES = ("path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "text", "tspan", "textpath", "use")
-GRADIENTS = ("lineargradient", "radialgradient")
 PAINTS = ("fill", "stroke", "stop-color", "flood-color", "lighting-color")
 EFFECTS = ("filter", "mask", "clip-path")
-#: Content that never inks, and content that inks only where something refers to it.
-INERT = ("clippath", "filter", "style", "script", "metadata", "title", "desc")
-DEFERRED = ("defs", "symbol", "pattern", "marker", "mask")
 DATA_IMAGE = r"(?i)url\(\s*['\"]?data:image/"
 REFERENCE = r"(?i)url\(\s*['\"]?#([^'\")\s]+)"
 TINY = 1e-9
@@ -46,22 +43,24 @@ def _external(href: Column) -> Column:
     return (bare != "") & ~bare.startswith("#")
 
 
+def sheet_text(elements: DataFrame) -> Column:
+    """The text of style elements, where the table carries it."""
+    return F.coalesce("text", F.lit("")) if "text" in elements.columns else F.lit("")
+
+
 def raster_sources(elements: DataFrame) -> DataFrame:
     """RASTER_EMBED: ``doc_id, node_id, kind`` of whatever brings a bitmap along."""
     kind, href = _kind(), plain("href")
     own = F.when(kind == "image", "image").when((kind == "feimage") & _external(href), "feImage").when(kind == "foreignobject", "foreignObject").when((kind == "use") & _external(href), "use")
-    style = F.when(F.coalesce(plain("style"), F.lit("")).rlike(DATA_IMAGE), "style url()")
-    return elements.select("doc_id", "node_id", F.explode(F.array_compact(F.array(own, style))).alias("kind"))
+    text = F.when(kind == "style", sheet_text(elements)).otherwise(F.coalesce(plain("style"), F.lit("")))
+    style = F.array_repeat(F.lit("style url()"), F.regexp_count(text, F.lit(DATA_IMAGE)))
+    return elements.select("doc_id", "node_id", F.explode(F.concat(F.array_compact(F.array(own)), style)).alias("kind"))
 
 
-def colours_in_force(elements: DataFrame) -> DataFrame:
-    """``doc_id, colour, n``: colours that shapes are painted with, each inherited from the
-    nearest ancestor; a fill that nobody declares is black, ``currentColor`` is the colour's."""
-    declared = elements.withColumn("attrs", F.map_concat(*(F.when(attr(p).isNotNull(), F.create_map(F.lit(p), attr(p))).otherwise(F.create_map().cast("map<string,string>")) for p in ("fill", "stroke", "color"))))
-    table = elements.where(_kind().isin(*SHAPES)).select("doc_id", "node_id").join(nearest_ancestors(declared, ["fill", "stroke", "color"]), ["doc_id", "node_id"])
-    own = lambda c, default: F.when(F.lower(F.trim(F.col(c))) == "currentcolor", F.coalesce("color", F.lit("black"))).otherwise(F.coalesce(F.col(c), F.lit(default)))
-    painted = table.select("doc_id", F.explode(F.array_compact(F.array(colour.parse(own("fill", "black")), colour.parse(own("stroke", "none"))))).alias("colour"))
-    return painted.groupBy("doc_id", "colour").agg(F.count(F.lit(1)).alias("n"))
+def colours_in_force(elements: DataFrame, combinators: str = " ") -> DataFrame:
+    """``doc_id, colour, n``: colours that inking elements paint with, by the cascade and by what is
+    inherited; a fill that nobody declares is black; gradients count by their stops."""
+    return scopes.inks(scopes.resolved(elements, combinators)).groupBy("doc_id", "colour").agg(F.count(F.lit(1)).alias("n"))
 
 
 def colour_count(elements: DataFrame, most: int) -> DataFrame:
@@ -79,7 +78,13 @@ def gradients(elements: DataFrame) -> DataFrame:
     """GRADIENT_NOT_ALLOWED: ``doc_id, node_id, kind, target`` of gradients and paints by reference."""
     refs = [F.when(attr(p).rlike(REFERENCE), F.struct(F.lit(p).alias("kind"), F.regexp_extract(attr(p), REFERENCE, 1).alias("target"))) for p in PAINTS]
     own = F.when(_kind().isin(*GRADIENTS), F.struct(F.lit("definition").alias("kind"), F.coalesce(plain("id"), F.lit("")).alias("target")))
-    return elements.select("doc_id", "node_id", F.explode(F.array_compact(F.array(own, *refs))).alias("x")).select("doc_id", "node_id", "x.*")
+    found = elements.select("doc_id", "node_id", F.explode(F.array_compact(F.array(own, *refs))).alias("x")).select("doc_id", "node_id", "x.*")
+    if "text" in elements.columns:
+        # a sheet's paints by reference, each block once however many selectors it has
+        rules = style_rules(elements.where(_kind() == "style")).where(F.col("prop").isin(*PAINTS) & F.col("value").rlike(REFERENCE))
+        rules = rules.dropDuplicates(["doc_id", "rule", "prop"]).where("rule.turn = 0")
+        found = found.unionByName(rules.select("doc_id", F.col("rule.sheet").alias("node_id"), F.col("prop").alias("kind"), F.regexp_extract("value", REFERENCE, 1).alias("target")))
+    return found
 
 
 def id_references(elements: DataFrame) -> DataFrame:
@@ -93,26 +98,15 @@ def id_references(elements: DataFrame) -> DataFrame:
 
 
 def paint_scopes(elements: DataFrame) -> DataFrame:
-    """``doc_id, node_id, scope``: inert below content that never inks, resource or unchecked
-    below deferred content (referred to or not), hidden below ``display: none``, else painted."""
-    asked = id_references(elements).select("doc_id", F.col("target").alias("own_id")).distinct().withColumn("asked", F.lit(True))
-    marked = elements.withColumn("own_id", plain("id")).join(asked, ["doc_id", "own_id"], "left")
-    deferred = F.when(F.coalesce("asked", F.lit(False)), "resource").when(_kind() == "defs", "unchecked").otherwise("unchecked")
-    turn = F.when(_kind().isin(*INERT), "inert").when(F.lower(F.trim(attr("display"))) == "none", "hidden").when(_kind().isin(*DEFERRED) | F.coalesce("asked", F.lit(False)) & _kind().isin(*GRADIENTS), deferred)
-    state = marked.select("doc_id", "node_id", "parent_id", F.when(turn.isNotNull(), F.create_map(F.lit("scope"), turn)).otherwise(F.create_map().cast("map<string,string>")).alias("attrs"))
-    return nearest_ancestor(state, "scope").select("doc_id", "node_id", F.coalesce("scope", F.lit("painted")).alias("scope"))
+    """``doc_id, node_id, scope`` of every element (see ``scopes.resolved``)."""
+    return scopes.resolved(elements).select("doc_id", "node_id", "scope")
 
 
 def thin_strokes(elements: DataFrame, least: float, mm_per_unit: float = 25.4 / 96) -> DataFrame:
-    """MIN_STROKE_WIDTH: ``doc_id, node_id, width, points`` of stroked shapes below the least
-    width in points; points null where the width cannot be read."""
-    names = ("stroke", "stroke-width", "stroke-opacity")
-    declared = elements.withColumn("attrs", F.map_concat(*(F.when(attr(p).isNotNull(), F.create_map(F.lit(p), attr(p))).otherwise(F.create_map().cast("map<string,string>")) for p in names)))
-    table = elements.where(_kind().isin(*SHAPES)).select("doc_id", "node_id").join(nearest_ancestors(declared, list(names)), ["doc_id", "node_id"])
-    shown = F.coalesce(numeric.opacity(F.col("stroke-opacity")), F.lit(1.0)) > 0
-    stroked = table.where(~F.lower(F.trim(F.coalesce("stroke", F.lit("none")))).isin("none", "transparent", "") & shown)
-    width = F.coalesce("stroke-width", F.lit("1"))
-    return stroked.select("doc_id", "node_id", width.alias("width"), numeric.length_points(width, mm_per_unit).alias("points")).where(F.col("points").isNull() | (F.col("points") < least))
+    """MIN_STROKE_WIDTH: ``doc_id, node_id, width, points`` of shapes whose stroke inks below the
+    least width in points; points null where the width cannot be read."""
+    found = scopes.strokes(scopes.resolved(elements))
+    return found.withColumn("points", numeric.length_points(F.col("width"), mm_per_unit)).where(F.col("points").isNull() | (F.col("points") < least))
 
 
 def dimensions(elements: DataFrame, width_mm: float | None, height_mm: float | None, tolerance: float = 0.5, mm_per_unit: float = 25.4 / 96) -> DataFrame:
@@ -129,18 +123,8 @@ def dimensions(elements: DataFrame, width_mm: float | None, height_mm: float | N
 
 
 def notes(elements: DataFrame) -> DataFrame:
-    """``doc_id, node_id, rule`` of what is reported without failing: strokes under a scaling
-    transform, effects, translucent paint, definitions that nothing refers to."""
-    scaling = F.coalesce(plain("transform"), F.lit("")).rlike(r"(?i)scale|matrix|skew") & ~F.lower(F.trim(F.coalesce(attr("stroke"), F.lit("none")))).isin("none", "transparent")
-    effect = F.lit(False)
-    for p in EFFECTS:
-        effect = effect | F.coalesce(attr(p).rlike("(?i)url\\("), F.lit(False))
-    thin = F.lit(False)
-    for p in ("opacity", "fill-opacity", "stroke-opacity"):
-        thin = thin | F.coalesce(numeric.opacity(attr(p)).between(1e-12, 1 - 1e-12), F.lit(False))
-    own = elements.select("doc_id", "node_id", F.explode(F.array_compact(F.array(F.when(scaling, "STROKE_SCALE_TRANSFORM"), F.when(effect, "EFFECT_REFERENCE"), F.when(thin, "TRANSLUCENT_PAINT")))).alias("rule"))
-    unseen = paint_scopes(elements).where("scope = 'unchecked'").join(elements.where(_kind().isin(*SHAPES)).select("doc_id", "node_id"), ["doc_id", "node_id"])
-    return own.unionByName(unseen.select("doc_id", "node_id", F.lit("UNCHECKED_DEFINITION").alias("rule")))
+    """``doc_id, node_id, rule`` of what is reported without failing (see ``scopes.notes``)."""
+    return scopes.notes(scopes.resolved(elements))
 
 
 _TOKEN = re.compile(r"([A-Za-z])|([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|([\s,]+)")

@@ -163,6 +163,47 @@ def next_index(files: DataFrame, run: str, name: str) -> DataFrame:
     return files.groupBy(run).agg((1 + F.coalesce(F.max(F.when(number != "", number.cast("long"))), F.lit(0))).alias("following"))
 
 
+def running(df: DataFrame, keys: list[str], by: str, value: str, f, block: int) -> DataFrame:
+    """``df`` with ``_<value>``: ``f`` (sum, max or min) of the values strictly before each row of its keys.
+
+    Rows are cut into blocks of ``by``, a number: a block is summed up, blocks are summed up in order,
+    and a row meets its block's carry and the rows before it in its block.  So one key is many tasks."""
+    cut = df.withColumn("_block", F.floor(F.col(by) / block))
+    past = lambda *part: Window.partitionBy(*part)
+    sums = cut.groupBy(*keys, "_block").agg(f(value).alias("_sum"))
+    carry = sums.select(*keys, "_block", f("_sum").over(past(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    inside = f(value).over(past(*keys, "_block").orderBy(by).rangeBetween(Window.unboundedPreceding, -1))
+    both = cut.withColumn("_inside", inside).join(carry, [*keys, "_block"])
+    return both.withColumn(f"_{value}", f_of_two(f, F.col("_inside"), F.col("_carry"))).drop("_block", "_inside", "_carry")
+
+
+def f_of_two(f, a: Column, b: Column) -> Column:
+    """A sum, maximum or minimum of two, where null counts for nothing."""
+    if f is F.sum:
+        return F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return F.greatest(a, b) if f is F.max else F.least(a, b)
+
+
+def climb(nodes: DataFrame, rules: dict[str, Column], open_while: Column) -> DataFrame:
+    """``nodes`` (``doc_id, node_id, parent_id`` and more) with columns carried down from all ancestors.
+
+    Each rule composes a node's column with its ancestors' (``_<name>``), and composition must be
+    associative.  Pointers double each round, so rounds grow as the logarithm of the depth; a node
+    stops once ``open_while`` is false for it.  The state between rounds is a written table."""
+    from quarrymill.scratch import drop, written
+
+    up = lambda df: df.withColumn("_up", F.when(open_while, F.col("_up")))
+    state = written(up(nodes.withColumn("_up", F.col("parent_id"))), "climb")
+    while not state.where("_up IS NOT NULL").isEmpty():
+        above = state.select("doc_id", F.col("node_id").alias("_up"), *(F.col(n).alias(f"_{n}") for n in rules), F.col("_up").alias("_next"))
+        waiting = state.where("_up IS NOT NULL").join(above, ["doc_id", "_up"], "left")
+        moved = waiting.select(*(rules[c].alias(c) if c in rules else F.col(c) for c in nodes.columns), F.col("_next").alias("_up"))
+        following = written(up(moved).unionByName(state.where("_up IS NULL")), "climb")
+        drop(state)
+        state = following
+    return state.drop("_up")
+
+
 def nearest_ancestors(elements: DataFrame, props: list[str]) -> DataFrame:
     """Each element's inherited properties: its own, or its nearest ancestor's.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarrymill.plans import candidates, curation, elements, events, files, pixels, records, texts
+from quarrymill.plans import candidates, curation, drawings, elements, events, files, pixels, records, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (candidates, records, pixels, texts, events, elements, curation, files):
+for _module in (candidates, records, pixels, texts, events, elements, drawings, curation, files):
     QUERIES |= _module.family.queries
     ORACLES |= _module.family.oracles

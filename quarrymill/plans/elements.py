@@ -140,8 +140,8 @@ def rule_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @family.query(
-    f"""WITH {_EL}, asked AS (SELECT DISTINCT doc_id, 1 AS node_id FROM el WHERE fill = 'url(#n1)' UNION SELECT DISTINCT doc_id, 2 FROM el WHERE hrefs = 0)
-SELECT scope, count(*) AS n FROM (SELECT CASE WHEN tag = 'linearGradient' AND a.node_id IS NOT NULL THEN 'resource' ELSE 'painted' END AS scope FROM el LEFT JOIN asked a USING (doc_id, node_id) UNION ALL SELECT 'painted' FROM orders) GROUP BY scope"""
+    f"""WITH {_EL}, asked AS (SELECT DISTINCT doc_id, 1 AS node_id FROM el WHERE fill = 'url(#n1)' UNION SELECT DISTINCT doc_id, 2 FROM el WHERE hrefs = 0 AND tag = 'use')
+SELECT scope, count(*) AS n FROM (SELECT CASE WHEN tag = 'linearGradient' AND a.node_id IS NULL THEN 'resource' ELSE 'painted' END AS scope FROM el LEFT JOIN asked a USING (doc_id, node_id) UNION ALL SELECT 'painted' FROM orders) GROUP BY scope"""
 )
 def paint_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return el.paint_scopes(element_view(spark, sf_dir)).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,7 +23,26 @@ def folder(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: its lineage ends there."""
+    """``df`` written once to the shared folder and read back: its lineage ends there.  The folder
+    is removed by ``drop``, or when the driver's interpreter ends."""
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(remove, df.sparkSession, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may be gone already; the folder is then the cluster's to clear
+        pass

@@ -166,7 +166,8 @@ def byte_patterns(spark: SparkSession, path: str, patterns: dict[str, bytes]) ->
 
 
 def read_elements(spark: SparkSession, path: str, glob: str = "*.svg") -> DataFrame:
-    """Markup files as a table of elements; no entities, no network; a bad file gives no rows."""
+    """Markup files as a table of elements, numbered in document order, with the ``text`` of style
+    elements; no entities, no network; a bad file gives no rows."""
     import pandas as pd
 
     from quarrymill.schemas import ELEMENTS
@@ -188,11 +189,11 @@ def read_elements(spark: SparkSession, path: str, glob: str = "*.svg") -> DataFr
                 todo, n = [(root, None, 0, 0)], 0
                 while todo:
                     el, parent, place, depth = todo.pop()
-                    rows.append((doc_id, n, parent, place, depth, el.tag.rsplit("}", 1)[-1], {k.rsplit("}", 1)[-1]: v for k, v in el.attrib.items()}))
+                    rows.append((doc_id, n, parent, place, depth, el.tag.rsplit("}", 1)[-1], {k.rsplit("}", 1)[-1]: v for k, v in el.attrib.items()}, "".join(el.itertext()) if el.tag.lower().endswith("style") else None))
                     todo += [(c, n, i, depth + 1) for i, c in reversed(list(enumerate(el)))]
                     n += 1
-            frame = pd.DataFrame(rows, columns=["doc_id", "node_id", "parent_id", "ord", "depth", "tag", "attrs"])
+            frame = pd.DataFrame(rows, columns=["doc_id", "node_id", "parent_id", "ord", "depth", "tag", "attrs", "text"])
             frame["parent_id"] = frame["parent_id"].astype("Int64")
             yield frame
 
-    return files.mapInPandas(run, ELEMENTS)
+    return files.mapInPandas(run, ELEMENTS + ", text string")

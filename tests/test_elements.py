@@ -33,8 +33,8 @@ def test_rules_over_a_drawing(spark):
     table = drawing(spark, rows)
     assert sorted((r.node_id, r.kind) for r in el.raster_sources(table).collect()) == [(8, "use"), (9, "image")]
     colours = {r.colour: r.n for r in el.colours_in_force(table).collect()}
-    # both uses, the clipped rect and the unused path are black, and the first use is stroked so; the gradient is no colour
-    assert colours == {"#00ff00": 1, "#0000ff": 1, "#123456": 1, "#000000": 5}
+    # the first use is black and stroked so; what is hidden, clipping or unused inks nothing; the gradient is no colour
+    assert colours == {"#00ff00": 1, "#0000ff": 1, "#123456": 1, "#000000": 2}
     assert el.colour_count(table, 3).count() == 1 and el.colour_count(table, 4).count() == 0
     assert [r.colour for r in el.off_palette(table, ["#000000", "#00FF00", "#123456"]).collect()] == ["#0000ff"]
     assert sorted((r.node_id, r.kind, r.target) for r in el.gradients(table).collect()) == [(5, "definition", "g"), (6, "fill", "g")]
@@ -42,8 +42,8 @@ def test_rules_over_a_drawing(spark):
     assert sorted((r.node_id, r.points and round(r.points, 6)) for r in el.thin_strokes(table, 0.5).collect()) == [(2, 0.1), (7, None)]
     assert [(r.axis, round(r.actual_mm, 3)) for r in el.dimensions(table, 10.4, 50.0).collect()] == [("height", 50.8)]
     scopes = {r.node_id: r.scope for r in el.paint_scopes(table).collect()}
-    assert (scopes[2], scopes[8], scopes[11], scopes[13], scopes[5]) == ("painted", "hidden", "inert", "unchecked", "resource")
-    assert sorted((r.node_id, r.rule) for r in el.notes(table).collect()) == [(6, "TRANSLUCENT_PAINT"), (6, "UNCHECKED_DEFINITION"), (11, "EFFECT_REFERENCE"), (13, "UNCHECKED_DEFINITION")]
+    assert (scopes[2], scopes[8], scopes[11], scopes[13], scopes[5]) == ("painted", "hidden", "inert", "unchecked", "painted")
+    assert sorted((r.node_id, r.rule) for r in el.notes(table).collect()) == [(6, "TRANSLUCENT_PAINT"), (13, "UNCHECKED_DEFINITION")]
     paths = el.path_table(table)
     assert sorted((r.node_id, r.rule) for r in el.path_findings(paths).collect()) == [(2, "OPEN_PATH"), (13, "ZERO_AREA_PATH")]
     assert el.path_findings(paths, allow_open=True).count() == 1 and el.path_totals(paths, 0).first().over_limit == 1
