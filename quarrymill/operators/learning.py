@@ -25,7 +25,8 @@ def fold_events(events: DataFrame) -> DataFrame:
         .groupBy("job", "svg_sha")
         .agg(
             F.bool_or(shown).alias("shown"),
-            F.coalesce(F.max_by(F.when(shown, F.col("pos")), F.when(shown, order)), F.min_by(F.when(~shown, F.col("pos")), F.when(~shown, order))).alias("pos"),
+            # a line without a place says nothing of the place
+            F.coalesce(F.max_by("pos", F.when(shown & F.col("pos").isNotNull(), order)), F.min_by("pos", F.when(~shown & F.col("pos").isNotNull(), order))).alias("pos"),
             F.when(F.max(sign) > 0, 1).when(F.min(sign) < 0, -1).otherwise(0).alias("action"),
             F.max("t").alias("last_t"),
         )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,22 +40,10 @@ def band_join(histogram: DataFrame, colours: DataFrame, tolerance: int = 16) ->
 
 def leader_clusters(histogram: DataFrame, image: str, tolerance: float = 20.0) -> DataFrame:
     """Greedy clusters of an image's colours: heaviest first, each joins the first cluster
-    whose representative is near enough.  Input is a thresholded histogram, one image a group."""
+    whose representative is near enough (see ``plates.ink_clusters``)."""
+    from quarrymill.operators.plates import ink_clusters
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[list] = []
-        for r, g, b, n in group.sort_values(["n", "r", "g", "b"], ascending=[False, True, True, True])[["r", "g", "b", "n"]].itertuples(index=False):
-            for leader in leaders:
-                if (leader[0] - r) ** 2 + (leader[1] - g) ** 2 + (leader[2] - b) ** 2 <= tolerance**2:
-                    leader[3] += n
-                    leader[4] += 1
-                    break
-            else:
-                leaders.append([r, g, b, n, 1])
-        return pd.DataFrame([(group[image].iloc[0], i, *x) for i, x in enumerate(leaders)], columns=[image, "cluster", "r", "g", "b", "n", "members"])
-
-    kind = dict(histogram.dtypes)[image]
-    return histogram.groupBy(image).applyInPandas(run, f"{image} {kind}, cluster long, r long, g long, b long, n long, members long")
+    return ink_clusters(histogram, image, tolerance).select(image, "cluster", "r", "g", "b", "n", "members")
 
 
 def _neighbours(value: str, image: str) -> dict[str, Column]:
@@ -104,26 +91,32 @@ def fidelity(channels: DataFrame, key: str) -> DataFrame:
     )
 
 
+def runs(pixels: DataFrame, image: str) -> DataFrame:
+    """``image, y, lo, hi``: each row's runs of neighbouring pixels."""
+    row = Window.partitionBy(image, "y").orderBy("x")
+    island = F.col("x") - F.row_number().over(row)
+    return pixels.select(image, "y", "x").distinct().withColumn("_island", island).groupBy(image, "y", "_island").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).drop("_island")
+
+
+def blobs(pixels: DataFrame, image: str, block: int = 256) -> DataFrame:
+    """``image, blob, pixels`` of the 4-connected blobs of marked pixels.
+
+    Runs of a row are nodes; runs of adjoining rows that overlap are linked, and meet in blocks of
+    ``block`` columns, so that a raster of any size is many tasks; blobs are their components."""
+    from quarrymill.operators.relations import components
+    from quarrymill.scratch import written
+
+    node = F.struct(F.col(image).cast("string").alias("image"), "y", "lo")
+    found = written(runs(pixels, image).withColumn("node", node), "runs")
+    cells = F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))
+    placed = found.select(image, "y", "lo", "hi", "node", F.explode(cells).alias("cell"))
+    above = placed.select(image, (F.col("y") + 1).alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("node").alias("other"), "cell")
+    links = placed.join(above, [image, "y", "cell"]).where("lo <= hi2 AND lo2 <= hi").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    labels = components(links).withColumnRenamed("component", "_blob")
+    sized = found.join(labels, "node", "left").withColumn("_blob", F.coalesce("_blob", "node"))
+    return sized.groupBy(image, F.col("_blob").alias("blob")).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("pixels"))
+
+
 def blob_sizes(pixels: DataFrame, image: str) -> DataFrame:
-    """Largest 4-connected blob of each image's marked pixels.  A group is one raster,
-    whose size the image format bounds; blobs are joined by union-find inside it."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        cells = {cell: i for i, cell in enumerate(zip(group["y"], group["x"], strict=True))}
-        up = list(range(len(cells)))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for (y, x), i in cells.items():
-            for near in ((y - 1, x), (y, x - 1)):
-                if near in cells:
-                    up[root(i)] = root(cells[near])
-        sizes = pd.Series([root(i) for i in range(len(up))]).value_counts()
-        return pd.DataFrame({image: [group[image].iloc[0]], "largest": [sizes.max()], "blobs": [len(sizes)]})
-
-    kind = dict(pixels.dtypes)[image]
-    return pixels.groupBy(image).applyInPandas(run, f"{image} {kind}, largest long, blobs long")
+    """Largest 4-connected blob of each image's marked pixels, and how many there are."""
+    return blobs(pixels, image).groupBy(image).agg(F.max("pixels").alias("largest"), F.count(F.lit(1)).alias("blobs"))

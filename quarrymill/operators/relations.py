@@ -227,3 +227,27 @@ def nearest_ancestors(elements: DataFrame, props: list[str]) -> DataFrame:
 
 def nearest_ancestor(elements: DataFrame, prop: str) -> DataFrame:
     return nearest_ancestors(elements, [prop])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, component`` (the smallest node reachable) of every node of links ``a, b``.
+
+    Large and small stars in turn: a node's larger neighbours hang on its smallest, then its smaller
+    ones, until nothing moves; rounds grow as the logarithm of the longest path.  Links between rounds
+    are a written table, and what moved is told by two digests of it."""
+    from quarrymill.scratch import drop, written
+
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    code = F.xxhash64("u", "v")
+    digest = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(code), F.sum(F.pmod(code, F.lit(1 << 31)))).first())
+    state, before = digest(edges), None
+    while state != before:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        following = written(small, "stars")
+        drop(edges)
+        edges, before, state = following, state, digest(following)
+    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

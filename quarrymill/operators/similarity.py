@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.config import INTENT_THRESHOLD
 from quarrymill.functions.text import grams, normal
+from quarrymill.operators.greedy import first_leaders
 
 
 def gram_counts(docs: DataFrame, key: str, text: str, n: int = 2) -> DataFrame:
@@ -46,22 +46,11 @@ def similar_pairs(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
 
 def intent_groups(ids: DataFrame, pairs: DataFrame, key: str, block: str | None = None) -> DataFrame:
     """Greedy groups: the lowest free id is a seed and takes every free id similar to it.
-    Runs block by block; a block's links, not its texts, meet in one task."""
-    own = ids.select(F.col(key).alias("id"), (F.col(block) if block else F.lit("all")).alias("block"))
-    linked = pairs.join(own, pairs["a"] == own["id"]).select("block", F.col("a").alias("id"), F.col("b").alias("other"))
-    rows = own.select("block", "id", F.lit(None).cast("long").alias("other")).unionByName(linked)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        near = group.dropna(subset=["other"]).groupby("id")["other"].apply(lambda s: sorted(s.astype("int64"))).to_dict()
-        seed: dict[int, int] = {}
-        for i in sorted(group["id"].unique()):
-            if i not in seed:
-                seed[i] = i
-                for j in near.get(i, ()):
-                    seed.setdefault(j, i)
-        return pd.DataFrame({"id": list(seed), "seed": list(seed.values())})
-
-    return rows.groupBy("block").applyInPandas(run, "id long, seed long").withColumnRenamed("id", key)
+    Ids decide in rounds, once those below them have (see ``greedy``)."""
+    own = ids.select(F.col(key).cast("long").alias("place"), (F.col(block) if block else F.lit("all")).alias("block"))
+    links = pairs.select(F.greatest("a", "b").cast("long").alias("place"), F.least("a", "b").cast("long").alias("earlier"))
+    links = links.join(own, "place").join(own.select(F.col("place").alias("earlier"), "block"), ["earlier", "block"])
+    return first_leaders(own, links).select(F.col("place").alias(key), F.col("leader").alias("seed"))
 
 
 DEFAULT_THRESHOLD = INTENT_THRESHOLD

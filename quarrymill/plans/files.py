@@ -71,13 +71,12 @@ def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(lrn.model_rows(readers.load_model(spark, path)), "feature string, ord int, weight double, mean double, scale double")
 
 
-@family.query("SELECT 'doc' || doc_id || '.txt' AS file, sha256(coalesce(text, '')) AS sha256, octet_length(encode(coalesce(text, ''))) AS size FROM documents WHERE doc_id % 50 = 0")
+@family.query("SELECT 'doc' || (doc_id // 64) || '.txt' AS file, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id)) AS sha256, octet_length(encode(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id))) AS size FROM documents GROUP BY 1")
 def checksum_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files, their checksums in a sidecar table, and that table read back (every fiftieth
-    document is a file here: the file count is the feature)."""
+    """Files of 64 documents each, their checksums in a sidecar table, and that table read back."""
     path, side = folder(spark, "files"), folder(spark, "sidecars")
-    docs = load(spark, sf_dir, "documents").where("doc_id % 50 = 0")
-    named = docs.select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = load(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 64).alias("file")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("docs"))
+    named = docs.select(F.concat(F.lit("doc"), "file", F.lit(".txt")).alias("file"), F.array_join("docs.text", "\n").alias("text"))
     named.write.partitionBy("file").option("lineSep", "\x00").text(path)
     found = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), F.expr("substring(content, 1, length(content) - 1)").alias("content"))
     readers.stamp_checksums(found, side)

@@ -13,8 +13,6 @@ from quarrymill.tables import load
 
 family = Family()
 
-INK_AREA_PERCENT = 0.05
-
 PALETTE = [(0, 0, 0), (255, 255, 255), (200, 30, 30), (30, 200, 30), (30, 30, 200), (128, 128, 128)]
 _PIX = "pix AS (SELECT l_orderkey, l_linenumber, l_partkey % 256 AS r, (l_orderkey * 7) % 256 AS g, (l_linenumber * 36) % 256 AS b, l_quantity, l_discount, l_tax, l_extendedprice FROM lineitem)"
 _GRID = "grid AS (SELECT image, y, x, max(v) AS v FROM (SELECT l_suppkey % 4 AS image, l_orderkey % 64 AS y, l_partkey % 64 AS x, l_linenumber % 3 AS v FROM lineitem) GROUP BY ALL)"
@@ -135,19 +133,6 @@ def interior_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.interior(grid_view(spark, sf_dir), "v", "image")
 
 
-def inks(hist: DataFrame) -> DataFrame:
-    """Colours that cover at least ``INK_AREA_PERCENT`` of their image."""
-    area = F.sum("n").over(Window.partitionBy("image"))
-    return hist.where("n > 0").withColumn("area", area).where(100 * F.col("n") >= INK_AREA_PERCENT * F.col("area")).drop("area")
-
-
-@family.query()
-def ink_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = pixel_view(spark, sf_dir).withColumn("image", F.col("l_linenumber").cast("long"))
-    hist = view.groupBy("image", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
-    return px.leader_clusters(inks(hist), "image")
-
-
 @family.query()
 def gap_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.blob_sizes(grid_view(spark, sf_dir).where("v = 2"), "image")

@@ -110,7 +110,15 @@ def text_sim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.similar_pairs(vectors, "item_id", 0.5).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@family.query()
+@family.query(
+    f"""WITH RECURSIVE {_grams('benchmark', 'item_id')}, near AS (SELECT a.k AS a, b.k AS b FROM vec a JOIN vec b ON a.gram = b.gram AND a.k < b.k GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.8),
+ids AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark), walk AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS seeds, NULL::BIGINT AS item_id, NULL::BIGINT AS seed
+  UNION ALL
+  SELECT i.n, CASE WHEN hit IS NULL THEN list_append(seeds, i.item_id) ELSE seeds END, i.item_id, coalesce(hit, i.item_id)
+  FROM (SELECT w.n, w.seeds, ids.item_id, (SELECT min(near.a) FROM near WHERE near.b = ids.item_id AND list_contains(w.seeds, near.a)) AS hit FROM walk w JOIN ids ON ids.n = w.n + 1) x JOIN ids i ON i.item_id = x.item_id)
+SELECT item_id, seed FROM walk WHERE n > 0"""
+)
 def intent_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = load(spark, sf_dir, "benchmark")
     vectors, _ = _vectors(items, "item_id")
