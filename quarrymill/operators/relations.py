@@ -91,13 +91,34 @@ def ordinal_zip(a: Column, b: Column, name: str = "pair") -> Column:
     return F.explode(F.arrays_zip(a.alias("left"), b.alias("right"))).alias(name)
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time_left: str, time_right: str, value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, time_left: str, time_right: str, value: str, hours: int = 24) -> DataFrame:
     """Each left row with the latest right value at or before its time (an extension).
-    Both sides are ordered once, together: no pair of rows is made."""
-    a = left.select(key, F.col(time_left).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    b = right.select(key, F.col(time_right).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    upto = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("_last", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1").select("_row.*", F.col("_last").alias(value))
+
+    Both sides are ordered once, together, in blocks of ``hours``: a block's last value is carried to
+    the blocks after it, so a key with half of all rows is many tasks.  No pair of rows is made."""
+    a = left.select(F.col(key).alias("_k"), F.col(time_left).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    b = right.select(F.col(key).alias("_k"), F.col(time_right).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
+    both = a.unionByName(b).withColumn("_block", F.floor(F.unix_seconds("_t") / (3600 * hours)))
+    upto = Window.partitionBy("_k", "_block").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.groupBy("_k", "_block").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).alias("_end"))
+    before = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_k", "_block", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    inside = both.withColumn("_last", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1")
+    same = inside["_k"].eqNullSafe(carry["_k"]) & inside["_block"].eqNullSafe(carry["_block"])
+    return inside.join(carry, same, "left").select("_row.*", F.coalesce("_last", "_carry").alias(value))
+
+
+def gap_sessions(df: DataFrame, key: str, time: str, gap_seconds: int, hours: int = 24) -> DataFrame:
+    """``key, session, n``: rows of a key in sessions that a pause of ``gap_seconds`` ends.
+
+    Rows of one moment are counted first; the moment before, and the sessions begun so far, are
+    carried over blocks of ``hours`` (see ``running``), so a hot key is many tasks."""
+    block = 3_600_000_000 * hours
+    moments = df.where(F.col(time).isNotNull()).groupBy(F.col(key), F.unix_micros(time).alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    opened = running(moments, [key], "us", "us", F.max, block)
+    opened = opened.withColumn("opens", F.when(F.col("us") - F.col("_us") < gap_seconds * 1_000_000, 0).otherwise(1))
+    counted = running(opened.drop("_us"), [key], "us", "opens", F.sum, block)
+    return counted.groupBy(key, (F.coalesce("_opens", F.lit(0)) + F.col("opens")).alias("session")).agg(F.sum("n").alias("n"))
 
 
 def parameter_grid(base: DataFrame, **axes) -> DataFrame:

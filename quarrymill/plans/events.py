@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.operators import learning as lrn
+from quarrymill.operators import relations as rel
 from quarrymill.plans.registry import Family
 from quarrymill.tables import load
 
@@ -99,9 +100,7 @@ def daily_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     " s AS (SELECT user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, sid AS session, count(*) AS n FROM s GROUP BY ALL"
 )
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = load(spark, sf_dir, "events").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("user_id").orderBy("session_window.start")
-    return sessions.select("user_id", F.row_number().over(w).cast("long").alias("session"), "n")
+    return rel.gap_sessions(load(spark, sf_dir, "events"), "user_id", "ts", 1800).withColumn("session", F.col("session").cast("long"))
 
 
 @family.query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
