@@ -145,3 +145,19 @@ def nested_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is reported without failing."""
     found = scopes.notes(scopes.resolved(nested_view(spark, sf_dir)))
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+_OWN = "concat_ws(chr(2), lower(tag), concat_ws(chr(1), CASE WHEN hot THEN 'class=' || CASE WHEN big THEN 'hot  big' ELSE 'Hot' END END, 'color=' || color, 'fill=' || fill, CASE WHEN tag = 'use' THEN 'href=#n4' END, 'id=' || id, 'stop-color=' || stop, 'stroke=' || stroke, 'stroke-width=' || sw, 'style=' || " + _PICK(STYLES).format("st") + ", CASE WHEN n = 3 THEN 'transform=Scale(2)' END), '')"
+_KIDS = lambda t: f"SELECT doc_id, up, sha256(string_agg(digest, '' ORDER BY node_id)) AS kids, sum(nodes) AS below FROM {t} GROUP BY doc_id, up"
+_TREE = f"""{_EL}, own AS (SELECT *, {_OWN} AS own FROM el),
+low AS (SELECT doc_id, up, node_id, n, sha256(own || chr(2)) AS digest, 1 AS nodes FROM own WHERE n >= 4),
+mid AS (SELECT o.doc_id, o.up, o.node_id, o.n, sha256(own || chr(2) || coalesce(kids, '')) AS digest, 1 + coalesce(below, 0) AS nodes FROM own o LEFT JOIN ({_KIDS("low")}) k ON k.doc_id = o.doc_id AND k.up = o.n WHERE o.n IN (2, 3)),
+top AS (SELECT o.doc_id, o.up, o.node_id, o.n, sha256(own || chr(2) || coalesce(kids, '')) AS digest, 1 + coalesce(below, 0) AS nodes FROM own o LEFT JOIN ({_KIDS("mid")}) k ON k.doc_id = o.doc_id AND k.up = o.n WHERE o.n = 1)"""
+
+
+@family.query(f"WITH {_TREE} SELECT doc_id, node_id, digest, CAST(nodes AS BIGINT) AS nodes FROM (SELECT * FROM low UNION ALL SELECT * FROM mid UNION ALL SELECT * FROM top)")
+def tree_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A canonical digest of every subtree of the drawings."""
+    from quarrymill.operators.canonical import tree_digests as digests
+
+    return digests(nested_view(spark, sf_dir).where("node_id > 1"))
