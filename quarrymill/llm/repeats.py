@@ -1,27 +1,29 @@
 """Substring deduplication with prefix-partitioned suffix trees.
 
 A word goes when a window of ``WINDOW`` words that covers it also starts in a document
-with a smaller id.  Such windows are the suffixes whose ancestor at that depth in the
-suffix tree of the corpus is an internal node with a smaller document below it.
+with a smaller id.  Such windows are the suffixes that stand in the suffix tree of the
+corpus under a node at that depth with a smaller document below it.
 
 * Only suffixes that can have such a node enter.  Of the corpus' runs of ``GRAM`` words
   those are counted whose own hash is drawn (one in ``DRAWN``, alike wherever a run
   stands); a window that holds a drawn run of one document only is repeated nowhere.
   Exact copies enter once.
-* Suffixes are split by prefix: of each window the run with the smallest hash (equal
-  windows have equal ones) names its group, and consecutive suffixes of one group travel
-  as one piece of text.  A group of more than ``GROUP_WINDOWS`` suffixes is split further:
-  its pieces are dealt over parts, each part's subtree keeps for each deep node the
-  suffixes of its smallest document, and these meet by their full depth (a 128-bit hash of the
-  window's bytes) in an aggregation that combines before it shuffles.
-* A part's suffixes are sorted as text, the leaves of its subtree in order; neighbours
-  that agree in ``WINDOW`` words lie under one deep internal node.  Consecutive places under
-  nodes with a smaller document make one maximal repeat, and so one row.
+* Suffixes are split by prefixes of varying length: a suffix is read up to the end of the run
+  of its first ``WINDOW`` words that has the smallest hash, 8 to 50 words.  Equal windows have equal
+  prefixes.  Prefixes that end in the same run make a group, because consecutive suffixes have such
+  prefixes and then travel as one piece of text.
+* A group of up to ``GROUP_BYTES`` is solved in memory, several small ones together: a linked suffix
+  tree of its pieces (``suffix_tree``), in which each suffix finds the deepest node above it with a
+  smaller document below; the node's label is a maximal repeat, and gives a run of windows.
+* For a larger group the prefix is lengthened to the whole window.  Its equal pieces are first made
+  one, with their smallest document, by an aggregation that combines before it shuffles; then
+  equal windows meet by their text, and each piece is told the smallest document of each of its windows.
 
 Defined results: null and blank texts have no words; a null ``doc_id`` is never smaller
 and never loses words; rows that repeat an id are not smaller than each other, so ties
 lose nothing; very long and periodic texts are cut into pieces of ``PIECE`` windows, each
-whole; no rows give no rows; extra columns are unused.
+whole, and groups by bytes, so long words do not make one heavy; no rows give no rows; extra
+columns are unused.
 """
 
 from __future__ import annotations
@@ -36,13 +38,15 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import dispose, documents, materialise
 from quarrymill.llm.hashing import run_hashes, sliding_min, word_hashes
+from quarrymill.llm.suffix_tree import repeated_runs
 from quarrymill.llm.tokenisation import text_chunks
 
 WINDOW = 50
 GRAM = 8
 DRAWN = 8
-GROUP_WINDOWS = 1 << 14
 PIECE = 1 << 10
+#: Bytes of pieces that are one group at most, and of small groups that are solved together.
+GROUP_BYTES, SOLVED_BYTES = 2 << 20, 1 << 19
 #: Bytes of text hashed at once; numpy holds some 80 times as many.
 _CHUNK_BYTES = 1 << 19
 
@@ -125,61 +129,75 @@ def suffixes(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, tkey long, start long, n long, body binary")
 
 
+_RUN = "doc_id long, tkey long, start long, n long"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return _rows(**{name: pa.array(column, pa.int64()) for name, column in zip(("doc_id", "tkey", "start", "n"), zip(*rows, strict=True), strict=True)})
+
+
 def subtrees(window: int):
-    """Over pieces ordered by (key, part): runs of ``n`` suffixes under a deep node with a
-    smaller document (``code`` null); and, of split groups, each deep node's suffixes of its
-    smallest document (``n`` null) with its ``code``."""
+    """Over pieces ordered by group: runs of windows that a smaller document has, too."""
 
     def solve(pieces: list[tuple]) -> list[tuple]:
-        leaves = []
-        for k, (_, _, split, _, _, _, n, body) in enumerate(pieces):
-            words = body.split(b" ")
-            at = np.append(0, np.cumsum([len(w) + 1 for w in words])).tolist()
-            leaves += [(body[at[i] : at[i + window] - 1], pieces[k][3], k, i) for i in range(n)]
-        leaves.sort()  # the subtree's leaves in order: by text, then document
-        node, least, gone, out = None, 0, [], []
-        for text, doc, k, i in leaves:
-            if text != node:
-                node, least = text, doc
-            if doc > least:
-                gone.append((k, i))
-            elif pieces[k][2]:
-                _, _, _, doc_id, tkey, start, _, _ = pieces[k]
-                out.append((doc_id, tkey, start + i, None, hashlib.blake2b(text, digest_size=16).digest()))
-        gone.sort()
-        at = 0
-        while at < len(gone):
-            k, i = gone[at]
-            end = at + 1
-            while end < len(gone) and gone[end] == (k, i + end - at):
-                end += 1
-            _, _, _, doc_id, tkey, start, _, _ = pieces[k]
-            out.append((doc_id, tkey, start + i, end - at, None))
-            at = end
-        return out
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return _rows(**{name: pa.array(column, kind) for name, column, kind in zip(("doc_id", "tkey", "start", "n", "code"), zip(*rows, strict=True), kinds, strict=True)})
+        found = repeated_runs([p[5].split(b" ") for p in pieces], [p[1] for p in pieces], window)
+        return [(pieces[k][1], pieces[k][2], pieces[k][3] + start, n) for k, start, n in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out = None, [], []
+        held, size, last = [], 0, None
         for batch in batches:
-            for piece in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "split", "doc_id", "tkey", "start", "n", "body")), strict=True):
-                if piece[:2] != at:
-                    out += solve(held)
-                    at, held = piece[:2], []
+            for piece in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "tkey", "start", "n", "body")), strict=True):
+                if piece[0] != last and size >= SOLVED_BYTES:
+                    if rows := solve(held):
+                        yield _packed(rows)
+                    held, size = [], 0
+                last = piece[0]
                 held.append(piece)
-                if len(out) > 20_000:
-                    yield packed(out)
-                    out = []
-        out += solve(held)
-        if out:
-            yield packed(out)
+                size += len(piece[5])
+        if held and (rows := solve(held)):
+            yield _packed(rows)
 
     return run
 
 
+def whole_windows(window: int):
+    """Every window of a piece, as its text: ``node, bid, at, least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bid, n, least, body in zip(*(batch.column(c).to_pylist() for c in ("bid", "n", "least", "body")), strict=True):
+                cuts = np.append(0, np.cumsum([len(w) + 1 for w in body.split(b" ")])).tolist()
+                nodes = [body[cuts[i] : cuts[i + window] - 1] for i in range(n)]
+                yield _rows(node=pa.array(nodes, pa.binary()), bid=pa.array([bid] * n, pa.int64()), at=pa.array(range(n), pa.int64()), least=pa.array([least] * n, pa.int64()))
+
+    return run
+
+
+def told_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows of a piece whose smallest document (``firsts``, in order) is smaller than its own."""
+    for batch in batches:
+        out = []
+        for doc_id, tkey, start, firsts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tkey", "start", "firsts")), strict=True):
+            gone = np.concatenate(([False], np.array(firsts, np.int64) < doc_id, [False]))
+            turns = np.flatnonzero(gone[1:] != gone[:-1])
+            out += [(doc_id, tkey, start + lo, hi - lo) for lo, hi in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+        if out:
+            yield _packed(out)
+
+
+def large_groups(pieces: DataFrame, window: int) -> DataFrame:
+    """Runs of windows of the pieces of groups that no task could hold."""
+    bodies = pieces.groupBy("key", "body").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    bodies = materialise(bodies.withColumn("bid", F.monotonically_increasing_id()), "bodies")
+    windows = bodies.select("bid", "n", "least", "body").mapInArrow(whole_windows(window), "node binary, bid long, at long, least long")
+    windows = materialise(windows, "windows")
+    first = windows.groupBy("node").agg(F.min("least").alias("first"))
+    told = windows.join(first.hint("merge"), "node").groupBy("bid").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("f"))  # as many as a piece has windows
+    told = told.select("bid", F.col("f.first").alias("firsts")).join(bodies.select("bid", "key", "body"), "bid")
+    met = pieces.join(told.hint("merge"), ["key", "body"]).select("doc_id", "tkey", "start", "firsts")
+    return met.mapInArrow(told_runs, _RUN)
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Runs of windows to remove (``doc_id, tkey, start, n``), and exact copies (``doc_id, tkey``)."""
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("rid", F.xxhash64("doc_id", "text"))
@@ -194,15 +212,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     marks = kept.unionByName(alone.where("bare").select("rid", F.array().cast("array<long>").alias("grams"))).groupBy("rid").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     found = materialise(suffixes(known.join(marks, "rid"), window), "suffixes")
     # a group of one document holds no repeat
-    groups = found.groupBy("key").agg(F.sum("n").alias("size"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", F.ceil(F.col("size") / GROUP_WINDOWS).cast("int").alias("parts"))
-    dealt = found.join(groups.hint("merge"), "key").select("key", F.pmod(F.xxhash64("doc_id", "tkey", "start"), F.col("parts")).cast("int").alias("part"), (F.col("parts") > 1).alias("split"), "doc_id", "tkey", "start", "n", "body")
-    solved = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(subtrees(window), "doc_id long, tkey long, start long, n long, code binary")
-    solved = materialise(solved, "repeats")
-    deep = solved.where("code IS NOT NULL").select("doc_id", "tkey", "start", "code")
-    nodes = deep.groupBy("code").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    across = deep.join(nodes.hint("merge"), "code").where("doc_id > least").select("doc_id", "tkey", "start", F.lit(1).cast("long").alias("n"))
-    dispose(found)
-    return solved.where("code IS NULL").select("doc_id", "tkey", "start", "n").unionByName(across), copies
+    groups = found.groupBy("key").agg(F.sum(F.length("body")).alias("bytes"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    groups = materialise(groups.select("key", (F.col("bytes") > GROUP_BYTES).alias("large")), "groups")
+    columns = ("key", "doc_id", "tkey", "start", "n", "body")
+    small = found.join(groups.where("NOT large").hint("merge"), "key").select(*columns)
+    solved = small.repartition("key").sortWithinPartitions("key").mapInArrow(subtrees(window), _RUN)
+    large = found.join(groups.where("large"), "key").select(*columns)
+    solved = materialise(solved.unionByName(large_groups(large, window)), "repeats")
+    dispose(found, groups)
+    return solved, copies
 
 
 def keyed(docs: DataFrame) -> DataFrame:

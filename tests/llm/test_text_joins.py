@@ -153,9 +153,12 @@ def test_neighbourhoods_meet_sets_one_shingle_apart():
         assert (full_a == shingle_join.signatures(a, band)).all()
 
 
-def test_passages_periodic_and_hot(spark, monkeypatch):
+@pytest.mark.parametrize("size", [None, 0, 4000])
+def test_passages_periodic_and_hot(spark, monkeypatch, size):
     """A passage in most documents, texts of two words in turn, copies: groups are split, too."""
-    monkeypatch.setattr(repeats, "GROUP_WINDOWS", 64)
+    if size is not None:  # groups by bytes: every group is large, or some are, or none
+        monkeypatch.setattr(repeats, "GROUP_BYTES", size)
+        monkeypatch.setattr(repeats, "SOLVED_BYTES", 300)
     monkeypatch.setattr(repeats, "PIECE", 40)
     rng = random.Random(4)
     words = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
@@ -166,3 +169,33 @@ def test_passages_periodic_and_hot(spark, monkeypatch):
     rng.shuffle(items)
     assert cut(spark, items) == removed(items)
     assert cut(spark, items[:0]) == []
+
+
+def test_suffix_trees_show_every_repeat():
+    """Against all windows of all pieces: small alphabets, periodic pieces, one document in many pieces."""
+    from quarrymill.llm.suffix_tree import SuffixTree, repeated_runs
+
+    for seed in range(250):
+        rng = random.Random(seed)
+        width, words = rng.choice([1, 2, 3, 5]), [bytes([97 + i]) for i in range(rng.choice([1, 2, 3, 6]))]
+        pieces = [[rng.choice(words) for _ in range(rng.randrange(25))] for _ in range(rng.randrange(1, 9))]
+        if seed % 2 and len(pieces) > 2:
+            pieces[1] = pieces[0][2:] + pieces[0]
+        docs = [rng.randrange(6) for _ in pieces]
+        least = {}
+        for piece, doc in zip(pieces, docs):
+            for i in range(len(piece) - width + 1):
+                key = tuple(piece[i : i + width])
+                least[key] = min(least.get(key, doc), doc)
+        want = {(k, i) for k, (piece, doc) in enumerate(zip(pieces, docs)) for i in range(len(piece) - width + 1) if least[tuple(piece[i : i + width])] < doc}
+        runs = repeated_runs(pieces, docs, width)
+        assert {(k, s + i) for k, s, n in runs for i in range(n)} == want and sum(n for *_, n in runs) == len(want)
+        tree = SuffixTree(pieces, docs, width)
+        up = tree.parent >= 0
+        assert (tree.depth >= width).all() and (tree.depth[tree.parent[up]] < tree.depth[up]).all() and (tree.least[tree.parent[up]] <= tree.least[up]).all()
+
+
+def test_long_words_do_not_make_a_group_heavy(spark):
+    words = ["x" * 3000 + str(i) for i in range(80)]
+    items = [(k, " ".join(words[k % 3 :])) for k in range(12)]
+    assert cut(spark, items) == removed(items)
