@@ -11,13 +11,12 @@ to the turn before it.
 A message that answers an earlier turn than the one before it opens a branch; those after
 it, up to the next such one, carry it on.  Branches hang on the turns they answer.  Messages
 are placed in reply order: after a message first what carries its branch on, then the branches
-that answer it, by turn; no message comes before the one it answers.  Paths of branches are
-built by pointer doubling over written tables, so rounds grow as the logarithm of their depth.
+that answer it, by turn; no message comes before the one it answers.  Places of branches are
+added up by pointer doubling over written tables, so rounds grow as the logarithm of their depth.
 
 A line said in every turn of a giant conversation, or that conversation itself, may hold any
 share of the rows: turns are cut in blocks, totals and last sayings of blocks are carried
-over, and only a block is ordered in one task.  Branches of one conversation are ordered
-together; they are as many as messages that skip back.
+over, and only a block is ordered in one task; branches that hang on one are cut in blocks, too.
 
 Defined results: a null text has an empty body; rows without conversation or turn
 keep a null ``reply_to`` and ``position``; repeated turns tie, and share position and reply;
@@ -46,19 +45,21 @@ def _normal(line):
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, level, said, words`` of lines, runs of lines and whole unquoted texts."""
-    line = F.transform(F.split("text", "\n"), lambda x: F.struct(_level(x).alias("level"), _normal(x).alias("said")))
-    joined = lambda some: F.btrim(F.array_join(some, " "))
-    # a run ends where the level changes or a line is blank
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["said"] != "") & (F.element_at(acc, -1)["said"] != "") & (F.element_at(acc, -1)["level"] == x["level"]),
-        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat_ws(" ", F.element_at(acc, -1)["said"], x["said"]).alias("said")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    empty = F.array().cast("array<struct<level:int,said:string>>")
-    whole = F.array(F.struct(F.lit(0).alias("level"), joined(F.transform(F.filter("lines", lambda x: (x["level"] == 0) & (x["said"] != "")), lambda x: x["said"])).alias("said")))
-    rows = messages.select("conv_id", "turn", line.alias("lines"))
-    runs = rows.select("conv_id", "turn", F.explode(F.array_distinct(F.concat("lines", F.aggregate("lines", empty, step), whole))).alias("p"))
-    return runs.select("conv_id", "turn", "p.level", "p.said").where("said <> ''").withColumn("words", F.size(F.split("said", " ")).cast("long"))
+    """``conv_id, turn, level, said, words`` of lines, runs of lines and whole unquoted texts.
+
+    Lines are rows: a run begins where the level changes or a line, or the one before, is blank, and
+    its number is a running count of beginnings; so a message of any length is read once."""
+    texts = messages.select("conv_id", "turn", "text").distinct().withColumn("own", F.sha2("text", 256))
+    rows = texts.select("conv_id", "turn", "own", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("conv_id", "turn", "own", "pos", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("said"))
+    order = Window.partitionBy("conv_id", "turn", "own").orderBy("pos")
+    begins = F.coalesce((F.lag("level").over(order) != F.col("level")) | (F.lag("said").over(order) == "") | (F.col("said") == ""), F.lit(True))
+    rows = rows.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    text = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "said"))))["said"], " ")
+    shown = F.col("said") != ""
+    runs = rows.where(shown).groupBy("conv_id", "turn", "own", "run").agg(F.max("level").alias("level"), text(F.lit(True)).alias("said"))
+    whole = rows.groupBy("conv_id", "turn", "own").agg(F.lit(0).alias("level"), text(shown & (F.col("level") == 0)).alias("said"))
+    found = rows.select("conv_id", "turn", "level", "said").unionByName(runs.select("conv_id", "turn", "level", "said")).unionByName(whole.select("conv_id", "turn", "level", "said"))
+    return found.where("said <> ''").distinct().withColumn("words", F.size(F.split("said", " ")).cast("long"))
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
@@ -100,26 +101,48 @@ def turn_order(messages: DataFrame, links: DataFrame) -> DataFrame:
     branches = placed.groupBy("conv_id", "thread").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     heads = placed.where("turn = thread").select("conv_id", "thread", F.col("quoted").alias("at"))
     above = placed.select("conv_id", F.col("turn").alias("at"), F.col("thread").alias("up"))
-    paths = branch_paths(heads.join(above, ["conv_id", "at"]))
-    ordered = branches.join(paths, ["conv_id", "thread"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<struct<at:bigint,turn:bigint>>")))
-    so_far = Window.partitionBy("conv_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ordered.select(F.col("conv_id").alias("of"), F.col("thread").alias("own"), "first", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"))
+    bases = branch_bases(branches, heads.join(above, ["conv_id", "at"]))
+    bases = bases.select(F.col("conv_id").alias("of"), F.col("thread").alias("own"), "first", "base")
     full = placed.join(bases, (F.col("conv_id") == F.col("of")) & F.col("thread").eqNullSafe(F.col("own")))
     return full.select("conv_id", "turn", "quoted", (F.col("base") + F.col("rank") - F.col("first") + 1).cast("long").alias("position"), "before", "thread")
 
 
-def branch_paths(branches: DataFrame) -> DataFrame:
-    """``conv_id, thread, path`` of branches (``conv_id, thread, at, up``): the places where its
-    ancestors and it hang, outermost first; later places come before earlier ones."""
-    step = F.array(F.struct((-F.col("at")).alias("at"), F.col("thread").alias("turn")))
-    state = materialise(branches.select("conv_id", "thread", step.alias("path"), "up"), "paths")
-    while not state.where("up IS NOT NULL").isEmpty():
-        above = state.select("conv_id", F.col("thread").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"))
-        joined = state.join(above, ["conv_id", "up"], "left")
-        following = materialise(joined.select("conv_id", "thread", F.when(F.col("_path").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path")).alias("path"), F.col("_up").alias("up")), "paths")
+def branch_bases(branches: DataFrame, hung: DataFrame) -> DataFrame:
+    """``conv_id, thread, first, base`` of branches (``conv_id, thread, n, first``; a null thread is the
+    conversation's own): the messages placed before each.  ``hung`` says where (``at``) and on which
+    branch (``up``) each hangs.
+
+    A branch comes after all of the branch that it hangs on, and after the branches hung there at
+    later places, each with all that hangs on it.  So a first doubling of pointers sums up what hangs on
+    a branch, a running sum over blocks of places adds up those beside it, and a second doubling adds
+    what that comes to along the branches above.  Rows stay as many as branches, however deep."""
+    own = hung.join(branches.select("conv_id", "thread", "n"), ["conv_id", "thread"])
+    state = materialise(own.select("conv_id", "thread", "at", "up", F.col("up").alias("far"), F.col("n").alias("size")), "sizes")
+    while not state.where("far IS NOT NULL").isEmpty():
+        gains = state.where("far IS NOT NULL").groupBy("conv_id", F.col("far").alias("thread")).agg(F.sum("size").alias("gain"))
+        beyond = state.select("conv_id", F.col("thread").alias("far"), F.col("far").alias("further"))
+        moved = state.join(gains, ["conv_id", "thread"], "left").join(beyond, ["conv_id", "far"], "left")
+        following = materialise(moved.select("conv_id", "thread", "at", "up", F.col("further").alias("far"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "sizes")
         dispose(state)
         state = following
-    return state.select("conv_id", "thread", "path")
+    # among the branches of one, later places first; sums of blocks of places are carried over
+    beside = state.withColumn("block", F.floor(-F.col("at") / BLOCK_TURNS))
+    blocks = beside.groupBy("conv_id", "up", "block").agg(F.sum("size").alias("sum"))
+    ahead = Window.partitionBy("conv_id", "up").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(F.col("conv_id").alias("c"), F.col("up").alias("u"), F.col("block").alias("b"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("carried"))
+    within = Window.partitionBy("conv_id", "up", "block").orderBy(-F.col("at"), "thread").rowsBetween(Window.unboundedPreceding, -1)
+    beside = beside.withColumn("here", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    beside = beside.join(carried, (F.col("conv_id") == F.col("c")) & F.col("up").eqNullSafe(F.col("u")) & (F.col("block") == F.col("b")))
+    parents = branches.select(F.col("conv_id").alias("pc"), F.col("thread").alias("pt"), F.col("n").alias("pn"))
+    step = beside.join(parents, (F.col("conv_id") == F.col("pc")) & F.col("up").eqNullSafe(F.col("pt"))).select("conv_id", "thread", "up", (F.col("pn") + F.col("here") + F.col("carried")).alias("base"))
+    step = materialise(step, "bases")
+    while not step.where("up IS NOT NULL").isEmpty():
+        above = step.select("conv_id", F.col("thread").alias("up"), F.col("base").alias("_base"), F.col("up").alias("_up"))
+        following = materialise(step.join(above, ["conv_id", "up"], "left").select("conv_id", "thread", F.col("_up").alias("up"), (F.col("base") + F.coalesce("_base", F.lit(0))).alias("base")), "bases")
+        dispose(step)
+        step = following
+    dispose(state)
+    return branches.join(step.select("conv_id", "thread", "base"), ["conv_id", "thread"], "left").select("conv_id", "thread", "first", F.coalesce("base", F.lit(0)).alias("base"))
 
 
 def chat_format(messages: DataFrame) -> DataFrame:

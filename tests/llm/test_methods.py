@@ -326,3 +326,23 @@ def test_pipeline_runs_through_and_ends_in_sequences(spark, tmp_path):
     fill = {r.sequence_id: r["sum(length)"] for r in out.groupBy("sequence_id").sum("length").collect()}
     assert fill and max(fill.values()) <= 4096 and out.count() == out.select("sequence_id", "offset").distinct().count()
     assert packing.VOCABULARY == "word_bpe_49k.json"
+
+
+def test_chat_long_quotes_and_deep_chains(spark):
+    """A quotation of 100,000 lines, and a chain of branches each hung on the last."""
+    import time
+
+    lines = [f"line {i} of a long text" for i in range(100_000)]
+    talk = [(1, 1, "user", "\n".join(lines)), (1, 2, "user", "aside"), (1, 3, "user", "\n".join("> " + x for x in lines) + "\nyes")]
+    # message t answers t - 2 by quoting it: every one opens a branch on the branch of the one before the last
+    talk += [(2, t, "user", f"said {t}" if t < 3 else f"> said {t - 2}\nsaid {t}") for t in range(1, 400)]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    began = time.time()
+    rows = chat.chat_format(df).collect()
+    assert time.time() - began < 90
+    by = {(r.conv_id, r.turn): r for r in rows}
+    assert by[1, 3].reply_to == 1 and by[1, 3].link == "quotation" and by[1, 3].body == "yes" and by[1, 3].quoted_lines == 100_000
+    assert all(by[2, t].reply_to == t - 2 for t in range(3, 400))
+    # each branch is a message that hangs on the one it answers, and no message comes before that
+    assert sorted(by[2, t].position for t in range(1, 400)) == list(range(1, 400))
+    assert all(by[2, t].position > by[2, t - 2].position for t in range(3, 400))
