@@ -11,7 +11,8 @@ digit or an at sign, so the tagger reads the regions around those characters, of
 text: the whole blank-delimited run that holds one, and ``WINDOW`` characters on either side.  A
 region is cut into overlapping windows, each is run through both LSTMs, emissions of
 overlapping windows are averaged, and one Viterbi pass over the whole region reconciles
-them.  Tagged spans that touch no base span are added; base spans always stay.
+them.  Tagged spans that touch no base span, and hold what their kind needs (a card a right
+check digit, for one), are added; base spans always stay.
 
 Defined results: null and empty texts have no spans; rows that repeat are searched
 each, and ties have no influence, since a text's spans depend on it alone; very long texts
@@ -255,20 +256,40 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def plausible(text: str, kind: int, start: int, end: int) -> bool:
-    """An added span must hold what its kind cannot do without."""
+    """An added span must hold what its kind cannot do without: an email a sign and a domain, an
+    address four parts of at most 255, a card a check digit that is right, a phone a prefix."""
     part = text[start:end]
-    digits = sum(c.isdigit() for c in part)
+    digits = "".join(c for c in part if c in "0123456789")
     if kind == 0:
-        return "." in part and re.search(r"[^\s](@|\(at\)|\[at\])[^\s]", part) is not None
-    return (4 <= digits <= 12 and part.count(".") >= 3) if kind == 1 else 12 <= digits <= 19 if kind == 2 else 9 <= digits <= 15
+        return re.search(r"[^\s](@|\(at\)|\[at\])[^\s]+\.[^\s]", part) is not None
+    if kind == 1:
+        parts = re.split(r"[^0-9]+", part)
+        return len(parts) == 4 and all(parts) and all(int(p) <= 255 for p in parts if len(p) <= 3) and max(map(len, parts)) <= 3
+    if kind == 2:
+        # a card of its own, not a piece of a longer number
+        whole = not (start and text[start - 1].isdigit()) and not (end < len(text) and text[end].isdigit())
+        return whole and 12 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1
+    return 9 <= len(digits) <= 15 and part.lstrip("(").startswith(("+", "00"))
+
+
+def whole(text: str, kind: int, start: int, end: int) -> tuple[int, int]:
+    """A tagged span without signs at its end; an email to the ends of its words."""
+    while end > start and not text[end - 1].isalnum():
+        end -= 1
+    if kind == 0:
+        while start and (text[start - 1].isalnum() or text[start - 1] in "._%+-"):
+            start -= 1
+        while end < len(text) and (text[end].isalnum() or text[end] in ".-" and text[end + 1 : end + 2].isalnum()):
+            end += 1
+    return start, end
 
 
 def merged(text: str, base: list[tuple[int, int, int]], tagged: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    added = []
+    added: list[tuple[int, int, int]] = []
     for start, kind, end in tagged:
-        while end > start and not text[end - 1].isalnum():
-            end -= 1
-        if start < end and plausible(text, kind, start, end) and all(end <= s or start >= e for s, _, e in base):
+        start, end = whole(text, kind, start, end)
+        taken = base + added
+        if start < end and plausible(text, kind, start, end) and all(end <= s or start >= e for s, _, e in taken):
             added.append((start, kind, end))
     return sorted(base + added)
 
