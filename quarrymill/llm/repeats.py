@@ -161,14 +161,16 @@ def subtrees(window: int):
 
 
 def whole_windows(window: int):
-    """Every window of a piece, as its text: ``node, bid, at, least``."""
+    """Each different window of a piece, as its text, and where it stands there: ``node, bid, ats, least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, n, least, body in zip(*(batch.column(c).to_pylist() for c in ("bid", "n", "least", "body")), strict=True):
                 cuts = np.append(0, np.cumsum([len(w) + 1 for w in body.split(b" ")])).tolist()
-                nodes = [body[cuts[i] : cuts[i + window] - 1] for i in range(n)]
-                yield _rows(node=pa.array(nodes, pa.binary()), bid=pa.array([bid] * n, pa.int64()), at=pa.array(range(n), pa.int64()), least=pa.array([least] * n, pa.int64()))
+                places: dict[bytes, list[int]] = {}
+                for i in range(n):
+                    places.setdefault(body[cuts[i] : cuts[i + window] - 1], []).append(i)
+                yield _rows(node=pa.array(list(places), pa.binary()), bid=pa.array([bid] * len(places), pa.int64()), ats=pa.array(list(places.values()), pa.list_(pa.int64())), least=pa.array([least] * len(places), pa.int64()))
 
     return run
 
@@ -189,11 +191,12 @@ def large_groups(pieces: DataFrame, window: int) -> DataFrame:
     """Runs of windows of the pieces of groups that no task could hold."""
     bodies = pieces.groupBy("key", "body").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
     bodies = materialise(bodies.withColumn("bid", F.monotonically_increasing_id()), "bodies")
-    windows = bodies.select("bid", "n", "least", "body").mapInArrow(whole_windows(window), "node binary, bid long, at long, least long")
+    windows = bodies.select("bid", "n", "least", "body").mapInArrow(whole_windows(window), "node binary, bid long, ats array<long>, least long")
     windows = materialise(windows, "windows")
     first = windows.groupBy("node").agg(F.min("least").alias("first"))
-    told = windows.join(first.hint("merge"), "node").groupBy("bid").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("f"))  # as many as a piece has windows
-    told = told.select("bid", F.col("f.first").alias("firsts")).join(bodies.select("bid", "key", "body"), "bid")
+    told = windows.join(first.hint("merge"), "node").groupBy("bid").agg(F.collect_list(F.struct("ats", "first")).alias("f"))  # as many as a piece has windows
+    each = F.flatten(F.transform("f", lambda x: F.transform(x["ats"], lambda at: F.named_struct(F.lit("at"), at, F.lit("first"), x["first"]))))
+    told = told.select("bid", F.array_sort(each)["first"].alias("firsts")).join(bodies.select("bid", "key", "body"), "bid")
     met = pieces.join(told.hint("merge"), ["key", "body"]).select("doc_id", "tkey", "start", "firsts")
     return met.mapInArrow(told_runs, _RUN)
 
