@@ -24,6 +24,7 @@ PROPERTIES = (*INHERITED, *OWN)
 FROM_PARENT = ("inherit", "unset", "revert", "revert-layer")
 #: Stands for ``initial`` until an inherited value has been found.
 INITIAL = "\x00initial"
+BLANKS = " \t\n\r\f"
 #: Nodes of one document that one task compares at a time.
 BLOCK = 4096
 
@@ -48,7 +49,7 @@ def style_rules(sheets: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)/\*.*?\*/", ""), r"(?i)@(?:charset|import|namespace)[^;{]*;", "")
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)[^{}]*[{}]"), F.lit(0))
     rows = sheets.select("doc_id", F.col("node_id").alias("sheet"), F.posexplode(pieces).alias("at", "piece"))
-    rows = rows.withColumn("opens", F.col("piece").endswith("{")).withColumn("body", F.expr("trim(left(piece, length(piece) - 1))"))
+    rows = rows.withColumn("opens", F.col("piece").endswith("{")).withColumn("body", F.btrim(F.expr("left(piece, length(piece) - 1)"), F.lit(BLANKS)))
     order = Window.partitionBy("doc_id", "sheet").orderBy("at")
     after = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(order)
     rows = rows.withColumn("level", F.when(F.col("opens"), after).otherwise(after + 1))
@@ -61,7 +62,7 @@ def style_rules(sheets: DataFrame) -> DataFrame:
     rows = rows.withColumn("inside", F.sum("change").over(order)).withColumn("head", F.lag("body").over(order)).withColumn("after_open", F.lag("opens").over(order))
     blocks = rows.where(~F.col("opens") & F.col("after_open") & (F.col("inside") == 0) & (F.col("change") == 0) & ~F.col("head").startswith("@"))
     each = blocks.select("doc_id", "sheet", "at", F.posexplode(F.split("head", ",")).alias("turn", "selector"), declared(F.col("body")).alias("found"))
-    return each.select("doc_id", F.struct("sheet", "at", "turn").alias("rule"), F.trim("selector").alias("selector"), F.explode("found").alias("x")).select("doc_id", "rule", "selector", "x.*")
+    return each.select("doc_id", F.struct("sheet", "at", "turn").alias("rule"), F.btrim("selector", F.lit(BLANKS)).alias("selector"), F.explode("found").alias("x")).select("doc_id", "rule", "selector", "x.*")
 
 
 def selector_steps(rules: DataFrame, combinators: str = " ") -> DataFrame:
