@@ -41,14 +41,12 @@ def preference_pairs(observed: DataFrame) -> DataFrame:
 
 
 def held_out_jobs(observed: DataFrame, fraction: float = HOLDOUT_FRACTION) -> DataFrame:
-    """The last part of the jobs, never all of them.  Places come from counts of name
-    buckets, carried over, and a window inside each bucket."""
-    jobs = observed.select("job").distinct().withColumn("bucket", F.coalesce(F.substring("job", 1, 2), F.lit("")))
-    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = jobs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # as many rows as there are two-letter beginnings
-    base = counts.select("bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("n"))
-    place = F.col("base") + F.row_number().over(Window.partitionBy("bucket").orderBy("job"))
-    return jobs.join(base, "bucket").select("job", (place > F.col("n") - F.least(F.ceil(F.col("n") * fraction), F.col("n") - 1)).alias("held_out"))
+    """The last part of the jobs by name, never all of them; places come from ranges of names."""
+    from quarrymill.operators.relations import ranged
+
+    jobs = ranged(observed.select("job").distinct().withColumn("one", F.lit(1)), [F.col("job").asc()], ["one"])
+    n = F.col("all_one")
+    return jobs.select("job", (F.col("place") > n - F.least(F.ceil(n * fraction), n - 1)).alias("held_out"))
 
 
 def feature_scales(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -61,8 +59,10 @@ def feature_scales(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def fit_ranker(candidates: DataFrame, pairs: DataFrame, key: str, features: Sequence[str], **options) -> dict:
     """Pairwise logistic weights by a fixed number of full-batch steps.
 
-    Each step is one distributed aggregation over the standardised differences of the
-    pairs; only the gradient, one number for each feature, comes to the driver."""
+    Each step is one distributed aggregation over the different standardised differences of the
+    pairs, each with its number; only the gradient, one number for each feature, comes to the driver."""
+    from quarrymill.scratch import drop, written
+
     settings = FIT | options
     least_picks, least_jobs = settings.pop("cold_start_picks", COLD_START_PICKS), settings.pop("cold_start_jobs", COLD_START_JOBS)
     enough = lambda column, least: pairs is not None and pairs.select(*dict.fromkeys(("job", column))).distinct().limit(least).count() >= least
@@ -72,17 +72,17 @@ def fit_ranker(candidates: DataFrame, pairs: DataFrame, key: str, features: Sequ
     standard = [((F.coalesce(F.col(f).cast("double"), F.lit(scales[f][0])) - scales[f][0]) / scales[f][1]).alias(f"z_{f}") for f in features]
     z = candidates.select(F.col(key).alias("_k"), F.array(*standard).alias("z"))
     won, lost = z.select(F.col("_k").alias("winner"), F.col("z").alias("zw")), z.select(F.col("_k").alias("loser"), F.col("z").alias("zl"))
-    diff = pairs.join(won, "winner").join(lost, "loser").select(F.zip_with("zw", "zl", lambda a, b: a - b).alias("d")).persist()
+    apart = F.zip_with("zw", "zl", lambda a, b: a - b)
+    diff = written(pairs.join(won, "winner").join(lost, "loser").groupBy(apart.alias("d")).agg(F.count(F.lit(1)).alias("n")), "differences").persist()
     weights = np.zeros(len(features))
-    try:
-        for _ in range(settings["iterations"]):
-            margin = sum((F.col("d")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
-            miss = 1 / (1 + F.exp(margin))
-            sums = diff.agg(*(F.avg(miss * F.col("d")[i]).alias(f"g{i}") for i in range(len(features)))).first()
-            step = np.array([sums[f"g{i}"] or 0.0 for i in range(len(features))]) - settings["l2"] * weights
-            weights = weights + settings["rate"] * step
-    finally:
-        diff.unpersist()
+    for _ in range(settings["iterations"]):
+        margin = sum((F.col("d")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+        miss = F.col("n") / (1 + F.exp(margin))
+        sums = diff.agg(F.sum("n").alias("n"), *(F.sum(miss * F.col("d")[i]).alias(f"g{i}") for i in range(len(features)))).first()
+        step = np.array([(sums[f"g{i}"] or 0.0) / max(sums["n"] or 1, 1) for i in range(len(features))]) - settings["l2"] * weights
+        weights = weights + settings["rate"] * step
+    diff.unpersist()
+    drop(diff)
     return {"kind": "pairwise", "features": list(features), "weights": dict(zip(features, weights.tolist(), strict=True)), "means": {f: scales[f][0] for f in features}, "scales": {f: scales[f][1] for f in features}}
 
 

@@ -142,3 +142,24 @@ def tone(pixels: DataFrame, inks: DataFrame, image: str, area: float = AREA_PERC
 def too_many_screens(tones: DataFrame, most: int) -> Column:
     """COLOR_COUNT_RENDERED: whether a sheet needs more screens than allowed."""
     return tones["screens"] > most
+
+
+#: Fixed value: the deviation below which a sheet's border is one colour.
+BORDER_DEVIATION = 16.0
+
+
+def border_ring(pixels: DataFrame, image: str, steps: int = 64) -> DataFrame:
+    """``image, seen, deviation, r, g, b, status`` of the pixels along each sheet's border, some
+    ``steps`` of them a side; corners count for both of theirs."""
+    size = pixels.groupBy(image).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    at = pixels.join(size, image)
+    every = lambda v, lo, hi: (F.col(v) - F.col(lo)) % F.greatest(F.lit(1), F.floor((F.col(hi) - F.col(lo) + 1) / steps)) == 0
+    along, down = every("x", "x0", "x1"), every("y", "y0", "y1")
+    sides = sum(((on & by).cast("int") for on, by in ((F.col("y") == F.col("y0"), along), (F.col("y") == F.col("y1"), along), (F.col("x") == F.col("x0"), down), (F.col("x") == F.col("x1"), down))), F.lit(0))
+    ring = at.withColumn("sides", sides).where("sides > 0")
+    total = sum((F.col(c) for c in "rgb"), F.lit(0))
+    squares = sum((F.col(c) * F.col(c) for c in "rgb"), F.lit(0))
+    sums = ring.groupBy(image).agg(F.sum("sides").alias("seen"), F.sum(F.col("sides") * total).alias("s"), F.sum(F.col("sides") * squares).alias("q"), *(F.bround(F.sum(F.col("sides") * F.col(c)) / F.sum("sides")).cast("long").alias(c) for c in "rgb"))
+    n = 3 * F.col("seen")
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n - (F.col("s") / n) * (F.col("s") / n)))
+    return sums.select(image, "seen", F.round(deviation, 6).alias("deviation"), "r", "g", "b").withColumn("status", F.when(F.col("deviation") < BORDER_DEVIATION, "pass").otherwise("warn"))

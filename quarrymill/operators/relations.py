@@ -68,22 +68,30 @@ def top_with_rest(df: DataFrame, key: str, order: list[Column], k: int, value: s
     return top.unionByName(rest)
 
 
-def running_share(df: DataFrame, count: str, order: list[Column], level: Column) -> DataFrame:
-    """``share, cumulative, rn``: share of the total, running share and place of each group.
-
-    ``level`` is an ascending number by which the order begins: totals of the levels are
-    carried over, and only one level's groups meet in a window."""
-    out = df.withColumn("_level", level)
-    ahead = Window.orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
-    levels = out.groupBy("_level").agg(F.sum(count).alias("_sum"), F.count(F.lit(1)).alias("_rows"))  # one row a level
-    total = F.sum("_sum").over(Window.partitionBy())
-    carried = levels.select("_level", total.alias("_total"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"), F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_place"))
-    inside = Window.partitionBy("_level").orderBy(*order)
+def ranged(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` in one order over all rows, without bringing them together: ``place`` from 1, and
+    ``upto_<sum>`` and ``all_<sum>``, the running and whole sums.
+
+    Rows are dealt over ranges of the order, which Spark draws from a sample; a range is a partition of
+    a written table, ranges are summed up and carried over, one row each, and a window orders a range."""
+    from quarrymill.scratch import written
+
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(width, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), *(F.sum(c).alias(f"_sum_{c}") for c in sums))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    whole = Window.partitionBy()
+    carry = totals.select("_range", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"), *(F.coalesce(F.sum(f"_sum_{c}").over(ahead), F.lit(0)).alias(f"_before_{c}") for c in sums), *(F.sum(f"_sum_{c}").over(whole).alias(f"all_{c}") for c in sums))
+    inside = Window.partitionBy("_range").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    joined = out.join(carried, "_level").withColumns({
-        "share": F.col(count) / F.col("_total"), "cumulative": (F.col("_base") + F.sum(count).over(upto)) / F.col("_total"), "rn": (F.col("_place") + F.row_number().over(inside)).cast("long"),
-    })
-    return joined.drop("_level", "_total", "_base", "_place")
+    both = dealt.join(carry, "_range").withColumns({"place": (F.col("_before") + F.row_number().over(inside)).cast("long"), **{f"upto_{c}": F.col(f"_before_{c}") + F.sum(c).over(upto) for c in sums}})
+    return both.drop("_range", "_before", *(f"_before_{c}" for c in sums))
+
+
+def running_share(df: DataFrame, count: str, order: list[Column]) -> DataFrame:
+    """``share, cumulative, rn``: share of the total, running share and place of each group."""
+    out = ranged(df, order, [count])
+    return out.withColumns({"share": F.col(count) / F.col(f"all_{count}"), "cumulative": F.col(f"upto_{count}") / F.col(f"all_{count}")}).withColumnRenamed("place", "rn").drop(f"all_{count}", f"upto_{count}")
 
 
 def ordinal_zip(a: Column, b: Column, name: str = "pair") -> Column:

@@ -73,10 +73,10 @@ def rule_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
 @family.query(f"WITH {_EL}, {_COLOURS}, t AS (SELECT colour, CAST(sum(n) AS BIGINT) AS n FROM force GROUP BY 1) SELECT colour, n, row_number() OVER (ORDER BY n DESC, colour) AS place FROM t")
 def declared_colour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours, the most used first; one row for each colour in use."""
-    from pyspark.sql import Window
+    from quarrymill.operators.relations import ranged
 
     total = el.colours_in_force(element_view(spark, sf_dir)).groupBy("colour").agg(F.sum("n").alias("n"))
-    return total.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "colour")).cast("long"))
+    return ranged(total, [F.col("n").desc(), F.col("colour")], []).select("colour", "n", "place")
 
 
 @family.query(

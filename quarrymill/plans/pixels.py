@@ -38,7 +38,7 @@ def grid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT rgb, n, round(n / sum(n) OVER ()::DOUBLE, 9) AS share, round(sum(n) OVER (ORDER BY n DESC, rgb ROWS UNBOUNDED PRECEDING) / sum(n) OVER ()::DOUBLE, 9) AS cumulative FROM h"
 )
 def colour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = rel.running_share(px.histogram(pixel_view(spark, sf_dir)), "n", [F.col("n").desc(), F.col("rgb")], -F.col("n"))
+    shares = rel.running_share(px.histogram(pixel_view(spark, sf_dir)), "n", [F.col("n").desc(), F.col("rgb")])
     return shares.select("rgb", "n", F.round("share", 9).alias("share"), F.round("cumulative", 9).alias("cumulative"))
 
 
@@ -48,7 +48,7 @@ def colour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def colours_to_95(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col("n").desc(), F.col("rgb")]
-    shares = rel.running_share(px.histogram(pixel_view(spark, sf_dir)), "n", order, -F.col("n"))
+    shares = rel.running_share(px.histogram(pixel_view(spark, sf_dir)), "n", order)
     return shares.agg(F.count(F.lit(1)).alias("colours"), F.round(F.max("share"), 9).alias("top_share"), F.min(F.when(F.col("cumulative") >= 0.95, F.col("rn"))).alias("colours_at_95"))
 
 

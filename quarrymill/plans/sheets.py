@@ -119,3 +119,15 @@ SELECT image, max(n) AS largest, count(*) AS blobs FROM size GROUP BY image"""
 def sheet_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest 4-connected blob of reddish pixels, and how many blobs there are."""
     return px.blob_sizes(sheet_view(spark, sf_dir).where("r > 80 AND y < 118"), "image")
+
+
+@family.query(
+    f"""WITH {_SHEET.split("tot AS")[0].rstrip().rstrip(",")}, size AS (SELECT image, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM sheet GROUP BY 1),
+ring AS (SELECT image, r, g, b FROM sheet JOIN size USING (image) WHERE y = y0 AND (x - x0) % greatest(1, (x1 - x0 + 1) // 64) = 0 UNION ALL SELECT image, r, g, b FROM sheet JOIN size USING (image) WHERE y = y1 AND (x - x0) % greatest(1, (x1 - x0 + 1) // 64) = 0
+  UNION ALL SELECT image, r, g, b FROM sheet JOIN size USING (image) WHERE x = x0 AND (y - y0) % greatest(1, (y1 - y0 + 1) // 64) = 0 UNION ALL SELECT image, r, g, b FROM sheet JOIN size USING (image) WHERE x = x1 AND (y - y0) % greatest(1, (y1 - y0 + 1) // 64) = 0),
+flat AS (SELECT image, unnest([r, g, b]) AS v FROM ring), dev AS (SELECT image, round(stddev_pop(v), 6) AS deviation FROM flat GROUP BY 1)
+SELECT image, count(*) AS seen, any_value(deviation) AS deviation, round_even(avg(r), 0)::BIGINT AS r, round_even(avg(g), 0)::BIGINT AS g, round_even(avg(b), 0)::BIGINT AS b, CASE WHEN any_value(deviation) < {plates.BORDER_DEVIATION} THEN 'pass' ELSE 'warn' END AS status FROM ring JOIN dev USING (image) GROUP BY image"""
+)
+def border_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each sheet's border is of one colour."""
+    return plates.border_ring(sheet_view(spark, sf_dir), "image")

@@ -13,13 +13,16 @@ _own: dict[str, str] = {}
 
 def folder(spark: SparkSession, label: str) -> str:
     """A new path in the cluster's ``spark.checkpoint.dir``.  Where that is unset an own folder
-    serves a session in one process (tests); other executors could not see such a folder."""
+    serves a session in one process (tests); other executors could not see such a folder.  What is
+    there goes when the driver's interpreter ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quarrymill-"))
-    return f"{base}/quarrymill/{label}-{uuid.uuid4().hex}"
+    path = f"{base}/quarrymill/{label}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -27,7 +30,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     is removed by ``drop``, or when the driver's interpreter ends."""
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    atexit.register(remove, df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out
