@@ -163,3 +163,24 @@ def border_ring(pixels: DataFrame, image: str, steps: int = 64) -> DataFrame:
     n = 3 * F.col("seen")
     deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / n - (F.col("s") / n) * (F.col("s") / n)))
     return sums.select(image, "seen", F.round(deviation, 6).alias("deviation"), "r", "g", "b").withColumn("status", F.when(F.col("deviation") < BORDER_DEVIATION, "pass").otherwise("warn"))
+
+
+#: The channel difference of a changed pixel, the brightness of paper, the shares of ink between which its drift says something.
+CHANGED, LIGHT, INK_LEAST, INK_MOST = 8, 600, 1.0, 99.0
+
+
+def drift(before: DataFrame, after: DataFrame, image: str) -> DataFrame:
+    """What a change did to each sheet, over the pixels that both renders have: ``image, changed, ink, valid,
+    lost, gained, gap``, in percent; ``lost`` is changed paper, ``gained`` changed ink, ``gap`` the largest
+    blob of changed paper (0: none).  On sheets of hardly any ink, or paper, ``valid`` is false."""
+    from quarrymill.operators.pixels import blob_sizes
+    from quarrymill.scratch import written
+
+    both = before.join(after.select(image, "y", "x", *(F.col(c).alias(f"_{c}") for c in "rgb")), [image, "y", "x"])
+    moved = F.greatest(*(F.abs(F.col(c) - F.col(f"_{c}")) for c in "rgb")) > CHANGED
+    marked = written(both.select(image, "y", "x", moved.alias("moved"), (F.col("r") + F.col("g") + F.col("b") > LIGHT).alias("light")), "drift")
+    share = lambda what: F.round(100.0 * F.count_if(what) / F.count(F.lit(1)), 4)
+    sums = marked.groupBy(image).agg(share(F.col("moved")).alias("changed"), (100.0 * F.count_if(~F.col("light")) / F.count(F.lit(1))).alias("ink"), share(F.col("light") & F.col("moved")).alias("lost"), share(~F.col("light") & F.col("moved")).alias("gained"))
+    gaps = blob_sizes(marked.where("light AND moved"), image).select(image, F.col("largest").alias("gap"))
+    found = sums.join(gaps, image, "left").withColumn("valid", F.col("ink").between(INK_LEAST, INK_MOST))
+    return found.select(image, "changed", F.round("ink", 3).alias("ink"), "valid", "lost", "gained", F.coalesce("gap", F.lit(0)).cast("long").alias("gap"))

@@ -268,3 +268,30 @@ def rank_with_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of a run in the order of a cold ranker, with exploratory places."""
     view = record_view(spark, sf_dir).select(F.floor(F.col("id") / 40).alias("job"), "id", (F.col("id") % 3).alias("hard"), (F.col("id") % 4).alias("advisory"), F.when(F.col("id") % 5 != 0, F.col("id") % 9).cast("double").alias("mae_art"))
     return lrn.rank_with_slots(view, "job", "id", {"kind": "cold"}, slots=2)
+
+
+#: Specification texts, and below in the SQL what each says.
+SPECS = (
+    "{\"max_colors\": 4, \"geometry\": {\"allow_open_paths\": true, \"min_stroke_width_pt\": \"0.75\"}, \"print_method\": \" Vinyl \"}", "{\"print_method\": \"screen\", \"palette\": [\"red\", \"none\", \"#ABC\"], \"geometry\": {}}", "{\"print_method\": \"plotter\", \"dimensions\": {\"width_mm\": 10}, \"max_colors\": 3.9}", "[1]", "{broken",
+    "{\"max_colors\": \"4.5\"}", "{\"geometry\": {\"max_nodes_per_path\": 0}}", "{\"geometry\": {\"allow_gradients\": 1, \"allow_raster_embed\": null}, \"ink_limit_percent\": 280}", "{\"geometry\": [], \"max_colors\": -1}", "{\"dimensions\": {\"width_mm\": \"wide\"}}", "{\"palette\": [\"none\"], \"max_colors\": true}",
+)
+
+
+@family.query(
+    """WITH k AS (SELECT c_custkey % 11 AS k, count(*) AS n FROM customer GROUP BY 1)
+SELECT n, CASE k WHEN 3 THEN 'not an object' WHEN 4 THEN 'not JSON' WHEN 5 THEN 'max_colors' WHEN 6 THEN 'max_nodes_per_path' WHEN 8 THEN 'geometry' WHEN 9 THEN 'dimensions.width_mm' END AS problem,
+  CASE WHEN k IN (0, 1) THEN true WHEN k IN (2, 7, 10) THEN false END AS allow_open,
+  CASE k WHEN 0 THEN 'geometry.allow_open_paths' WHEN 1 THEN 'print_method=screen tolerates open strokes' WHEN 2 THEN 'print_method=plotter requires closed outlines' WHEN 7 THEN 'default (neither allow_open_paths nor print_method given)' WHEN 10 THEN 'default (neither allow_open_paths nor print_method given)' END AS open_source,
+  CASE WHEN k = 0 THEN true WHEN k IN (1, 2, 7, 10) THEN false END AS contradiction, CASE WHEN k = 7 THEN true WHEN k IN (0, 1, 2, 10) THEN false END AS allow_gradients,
+  CASE WHEN k = 7 THEN 'geometry.allow_raster_embed' WHEN k IN (0, 1, 2, 10) THEN 'default (geometry.allow_raster_embed is not set)' END AS raster_source,
+  CASE WHEN k = 0 THEN 0.75 WHEN k IN (1, 2, 7, 10) THEN 0 END::DOUBLE AS min_stroke_pt, CASE k WHEN 0 THEN 4 WHEN 2 THEN 3 WHEN 10 THEN 1 END::BIGINT AS max_colors, CASE WHEN k = 1 THEN '#ff0000,#aabbcc' END AS palette, CASE WHEN k = 2 THEN 10 END::DOUBLE AS width_mm, CASE WHEN k = 7 THEN 280 END::DOUBLE AS ink_limit FROM k"""
+)
+def resolved_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings with their origin, of every customer's specification; faulty ones say why."""
+    from quarrymill.operators.specs import resolved_specs as resolve
+
+    texts = F.get(F.array(*map(F.lit, SPECS)), (F.col("c_custkey") % len(SPECS)).cast("int"))
+    found = resolve(load(spark, sf_dir, "customer").select(texts.alias("spec")), "spec")
+    columns = ("problem", "allow_open", "open_source", "contradiction", "allow_gradients", "raster_source", "min_stroke_pt", "max_colors", "palette", "width_mm", "ink_limit")
+    found = found.withColumn("palette", F.array_join("palette", ","))
+    return found.groupBy("spec", *columns).agg(F.count(F.lit(1)).alias("n")).select("n", *columns)

@@ -131,3 +131,24 @@ SELECT image, count(*) AS seen, any_value(deviation) AS deviation, round_even(av
 def border_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each sheet's border is of one colour."""
     return plates.border_ring(sheet_view(spark, sf_dir), "image")
+
+
+_PLAIN_SHEET = _SHEET.split("tot AS")[0].rstrip().rstrip(",")
+
+
+@family.query(
+    f"""WITH RECURSIVE {_PLAIN_SHEET}, two AS (SELECT s.*, CASE WHEN o.pk % 3 = 0 THEN (s.r + 90) % 256 ELSE s.r END AS r2, CASE WHEN o.pk % 5 = 0 THEN s.b + 8 ELSE s.b END AS b2 FROM sheet s JOIN ln o ON o.o // {ROWS} = s.image AND o.o % {ROWS} = s.y AND o.x = s.x WHERE o.pk % 17 <> 0),
+m AS (SELECT image, y, x, greatest(abs(r - r2), abs(b - b2)) > 8 AS moved, r + g + b > 600 AS light FROM two), g AS (SELECT image, y, x FROM m WHERE moved AND light),
+reach AS (SELECT image, y, x, y AS y0, x AS x0 FROM g UNION SELECT r.image, g.y, g.x, r.y0, r.x0 FROM reach r JOIN g ON g.image = r.image AND abs(g.y - r.y) + abs(g.x - r.x) = 1),
+gap AS (SELECT image, max(n) AS gap FROM (SELECT image, y0, x0, count(*) AS n FROM reach GROUP BY ALL) GROUP BY image)
+SELECT image, round(100.0::DOUBLE * count(*) FILTER (moved) / count(*), 4) AS changed, round(100.0::DOUBLE * count(*) FILTER (NOT light) / count(*), 3) AS ink, 100.0::DOUBLE * count(*) FILTER (NOT light) / count(*) BETWEEN 1 AND 99 AS valid,
+  round(100.0::DOUBLE * count(*) FILTER (light AND moved) / count(*), 4) AS lost, round(100.0::DOUBLE * count(*) FILTER (NOT light AND moved) / count(*), 4) AS gained, coalesce(any_value(gap), 0) AS gap FROM m LEFT JOIN gap USING (image) GROUP BY image"""
+)
+def sheet_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sheet against a second render of it, which lacks some pixels and has others changed."""
+    view, ids = sheet_view(spark, sf_dir), load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"))
+    x = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    ids = ids.select(F.floor(F.col("l_orderkey") / ROWS).alias("image"), (F.col("l_orderkey") % ROWS).alias("y"), x.cast("long").alias("x"), "pk")
+    after = view.join(ids.where("pk % 17 <> 0"), ["image", "y", "x"])
+    after = after.select("image", "y", "x", F.when(F.col("pk") % 3 == 0, (F.col("r") + 90) % 256).otherwise(F.col("r")).alias("r"), "g", F.when(F.col("pk") % 5 == 0, F.col("b") + 8).otherwise(F.col("b")).alias("b"))
+    return plates.drift(view, after, "image")
