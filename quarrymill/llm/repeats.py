@@ -205,7 +205,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     """Runs of windows to remove (``doc_id, tkey, start, n``), and exact copies (``doc_id, tkey``)."""
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("rid", F.xxhash64("doc_id", "text"))
     table = materialise(gram_table(known, window), "grams")
-    firsts = table.groupBy("whole").agg(F.min(F.struct("doc_id", "tkey", "rid")).alias("first")).select("whole", "first.*")
+    # written, so that a text with very many copies meets it in a join, which can be split
+    firsts = materialise(table.groupBy("whole").agg(F.min(F.struct("doc_id", "tkey", "rid")).alias("first")).select("whole", "first.*"), "firsts")
     copies = table.select("doc_id", "tkey", "whole").join(firsts.select("whole", F.col("doc_id").alias("first_id")), "whole").where("doc_id > first_id").select("doc_id", "tkey")
     alone = table.join(firsts.select("doc_id", "tkey", "rid"), ["doc_id", "tkey", "rid"], "left_semi")
     # ``rid`` only brings a document's runs together: two documents under one get more candidates, no other result
