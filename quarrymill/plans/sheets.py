@@ -18,7 +18,7 @@ INKS = [(200, 30, 30), (30, 30, 200), (255, 255, 255), (20, 160, 60), (90, 90, 9
 AREA, MEMBERS, TONE_AREA, TONE_COLOURS = 0.4, 6, 1.0, 4
 _INK = lambda c, s: f"CASE {s} " + " ".join(f"WHEN {i} THEN {ink['rgb'.index(c)]}" for i, ink in enumerate(INKS)) + " END"
 _RAMP = {"r": 2, "g": 0, "b": 1}
-_CHANNEL = lambda c, speck: f"CASE WHEN pk % 41 = 0 THEN {speck} WHEN y % 24 = 0 AND y > 0 THEN ({_INK(c, 'y // 24 - 1')} * (7 - x) + {_INK(c, 'y // 24')} * (x + 1)) // 8 WHEN y >= 96 THEN 90 + {_RAMP[c]} * (y % 24 // 3) ELSE {_INK(c, 'y // 24')} END AS {c}"
+_CHANNEL = lambda c, speck: f"CASE WHEN pk % 41 = 0 THEN {speck} WHEN y % 24 = 0 AND y > 0 THEN ({_INK(c, 'y // 24 - 1')} * 3 + {_INK(c, 'y // 24')} * 5) // 8 WHEN y >= 96 THEN 90 + {_RAMP[c]} * (y % 24 // 3) ELSE {_INK(c, 'y // 24')} END AS {c}"
 _SHEET = f"""
 ln AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS x, min(l_partkey) AS pk, min(l_suppkey) AS sk FROM lineitem GROUP BY l_orderkey, l_linenumber),
 sheet AS (SELECT o // {ROWS} AS image, y, x, {_CHANNEL("r", "sk * 37 % 256")}, {_CHANNEL("g", "pk % 256")}, {_CHANNEL("b", "77")} FROM (SELECT *, o % {ROWS} AS y FROM ln)),
@@ -62,7 +62,7 @@ def sheet_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     shade = F.floor(F.col("y") % STRIPE / 3)
 
     def channel(i: int, name: str, speck):
-        mixed = F.floor((ink(i, stripe - 1) * (7 - F.col("x")) + ink(i, stripe) * (F.col("x") + 1)) / 8)
+        mixed = F.floor((ink(i, stripe - 1) * 3 + ink(i, stripe) * 5) / 8)
         return F.when(F.col("pk") % 41 == 0, speck).when((F.col("y") % STRIPE == 0) & (F.col("y") > 0), mixed).when(F.col("y") >= 4 * STRIPE, 90 + _RAMP[name] * shade).otherwise(ink(i, stripe)).cast("long").alias(name)
 
     return at.select("image", "y", "x", channel(0, "r", F.col("sk") * 37 % 256), channel(1, "g", F.col("pk") % 256), channel(2, "b", F.lit(77)))
