@@ -149,13 +149,13 @@ def cascaded(elements: DataFrame, combinators: str = " ") -> DataFrame:
     else:
         found = found.withColumn("css", F.lit(None).cast("map<string,struct<value:string,important:boolean>>"))
 
-    def value(prop: str) -> Column:
-        inline, css = F.try_element_at("own", F.lit(prop)), F.try_element_at("css", F.lit(prop))
-        plain = F.try_element_at("attrs", F.lit(prop))
-        say = lambda v, s: F.struct(v.alias("value"), F.lit(s).alias("source"))
+    def value(prop: Column) -> Column:
+        inline, css, plain = (F.try_element_at(c, prop) for c in ("own", "css", "attrs"))
+        say = lambda v, s: F.named_struct(F.lit("value"), v, F.lit("source"), F.lit(s))
         return F.when(inline["important"], say(inline["value"], "style")).when(css["important"], say(css["value"], "css")).when(inline.isNotNull(), say(inline["value"], "style")).when(css.isNotNull(), say(css["value"], "css")).when(plain.isNotNull(), say(plain, "attr"))
 
-    entries = F.filter(F.array(*(F.struct(F.lit(p).alias("key"), value(p).alias("value")) for p in PROPERTIES)), lambda e: e["value"].isNotNull())
+    every = F.transform(F.array(*map(F.lit, PROPERTIES)), lambda p: F.named_struct(F.lit("key"), p, F.lit("value"), value(p)))
+    entries = F.filter(every, lambda e: e["value"].isNotNull())
     return found.withColumn("style", F.map_from_entries(entries)).drop("own", "css")
 
 

@@ -24,10 +24,14 @@ REFERENCE = r"(?i)url\(\s*['\"]?#([^'\")\s]+)"
 TINY = 1e-9
 
 
+def declared_once(elements: DataFrame) -> DataFrame:
+    """``elements`` with the declarations of ``style`` read once, for ``attr``."""
+    return elements.withColumn("_declared", numeric.declarations(F.coalesce(plain("style"), F.lit(""))))
+
+
 def attr(name: str) -> Column:
     """An attribute, or the declaration of that name in ``style``, which goes before it."""
-    style = F.try_element_at(numeric.declarations(F.coalesce(F.try_element_at("attrs", F.lit("style")), F.lit(""))), F.lit(name))
-    return F.coalesce(style, F.try_element_at("attrs", F.lit(name)))
+    return F.coalesce(F.try_element_at("_declared", F.lit(name)), plain(name))
 
 
 def plain(name: str) -> Column:
@@ -78,7 +82,7 @@ def gradients(elements: DataFrame) -> DataFrame:
     """GRADIENT_NOT_ALLOWED: ``doc_id, node_id, kind, target`` of gradients and paints by reference."""
     refs = [F.when(attr(p).rlike(REFERENCE), F.struct(F.lit(p).alias("kind"), F.regexp_extract(attr(p), REFERENCE, 1).alias("target"))) for p in PAINTS]
     own = F.when(_kind().isin(*GRADIENTS), F.struct(F.lit("definition").alias("kind"), F.coalesce(plain("id"), F.lit("")).alias("target")))
-    found = elements.select("doc_id", "node_id", F.explode(F.array_compact(F.array(own, *refs))).alias("x")).select("doc_id", "node_id", "x.*")
+    found = declared_once(elements).select("doc_id", "node_id", F.explode(F.array_compact(F.array(own, *refs))).alias("x")).select("doc_id", "node_id", "x.*")
     if "text" in elements.columns:
         # a sheet's paints by reference, each block once however many selectors it has
         rules = style_rules(elements.where(_kind() == "style")).where(F.col("prop").isin(*PAINTS) & F.col("value").rlike(REFERENCE))
@@ -92,7 +96,7 @@ def id_references(elements: DataFrame) -> DataFrame:
     nothing in the document has the id."""
     found = [F.when(attr(p).rlike(REFERENCE), F.struct(F.lit(p).alias("prop"), F.regexp_extract(attr(p), REFERENCE, 1).alias("target"))) for p in (*PAINTS, *EFFECTS)]
     link = F.when(F.trim(plain("href")).startswith("#"), F.struct(F.lit("href").alias("prop"), F.substring(F.trim(plain("href")), 2, 1000).alias("target")))
-    refs = elements.select("doc_id", "node_id", F.explode(F.array_compact(F.array(link, *found))).alias("x")).select("doc_id", "node_id", "x.*")
+    refs = declared_once(elements).select("doc_id", "node_id", F.explode(F.array_compact(F.array(link, *found))).alias("x")).select("doc_id", "node_id", "x.*")
     named = elements.where(plain("id").isNotNull()).groupBy("doc_id", plain("id").alias("target")).agg(F.min_by("tag", "node_id").alias("kind"))
     return refs.join(named, ["doc_id", "target"], "left")
 
@@ -239,3 +243,12 @@ def path_totals(paths: DataFrame, limit: int) -> DataFrame:
         F.count(F.lit(1)).alias("paths"), F.sum("nodes").alias("nodes_total"), F.max("nodes").alias("nodes_max"),
         F.count_if(F.col("nodes") > limit).alias("over_limit"), F.sum("closes").alias("closes"), F.sum("moves").alias("moves"),
     )
+
+
+def closure_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``doc_id, closes, closes_after, moves, moves_after`` of drawings whose closing or moving commands are
+    not as many as before: what a count of nodes cannot see.  Both are totals of paths; a drawing that one
+    side lacks counts as none."""
+    other = after.select("doc_id", F.col("closes").alias("closes_after"), F.col("moves").alias("moves_after"))
+    both = before.select("doc_id", "closes", "moves").join(other, "doc_id", "full").fillna(0, ["closes", "moves", "closes_after", "moves_after"])
+    return both.where("closes <> closes_after OR moves <> moves_after").select("doc_id", "closes", "closes_after", "moves", "moves_after")

@@ -145,3 +145,20 @@ SELECT scope, count(*) AS n FROM (SELECT CASE WHEN tag = 'linearGradient' AND a.
 )
 def paint_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return el.paint_scopes(element_view(spark, sf_dir)).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+
+
+@family.query(
+    f"""WITH {_EL}, later AS (SELECT doc_id, node_id, CASE (pk + (doc_id % 5 = 0)::INT) % 8 {_CASE(4)} END AS closes, CASE (pk + (doc_id % 5 = 0)::INT) % 8 {_CASE(5)} END AS moves FROM el WHERE tag = 'path' AND doc_id % 9 <> 0),
+a AS (SELECT doc_id, sum(closes) AS closes, sum(moves) AS moves FROM paths GROUP BY 1), b AS (SELECT doc_id, sum(closes) AS closes, sum(moves) AS moves FROM later GROUP BY 1)
+SELECT * FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.closes, 0)::BIGINT AS closes, coalesce(b.closes, 0)::BIGINT AS closes_after, coalesce(a.moves, 0)::BIGINT AS moves, coalesce(b.moves, 0)::BIGINT AS moves_after FROM a FULL JOIN b ON a.doc_id = b.doc_id)
+WHERE closes <> closes_after OR moves <> moves_after"""
+)
+def closure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings that lost or gained closing or moving commands: in every fifth another path stands for each, every ninth is gone."""
+    before = element_view(spark, sf_dir)
+    data = F.array(*(F.lit(p[0]) for p in PATHS))
+    shown = F.array_position(data, F.try_element_at("attrs", F.lit("d"))).cast("int")
+    other = F.when(F.col("doc_id") % 5 == 0, F.get(data, shown % len(PATHS))).otherwise(F.try_element_at("attrs", F.lit("d")))
+    later = F.map_concat(F.map_filter("attrs", lambda k, _: k != "d"), F.create_map(F.lit("d"), other))
+    after = before.where("doc_id % 9 <> 0").withColumn("attrs", F.when(F.map_contains_key("attrs", "d"), later).otherwise(F.col("attrs")))
+    return el.closure_changes(el.path_totals(el.path_table(before), 2), el.path_totals(el.path_table(after), 2))
