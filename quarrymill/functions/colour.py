@@ -78,29 +78,44 @@ def from_hsl(hue: Column, saturation: Column, lightness: Column) -> Column:
     return to_hex(part(1 / 3) * 255.0, part(0.0) * 255.0, part(-1 / 3) * 255.0)
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _of_function(s: Column) -> Column:
+    """The colour of ``rgb(...)`` or ``hsl(...)`` text; null where it is clear."""
+
+    def made(p: Column) -> Column:
+        share = lambda part: F.when(part.endswith("%"), F.regexp_replace(part, "%$", "").try_cast("double") / 100.0)
+        channel_of = lambda part: F.coalesce(share(part) * 255.0, part.try_cast("double"))
+        number = lambda i, unit: F.regexp_replace(F.get(p, i), unit, "").try_cast("double")
+        clear = F.coalesce(F.coalesce(share(F.get(p, 3)), F.get(p, 3).try_cast("double")) <= 0, F.lit(False))
+        known = lambda x: F.get(x, 0).isNotNull() & F.get(x, 1).isNotNull() & F.get(x, 2).isNotNull()
+        rgb = _let(F.array(*(channel_of(F.get(p, i)) for i in range(3))), lambda c: F.when(known(c), to_hex(F.get(c, 0), F.get(c, 1), F.get(c, 2))))
+        hsl = _let(F.array(F.pmod(number(0, "[deg]+$"), F.lit(360.0)), number(1, "%+$") / 100.0, number(2, "%+$") / 100.0), lambda c: F.when(known(c), from_hsl(F.get(c, 0), F.get(c, 1), F.get(c, 2))))
+        return F.when(~clear, F.coalesce(F.when(s.startswith("rgb"), rgb).otherwise(hsl), F.concat(F.lit("#"), s)))
+
+    body = F.regexp_extract(s, r"(?s)^(?:rgb|rgba|hsl|hsla)\s*\((.*)\)$", 1)
+    return _let(F.filter(F.split(F.trim(body), r"[,\s/]+"), lambda p: p != ""), made)
+
+
 def parse(raw: Column) -> Column:
     """Any spelling of a colour as #rrggbb; words for no colour, links, variables, zero alpha and
     hex digits of an odd number give null; an unknown word, or a function of too few or broken
     numbers, stays as it is (the latter behind a #), so that it still takes a place of its own."""
-    s = F.lower(F.trim(F.regexp_replace(F.trim(raw), "^['\"]+|['\"]+$", "")))
-    body = F.regexp_extract(s, r"(?s)^(?:rgb|rgba|hsl|hsla)\s*\((.*)\)$", 1)
-    parts = F.filter(F.split(F.trim(body), r"[,\s/]+"), lambda p: p != "")
-    share = lambda p: F.when(p.endswith("%"), F.regexp_replace(p, "%$", "").try_cast("double") / 100.0)
-    channel_of = lambda i: F.coalesce(F.when(F.get(parts, i).endswith("%"), share(F.get(parts, i)) * 255.0), F.get(parts, i).try_cast("double"))
-    number = lambda i, unit: F.regexp_replace(F.get(parts, i), unit, "").try_cast("double")
-    alpha = F.get(parts, 3)
-    clear = F.coalesce(F.coalesce(share(alpha), alpha.try_cast("double")) <= 0, F.lit(False))
-    rgb = to_hex(channel_of(0), channel_of(1), channel_of(2))
-    hsl = from_hsl(F.pmod(number(0, "[deg]+$"), F.lit(360.0)), number(1, "%+$") / 100.0, number(2, "%+$") / 100.0)
-    made = F.when(s.startswith("rgb"), F.when(channel_of(0).isNotNull() & channel_of(1).isNotNull() & channel_of(2).isNotNull(), rgb)).otherwise(F.when(number(0, "[deg]+$").isNotNull() & number(1, "%+$").isNotNull() & number(2, "%+$").isNotNull(), hsl))
     names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
-    digits = F.regexp_extract(s, "^#([0-9a-f]{3,8})$", 1)
-    wide = F.when(F.length(digits).isin(3, 4), F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
-    return (
-        F.when(s.isNull() | s.isin(*NO_COLOURS) | s.contains("url(") | s.startswith("var("), None)
-        .when(digits != "", F.when((F.length(wide) == 6) | (F.length(wide) == 8) & ~wide.endswith("00"), F.concat(F.lit("#"), F.substring(wide, 1, 6))))
-        .when(s.rlike(r"(?s)^(rgb|rgba|hsl|hsla)\s*\(.*\)$"), F.when(~clear, F.coalesce(made, F.concat(F.lit("#"), s))))
-        .otherwise(F.coalesce(F.try_element_at(names, s), s))
+
+    def of_hex(digits: Column) -> Column:
+        wide = F.when(F.length(digits).isin(3, 4), F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
+        return F.when((F.length(wide) == 6) | (F.length(wide) == 8) & ~wide.endswith("00"), F.concat(F.lit("#"), F.substring(wide, 1, 6)))
+
+    return _let(
+        F.lower(F.trim(F.regexp_replace(F.trim(raw), "^['\"]+|['\"]+$", ""))),
+        lambda s: F.when(s.isNull() | s.isin(*NO_COLOURS) | s.contains("url(") | s.startswith("var("), None)
+        .when(s.rlike("^#[0-9a-f]{3,8}$"), of_hex(F.substring(s, 2, 8)))
+        .when(s.rlike(r"(?s)^(rgb|rgba|hsl|hsla)\s*\(.*\)$"), _of_function(s))
+        .otherwise(F.coalesce(F.try_element_at(names, s), s)),
     )
 
 

@@ -102,11 +102,12 @@ def ordinal_zip(a: Column, b: Column, name: str = "pair") -> Column:
 def as_of(left: DataFrame, right: DataFrame, key: str, time_left: str, time_right: str, value: str, hours: int = 24) -> DataFrame:
     """Each left row with the latest right value at or before its time (an extension).
 
-    Both sides are ordered once, together, in blocks of ``hours``: a block's last value is carried to
+    Both sides are ordered once, together, in blocks of ``hours`` (times may be numbers, as seconds): a block's last value is carried to
     the blocks after it, so a key with half of all rows is many tasks.  No pair of rows is made."""
     a = left.select(F.col(key).alias("_k"), F.col(time_left).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     b = right.select(F.col(key).alias("_k"), F.col(time_right).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    both = a.unionByName(b).withColumn("_block", F.floor(F.unix_seconds("_t") / (3600 * hours)))
+    moment = F.unix_seconds("_t") if dict(left.dtypes)[time_left] == "timestamp" else F.col("_t").cast("double")
+    both = a.unionByName(b).withColumn("_block", F.floor(moment / (3600 * hours)))
     upto = Window.partitionBy("_k", "_block").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     ends = both.groupBy("_k", "_block").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).alias("_end"))
     before = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
