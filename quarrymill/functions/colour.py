@@ -104,7 +104,7 @@ def parse(raw: Column) -> Column:
     """Any spelling of a colour as #rrggbb; words for no colour, links, variables, zero alpha and
     hex digits of an odd number give null; an unknown word, or a function of too few or broken
     numbers, stays as it is (the latter behind a #), so that it still takes a place of its own."""
-    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    names = F.str_to_map(F.lit(",".join(f"{name}={value}" for name, value in NAMES.items())), F.lit(","), F.lit("="))  # one literal to plan with, not one for each word
 
     def of_hex(digits: Column) -> Column:
         wide = F.when(F.length(digits).isin(3, 4), F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
