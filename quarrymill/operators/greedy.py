@@ -8,6 +8,8 @@ go on until all have decided; the result is the sequential rule's."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +20,21 @@ BUCKET = 1024
 OPEN, LEADER, MEMBER = 0, 1, 2
 
 
-def _decide(group: pd.DataFrame) -> pd.DataFrame:
-    """Decides a bucket's open items, the earliest first; open ones stay open."""
-    group = group.sort_values("place")
+def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decides the open items of buckets that follow one another, the earliest first; open ones stay open."""
     state: dict[int, int] = {}
-    for place, known, led, waits, near in zip(group["place"], group["state"], group["led"], group["waits"], group["near"], strict=True):
-        if known != OPEN:
+    current = None
+    for rows in batches:
+        found = []
+        for block, bucket, place, known, led, waits, near in zip(rows["block"], rows["bucket"], rows["place"], rows["state"], rows["led"], rows["waits"], rows["near"], strict=True):
+            if current != (block, bucket):
+                current, state = (block, bucket), {}
+            if known == OPEN:
+                own = [state[p] for p in near] if near is not None else []
+                known = MEMBER if led or LEADER in own else OPEN if waits or OPEN in own else LEADER
             state[place] = known
-            continue
-        own = [state[p] for p in near] if near is not None else []
-        state[place] = MEMBER if led or LEADER in own else OPEN if waits or OPEN in own else LEADER
-    return pd.DataFrame({"block": group["block"], "place": group["place"], "state": [state[p] for p in group["place"]]})
+            found.append(known)
+        yield pd.DataFrame({"block": rows["block"], "place": rows["place"], "state": found})
 
 
 def first_leaders(items: DataFrame, links: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -38,17 +44,18 @@ def first_leaders(items: DataFrame, links: DataFrame, bucket: int = BUCKET) -> D
     near = links.where("inside").groupBy("block", "place").agg(F.collect_list("earlier").alias("near"))  # at most a bucket
     state = written(items.select("block", "place", F.lit(OPEN).alias("state")), "leaders")
     while not state.where(F.col("state") == OPEN).isEmpty():
-        waiting = links.where("NOT inside").join(state.where(F.col("state") == OPEN).select("block", "place"), ["block", "place"], "left_semi")
-        seen = waiting.join(state.select("block", F.col("place").alias("earlier"), F.col("state").alias("other")), ["block", "earlier"])
+        waiting = links.where("NOT inside").join(state.where(F.col("state") == OPEN).select("block", "place").hint("merge"), ["block", "place"], "left_semi")
+        seen = waiting.join(state.select("block", F.col("place").alias("earlier"), F.col("state").alias("other")).hint("merge"), ["block", "earlier"])
         flags = seen.groupBy("block", "place").agg(F.bool_or(F.col("other") == LEADER).alias("led"), F.bool_or(F.col("other") == OPEN).alias("waits"))
         busy = state.withColumn("bucket", F.floor(F.col("place") / bucket))
         live = busy.where(F.col("state") == OPEN).select("block", "bucket").distinct()
-        rows = busy.join(live, ["block", "bucket"], "left_semi").join(flags, ["block", "place"], "left").join(near, ["block", "place"], "left").fillna(False, ["led", "waits"])
-        decided = rows.groupBy("block", "bucket").applyInPandas(_decide, f"block {kind}, place long, state int")
-        following = written(decided.unionByName(busy.join(live, ["block", "bucket"], "left_anti").select("block", "place", "state")), "leaders")
+        rows = busy.join(live.hint("merge"), ["block", "bucket"], "left_semi").join(flags.hint("merge"), ["block", "place"], "left").join(near.hint("merge"), ["block", "place"], "left").fillna(False, ["led", "waits"])
+        ordered = rows.select("block", "bucket", "place", "state", "led", "waits", "near").repartition("block", "bucket").sortWithinPartitions("block", "bucket", "place")
+        decided = ordered.mapInPandas(_decide, f"block {kind}, place long, state int")
+        following = written(decided.unionByName(busy.join(live.hint("merge"), ["block", "bucket"], "left_anti").select("block", "place", "state")), "leaders")
         drop(state)
         state = following
     leaders = state.where(F.col("state") == LEADER)
-    joined = links.join(leaders.select("block", F.col("place").alias("earlier")), ["block", "earlier"]).groupBy("block", "place").agg(F.min("earlier").alias("leader"))
-    found = state.join(joined, ["block", "place"], "left")
+    joined = links.join(leaders.select("block", F.col("place").alias("earlier")).hint("merge"), ["block", "earlier"]).groupBy("block", "place").agg(F.min("earlier").alias("leader"))
+    found = state.join(joined.hint("merge"), ["block", "place"], "left")
     return found.select("block", "place", F.when(F.col("state") == LEADER, F.col("place")).otherwise(F.col("leader")).alias("leader"))

@@ -5,6 +5,8 @@ between two anchors that pass by.  No stage compares all colours with all."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +24,13 @@ PAPER = -1
 
 
 def shares(pixels: DataFrame, image: str) -> DataFrame:
-    """``image, r, g, b, rgb, n, share``: each colour's share of its sheet in percent."""
-    counts = pixels.groupBy(image, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    """``image, r, g, b, rgb, n, share``: each colour's share of its sheet in percent.  The counts are a
+    written table, so that pixels are read once."""
+    from quarrymill.scratch import written
+
+    counts = written(pixels.groupBy(image, "r", "g", "b").agg(F.count(F.lit(1)).alias("n")), "shares")
     total = counts.groupBy(image).agg(F.sum("n").alias("total"))
-    return counts.join(total, image).select(image, "r", "g", "b", packed(F.col("r"), F.col("g"), F.col("b")).alias("rgb"), "n", (100.0 * F.col("n") / F.col("total")).alias("share"))
+    return counts.join(total.hint("merge"), image).select(image, "r", "g", "b", packed(F.col("r"), F.col("g"), F.col("b")).alias("rgb"), "n", (100.0 * F.col("n") / F.col("total")).alias("share"))
 
 
 def near_colours(colours: DataFrame, image: str, tolerance: float) -> DataFrame:
@@ -36,7 +41,7 @@ def near_colours(colours: DataFrame, image: str, tolerance: float) -> DataFrame:
     around = at.select("block", F.col("place").alias("earlier"), *(F.col(c).alias(f"o{c}") for c in "rgb"), "c0", "c1", F.explode(F.transform(sides, lambda k: F.col("c2") + k)).alias("c2"))
     around = around.withColumn("c1", F.explode(F.transform(sides, lambda k: F.col("c1") + k))).withColumn("c0", F.explode(F.transform(sides, lambda k: F.col("c0") + k)))
     gap = sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in "rgb"), F.lit(0))
-    return at.join(around, ["block", "c0", "c1", "c2"]).where((F.col("earlier") < F.col("place")) & (gap <= tolerance * tolerance)).select("block", "place", "earlier")
+    return at.join(around.hint("merge"), ["block", "c0", "c1", "c2"]).where((F.col("earlier") < F.col("place")) & (gap <= tolerance * tolerance)).select("block", "place", "earlier")
 
 
 def ink_clusters(colours: DataFrame, image: str, tolerance: float = MERGE) -> DataFrame:
@@ -45,7 +50,7 @@ def ink_clusters(colours: DataFrame, image: str, tolerance: float = MERGE) -> Da
     order = Window.partitionBy(image).orderBy(F.col("n").desc(), "r", "g", "b")
     placed = colours.withColumn("place", F.row_number().over(order).cast("long"))
     led = first_leaders(placed.select(F.col(image).alias("block"), "place"), near_colours(placed, image, tolerance)).withColumnRenamed("block", image)
-    sums = placed.join(led, [image, "place"]).groupBy(image, "leader").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"), *(F.max(F.when(F.col("place") == F.col("leader"), F.col(c))).alias(c) for c in "rgb"))
+    sums = placed.join(led.hint("merge"), [image, "place"]).groupBy(image, "leader").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"), *(F.max(F.when(F.col("place") == F.col("leader"), F.col(c))).alias(c) for c in "rgb"))
     number = F.row_number().over(Window.partitionBy(image).orderBy("leader")) - 1
     return sums.select(image, number.cast("long").alias("cluster"), "r", "g", "b", "n", "members")
 
@@ -64,7 +69,8 @@ def blend_segments(clusters: DataFrame, image: str, tolerance: float = BLEND, pa
     b = anchors.select(image, F.col("cluster").alias("ib"), F.col("turn").alias("tb"), *(F.col(c).alias(f"b{c}") for c in "rgb"))
     along = {c: F.col(f"b{c}") - F.col(f"a{c}") for c in "rgb"}
     long2 = along["r"] * along["r"] + along["g"] * along["g"] + along["b"] * along["b"]
-    pairs = a.join(b, image).where("ta < tb").withColumn("long2", long2).where(F.col("long2") > (2 * tolerance) ** 2)
+    # what grows in an explode is larger than Spark takes it for, and would be broadcast: such joins are by sorting
+    pairs = a.join(b.hint("merge"), image).where("ta < tb").withColumn("long2", long2).where(F.col("long2") > (2 * tolerance) ** 2)
     wide = 2.0 * tolerance
     steps = F.sequence(F.lit(0), F.ceil(F.sqrt("long2") / wide).cast("int"))
     point = lambda c, k: F.floor((F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * F.least(F.lit(1.0), k * wide / F.sqrt("long2"))) / wide)
@@ -72,7 +78,7 @@ def blend_segments(clusters: DataFrame, image: str, tolerance: float = BLEND, pa
     walked = pairs.withColumn("cell", F.explode(cells)).select(image, "ia", "ib", "ta", "tb", "long2", *(f"{s}{c}" for s in "ab" for c in "rgb"), "cell.*")
     beside = lambda c: F.array(*(F.floor(F.col(c) / wide) + k for k in (-1, 0, 1)))
     here = own.select(image, "cluster", "r", "g", "b", F.explode(beside("r")).alias("x")).withColumn("y", F.explode(beside("g"))).withColumn("z", F.explode(beside("b")))
-    met = here.join(walked, [image, "x", "y", "z"]).dropDuplicates([image, "cluster", "ia", "ib"])
+    met = here.join(walked.hint("merge"), [image, "x", "y", "z"]).dropDuplicates([image, "cluster", "ia", "ib"])
     from_a = {c: F.col(c) - F.col(f"a{c}") for c in "rgb"}
     t = (from_a["r"] * along["r"] + from_a["g"] * along["g"] + from_a["b"] * along["b"]) / F.col("long2")
     met = met.withColumn("t", t).where("t > 0 AND t < 1")
@@ -88,53 +94,71 @@ def absorb_blends(clusters: DataFrame, segments: DataFrame, solid: DataFrame, im
 
     In order, a small cluster without interior that has absorbed none goes to the larger of the two
     inks it lies between (to the one ink beside paper).  An image has ``MOST_INKS`` clusters at most here, any other
-    is left as it is; so the pass over one image is a group of bounded size.  ``solid`` has
-    ``cluster, has_interior``."""
-    rows = clusters.join(segments, [image, "cluster"], "left").join(solid, [image, "cluster"], "left")
+    is left as it is; so the pass over one image is of bounded size.  Clusters of an image count
+    from 0 without gaps.  ``solid`` has ``cluster, has_interior``."""
+    rows = clusters.join(segments.hint("merge"), [image, "cluster"], "left").join(solid.hint("merge"), [image, "cluster"], "left")
     rows = rows.withColumn("inks", F.count(F.lit(1)).over(Window.partitionBy(image)))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("cluster").reset_index(drop=True)
-        share, absorbed, kept = group["share"].tolist(), [0] * len(group), [True] * len(group)
-        for k, (small, a, b, inside) in enumerate(zip(group["share"] <= EDGE_PERCENT, group["one"], group["two"], group["has_interior"], strict=True)):
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        """Whole images, one after the other, each by its clusters."""
+        share, absorbed, kept = rows["share"].tolist(), [0] * len(rows), [True] * len(rows)
+        first = 0
+        for k, (cluster, small, a, b, inside) in enumerate(zip(rows["cluster"], rows["share"] <= EDGE_PERCENT, rows["one"], rows["two"], rows["has_interior"], strict=True)):
+            first = k if cluster == 0 else first
             if absorbed[k] or not small or pd.isna(a) or (not pd.isna(inside) and inside):
                 continue
             a, b = int(a), int(b)
-            owner = b if a == PAPER else a if b == PAPER or share[a] >= share[b] else b
+            owner = first + (b if a == PAPER else a if b == PAPER or share[first + a] >= share[first + b] else b)
             share[owner] += share[k]
             absorbed[owner] += 1
             kept[k] = False
-        return group.assign(share=share, absorbed=absorbed, kept=kept)[columns]
+        return rows.assign(share=share, absorbed=absorbed, kept=kept)[columns]
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """An image may go on in the next batch, so the last one of a batch waits for it."""
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            starts = rows.index[rows["cluster"] == 0]
+            cut = starts[-1] if len(starts) else 0
+            if cut:
+                yield fold(rows[:cut].reset_index(drop=True))
+            rest = rows[cut:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield fold(rest)
 
     columns = [*clusters.columns, "absorbed", "kept"]
     schema = ", ".join(f"{n} {t}" for n, t in clusters.dtypes) + ", absorbed long, kept boolean"
-    few = rows.where(F.col("inks") <= MOST_INKS).groupBy(image).applyInPandas(fold, schema)
+    few = rows.where(F.col("inks") <= MOST_INKS).repartition(image).sortWithinPartitions(image, "cluster").mapInPandas(folded, schema)
     many = rows.where(F.col("inks") > MOST_INKS).select(*clusters.columns, F.lit(0).cast("long").alias("absorbed"), F.lit(True).alias("kept"))
     return few.unionByName(many)
 
 
-def plates(pixels: DataFrame, image: str, area: float = AREA_PERCENT, merge: float = MERGE, blend: float = BLEND) -> DataFrame:
-    """``image, cluster, r, g, b, share, members, absorbed, kept`` of the sheet's inks on white paper."""
+def plates(pixels: DataFrame, image: str, area: float = AREA_PERCENT, merge: float = MERGE, blend: float = BLEND, colours: DataFrame | None = None) -> DataFrame:
+    """``image, cluster, r, g, b, share, members, absorbed, kept`` of the sheet's inks on white paper.
+    ``colours`` are the pixels' ``shares``, where they are known."""
     from quarrymill.operators.pixels import interior
     from quarrymill.scratch import written
 
-    large = shares(pixels, image).where((F.col("share") >= area) & (F.col("rgb") != WHITE))
+    colours = shares(pixels, image) if colours is None else colours
+    large = colours.where((F.col("share") >= area) & (F.col("rgb") != WHITE))
     inks = ink_clusters(large, image, merge)
-    total = pixels.groupBy(image).agg(F.count(F.lit(1)).alias("total"))
-    inks = written(inks.join(total, image).withColumn("share", 100.0 * F.col("n") / F.col("total")).drop("n", "total"), "inks")
+    total = colours.groupBy(image).agg(F.sum("n").alias("total"))
+    inks = written(inks.join(total.hint("merge"), image).withColumn("share", 100.0 * F.col("n") / F.col("total")).drop("n", "total"), "inks")
     solid = interior(pixels.withColumn("rgb", packed(F.col("r"), F.col("g"), F.col("b"))), "rgb", image)
-    solid = inks.select(image, "cluster", packed(F.col("r"), F.col("g"), F.col("b")).alias("rgb")).join(solid, [image, "rgb"]).select(image, "cluster", "has_interior")
+    solid = inks.select(image, "cluster", packed(F.col("r"), F.col("g"), F.col("b")).alias("rgb")).join(solid.hint("merge"), [image, "rgb"]).select(image, "cluster", "has_interior")
     return absorb_blends(inks, blend_segments(inks, image, blend), solid, image)
 
 
-def tone(pixels: DataFrame, inks: DataFrame, image: str, area: float = AREA_PERCENT, members: int = RAMP_MEMBERS, tone_area: float = TONE_AREA, tone_colours: int = TONE_COLOURS) -> DataFrame:
+def tone(pixels: DataFrame, inks: DataFrame, image: str, area: float = AREA_PERCENT, members: int = RAMP_MEMBERS, tone_area: float = TONE_AREA, tone_colours: int = TONE_COLOURS, colours: DataFrame | None = None) -> DataFrame:
     """CONTINUOUS_TONE and the screens of each image: ``image, screens, ramps, ramp_members, diffuse_area,
     diffuse_colours, arm``.  ``arm`` is ramp where one ink is made of many near shades, diffuse where
     colours too small for an ink cover much of the sheet together, else null."""
-    small = shares(pixels, image).groupBy(image).agg(F.coalesce(F.sum(F.when((F.col("share") < area) & (F.col("rgb") != WHITE), F.col("share"))), F.lit(0.0)).alias("diffuse_area"), F.count_if((F.col("share") < area) & (F.col("rgb") != WHITE)).alias("diffuse_colours"))
+    colours = shares(pixels, image) if colours is None else colours
+    small = colours.groupBy(image).agg(F.coalesce(F.sum(F.when((F.col("share") < area) & (F.col("rgb") != WHITE), F.col("share"))), F.lit(0.0)).alias("diffuse_area"), F.count_if((F.col("share") < area) & (F.col("rgb") != WHITE)).alias("diffuse_colours"))
     ramp = F.col("members") >= members
     own = inks.where(F.col("kept") & (F.col("share") >= area)).groupBy(image).agg(F.count(F.lit(1)).alias("screens"), F.count_if(ramp).alias("ramps"), F.max_by("members", F.when(ramp, F.struct("share", -F.col("cluster")))).alias("ramp_members"))
-    found = small.join(own, image, "left").fillna(0, ["screens", "ramps"])
+    found = small.join(own.hint("merge"), image, "left").fillna(0, ["screens", "ramps"])
     diffuse = (F.col("diffuse_area") >= tone_area) & (F.col("diffuse_colours") >= tone_colours)
     return found.withColumn("arm", F.when(F.col("ramps") > 0, "ramp").when(diffuse, "diffuse"))
 
