@@ -106,7 +106,8 @@ SELECT image, coalesce(screens, 0) AS screens, coalesce(ramps, 0) AS ramps, ramp
 def sheet_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screens of every sheet, and whether it has continuous tone, by ramps or by diffuse colours."""
     view = sheet_view(spark, sf_dir)
-    found = plates.tone(view, plates.plates(view, "image", AREA), "image", AREA, MEMBERS, TONE_AREA, TONE_COLOURS)
+    colours = plates.shares(view, "image")
+    found = plates.tone(view, plates.plates(view, "image", AREA, colours=colours), "image", AREA, MEMBERS, TONE_AREA, TONE_COLOURS, colours)
     return found.withColumn("diffuse_area", F.round("diffuse_area", 6))
 
 
