@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.operators.relations import climb, running
-from quarrymill.scratch import written
+from quarrymill.scratch import collected, drop, once, written
 
 #: The properties that rules ask for; those that pass to descendants; keywords that ask the parent.
 INHERITED = ("fill", "stroke", "stroke-width", "fill-opacity", "stroke-opacity", "color", "visibility")
@@ -35,8 +35,12 @@ def declared(block: Column) -> Column:
     name = lambda p: F.lower(F.regexp_extract(p, r"(?s)([-\w]+)\s*:", 1))
     text = lambda p: F.trim(F.regexp_replace(F.regexp_extract(p, r"(?s)^[^:]*:(.*)$", 1), r"\s+", " "))
     mark = r"(?i)\s*!\s*important\s*$"
-    every = F.transform(parts, lambda p: F.named_struct(F.lit("prop"), name(p), F.lit("value"), F.regexp_replace(text(p), mark, ""), F.lit("important"), text(p).rlike(mark)))
-    return F.filter(every, lambda x, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["prop"] == x["prop"]))
+    said = F.transform(parts, lambda p: F.named_struct(F.lit("prop"), name(p), F.lit("text"), text(p)))
+    marked = lambda s: s["text"].contains("!")
+    every = F.transform(said, lambda s: F.named_struct(F.lit("prop"), s["prop"], F.lit("value"), F.when(marked(s), F.regexp_replace(s["text"], mark, "")).otherwise(s["text"]), F.lit("important"), marked(s) & s["text"].rlike(mark)))
+    # bound by a transform of one, else each declaration would read the block anew
+    last = lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda later: later["prop"] == x["prop"]))
+    return F.get(F.transform(F.array(every), last), 0)
 
 
 def style_rules(sheets: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def subtrees(elements: DataFrame) -> DataFrame:
     rows = elements.select("doc_id", "node_id", "parent_id", F.row_number().over(siblings).alias("turn"), (F.lead("node_id").over(siblings) - 1).alias("end"))
     whole = elements.groupBy("doc_id").agg(F.max("node_id").alias("whole"))
     found = climb(rows, {"end": F.coalesce(F.col("end"), F.col("_end"))}, F.col("end").isNull())
-    return found.join(whole, "doc_id").select("doc_id", "node_id", "parent_id", "turn", F.coalesce("end", "whole").alias("last"))
+    return found.join(whole.hint("merge"), "doc_id").select("doc_id", "node_id", "parent_id", "turn", F.coalesce("end", "whole").alias("last"))
 
 
 def _fits(steps: DataFrame, elements: DataFrame) -> DataFrame:
@@ -102,19 +106,25 @@ def _fits(steps: DataFrame, elements: DataFrame) -> DataFrame:
     table = elements.select("doc_id", "node_id", F.lower("tag").alias("own_tag"), ident.alias("own_id"), own.alias("own_classes"))
     hooks = F.array_compact(F.concat(F.array(F.col("own_tag"), F.concat(F.lit("#"), "own_id")), F.transform(F.array_distinct("own_classes"), lambda c: F.concat(F.lit("."), c))))
     table = table.withColumn("hook", F.explode(hooks))
-    met = steps.withColumn("hook", hook).join(table, ["doc_id", "hook"])
+    met = table.join(steps.withColumn("hook", hook).hint("merge"), ["doc_id", "hook"])
     fits = (F.col("tag").isNull() | (F.col("tag") == F.col("own_tag"))) & (F.col("id").isNull() | (F.col("id") == F.col("own_id"))) & (F.size(F.array_except("classes", "own_classes")) == 0)
     return met.where(fits).select("doc_id", "rule", "step", "steps", "combinator", "ids_n", "classes_n", "tags_n", "node_id")
 
 
 def selector_matches(rules: DataFrame, elements: DataFrame, combinators: str = " ") -> DataFrame:
     """``doc_id, rule, node_id, ids_n, classes_n, tags_n``: the elements that each rule selects."""
-    fits = _fits(selector_steps(rules, combinators), elements)
-    place = subtrees(elements)
-    fits = written(fits.join(place, ["doc_id", "node_id"]), "fits")
-    longest = fits.agg(F.max("steps")).first()[0] or 0
+    elements = once(elements, "elements")
+    every = written(_fits(selector_steps(rules, combinators), elements), "hooks")
+    found = [every.where("step = 0 AND steps = 1")]
+    # only selectors of several steps ask where their elements stand
+    longest = every.agg(F.max("steps")).first()[0] or 0
+    if longest < 2:
+        return found[0].select("doc_id", "rule", "node_id", "ids_n", "classes_n", "tags_n")
+    with collected() as spent:
+        places = subtrees(elements)
+    fits = written(places.join(every.where("steps > 1").hint("merge"), ["doc_id", "node_id"]), "fits")
+    drop(*spent)
     kept = fits.where("step = 0")
-    found = [kept.where("steps = 1")]
     keys = ["doc_id", "rule"]
     for step in range(1, longest):
         before, now = kept.where("steps > step + 1"), fits.where(F.col("step") == step)
@@ -129,23 +139,24 @@ def selector_matches(rules: DataFrame, elements: DataFrame, combinators: str = "
             ways.append(now.where("combinator = '+'").join(beside, [*keys, "parent_id", "turn"], "left_semi").select(*keys, "node_id"))
             first = before.groupBy(*keys, "parent_id").agg(F.min("turn").alias("first"))
             ways.append(now.where("combinator = '~'").join(first, [*keys, "parent_id"]).where("turn > first").select(*keys, "node_id"))
-        kept = written(now.join(reduce(DataFrame.unionByName, ways), [*keys, "node_id"], "left_semi"), "matches")
+        kept = written(now.join(reduce(DataFrame.unionByName, ways).hint("merge"), [*keys, "node_id"], "left_semi"), "matches")
         found.append(kept.where(F.col("steps") == step + 1))
-    return reduce(DataFrame.unionByName, found).select("doc_id", "rule", "node_id", "ids_n", "classes_n", "tags_n")
+    return reduce(DataFrame.unionByName, [f.select("doc_id", "rule", "node_id", "ids_n", "classes_n", "tags_n") for f in found])
 
 
 def cascaded(elements: DataFrame, combinators: str = " ") -> DataFrame:
     """``elements`` with ``style``, a map of ``PROPERTIES`` to ``value`` and ``source`` (style, css
     or attr): important inline, important rule, inline, rule, attribute; among rules the more
     specific, then the later."""
+    elements = once(elements, "elements")
     found = elements.withColumn("own", F.map_from_entries(F.transform(declared(F.try_element_at("attrs", F.lit("style"))), lambda x: F.struct(x["prop"], F.named_struct(F.lit("value"), x["value"], F.lit("important"), x["important"])))))
     if "text" in elements.columns:
         rules = written(style_rules(elements.where(F.lower("tag") == "style")).where(F.col("prop").isin(*PROPERTIES)), "rules")
-        hits = rules.join(selector_matches(rules, elements, combinators), ["doc_id", "rule"])
+        hits = rules.join(selector_matches(rules, elements, combinators).hint("merge"), ["doc_id", "rule"])
         weight = F.struct("important", "ids_n", "classes_n", "tags_n", "rule")
         best = hits.groupBy("doc_id", "node_id", "prop").agg(F.max_by(F.struct("value", "important"), weight).alias("best"))
         css = best.groupBy("doc_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("prop", "best"))).alias("css"))  # at most one entry a property
-        found = found.join(css, ["doc_id", "node_id"], "left")
+        found = found.join(css.hint("merge"), ["doc_id", "node_id"], "left")
     else:
         found = found.withColumn("css", F.lit(None).cast("map<string,struct<value:string,important:boolean>>"))
 
@@ -154,7 +165,8 @@ def cascaded(elements: DataFrame, combinators: str = " ") -> DataFrame:
         say = lambda v, s: F.named_struct(F.lit("value"), v, F.lit("source"), F.lit(s))
         return F.when(inline["important"], say(inline["value"], "style")).when(css["important"], say(css["value"], "css")).when(inline.isNotNull(), say(inline["value"], "style")).when(css.isNotNull(), say(css["value"], "css")).when(plain.isNotNull(), say(plain, "attr"))
 
-    every = F.transform(F.array(*map(F.lit, PROPERTIES)), lambda p: F.named_struct(F.lit("key"), p, F.lit("value"), value(p)))
+    named = [F.coalesce(F.map_keys(c), F.array().cast("array<string>")) for c in ("own", "css", "attrs")]
+    every = F.transform(F.array_intersect(F.concat(*named), F.array(*map(F.lit, PROPERTIES))), lambda p: F.named_struct(F.lit("key"), p, F.lit("value"), value(p)))
     entries = F.filter(every, lambda e: e["value"].isNotNull())
     return found.withColumn("style", F.map_from_entries(entries)).drop("own", "css")
 

@@ -203,7 +203,7 @@ def running(df: DataFrame, keys: list[str], by: str, value: str, f, block: int)
     sums = cut.groupBy(*keys, "_block").agg(f(value).alias("_sum"))
     carry = sums.select(*keys, "_block", f("_sum").over(past(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     inside = f(value).over(past(*keys, "_block").orderBy(by).rangeBetween(Window.unboundedPreceding, -1))
-    both = cut.withColumn("_inside", inside).join(carry, [*keys, "_block"])
+    both = cut.withColumn("_inside", inside).join(carry.hint("merge"), [*keys, "_block"])
     return both.withColumn(f"_{value}", f_of_two(f, F.col("_inside"), F.col("_carry"))).drop("_block", "_inside", "_carry")
 
 
@@ -215,23 +215,29 @@ def f_of_two(f, a: Column, b: Column) -> Column:
 
 
 def climb(nodes: DataFrame, rules: dict[str, Column], open_while: Column) -> DataFrame:
-    """``nodes`` (``doc_id, node_id, parent_id`` and more) with columns carried down from all ancestors.
+    """``nodes`` (``doc_id, node_id, parent_id`` and more; a node is one row) with columns carried down from
+    all ancestors.
 
     Each rule composes a node's column with its ancestors' (``_<name>``), and composition must be
     associative.  Pointers double each round, so rounds grow as the logarithm of the depth; a node
-    stops once ``open_while`` is false for it.  The state between rounds is a written table."""
+    stops once ``open_while``, over the carried columns, is false for it.  The state between rounds is a
+    written table of the carried columns alone; the others join at the end."""
     from quarrymill.scratch import drop, written
 
     up = lambda df: df.withColumn("_up", F.when(open_while, F.col("_up")))
-    state = written(up(nodes.withColumn("_up", F.col("parent_id"))), "climb")
+    base = written(nodes, "climb")
+    state = up(base.select("doc_id", "node_id", *rules, F.col("parent_id").alias("_up")))
     while not state.where("_up IS NOT NULL").isEmpty():
         above = state.select("doc_id", F.col("node_id").alias("_up"), *(F.col(n).alias(f"_{n}") for n in rules), F.col("_up").alias("_next"))
-        waiting = state.where("_up IS NOT NULL").join(above, ["doc_id", "_up"], "left")
-        moved = waiting.select(*(rules[c].alias(c) if c in rules else F.col(c) for c in nodes.columns), F.col("_next").alias("_up"))
+        waiting = state.where("_up IS NOT NULL").join(above.hint("merge"), ["doc_id", "_up"], "left")
+        moved = waiting.select("doc_id", "node_id", *(rules[c].alias(c) for c in rules), F.col("_next").alias("_up"))
         following = written(up(moved).unionByName(state.where("_up IS NULL")), "climb")
         drop(state)
         state = following
-    return state.drop("_up")
+    carried = state.select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("_node"), *rules)
+    own = base.drop(*rules)
+    both = own.join(carried.hint("merge"), own["doc_id"].eqNullSafe(carried["_doc"]) & own["node_id"].eqNullSafe(carried["_node"]))
+    return both.select(*nodes.columns)
 
 
 def nearest_ancestors(elements: DataFrame, props: list[str]) -> DataFrame:

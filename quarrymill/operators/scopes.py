@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import colour
 from quarrymill.operators.cascade import INITIAL, cascaded, handed_down, own_value
 from quarrymill.operators.relations import climb
+from quarrymill.scratch import collected, drop, once
 
 #: Elements that ink; content that never inks; gradients; content that inks where referred to.
 SHAPES = ("path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "text", "tspan", "textpath", "use")
@@ -48,19 +49,24 @@ def resolved(elements: DataFrame, combinators: str = " ") -> DataFrame:
     fill_opacity, stroke_opacity, color``; null: nobody declares it), ``scaled`` (a scaling transform
     on it or above), ``visibility``, ``container`` (the scope below the element) and ``scope``: painted, resource (a gradient), unchecked
     (a definition that nothing refers to), inert or hidden."""
-    table = cascaded(elements, combinators).withColumn("own_id", F.try_element_at("attrs", F.lit("id")))
-    asked = referred_ids(elements).select("doc_id", F.col("id").alias("own_id"), F.lit(True).alias("asked"))
-    table = table.join(asked, ["doc_id", "own_id"], "left")
+    with collected() as spent:
+        elements = once(elements, "elements")
+        table = cascaded(elements, combinators)
+    # references meet the ids alone, and elements by the key that the cascade dealt them by
+    ids = elements.select("doc_id", "node_id", F.try_element_at("attrs", F.lit("id")).alias("id")).where("id IS NOT NULL")
+    asked = ids.join(referred_ids(elements).hint("merge"), ["doc_id", "id"]).select("doc_id", "node_id", F.lit(True).alias("asked"))
+    table = table.join(asked.hint("merge"), ["doc_id", "node_id"], "left")
     kind = F.lower("tag")
     gone = F.coalesce(F.lower(F.rtrim(F.trim(own_value("display")), F.lit(";"))) == "none", F.lit(False)) | ~visible(own_value("opacity"))
     turn = F.when(gone, "hidden").when(kind.isin(*INERT), "inert").when(F.col("asked"), "painted").when(kind.isin(*GRADIENTS), "resource").when(kind.isin(*DEFERRED), "unchecked")
     shown = F.lower(F.trim(own_value("visibility")))
     seen = F.when(shown.isin("hidden", "collapse"), "hidden").when(shown.isin("visible", "initial"), "visible")
-    table = table.withColumns({**{n: handed_down(p) for n, p in _PASSED.items()}, "visibility": seen, "container": turn, "scaled": F.lower(F.coalesce(F.try_element_at("attrs", F.lit("transform")), F.lit(""))).contains("scale(")}).drop("asked", "own_id")
+    table = table.withColumns({**{n: handed_down(p) for n, p in _PASSED.items()}, "visibility": seen, "container": turn, "scaled": F.lower(F.coalesce(F.try_element_at("attrs", F.lit("transform")), F.lit(""))).contains("scale(")}).drop("asked")
     rules = {n: F.coalesce(n, f"_{n}") for n in (*_PASSED, "visibility")}
     rules["container"] = F.when(F.col("_container").isin("hidden", "inert"), F.col("_container")).otherwise(F.coalesce("container", "_container"))
     rules["scaled"] = F.col("scaled") | F.coalesce("_scaled", F.lit(False))
     found = climb(table, rules, F.lit(True))
+    drop(*spent)  # the climb reads its own tables only
     found = found.withColumns({**{n: F.when(F.col(n) != INITIAL, F.col(n)) for n in _PASSED}, "visibility": F.coalesce("visibility", F.lit("visible")), "container": F.coalesce("container", F.lit("painted"))})
     return found.withColumn("scope", F.when(F.col("visibility") == "hidden", "hidden").otherwise(F.col("container")))
 

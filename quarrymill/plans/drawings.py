@@ -89,9 +89,11 @@ _HEX = "CASE lower({0}) WHEN 'none' THEN NULL WHEN 'url(#n2)' THEN NULL WHEN 'li
 )
 def selector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many elements each selector selects, those of children included."""
-    view = nested_view(spark, sf_dir)
-    rules = cascade.style_rules(view.where("tag = 'style'"))
-    found = cascade.selector_matches(rules, view, " >+~").join(rules.select("doc_id", "rule", "selector").distinct(), ["doc_id", "rule"])
+    from quarrymill.scratch import written
+
+    view = written(nested_view(spark, sf_dir), "elements")
+    rules = written(cascade.style_rules(view.where("tag = 'style'")), "rules")
+    found = cascade.selector_matches(rules, view, " >+~").join(rules.select("doc_id", "rule", "selector").distinct().hint("merge"), ["doc_id", "rule"])
     return found.groupBy("selector").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_collecting: list[list[DataFrame]] = []
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -32,9 +35,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
+    for tables in _collecting:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """The tables written inside, for ``drop`` once nothing reads them any more."""
+    tables: list[DataFrame] = []
+    _collecting.append(tables)
+    try:
+        yield tables
+    finally:
+        _collecting[:] = [t for t in _collecting if t is not tables]
+
+
+def once(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written and read back, or itself where it is such a table already."""
+    return df if hasattr(df, "_written") else written(df, label)
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for df in tables:

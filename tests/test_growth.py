@@ -1,6 +1,11 @@
 """Plans and steps that grow with the tables: what may not be broadcast, repeated or cut."""
 
-from quarrymill.operators import plates
+import os
+
+from pyspark.sql import functions as F
+
+from quarrymill import scratch
+from quarrymill.operators import plates, relations, scopes
 
 
 def _plan(df):
@@ -33,3 +38,27 @@ def test_absorb_blends_over_batches(spark):
         assert got[i, 1] == ((40.0 + small, 1, True) if last else (40.0, 0, True))
         assert got[i, 2] == (3.0, 0, i == 1)
         assert got[i, 3] == (small, 0, not last)
+
+
+def test_climb_writes_wide_rows_once(spark, monkeypatch):
+    from quarrymill import scratch
+
+    seen, write = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, label: (seen.append(df.columns), write(df, label))[1])
+    rows = [(1, n, n - 1 if n else None, "x" * n, n if n == 2 else None) for n in range(9)] + [(None, 0, None, "y", 7)]
+    nodes = spark.createDataFrame(rows, "doc_id long, node_id long, parent_id long, payload string, v long")
+    found = relations.climb(nodes, {"v": F.coalesce("v", "_v")}, F.lit(True))
+    assert found.columns == nodes.columns
+    assert {(r.doc_id, r.node_id, r.payload, r.v) for r in found.collect()} == {(1, n, "x" * n, 2 if n >= 2 else None) for n in range(9)} | {(None, 0, "y", 7)}
+    assert len(seen) > 3 and sum("payload" in columns for columns in seen) == 1
+
+
+def test_resolved_leaves_only_what_it_reads(spark):
+    sheet = "g .hot { fill: red } .hot { stroke: blue }"
+    rows = [(1, 0, None, "svg", {}, None), (1, 1, 0, "style", {}, sheet), (1, 2, 0, "g", {}, None), (1, 3, 2, "path", {"class": "hot", "id": "a"}, None)]
+    drawing = spark.createDataFrame(rows, "doc_id long, node_id long, parent_id long, tag string, attrs map<string,string>, text string")
+    with scratch.collected() as tables:
+        found = scopes.resolved(drawing)
+    assert {(r.node_id, r.fill, r.stroke) for r in found.collect()} == {(0, None, None), (1, None, None), (2, None, None), (3, "red", "blue")}
+    left = [t for t in tables if os.path.exists(t._written.removeprefix("file://"))]
+    assert len(tables) > 6 and len(left) <= 4
