@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import numeric, text
 from quarrymill.operators import similarity as sim
 from quarrymill.plans.registry import Family
+from quarrymill.scratch import written
 from quarrymill.tables import load
 
 family = Family()
@@ -79,7 +80,7 @@ def _grams(table: str, key: str) -> str:
 
 
 def _vectors(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    counts = sim.gram_counts(docs, key, "text")
+    counts = written(sim.gram_counts(docs, key, "text"), "grams")  # read by the document frequencies and by the weights
     idf = sim.idf_table(counts, docs.agg(F.count(F.lit(1)).alias("docs")))
     return sim.unit_vectors(counts, idf, key), idf
 

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from quarrymill import scratch
-from quarrymill.operators import plates, relations, scopes
+from quarrymill.operators import plates, relations, scopes, similarity
 
 
 def _plan(df):
@@ -62,3 +62,17 @@ def test_resolved_leaves_only_what_it_reads(spark):
     assert {(r.node_id, r.fill, r.stroke) for r in found.collect()} == {(0, None, None), (1, None, None), (2, None, None), (3, "red", "blue")}
     left = [t for t in tables if os.path.exists(t._written.removeprefix("file://"))]
     assert len(tables) > 6 and len(left) <= 4
+
+
+def test_grams_are_counted_where_the_text_is(spark):
+    docs = spark.createDataFrame([(1, "Abab"), (1, "ab!"), (None, "xyx"), (2, "q"), (3, ""), (4, None), (5, "\U0001f600á École")], "k long, text string")
+    counts = similarity.gram_counts(docs, "k", "text")
+    assert "Generate" not in _plan(counts)
+    want = {(1, "ab", 3), (1, "ba", 1), (None, "xy", 1), (None, "yx", 1), (2, "q", 1)}
+    got = {tuple(r) for r in counts.collect()}
+    assert {r for r in got if r[0] != 5} == want
+    three = {(r.gram, r.tf) for r in similarity.gram_counts(docs, "k", "text", 3).where("k = 1").collect()}
+    assert three == {("aba", 1), ("bab", 1), ("ab", 1)}
+    # rows without a key are weighed like others
+    vectors = similarity.unit_vectors(counts, similarity.idf_table(counts, docs.selectExpr("count(*) AS docs")), "k")
+    assert {round(r.w, 6) for r in vectors.where("k IS NULL").collect()} == {round(2**-0.5, 6)}
