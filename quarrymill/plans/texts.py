@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ family = Family()
 
 #: Query vectors, and other vectors, that meet in a task.
 QUERY_BLOCK, VECTOR_BLOCK = 2_000, 20_000
+#: Bit hashes of a label that meet as many others in a group, and those compared at once.
+HASH_BLOCK, HASH_STEP = 8_192, 128
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -52,17 +56,50 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame
 
 
 def similar_hashes(hashes: DataFrame, most: int) -> DataFrame:
-    """Pairs of one label whose bit hashes differ in few places, by bands: cut in more bands
-    than places may differ, two hashes agree in one band at least."""
-    bands = most + 1
-    n = 56
-    edges = [round(i * n / bands) for i in range(bands + 1)]
-    text = F.array_join(F.transform("bits", lambda b: F.when(b, F.lit("1")).otherwise(F.lit("0"))), "")
-    keys = F.array(*(F.concat(F.lit(f"{i}:"), F.substring(text, a + 1, b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
-    banded = hashes.select("vec_id", "label", "bits", F.explode(keys).alias("band"))
-    a, b = banded.select(F.col("vec_id").alias("a"), "label", "band", F.col("bits").alias("x")), banded.select(F.col("vec_id").alias("b"), "label", "band", F.col("bits").alias("y"))
-    near = a.join(b, ["label", "band"]).where("a < b").withColumn("distance", numeric.hamming(F.col("x"), F.col("y")).cast("long"))
-    return near.where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    """Pairs ``a, b, distance`` of one label whose bit hashes (64 bits at most) differ in few places, exactly.
+
+    Bands of so few bits part nothing, so all pairs of a label are compared, as machine words: a label's
+    vectors are dealt in blocks, each two blocks meet in a group of their own, and a group's pairs leave
+    it ``HASH_STEP`` rows at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    word = lambda pick: F.aggregate(F.transform("bits", pick), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b.cast("long")))
+    # a bit that is not known differs from none
+    packed = hashes.where("label IS NOT NULL AND vec_id IS NOT NULL AND bits IS NOT NULL").select("vec_id", "label", word(lambda b: F.coalesce(b, F.lit(False))).alias("word"), word(lambda b: b.isNotNull()).alias("known"))
+    blocks = packed.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / HASH_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("vec_id", "word"), F.col("blocks")).cast("int")
+    place = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("x"), F.greatest(F.col("own"), k).alias("y")))
+    dealt = packed.join(blocks, "label").withColumn("own", own).withColumn("place", F.explode(place)).select("label", "place.*", "own", "vec_id", "word", "known")
+
+    def pairs(rows: list[tuple], x: int, y: int) -> Iterator[pa.RecordBatch]:
+        own, ids, words, known = (np.array(c) for c in zip(*rows, strict=True))
+        words, known = words.view(np.uint64), known.view(np.uint64)
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        for lo in range(0, left.size, HASH_STEP):
+            p = left[lo : lo + HASH_STEP]
+            apart = np.bitwise_count((words[p][:, None] ^ words[right][None]) & known[p][:, None] & known[right][None])
+            i, j = np.nonzero(apart <= most)
+            n = apart[i, j].astype(np.int64)
+            a, b = ids[p[i]], ids[right[j]]
+            fit = a < b if x == y else a != b  # two of one block meet both ways round
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[fit]), pa.array(np.maximum(a, b)[fit]), pa.array(n[fit])], ["a", "b", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            for label, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (label, x, y) != at:
+                    if len(rows) > 1:
+                        yield from pairs(rows, *at[1:])
+                    at, rows = (label, x, y), []
+                rows.append(tuple(row))
+        if len(rows) > 1:
+            yield from pairs(rows, *at[1:])
+
+    kind = hashes.schema["vec_id"].dataType.simpleString()
+    met = dealt.withColumn("vec_id", F.col("vec_id").cast("long")).repartition("label", "x", "y").sortWithinPartitions("label", "x", "y")
+    return met.mapInArrow(run, "a long, b long, distance long").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "distance")
 
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g'))"

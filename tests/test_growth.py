@@ -76,3 +76,20 @@ def test_grams_are_counted_where_the_text_is(spark):
     # rows without a key are weighed like others
     vectors = similarity.unit_vectors(counts, similarity.idf_table(counts, docs.selectExpr("count(*) AS docs")), "k")
     assert {round(r.w, 6) for r in vectors.where("k IS NULL").collect()} == {round(2**-0.5, 6)}
+
+
+def test_hashes_of_a_label_meet_in_blocks(spark, monkeypatch):
+    import random
+
+    from quarrymill.plans import texts
+
+    draw = random.Random(5)
+    rows = [(i, i % 2 if i % 11 else None, [draw.random() < 0.5 for _ in range(9)] if i % 13 else [True, None] * 4 + [None]) for i in range(150)]
+    rows += rows[5:9]  # a row that is there twice is in twice as many pairs, as in SQL
+    monkeypatch.setattr(texts, "HASH_BLOCK", 20)
+    monkeypatch.setattr(texts, "HASH_STEP", 7)
+    hashes = spark.createDataFrame(rows, "vec_id long, label long, bits array<boolean>")
+    found = texts.similar_hashes(hashes, 2)
+    apart = lambda x, y: sum(p is not None and q is not None and p != q for p, q in zip(x, y, strict=True))
+    want = sorted((a, b, apart(x, y)) for a, k, x in rows for b, m, y in rows if a < b and k is not None and k == m and apart(x, y) <= 2)
+    assert sorted(map(tuple, found.collect())) == want
