@@ -9,6 +9,7 @@ node holds it; for a child or a sibling it is a join on the parent.  Nothing is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -144,14 +145,14 @@ def selector_matches(rules: DataFrame, elements: DataFrame, combinators: str = "
     return reduce(DataFrame.unionByName, [f.select("doc_id", "rule", "node_id", "ids_n", "classes_n", "tags_n") for f in found])
 
 
-def cascaded(elements: DataFrame, combinators: str = " ") -> DataFrame:
-    """``elements`` with ``style``, a map of ``PROPERTIES`` to ``value`` and ``source`` (style, css
+def cascaded(elements: DataFrame, combinators: str = " ", properties: Sequence[str] = PROPERTIES) -> DataFrame:
+    """``elements`` with ``style``, a map of ``properties`` to ``value`` and ``source`` (style, css
     or attr): important inline, important rule, inline, rule, attribute; among rules the more
     specific, then the later."""
     elements = once(elements, "elements")
     found = elements.withColumn("own", F.map_from_entries(F.transform(declared(F.try_element_at("attrs", F.lit("style"))), lambda x: F.struct(x["prop"], F.named_struct(F.lit("value"), x["value"], F.lit("important"), x["important"])))))
     if "text" in elements.columns:
-        rules = written(style_rules(elements.where(F.lower("tag") == "style")).where(F.col("prop").isin(*PROPERTIES)), "rules")
+        rules = written(style_rules(elements.where(F.lower("tag") == "style")).where(F.col("prop").isin(*properties)), "rules")
         hits = rules.join(selector_matches(rules, elements, combinators).hint("merge"), ["doc_id", "rule"])
         weight = F.struct("important", "ids_n", "classes_n", "tags_n", "rule")
         best = hits.groupBy("doc_id", "node_id", "prop").agg(F.max_by(F.struct("value", "important"), weight).alias("best"))
@@ -166,7 +167,7 @@ def cascaded(elements: DataFrame, combinators: str = " ") -> DataFrame:
         return F.when(inline["important"], say(inline["value"], "style")).when(css["important"], say(css["value"], "css")).when(inline.isNotNull(), say(inline["value"], "style")).when(css.isNotNull(), say(css["value"], "css")).when(plain.isNotNull(), say(plain, "attr"))
 
     named = [F.coalesce(F.map_keys(c), F.array().cast("array<string>")) for c in ("own", "css", "attrs")]
-    every = F.transform(F.array_intersect(F.concat(*named), F.array(*map(F.lit, PROPERTIES))), lambda p: F.named_struct(F.lit("key"), p, F.lit("value"), value(p)))
+    every = F.transform(F.array_intersect(F.concat(*named), F.array(*map(F.lit, properties))), lambda p: F.named_struct(F.lit("key"), p, F.lit("value"), value(p)))
     entries = F.filter(every, lambda e: e["value"].isNotNull())
     return found.withColumn("style", F.map_from_entries(entries)).drop("own", "css")
 

@@ -64,7 +64,7 @@ def raster_sources(elements: DataFrame) -> DataFrame:
 def colours_in_force(elements: DataFrame, combinators: str = " ") -> DataFrame:
     """``doc_id, colour, n``: colours that inking elements paint with, by the cascade and by what is
     inherited; a fill that nobody declares is black; gradients count by their stops."""
-    return scopes.inks(scopes.resolved(elements, combinators)).groupBy("doc_id", "colour").agg(F.count(F.lit(1)).alias("n"))
+    return scopes.inks(scopes.resolved(elements, combinators, **scopes.INKS)).groupBy("doc_id", "colour").agg(F.count(F.lit(1)).alias("n"))
 
 
 def colour_count(elements: DataFrame, most: int) -> DataFrame:
@@ -103,13 +103,13 @@ def id_references(elements: DataFrame) -> DataFrame:
 
 def paint_scopes(elements: DataFrame) -> DataFrame:
     """``doc_id, node_id, scope`` of every element (see ``scopes.resolved``)."""
-    return scopes.resolved(elements).select("doc_id", "node_id", "scope")
+    return scopes.resolved(elements, **scopes.SCOPES).select("doc_id", "node_id", "scope")
 
 
 def thin_strokes(elements: DataFrame, least: float, mm_per_unit: float = 25.4 / 96) -> DataFrame:
     """MIN_STROKE_WIDTH: ``doc_id, node_id, width, points`` of shapes whose stroke inks below the
     least width in points; points null where the width cannot be read."""
-    found = scopes.strokes(scopes.resolved(elements))
+    found = scopes.strokes(scopes.resolved(elements, **scopes.STROKES))
     return found.withColumn("points", numeric.length_points(F.col("width"), mm_per_unit)).where(F.col("points").isNull() | (F.col("points") < least))
 
 

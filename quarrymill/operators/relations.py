@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,26 +216,32 @@ def f_of_two(f, a: Column, b: Column) -> Column:
     return F.greatest(a, b) if f is F.max else F.least(a, b)
 
 
-def climb(nodes: DataFrame, rules: dict[str, Column], open_while: Column) -> DataFrame:
+def climb(nodes: DataFrame, rules: dict[str, Column], open_while: Column, along: Sequence[str] | None = None) -> DataFrame:
     """``nodes`` (``doc_id, node_id, parent_id`` and more; a node is one row) with columns carried down from
     all ancestors.
 
     Each rule composes a node's column with its ancestors' (``_<name>``), and composition must be
     associative.  Pointers double each round, so rounds grow as the logarithm of the depth; a node
     stops once ``open_while``, over the carried columns, is false for it.  The state between rounds is a
-    written table of the carried columns alone; the others join at the end."""
+    written table of the carried columns alone; the others join at the end.  Where ``along`` names the
+    few others that are wanted, these go along in the state instead, and nothing joins at the end."""
     from quarrymill.scratch import drop, written
 
     up = lambda df: df.withColumn("_up", F.when(open_while, F.col("_up")))
-    base = written(nodes, "climb")
-    state = up(base.select("doc_id", "node_id", *rules, F.col("parent_id").alias("_up")))
+    own = [c for c in along or () if c not in rules]
+    base = nodes if along is not None else written(nodes, "climb")
+    state = up(base.select("doc_id", "node_id", *own, *rules, F.col("parent_id").alias("_up")))
+    if along is not None:
+        state = written(state, "climb")
     while not state.where("_up IS NOT NULL").isEmpty():
         above = state.select("doc_id", F.col("node_id").alias("_up"), *(F.col(n).alias(f"_{n}") for n in rules), F.col("_up").alias("_next"))
         waiting = state.where("_up IS NOT NULL").join(above.hint("merge"), ["doc_id", "_up"], "left")
-        moved = waiting.select("doc_id", "node_id", *(rules[c].alias(c) for c in rules), F.col("_next").alias("_up"))
+        moved = waiting.select("doc_id", "node_id", *own, *(rules[c].alias(c) for c in rules), F.col("_next").alias("_up"))
         following = written(up(moved).unionByName(state.where("_up IS NULL")), "climb")
         drop(state)
         state = following
+    if along is not None:
+        return state.drop("_up")
     carried = state.select(F.col("doc_id").alias("_doc"), F.col("node_id").alias("_node"), *rules)
     own = base.drop(*rules)
     both = own.join(carried.hint("merge"), own["doc_id"].eqNullSafe(carried["_doc"]) & own["node_id"].eqNullSafe(carried["_node"]))

@@ -8,11 +8,13 @@ all of them together, in as many rounds as the depth has binary digits.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions import colour
-from quarrymill.operators.cascade import INITIAL, cascaded, handed_down, own_value
+from quarrymill.operators.cascade import INITIAL, PROPERTIES, cascaded, handed_down, own_value
 from quarrymill.operators.relations import climb
 from quarrymill.scratch import collected, drop, once
 
@@ -24,6 +26,11 @@ DEFERRED = ("defs", "symbol", "pattern", "mask", "marker")
 LINK = r"(?i)url\(\s*['\"]?\s*#([^'\")]+?)\s*['\"]?\s*\)"
 _PASSED = {"fill": "fill", "stroke": "stroke", "stroke_width": "stroke-width", "fill_opacity": "fill-opacity", "stroke_opacity": "stroke-opacity", "color": "color"}
 
+#: What inks, strokes and scopes read of a resolved drawing (``resolved(..., **INKS)``).
+INKS = {"passed": ("fill", "stroke", "fill_opacity", "stroke_opacity", "color"), "own": ("stop-color",)}
+STROKES = {"passed": ("stroke", "stroke_width", "stroke_opacity")}
+SCOPES = {"passed": ()}
+
 
 def fraction(raw: Column) -> Column:
     """A number or percentage as a number; anything else says nothing."""
@@ -38,43 +45,57 @@ def visible(raw: Column) -> Column:
 
 def referred_ids(elements: DataFrame) -> DataFrame:
     """``doc_id, id`` of everything that an attribute's ``url(#id)`` or a use's ``href`` names."""
-    links = F.flatten(F.transform(F.map_values("attrs"), lambda v: F.regexp_extract_all(v, F.lit(LINK), F.lit(1))))
+    named = F.filter(F.map_values("attrs"), lambda v: v.contains("#") & v.contains("("))
+    links = F.flatten(F.transform(named, lambda v: F.regexp_extract_all(v, F.lit(LINK), F.lit(1))))
     href = F.trim(F.try_element_at("attrs", F.lit("href")))
     used = F.when((F.lower("tag") == "use") & href.startswith("#") & (F.length(href) > 1), F.expr("substring(trim(attrs['href']), 2)"))
     return elements.select("doc_id", F.explode(F.array_compact(F.concat(links, F.array(used)))).alias("id")).distinct()
 
 
-def resolved(elements: DataFrame, combinators: str = " ") -> DataFrame:
+def resolved(elements: DataFrame, combinators: str = " ", passed: Sequence[str] | None = None, own: Sequence[str] = ()) -> DataFrame:
     """``elements`` with the inherited properties in force (``fill, stroke, stroke_width,
     fill_opacity, stroke_opacity, color``; null: nobody declares it), ``scaled`` (a scaling transform
     on it or above), ``visibility``, ``container`` (the scope below the element) and ``scope``: painted, resource (a gradient), unchecked
-    (a definition that nothing refers to), inert or hidden."""
+    (a definition that nothing refers to), inert or hidden.
+
+    Where ``passed`` names the inherited properties that are wanted, and ``own`` those of the element's
+    ``style``, the table has these, ids, ``tag`` and the scopes only, and its rows stay narrow throughout."""
+    names = _PASSED if passed is None else {n: _PASSED[n] for n in passed}
+    read = PROPERTIES if passed is None else (*names.values(), "display", "opacity", "visibility", *own)
     with collected() as spent:
         elements = once(elements, "elements")
-        table = cascaded(elements, combinators)
-    # references meet the ids alone, and elements by the key that the cascade dealt them by
-    ids = elements.select("doc_id", "node_id", F.try_element_at("attrs", F.lit("id")).alias("id")).where("id IS NOT NULL")
-    asked = ids.join(referred_ids(elements).hint("merge"), ["doc_id", "id"]).select("doc_id", "node_id", F.lit(True).alias("asked"))
-    table = table.join(asked.hint("merge"), ["doc_id", "node_id"], "left")
-    kind = F.lower("tag")
+        table = cascaded(elements, combinators, read)
+    kind, attr = F.lower("tag"), lambda name: F.try_element_at("attrs", F.lit(name))
     gone = F.coalesce(F.lower(F.rtrim(F.trim(own_value("display")), F.lit(";"))) == "none", F.lit(False)) | ~visible(own_value("opacity"))
-    turn = F.when(gone, "hidden").when(kind.isin(*INERT), "inert").when(F.col("asked"), "painted").when(kind.isin(*GRADIENTS), "resource").when(kind.isin(*DEFERRED), "unchecked")
     shown = F.lower(F.trim(own_value("visibility")))
     seen = F.when(shown.isin("hidden", "collapse"), "hidden").when(shown.isin("visible", "initial"), "visible")
-    table = table.withColumns({**{n: handed_down(p) for n, p in _PASSED.items()}, "visibility": seen, "container": turn, "scaled": F.lower(F.coalesce(F.try_element_at("attrs", F.lit("transform")), F.lit(""))).contains("scale(")}).drop("asked")
-    rules = {n: F.coalesce(n, f"_{n}") for n in (*_PASSED, "visibility")}
+    said = {**{n: handed_down(p) for n, p in names.items()}, "visibility": seen, "gone": gone}
+    if passed is None:
+        # references meet the ids alone, and elements by the key that the cascade dealt them by
+        ids = elements.select("doc_id", "node_id", attr("id").alias("id")).where("id IS NOT NULL")
+        asked = ids.join(referred_ids(elements).hint("merge"), ["doc_id", "id"]).select("doc_id", "node_id", F.lit(True).alias("asked"))
+        table = table.join(asked.hint("merge"), ["doc_id", "node_id"], "left")
+        table = table.withColumns({**said, "scaled": F.lower(F.coalesce(attr("transform"), F.lit(""))).contains("scale(")})
+    else:
+        style = F.map_filter("style", lambda k, _: k.isin(*own)) if own else F.lit(None).cast(table.schema["style"].dataType)
+        table = table.select("doc_id", "node_id", "parent_id", "tag", style.alias("style"), attr("id").alias("id"), *(c.alias(n) for n, c in said.items()))
+        table = table.join(referred_ids(elements).withColumn("asked", F.lit(True)).hint("merge"), ["doc_id", "id"], "left")
+    turn = F.when(F.col("gone"), "hidden").when(kind.isin(*INERT), "inert").when(F.col("asked"), "painted").when(kind.isin(*GRADIENTS), "resource").when(kind.isin(*DEFERRED), "unchecked")
+    table = table.withColumn("container", turn).drop("asked", "gone")
+    rules = {n: F.coalesce(n, f"_{n}") for n in (*names, "visibility")}
     rules["container"] = F.when(F.col("_container").isin("hidden", "inert"), F.col("_container")).otherwise(F.coalesce("container", "_container"))
-    rules["scaled"] = F.col("scaled") | F.coalesce("_scaled", F.lit(False))
-    found = climb(table, rules, F.lit(True))
+    if passed is None:
+        rules["scaled"] = F.col("scaled") | F.coalesce("_scaled", F.lit(False))
+    found = climb(table, rules, F.lit(True), None if passed is None else ("tag", "style"))
     drop(*spent)  # the climb reads its own tables only
-    found = found.withColumns({**{n: F.when(F.col(n) != INITIAL, F.col(n)) for n in _PASSED}, "visibility": F.coalesce("visibility", F.lit("visible")), "container": F.coalesce("container", F.lit("painted"))})
+    found = found.withColumns({**{n: F.when(F.col(n) != INITIAL, F.col(n)) for n in names}, "visibility": F.coalesce("visibility", F.lit("visible")), "container": F.coalesce("container", F.lit("painted"))})
     return found.withColumn("scope", F.when(F.col("visibility") == "hidden", "hidden").otherwise(F.col("container")))
 
 
 def paint(raw: Column) -> Column:
-    """A paint as #rrggbb, where ``currentColor`` is the colour in force, and black where none is."""
+    """The text of a paint in force: ``currentColor`` is the colour in force, and black where none is."""
     current = F.lower(F.trim(raw)).isin("currentcolor", "current-color")
-    return colour.parse(F.when(current, F.coalesce("color", F.lit("#000000"))).otherwise(raw))
+    return F.when(current, F.coalesce("color", F.lit("#000000"))).otherwise(raw)
 
 
 def inks(drawing: DataFrame) -> DataFrame:
@@ -83,14 +104,16 @@ def inks(drawing: DataFrame) -> DataFrame:
     live = drawing.where(~F.col("scope").isin("hidden", "inert", "unchecked"))
     kind = F.lower("tag")
     shape = (F.col("scope") != "resource") & kind.isin(*SHAPES)
-    one = lambda way, raw, when: F.when(when, F.struct(F.lit(way).alias("way"), paint(raw).alias("colour")))
+    one = lambda way, raw, when: F.when(when, F.struct(F.lit(way).alias("way"), raw.alias("raw")))
     ways = [
-        one("stop-color", own_value("stop-color"), kind == "stop"),
-        F.when(shape & F.col("fill").isNull() & visible(F.col("fill_opacity")), F.struct(F.lit("fill (implicit)").alias("way"), F.lit("#000000").alias("colour"))),
-        one("fill", F.col("fill"), shape & F.col("fill").isNotNull() & visible(F.col("fill_opacity"))),
-        one("stroke", F.col("stroke"), shape & F.col("stroke").isNotNull() & visible(F.col("stroke_opacity"))),
+        one("stop-color", paint(own_value("stop-color")), kind == "stop"),
+        one("fill (implicit)", F.lit("#000000"), shape & F.col("fill").isNull() & visible(F.col("fill_opacity"))),
+        one("fill", paint(F.col("fill")), shape & F.col("fill").isNotNull() & visible(F.col("fill_opacity"))),
+        one("stroke", paint(F.col("stroke")), shape & F.col("stroke").isNotNull() & visible(F.col("stroke_opacity"))),
     ]
-    return live.select("doc_id", "node_id", F.explode(F.array_compact(F.array(*ways))).alias("x")).select("doc_id", "node_id", "x.*").where("colour IS NOT NULL")
+    # paints are read as rows, so that one reading is planned and none is made for a way that is not there
+    each = live.select("doc_id", "node_id", F.explode(F.array_compact(F.array(*ways))).alias("x"))
+    return each.select("doc_id", "node_id", "x.way", colour.parse(F.col("x.raw")).alias("colour")).where("colour IS NOT NULL")
 
 
 def stroked(drawing: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def cascaded_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 @family.query(f"{_ALL} SELECT doc_id, node_id, scope, i_fill AS fill, i_stroke AS stroke FROM done")
 def nested_paint_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each element's scope, and the fill and stroke in force."""
-    return scopes.resolved(nested_view(spark, sf_dir)).where("node_id > 1").select("doc_id", "node_id", "scope", "fill", "stroke")
+    return scopes.resolved(nested_view(spark, sf_dir), passed=("fill", "stroke")).where("node_id > 1").select("doc_id", "node_id", "scope", "fill", "stroke")
 
 
 _SHAPE = "tag IN ('path', 'rect', 'use')"
@@ -123,7 +123,7 @@ _SHAPE = "tag IN ('path', 'rect', 'use')"
 )
 def nested_color_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings that ink in more than two colours."""
-    found = scopes.inks(scopes.resolved(nested_view(spark, sf_dir))).select("doc_id", "colour").distinct()
+    found = scopes.inks(scopes.resolved(nested_view(spark, sf_dir), **scopes.INKS)).select("doc_id", "colour").distinct()
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("colours")).where("colours > 2")
 
 
@@ -134,7 +134,7 @@ def nested_stroke_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strokes below 1.6 points that reach the sheet."""
     from quarrymill.functions import numeric
 
-    found = scopes.strokes(scopes.resolved(nested_view(spark, sf_dir)))
+    found = scopes.strokes(scopes.resolved(nested_view(spark, sf_dir), **scopes.STROKES))
     return found.select("doc_id", "node_id", F.round(numeric.length_points(F.col("width")), 6).alias("points")).where("points < 1.6")
 
 

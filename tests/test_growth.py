@@ -93,3 +93,21 @@ def test_hashes_of_a_label_meet_in_blocks(spark, monkeypatch):
     apart = lambda x, y: sum(p is not None and q is not None and p != q for p, q in zip(x, y, strict=True))
     want = sorted((a, b, apart(x, y)) for a, k, x in rows for b, m, y in rows if a < b and k is not None and k == m and apart(x, y) <= 2)
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_narrow_drawings_agree_and_write_no_attributes(spark, monkeypatch):
+    sheet = ".hot { fill: red; stroke: currentColor } svg { color: #00f }"
+    rows = [
+        (1, 0, None, "svg", {}, None), (1, 1, 0, "style", {}, sheet), (1, 2, 0, "defs", {"opacity": "0.5"}, None), (1, 3, 2, "linearGradient", {"id": "n"}, None), (1, 4, 3, "stop", {"stop-color": "lime"}, None),
+        (1, 5, 0, "g", {"stroke-width": "2pt"}, None), (1, 6, 5, "path", {"class": "hot"}, None), (1, 7, 5, "rect", {"fill": "url(#n)", "style": "display:none"}, None), (1, 8, 2, "path", {}, None), (2, 0, None, "svg", {"fill": "tan", "x": None}, None), (2, 1, 0, "use", {}, None),
+    ]
+    drawing = spark.createDataFrame(rows, "doc_id long, node_id long, parent_id long, tag string, attrs map<string,string>, text string")
+    wide = scopes.resolved(drawing)
+    seen, write = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, label: (seen.append((label, df.columns)), write(df, label))[1])
+    same = lambda f, x: sorted(map(tuple, f(wide).collect())) == sorted(map(tuple, f(x).collect()))
+    assert same(scopes.inks, scopes.resolved(drawing, **scopes.INKS)) and scopes.inks(wide).count() == 4
+    assert same(scopes.strokes, scopes.resolved(drawing, **scopes.STROKES)) and scopes.strokes(wide).count() == 1
+    assert same(lambda d: d.select("doc_id", "node_id", "scope"), scopes.resolved(drawing, **scopes.SCOPES))
+    climbs = [c for label, c in seen if label == "climb"]
+    assert len(climbs) > 3 and not any("attrs" in c or "text" in c for c in climbs)
