@@ -4,7 +4,7 @@ A report whose header lacks its column cannot be read; it is told apart from one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The least resolution of a placed image, and the markers of colour spaces in a document's bytes.
@@ -16,8 +16,9 @@ SHOWN = 5
 
 def _with_header(lines: DataFrame) -> DataFrame:
     """Each report's rows beside its header; blank lines and rules of dashes go."""
-    header = lines.where("n = 0").select("doc_id", F.col("value").alias("header"))
-    return lines.where("n > 0").join(header, "doc_id").where(~F.col("value").rlike("^[- ]*$"))
+    lines = lines.where("doc_id IS NOT NULL").where((F.col("n") == 0) | ~F.col("value").rlike("^[- ]*$"))
+    header = F.max(F.when(F.col("n") == 0, F.col("value"))).over(Window.partitionBy("doc_id"))  # a report has one
+    return lines.withColumn("header", header).where("n > 0 AND header IS NOT NULL")
 
 
 def fonts(lines: DataFrame) -> DataFrame:

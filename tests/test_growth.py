@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from quarrymill import scratch
-from quarrymill.operators import plates, relations, scopes, similarity
+from quarrymill.operators import plates, prepress, relations, scopes, similarity
 
 
 def _plan(df):
@@ -111,3 +111,12 @@ def test_narrow_drawings_agree_and_write_no_attributes(spark, monkeypatch):
     assert same(lambda d: d.select("doc_id", "node_id", "scope"), scopes.resolved(drawing, **scopes.SCOPES))
     climbs = [c for label, c in seen if label == "climb"]
     assert len(climbs) > 3 and not any("attrs" in c or "text" in c for c in climbs)
+
+
+def test_reports_meet_their_header_without_a_join(spark):
+    head = "a b c d e f g h i j k l x-ppi"
+    row = lambda ppi: f"1 2 image 40 50 c 3 8 e no 7 0 {ppi} {ppi}"
+    rows = [(1, 0, head), (1, 1, "-- --"), (1, 2, row(90)), (1, 3, row(80)), (2, 0, "none"), (2, 2, row(70)), (3, 2, row(60)), (None, 0, head), (None, 2, row(50))]
+    found = prepress.image_findings(spark.createDataFrame(rows, "doc_id long, n int, value string"))
+    assert "Join" not in _plan(found)
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 40, 50, 80.0)]
