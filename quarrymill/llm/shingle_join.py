@@ -18,9 +18,11 @@ similarity of 4/5 or more differ in at most ``(|r| + |s|) / 9`` shingles.
   so only they are entered, with all their segments, in the neighbourhood index.
 * Nothing quadratic leaves a group.  A dear signature links each of its sets with its
   least one (a star); map tasks do so for their own sets first and pass on a few.  In
-  the neighbourhood index a set asks for its nearest partners of a lower component, by
-  parity sketches of the sets, which show no more differences than there are; a few go
-  on to verification.  Rounds go on until no set finds a partner it has not been refuted with.
+  the neighbourhood index a set asks for its nearest smaller partners of other components,
+  by parity sketches of the sets, which show no more differences than there are; a few go
+  on to verification.  Of a pair always the same one asks, so what a set has asked for in
+  full is settled: a next round is only for sets that found more partners than they could
+  ask for at once, and for the keys by which these ask.
 * Verification is exact: words are numbered, not hashed, and sets of shingles compared.
 
 The output is components only: pairs inside one component are dropped unverified, so
@@ -440,17 +442,17 @@ def profiles(lacking: DataFrame, width: int) -> DataFrame:
 
 
 def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of index rows ordered by (key, block): for each asking set its ``ASK`` nearest partners
-    of lower components that it has not been refuted with (``x, y, apart``)."""
+    """Of index rows ordered by (key, block): for each asking set its ``ASK`` nearest smaller partners
+    of other components that it has not been refuted with (``x, y, apart``; ``cut``: it has more here)."""
     names = ("node", "component", "deleted", "probe", "size", "role", "refuted", "sketch")
 
     def solve(rows: list[tuple]) -> list[tuple]:
         node, component, deleted, probe, size, role, refuted, sk = zip(*rows, strict=True)
-        comp = np.unique(np.array(component, dtype=object), return_inverse=True)[1]
+        comp, name = (np.unique(np.array(c, dtype=object), return_inverse=True)[1] for c in (component, node))
         probe, role, deleted, size = np.array(probe), np.array(role), np.array(deleted), np.array(size)
         sk = np.frombuffer(b"".join(sk), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
         asks, offers = np.flatnonzero((probe > 0) & (role & 1 > 0)), np.flatnonzero(role & 2 > 0)
-        asks = asks[comp[asks] > (comp[offers].min() if offers.size else 0)]
+        asks = asks[name[asks] > (name[offers].min() if offers.size else 0)]
         where: dict[bytes, list[int]] = {}
         for k, y in enumerate(offers.tolist()):
             where.setdefault(node[y], []).append(k)
@@ -459,15 +461,16 @@ def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = asks[lo : lo + 64]
             apart = np.bitwise_count(sk[x][:, None, :] ^ sk[offers][None]).sum(axis=2, dtype=np.int64)
             total = size[x][:, None] + size[offers][None]
-            fit = (comp[x][:, None] > comp[offers][None]) & (9 * apart <= total) & (9 * np.minimum(size[x][:, None], size[offers][None]) >= 4 * total)
+            fit = (comp[x][:, None] != comp[offers][None]) & (name[x][:, None] > name[offers][None]) & (9 * apart <= total) & (9 * np.minimum(size[x][:, None], size[offers][None]) >= 4 * total)
             fit &= ~(deleted[x][:, None] & deleted[offers][None]) & ((probe[x][:, None] == 2) | ~deleted[offers][None])
             for i, p in enumerate(x.tolist()):
                 for y in refuted[p] or ():
                     fit[i, where.get(y, [])] = False
                 near = np.flatnonzero(fit[i])
-                if near.size > ASK:
+                more = near.size > ASK
+                if more:
                     near = near[np.argpartition(apart[i, near], ASK - 1)[:ASK]]
-                out += [(node[p], node[offers[k]], int(apart[i, k])) for k in near.tolist()]
+                out += [(node[p], node[offers[k]], int(apart[i, k]), more) for k in near.tolist()]
         return out
 
     at, rows, out = None, [], []
@@ -487,13 +490,30 @@ def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near_rows(rows: list[tuple]) -> pa.RecordBatch:
-    x, y, apart = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(apart, pa.int64())], ["x", "y", "apart"])
+    x, y, apart, cut = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(apart, pa.int64()), pa.array(cut, pa.bool_())], ["x", "y", "apart", "cut"])
+
+
+def served(every: DataFrame) -> DataFrame:
+    """Index rows of keys where one set asks and another answers.  Two sets without a shingle each do not
+    meet, so a key needs a whole segment, and such a row is of use where it asks, or a whole one asks for it."""
+    asked = every.groupBy("key").agg(F.max("probe").alias("most"), F.max(F.when(~F.col("deleted"), F.col("probe"))).alias("wide"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    asked = asked.where("most > 0 AND wide IS NOT NULL AND lo < hi").select("key", "wide")
+    return every.join(asked, "key").where("NOT deleted OR probe > 0 OR wide = 2").drop("wide")
+
+
+def narrowed(index: DataFrame, still: DataFrame) -> DataFrame:
+    """Index rows of the keys by which the sets ``still`` (``node``) ask; others only answer there."""
+    own = still.withColumn("asks", F.lit(True))
+    keys = index.where("probe > 0").join(own, "node", "left_semi").select("key").distinct()
+    rows = index.join(keys, "key", "left_semi").join(own, "node", "left")
+    return rows.select(*(F.when(F.col("asks"), F.col(c)).otherwise(0).alias(c) if c == "probe" else F.col(c) for c in index.columns))
 
 
 def partners(index: DataFrame, known: DataFrame, labels: DataFrame, refuted: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that asking sets have still to be compared with, the nearest few of each.
-    Sketches (``known``) join only the rows of keys that still hold two components."""
+    """Pairs ``a, b`` that asking sets (``b``) have still to be compared with, the nearest few of each;
+    ``cut``: there may be more of ``b``.  Sketches (``known``) join only the rows of keys that still hold
+    two components."""
     members = _labelled(index, labels, "node", "component")
     torn = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("asked"), F.count(F.lit(1)).alias("n")).where("lo < hi AND asked > 0").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     no = refuted.groupBy("x").agg(F.collect_list("y").alias("refuted")).withColumnRenamed("x", "node")
@@ -502,9 +522,10 @@ def partners(index: DataFrame, known: DataFrame, labels: DataFrame, refuted: Dat
     steps = F.sequence(F.lit(0), F.col("blocks") - 1)
     places = F.when(F.col("blocks") == 1, F.array(side(F.lit(0), F.lit(0), 3))).otherwise(F.concat(F.transform(steps, lambda k: side(F.col("own"), k, 1)), F.transform(steps, lambda k: side(k, F.col("own"), 2))))
     dealt = held.withColumn("place", F.explode(places)).select("key", "place.*", "node", "component", "deleted", "probe", "size", "refuted", "sketch")
-    found = dealt.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by").mapInArrow(nearest, "x binary, y binary, apart long")
-    best = found.groupBy("x", "y").agg(F.min("apart").alias("apart")).groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "y"))), 1, ASK_ROUND).alias("near"))
-    return best.select("x", F.explode("near.y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = dealt.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by").mapInArrow(nearest, "x binary, y binary, apart long, cut boolean")
+    each = found.groupBy("x", "y").agg(F.min("apart").alias("apart"), F.bool_or("cut").alias("cut")).groupBy("x")
+    best = each.agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "y"))), 1, ASK_ROUND).alias("near"), (F.bool_or("cut") | (F.count(F.lit(1)) > ASK_ROUND)).alias("cut"))
+    return best.select(F.explode("near.y").alias("a"), F.col("x").alias("b"), "cut")
 
 
 def _labelled(table: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -567,21 +588,22 @@ def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         lacking = materialise(texts.dropDuplicates(["node"]).join(wants, "node"), "lacking")
         known = materialise(profiles(lacking, width), "profiles")
         every = materialise(neighbourhood_index(lacking, bins, width), "every")
-        # a key serves where one set asks and another answers
-        asked = every.groupBy("key").agg(F.max("probe").alias("probe"), F.min("node").alias("a"), F.max("node").alias("b")).where("probe > 0 AND a < b").select("key")
-        index = materialise(every.join(asked, "key"), "index")
+        index = materialise(served(every), "index")
         dispose(every, lacking)
         while True:
             more = materialise(partners(index, known, labels, refuted), "partners")
             if more.isEmpty():
                 break
-            judged = materialise(verified(more, texts, width).distinct(), "judged")
+            judged = materialise(verified(more.select("a", "b"), texts, width).distinct(), "judged")
             found = judged.where("similar").select("a", "b")
             if not found.isEmpty():
                 labels = joined(found)
-            no = judged.where("NOT similar")
-            refuted = refuted.unionByName(no.selectExpr("a AS x", "b AS y")).unionByName(no.selectExpr("b AS x", "a AS y"))
-            dispose(more)
+            still = more.where("cut").select(F.col("b").alias("node")).distinct()
+            if still.isEmpty():
+                break
+            refuted = refuted.unionByName(judged.where("NOT similar").selectExpr("b AS x", "a AS y"))
+            last, index = index, materialise(narrowed(index, still), "index")
+            dispose(last, more)
         dispose(index, more, known)
     dispose(pairs, wants, texts, rest)
     label = _labelled(nodes.select("node", "doc_id"), labels, "node", "component")

@@ -123,6 +123,37 @@ def test_blocks_and_rounds_of_a_large_group(spark, monkeypatch):
     assert joined(spark, items) == components(items)
 
 
+def test_rounds_are_for_sets_with_partners_left(spark, monkeypatch):
+    """A set that has asked in full asks no more, and its keys are not read again."""
+    rows, ask = [], shingle_join.partners
+    monkeypatch.setattr(shingle_join, "partners", lambda index, *rest: (rows.append(index.count()), ask(index, *rest))[1])
+    items = list(enumerate(near_copies(random.Random(1), 260, 60, 6)))
+    assert joined(spark, items) == components(items)
+    assert rows and all(n < m for m, n in zip(rows, rows[1:], strict=False))
+    rows.clear()
+    items = items[:40]
+    assert joined(spark, items) == components(items) and len(rows) == 1
+
+
+def test_index_keeps_what_can_meet(spark):
+    node = lambda i: bytes([i])
+    every = [
+        (1, 1, False, 1), (1, 2, False, 0), (1, 3, True, 0),  # whole agreement: nothing for a row without a shingle
+        (2, 1, False, 2), (2, 2, False, 0), (2, 3, True, 0),
+        (3, 1, True, 2), (3, 2, True, 2),  # none whole
+        (4, 1, True, 2), (4, 2, False, 0), (4, 3, True, 0),
+        (5, 1, False, 2), (5, 1, True, 2), (6, 2, False, 0), (6, 3, False, 0),
+    ]
+    df = spark.createDataFrame([(k, node(n), d, p) for k, n, d, p in every], "key long, node binary, deleted boolean, probe int")
+    as_rows = lambda df: sorted((r.key, r.node[0], r.deleted, r.probe) for r in df.collect())
+    index = shingle_join.served(df)
+    assert as_rows(index) == sorted(r for r in every if r[0] in (1, 2, 4) and r[:2] not in ((1, 3), (4, 3)))
+    still = spark.createDataFrame([(node(2),), (node(9),)], "node binary")
+    assert as_rows(shingle_join.narrowed(index, still)) == []
+    asks = index.unionByName(spark.createDataFrame([(1, node(2), False, 2)], df.schema)).where("key < 4")
+    assert as_rows(shingle_join.narrowed(asks, still)) == [(1, 1, False, 0), (1, 2, False, 0), (1, 2, False, 2)]
+
+
 def test_join_of_odd_rows(spark):
     body = " ".join(f"w{i}" for i in range(40))
     items = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE  two"), (5, body), (6, body + " x"), (7, body + " x"), (6, "other words here"), (None, body), (9, body.upper()), (8, "ONE two É"), (10, "one two é")]
