@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.colour import packed
-from quarrymill.operators.greedy import first_leaders
+from quarrymill.operators.greedy import BUCKET, first_leaders
 
 #: An ink's least share of the sheet, the distances within which colours are one ink and a
 #: blend of two, the share beyond which nothing is an edge, the number of inks beyond which blends are left alone.
@@ -44,13 +46,53 @@ def near_colours(colours: DataFrame, image: str, tolerance: float) -> DataFrame:
     return at.join(around.hint("merge"), ["block", "c0", "c1", "c2"]).where((F.col("earlier") < F.col("place")) & (gap <= tolerance * tolerance)).select("block", "place", "earlier")
 
 
-def ink_clusters(colours: DataFrame, image: str, tolerance: float = MERGE) -> DataFrame:
+def _led(batches: Iterator[pa.RecordBatch], tolerance: float) -> Iterator[pa.RecordBatch]:
+    """``leader`` of each colour of images that follow one another, their colours in order of ``place``: the
+    first colour that has none leads itself and all near ones that have none, and so on."""
+
+    def led(rows: pa.Table) -> pa.RecordBatch:
+        place = rows["place"].to_numpy()
+        at = np.column_stack([rows[c].to_numpy() for c in "rgb"])
+        leader = np.empty_like(place)
+        starts = np.flatnonzero(place == 1)
+        for lo, hi in zip(starts, [*starts[1:], place.size], strict=True):
+            left = np.arange(lo, hi)
+            while left.size:
+                near = ((at[left] - at[left[0]]) ** 2).sum(axis=1) <= tolerance * tolerance
+                near[0] = True
+                leader[left[near]] = place[left[0]]
+                left = left[~near]
+        return rows.append_column("leader", pa.array(leader)).combine_chunks().to_batches()[0]
+
+    rest = None  # an image may go on in the next batch, so the last one waits for it
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        rows = new if rest is None else pa.concat_tables([rest, new])
+        cut = int(np.flatnonzero(rows["place"].to_numpy() == 1)[-1]) if rows.num_rows else 0
+        if cut:
+            yield led(rows.slice(0, cut))
+        rest = rows.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield led(rest)
+
+
+def ink_clusters(colours: DataFrame, image: str, tolerance: float = MERGE, most: int = BUCKET) -> DataFrame:
     """``image, cluster, r, g, b, n, members``: heaviest first, each colour (``r, g, b, n``) joins the
-    first cluster whose first colour is near enough."""
+    first cluster whose first colour is near enough.  Images of up to ``most`` colours are decided in one
+    pass each, larger ones in rounds over the links of near colours, with the same result."""
+    from quarrymill.scratch import written
+
     order = Window.partitionBy(image).orderBy(F.col("n").desc(), "r", "g", "b")
-    placed = colours.withColumn("place", F.row_number().over(order).cast("long"))
-    led = first_leaders(placed.select(F.col(image).alias("block"), "place"), near_colours(placed, image, tolerance)).withColumnRenamed("block", image)
-    sums = placed.join(led.hint("merge"), [image, "place"]).groupBy(image, "leader").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"), *(F.max(F.when(F.col("place") == F.col("leader"), F.col(c))).alias(c) for c in "rgb"))
+    placed = colours.select(F.col(image), "r", "g", "b", "n", F.row_number().over(order).cast("long").alias("place"), F.count(F.lit(1)).over(Window.partitionBy(image)).alias("inks"))
+    placed = written(placed, "placed")
+    schema = ", ".join(f"{c} {kind}" for c, kind in placed.dtypes) + ", leader long"
+    few = placed.where(F.col("inks") <= most).repartition(image).sortWithinPartitions(image, "place")
+    found = few.mapInArrow(lambda batches: _led(batches, tolerance), schema)
+    many = placed.where(F.col("inks") > most)
+    if not many.isEmpty():
+        led = first_leaders(many.select(F.col(image).alias("block"), "place"), near_colours(many, image, tolerance)).withColumnRenamed("block", image)
+        found = found.unionByName(many.join(led.hint("merge"), [image, "place"]).select(*found.columns))
+    sums = found.groupBy(image, "leader").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"), *(F.max(F.when(F.col("place") == F.col("leader"), F.col(c))).alias(c) for c in "rgb"))
     number = F.row_number().over(Window.partitionBy(image).orderBy("leader")) - 1
     return sums.select(image, number.cast("long").alias("cluster"), "r", "g", "b", "n", "members")
 

@@ -53,10 +53,12 @@ done AS (SELECT c.image, c.cluster, c.r, c.g, c.b, f.shares[c.cluster + 1] AS sh
 
 
 def sheet_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sheets as a table of pixels ``image, y, x, r, g, b``."""
-    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
-    x = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
-    at = lines.select(F.floor(F.col("l_orderkey") / ROWS).alias("image"), (F.col("l_orderkey") % ROWS).alias("y"), x.cast("long").alias("x"), "pk", "sk")
+    """The sheets as a table of pixels ``image, y, x, r, g, b``.  Lines are dealt by sheet, which is ``ROWS``
+    orders, so that what is asked of a sheet finds its pixels in one place without another shuffle."""
+    dealt = load(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / ROWS).alias("image"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("image")
+    lines = dealt.groupBy("image", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
+    x = F.row_number().over(Window.partitionBy("image", "l_orderkey").orderBy("l_linenumber")) - 1
+    at = lines.select("image", (F.col("l_orderkey") % ROWS).alias("y"), x.cast("long").alias("x"), "pk", "sk")
     stripe = F.floor(F.col("y") / STRIPE)
     ink = lambda i, s: F.get(F.array(*(F.lit(c[i]) for c in INKS)), s.cast("int")).cast("long")
     shade = F.floor(F.col("y") % STRIPE / 3)

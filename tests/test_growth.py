@@ -120,3 +120,39 @@ def test_reports_meet_their_header_without_a_join(spark):
     found = prepress.image_findings(spark.createDataFrame(rows, "doc_id long, n int, value string"))
     assert "Join" not in _plan(found)
     assert [tuple(r) for r in found.collect()] == [(1, 2, 40, 50, 80.0)]
+
+
+def test_sheets_are_dealt_once(spark, tmp_path):
+    from quarrymill.plans import sheets
+
+    lines = spark.range(900).selectExpr("id div 3 AS l_orderkey", "cast(id % 3 AS int) AS l_linenumber", "id AS l_partkey", "id % 7 AS l_suppkey")
+    lines.unionByName(lines.where("l_orderkey < 9")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    counts = sheets.sheet_view(spark, str(tmp_path)).groupBy("image", "r", "g", "b").count()
+    assert _plan(counts).count("Exchange hashpartitioning") == 1 and counts.agg(F.sum("count")).first()[0] == 900
+
+
+def test_small_images_cluster_in_one_pass(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    rows = sorted({(i, draw.randrange(0, 80), draw.randrange(0, 80), draw.randrange(0, 40)) for i in range(5) for _ in range(1 + 60 * i)})
+    rows = [(*row, draw.randrange(1, 9)) for row in rows]
+    want = []
+    for image in range(5):
+        led = []
+        for _, *at, n in sorted((r for r in rows if r[0] == image), key=lambda r: (-r[4], *r[1:4])):
+            own = next((c for c in led if sum((a - b) ** 2 for a, b in zip(c[0], at, strict=True)) <= 400), None)
+            if own is None:
+                led.append([at, n, 1])
+            else:
+                own[1:] = own[1] + n, own[2] + 1
+        want += [(image, k, *at, n, m) for k, (at, n, m) in enumerate(led)]
+    colours = spark.createDataFrame(rows, "image long, r long, g long, b long, n long").repartition(3)
+    clusters = lambda **how: sorted(map(tuple, plates.ink_clusters(colours, "image", **how).collect()))
+    assert clusters(most=100) == want  # some images in one pass, some in rounds
+    monkeypatch.setattr(plates, "first_leaders", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert clusters() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
