@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,28 +94,89 @@ def fidelity(channels: DataFrame, key: str) -> DataFrame:
 
 def runs(pixels: DataFrame, image: str) -> DataFrame:
     """``image, y, lo, hi``: each row's runs of neighbouring pixels."""
-    row = Window.partitionBy(image, "y").orderBy("x")
+    return _runs(pixels.select(image, "y", "x"), image, [])
+
+
+def _runs(pixels: DataFrame, image: str, tile: list[str]) -> DataFrame:
+    row = Window.partitionBy(image, *tile, "y").orderBy("x")
     island = F.col("x") - F.row_number().over(row)
-    return pixels.select(image, "y", "x").distinct().withColumn("_island", island).groupBy(image, "y", "_island").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).drop("_island")
+    return pixels.distinct().withColumn("_island", island).groupBy(image, *tile, "y", "_island").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).drop("_island")
+
+
+def _joined_runs(batches: Iterator[pa.RecordBatch], image: str) -> Iterator[pa.RecordBatch]:
+    """``hy, hlo`` of each run: the first run of its tile that it hangs together with in the tile.  Tiles
+    follow one another, their runs in order of row and column; a tile waits for its end."""
+    names = (image, "ty", "tx", "y", "lo", "hi")
+    tile, rows, out = None, [], []
+
+    def solve() -> None:
+        head, at = list(range(len(rows))), 0  # of each run the first one of its tree; ``at`` runs through the row above
+
+        def root(k: int) -> int:
+            while head[k] != k:
+                head[k] = k = head[head[k]]
+            return k
+
+        for k, (_, _, _, y, lo, hi) in enumerate(rows):
+            while at < k and (rows[at][3] < y - 1 or (rows[at][3] == y - 1 and rows[at][5] < lo)):
+                at += 1
+            above = at
+            while above < k and rows[above][3] == y - 1 and rows[above][4] <= hi:
+                a, b = root(above), root(k)
+                head[max(a, b)] = min(a, b)
+                above += 1
+        for k, row in enumerate(rows):
+            first = rows[root(k)]
+            out.append((*row, first[3], first[4]))
+
+    def batch_of(template: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = [template.schema.field(n).type for n in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), [*kinds, kinds[3], kinds[4]], strict=True)], [*names, "hy", "hlo"])
+
+    batch = None
+    for batch in batches:
+        for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            if row[:3] != tile or None in row:  # nothing hangs together where image or place is not known
+                solve()
+                tile, rows = row[:3], []
+            rows.append(row)
+        if out:
+            yield batch_of(batch)
+            out.clear()
+    solve()
+    if out:
+        yield batch_of(batch)
 
 
 def blobs(pixels: DataFrame, image: str, block: int = 256) -> DataFrame:
     """``image, blob, pixels`` of the 4-connected blobs of marked pixels.
 
-    Runs of a row are nodes; runs of adjoining rows that overlap are linked, and meet in blocks of
-    ``block`` columns, so that a raster of any size is many tasks; blobs are their components."""
+    A raster is cut into tiles of ``block`` rows and columns.  What hangs together inside a tile is found
+    there in one pass over its runs; only these parts are nodes, linked where runs meet across the edge of
+    a tile, and blobs are their components.  So a raster of any size is many tasks, and rounds are for
+    what crosses tiles."""
     from quarrymill.operators.relations import components
     from quarrymill.scratch import written
 
-    node = F.struct(F.col(image).cast("string").alias("image"), "y", "lo")
-    found = written(runs(pixels, image).withColumn("node", node), "runs")
-    cells = F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))
-    placed = found.select(image, "y", "lo", "hi", "node", F.explode(cells).alias("cell"))
-    above = placed.select(image, (F.col("y") + 1).alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("node").alias("other"), "cell")
-    links = placed.join(above, [image, "y", "cell"]).where("lo <= hi2 AND lo2 <= hi").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    tiled = pixels.select(image, F.floor(F.col("y") / block).alias("ty"), F.floor(F.col("x") / block).alias("tx"), "y", "x")
+    cut = _runs(tiled, image, ["ty", "tx"]).select(image, "ty", "tx", "y", "lo", "hi")
+    kinds = dict(cut.dtypes)
+    schema = ", ".join(f"{c} {kind}" for c, kind in cut.dtypes) + f", hy {kinds['y']}, hlo {kinds['lo']}"
+    dealt = cut.repartition(image, "ty", "tx").sortWithinPartitions(image, "ty", "tx", "y", "lo")
+    node = F.struct(F.col(image).cast("string").alias("image"), F.col("hy").alias("y"), F.col("hlo").alias("lo"))
+    found = written(dealt.mapInArrow(lambda batches: _joined_runs(batches, image), schema).withColumn("node", node), "runs")
+    # a tile's last row meets the next one's first, its last column the next one's first
+    below = found.where(F.col("y") == F.col("ty") * block).select(image, "tx", (F.col("y") - 1).alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("node").alias("b"))
+    down = found.where(F.col("y") + 1 == (F.col("ty") + 1) * block).join(below, [image, "tx", "y"]).where("lo <= hi2 AND lo2 <= hi").select(F.col("node").alias("a"), "b")
+    beside = found.where(F.col("lo") == F.col("tx") * block).select(image, "y", (F.col("lo") - 1).alias("hi"), F.col("node").alias("b"))
+    across = found.where(F.col("hi") + 1 == (F.col("tx") + 1) * block).join(beside, [image, "y", "hi"]).select(F.col("node").alias("a"), "b")
+    links = written(down.unionByName(across).distinct(), "links")
+    parts = found.groupBy(image, "node").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("pixels"))
+    if links.isEmpty():
+        return parts.select(image, F.col("node").alias("blob"), "pixels")
     labels = components(links).withColumnRenamed("component", "_blob")
-    sized = found.join(labels, "node", "left").withColumn("_blob", F.coalesce("_blob", "node"))
-    return sized.groupBy(image, F.col("_blob").alias("blob")).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("pixels"))
+    sized = parts.join(labels, "node", "left").withColumn("_blob", F.coalesce("_blob", "node"))
+    return sized.groupBy(image, F.col("_blob").alias("blob")).agg(F.sum("pixels").alias("pixels"))
 
 
 def blob_sizes(pixels: DataFrame, image: str) -> DataFrame:

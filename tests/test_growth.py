@@ -156,3 +156,16 @@ def test_small_images_cluster_in_one_pass(spark, monkeypatch):
         assert clusters() == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_blobs_are_rounds_only_across_tiles(spark, monkeypatch):
+    from quarrymill.operators import pixels
+
+    seen, join = [], relations.components
+    monkeypatch.setattr(relations, "components", lambda links: (seen.append(links.count()), join(links))[1])
+    cross = [(1, y, x) for y in range(12) for x in range(12) if y == 5 or x == 7 or (y + x) % 5 == 0] + [(None, 0, 0), (None, 1, 0)]
+    frame = spark.createDataFrame(cross + cross[:3], "image int, y int, x int")
+    sizes = lambda block: sorted((r.image or 0, r.pixels) for r in pixels.blobs(frame, "image", block).collect())
+    whole = sizes(16)
+    assert not seen
+    assert sizes(4) == whole == sizes(1) and len(seen) == 2 and 0 < seen[0] < seen[1]
