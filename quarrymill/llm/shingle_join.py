@@ -18,11 +18,13 @@ similarity of 4/5 or more differ in at most ``(|r| + |s|) / 9`` shingles.
   so only they are entered, with all their segments, in the neighbourhood index.
 * Nothing quadratic leaves a group.  A dear signature links each of its sets with its
   least one (a star); map tasks do so for their own sets first and pass on a few.  In
-  the neighbourhood index a set asks for its nearest smaller partners of other components,
-  by parity sketches of the sets, which show no more differences than there are; a few go
-  on to verification.  Of a pair always the same one asks, so what a set has asked for in
-  full is settled: a next round is only for sets that found more partners than they could
-  ask for at once, and for the keys by which these ask.
+  the neighbourhood index parity sketches of the sets, which show no more differences than
+  there are, leave few pairs of different components.  A group passes on no more of them
+  than it has rows: all, or a least spanning forest over its components.  Where the whole
+  forest is similar, or all pairs were passed on, the group is settled.  In the others a set
+  asks for its nearest smaller partners of other components.  Of a pair always the same one
+  asks, so what a set has asked for in full is settled: a next round is only for sets that
+  found more partners than they could ask for at once, and for the keys by which these ask.
 * Verification is exact: words are numbered, not hashed, and sets of shingles compared.
 
 The output is components only: pairs inside one component are dropped unverified, so
@@ -441,50 +443,123 @@ def profiles(lacking: DataFrame, width: int) -> DataFrame:
     return lacking.select("node", "text").mapInArrow(run, "node binary, size long, sketch binary")
 
 
+_MEMBER = ("node", "component", "deleted", "probe", "size", "role", "refuted", "sketch")
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """``key`` and rows of each (key, block) that has two rows or more."""
+    at, rows = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("key", "bx", "by", *_MEMBER)]
+        for key, bx, by, *row in zip(*columns, strict=True):
+            if (key, bx, by) != at:
+                if len(rows) > 1:
+                    yield at[0], rows
+                at, rows = (key, bx, by), []
+            rows.append(tuple(row))
+    if len(rows) > 1:
+        yield at[0], rows
+
+
+def _fitting(rows: list[tuple]) -> Iterator[tuple]:
+    """For some asking rows at once: the group's sets and components, both as places in the order of their
+    names, the asking rows, those that answer, their distances, and which are smaller partners of other
+    components that the asking set has not been refuted with."""
+    node, component, deleted, probe, size, role, refuted, sk = zip(*rows, strict=True)
+    comp, name = (np.unique(np.array(c, dtype=object), return_inverse=True)[1] for c in (component, node))
+    probe, role, deleted, size = np.array(probe), np.array(role), np.array(deleted), np.array(size)
+    sk = np.frombuffer(b"".join(sk), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
+    asks, offers = np.flatnonzero((probe > 0) & (role & 1 > 0)), np.flatnonzero(role & 2 > 0)
+    asks = asks[name[asks] > (name[offers].min() if offers.size else 0)]
+    where: dict[bytes, list[int]] = {}
+    for k, y in enumerate(offers.tolist()):
+        where.setdefault(node[y], []).append(k)
+    for lo in range(0, asks.size, 64):
+        x = asks[lo : lo + 64]
+        apart = np.bitwise_count(sk[x][:, None, :] ^ sk[offers][None]).sum(axis=2, dtype=np.int64)
+        total = size[x][:, None] + size[offers][None]
+        fit = (comp[x][:, None] != comp[offers][None]) & (name[x][:, None] > name[offers][None]) & (9 * apart <= total) & (9 * np.minimum(size[x][:, None], size[offers][None]) >= 4 * total)
+        fit &= ~(deleted[x][:, None] & deleted[offers][None]) & ((probe[x][:, None] == 2) | ~deleted[offers][None])
+        for i, p in enumerate(x.tolist()):
+            for y in refuted[p] or ():
+                fit[i, where.get(y, [])] = False
+        yield name, comp, x, offers, apart, fit
+
+
+def least_forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Places of the edges of a least spanning forest over ``n`` points, of edges ordered from the least."""
+    label, left, kept = np.arange(n), np.arange(u.size), [np.zeros(0, dtype=np.int64)]
+    while True:
+        a, b = label[u[left]], label[v[left]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        if not left.size:
+            return np.sort(np.concatenate(kept))
+        best = np.full(n, u.size)
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        own = np.flatnonzero(best < u.size)
+        pick = best[own]
+        kept.append(np.unique(pick))
+        up = np.arange(n)
+        up[own] = label[u[pick]] + label[v[pick]] - own
+        root = (up[up] == np.arange(n)) & (np.arange(n) < up)  # two that picked the same edge
+        up[root] = np.flatnonzero(root)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of index rows ordered by (key, block): the pairs that fit (``key, x, y``); where they are more than
+    the group's rows, a least spanning forest of them over its components (``whole`` false)."""
+
+    def solve(rows: list[tuple]) -> tuple[list[bytes], list[bytes], bool]:
+        def least(pairs: np.ndarray) -> np.ndarray:
+            pairs = pairs[:, np.lexsort((name[pairs[2]], name[pairs[1]], pairs[0]))]
+            return pairs[:, least_forest(comp[pairs[1]], comp[pairs[2]], len(rows))]
+
+        pairs, whole = np.zeros((3, 0), dtype=np.int64), True  # distance, asking row, answering row
+        for name, comp, x, offers, apart, fit in _fitting(rows):
+            i, k = np.nonzero(fit)
+            pairs = np.append(pairs, np.stack([apart[i, k], x[i], offers[k]]), axis=1)
+            if pairs.shape[1] > len(rows):
+                pairs, whole = least(pairs), False
+        if not whole:
+            pairs = least(pairs)
+        return [rows[i][0] for i in pairs[1].tolist()], [rows[i][0] for i in pairs[2].tolist()], whole
+
+    out: list[list] = [[], [], [], []]
+    for key, rows in _groups_of(batches):
+        x, y, whole = solve(rows)
+        for held, more in zip(out, ([key] * len(x), x, y, [whole] * len(x)), strict=True):
+            held += more
+        if len(out[0]) > 50_000:
+            yield _spanned(out)
+            out = [[], [], [], []]
+    if out[0]:
+        yield _spanned(out)
+
+
+def _spanned(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["key", "x", "y", "whole"])
+
+
 def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of index rows ordered by (key, block): for each asking set its ``ASK`` nearest smaller partners
     of other components that it has not been refuted with (``x, y, apart``; ``cut``: it has more here)."""
-    names = ("node", "component", "deleted", "probe", "size", "role", "refuted", "sketch")
-
-    def solve(rows: list[tuple]) -> list[tuple]:
-        node, component, deleted, probe, size, role, refuted, sk = zip(*rows, strict=True)
-        comp, name = (np.unique(np.array(c, dtype=object), return_inverse=True)[1] for c in (component, node))
-        probe, role, deleted, size = np.array(probe), np.array(role), np.array(deleted), np.array(size)
-        sk = np.frombuffer(b"".join(sk), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
-        asks, offers = np.flatnonzero((probe > 0) & (role & 1 > 0)), np.flatnonzero(role & 2 > 0)
-        asks = asks[name[asks] > (name[offers].min() if offers.size else 0)]
-        where: dict[bytes, list[int]] = {}
-        for k, y in enumerate(offers.tolist()):
-            where.setdefault(node[y], []).append(k)
-        out = []
-        for lo in range(0, asks.size, 64):
-            x = asks[lo : lo + 64]
-            apart = np.bitwise_count(sk[x][:, None, :] ^ sk[offers][None]).sum(axis=2, dtype=np.int64)
-            total = size[x][:, None] + size[offers][None]
-            fit = (comp[x][:, None] != comp[offers][None]) & (name[x][:, None] > name[offers][None]) & (9 * apart <= total) & (9 * np.minimum(size[x][:, None], size[offers][None]) >= 4 * total)
-            fit &= ~(deleted[x][:, None] & deleted[offers][None]) & ((probe[x][:, None] == 2) | ~deleted[offers][None])
+    out = []
+    for _, rows in _groups_of(batches):
+        for _, _, x, offers, apart, fit in _fitting(rows):
             for i, p in enumerate(x.tolist()):
-                for y in refuted[p] or ():
-                    fit[i, where.get(y, [])] = False
                 near = np.flatnonzero(fit[i])
                 more = near.size > ASK
                 if more:
                     near = near[np.argpartition(apart[i, near], ASK - 1)[:ASK]]
-                out += [(node[p], node[offers[k]], int(apart[i, k]), more) for k in near.tolist()]
-        return out
-
-    at, rows, out = None, [], []
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "bx", "by", *names)]
-        for key, bx, by, *row in zip(*columns, strict=True):
-            if (key, bx, by) != at:
-                out += solve(rows) if len(rows) > 1 else []
-                at, rows = (key, bx, by), []
-            rows.append(tuple(row))
+                out += [(rows[p][0], rows[offers[k]][0], int(apart[i, k]), more) for k in near.tolist()]
         if len(out) > 50_000:
             yield _near_rows(out)
             out = []
-    out += solve(rows) if len(rows) > 1 else []
     if out:
         yield _near_rows(out)
 
@@ -510,10 +585,8 @@ def narrowed(index: DataFrame, still: DataFrame) -> DataFrame:
     return rows.select(*(F.when(F.col("asks"), F.col(c)).otherwise(0).alias(c) if c == "probe" else F.col(c) for c in index.columns))
 
 
-def partners(index: DataFrame, known: DataFrame, labels: DataFrame, refuted: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that asking sets (``b``) have still to be compared with, the nearest few of each;
-    ``cut``: there may be more of ``b``.  Sketches (``known``) join only the rows of keys that still hold
-    two components."""
+def dealt(index: DataFrame, known: DataFrame, labels: DataFrame, refuted: DataFrame) -> DataFrame:
+    """Index rows with their sketches (``known``), of keys that still hold two components, by (key, block)."""
     members = _labelled(index, labels, "node", "component")
     torn = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("probe").alias("asked"), F.count(F.lit(1)).alias("n")).where("lo < hi AND asked > 0").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     no = refuted.groupBy("x").agg(F.collect_list("y").alias("refuted")).withColumnRenamed("x", "node")
@@ -521,8 +594,24 @@ def partners(index: DataFrame, known: DataFrame, labels: DataFrame, refuted: Dat
     side = lambda x, y, role: F.struct(x.cast("int").alias("bx"), y.cast("int").alias("by"), F.lit(role).alias("role"))
     steps = F.sequence(F.lit(0), F.col("blocks") - 1)
     places = F.when(F.col("blocks") == 1, F.array(side(F.lit(0), F.lit(0), 3))).otherwise(F.concat(F.transform(steps, lambda k: side(F.col("own"), k, 1)), F.transform(steps, lambda k: side(k, F.col("own"), 2))))
-    dealt = held.withColumn("place", F.explode(places)).select("key", "place.*", "node", "component", "deleted", "probe", "size", "refuted", "sketch")
-    found = dealt.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by").mapInArrow(nearest, "x binary, y binary, apart long, cut boolean")
+    rows = held.withColumn("place", F.explode(places)).select("key", "place.*", "node", "component", "deleted", "probe", "size", "refuted", "sketch")
+    return rows.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by")
+
+
+def forests(index: DataFrame, known: DataFrame, labels: DataFrame, refuted: DataFrame) -> DataFrame:
+    """``key, x, y, whole``: pairs of each key that fit, or a forest of them."""
+    return dealt(index, known, labels, refuted).mapInArrow(spanning, "key long, x binary, y binary, whole boolean")
+
+
+def unsettled(index: DataFrame, found: DataFrame, no: DataFrame) -> DataFrame:
+    """Index rows of the keys whose forest (of ``found``) has a pair that is not similar (``no``: ``x, y``)."""
+    return index.join(found.where("NOT whole").join(no, ["x", "y"], "left_semi").select("key").distinct(), "key", "left_semi")
+
+
+def partners(index: DataFrame, known: DataFrame, labels: DataFrame, refuted: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that asking sets (``b``) have still to be compared with, the nearest few of each;
+    ``cut``: there may be more of ``b``."""
+    found = dealt(index, known, labels, refuted).mapInArrow(nearest, "x binary, y binary, apart long, cut boolean")
     each = found.groupBy("x", "y").agg(F.min("apart").alias("apart"), F.bool_or("cut").alias("cut")).groupBy("x")
     best = each.agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "y"))), 1, ASK_ROUND).alias("near"), (F.bool_or("cut") | (F.count(F.lit(1)) > ASK_ROUND)).alias("cut"))
     return best.select(F.explode("near.y").alias("a"), F.col("x").alias("b"), "cut")
@@ -590,6 +679,15 @@ def similar_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         every = materialise(neighbourhood_index(lacking, bins, width), "every")
         index = materialise(served(every), "index")
         dispose(every, lacking)
+        # first what each group needs to become one, so that the asking is for groups where that fails
+        first = materialise(forests(index, known, labels, refuted), "forests")
+        judged = materialise(verified(first.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct(), texts, width).distinct(), "judged")
+        found = judged.where("similar").select("a", "b")
+        if not found.isEmpty():
+            labels = joined(found)
+        refuted = judged.where("NOT similar").selectExpr("b AS x", "a AS y")
+        last, index = index, materialise(unsettled(index, first, refuted), "index")
+        dispose(last, first)
         while True:
             more = materialise(partners(index, known, labels, refuted), "partners")
             if more.isEmpty():

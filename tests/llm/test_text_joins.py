@@ -135,6 +135,63 @@ def test_rounds_are_for_sets_with_partners_left(spark, monkeypatch):
     assert joined(spark, items) == components(items) and len(rows) == 1
 
 
+def test_least_forest():
+    rng = np.random.default_rng(9)
+    for n in (2, 3, 10, 60):
+        for edges in (0, 1, n, 4 * n):
+            u, v = rng.integers(0, n, (2, edges))
+            root, want = list(range(n)), []
+            for k, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+                if root[a] != root[b]:
+                    want.append(k)
+                    root = [root[a] if r == root[b] else r for r in root]
+            assert shingle_join.least_forest(u, v, n).tolist() == want
+
+
+def group_rows(n, key=1, apart=1):
+    """A group of n sets, each a component of its own, with one of 16 sketches."""
+    rows = []
+    for i in range(n):
+        sketch = np.zeros(shingle_join.SKETCH_WORDS, dtype=np.uint64)
+        sketch[i % 16] = apart
+        rows.append({"key": key, "bx": 0, "by": 0, "node": i.to_bytes(2), "component": i.to_bytes(2), "deleted": False, "probe": 2, "size": 100, "role": 3, "refuted": None, "sketch": sketch.tobytes()})
+    return rows
+
+
+def test_a_group_passes_on_no_more_pairs_than_rows():
+    types = pa.schema([("key", pa.int64()), ("bx", pa.int32()), ("by", pa.int32()), ("node", pa.binary()), ("component", pa.binary()), ("deleted", pa.bool_()), ("probe", pa.int32()), ("size", pa.int64()), ("role", pa.int32()), ("refuted", pa.list_(pa.binary())), ("sketch", pa.binary())])
+    rows = group_rows(300) + group_rows(3, key=2) + group_rows(40, key=3, apart=(1 << 40) - 1)
+    rows[250]["refuted"] = [i.to_bytes(2) for i in range(250)]
+    found = pa.Table.from_batches(shingle_join.spanning(iter([pa.RecordBatch.from_pylist(rows, schema=types)]))).to_pylist()
+    large, small, torn = ([(r["x"], r["y"], r["whole"]) for r in found if r["key"] == k] for k in (1, 2, 3))
+    assert len(large) == 299 and not any(whole for *_, whole in large) and all(x > y for x, y, _ in large)
+    reached = {(0).to_bytes(2)}
+    for _ in range(300):
+        reached |= {z for x, y, _ in large if x in reached or y in reached for z in (x, y)}
+    assert len(reached) == 300
+    assert [x for x, _, _ in large].count((250).to_bytes(2)) == 0  # refuted with all smaller sets
+    assert sorted(small) == [(b"\0\1", b"\0\0", True), (b"\0\2", b"\0\0", True), (b"\0\2", b"\0\1", True)]
+    assert len(torn) == 32 and all(whole and int.from_bytes(x) % 16 == int.from_bytes(y) % 16 for x, y, whole in torn)
+
+
+def test_groups_that_a_forest_joins_are_settled(spark, monkeypatch):
+    """The pairs of near copies that one forest shows to be one component are not asked for."""
+    rows, ask = [], shingle_join.partners
+    monkeypatch.setattr(shingle_join, "partners", lambda index, *rest: (rows.append(index.count()), ask(index, *rest))[1])
+    items = list(enumerate(near_copies(random.Random(1), 260, 60, 6)))
+    assert joined(spark, items) == components(items) and rows == [0]
+
+
+def test_asking_alone_gives_the_same(spark, monkeypatch):
+    """Where a forest shows nothing, all its groups are left to the asking sets."""
+    rows, ask, forests = [], shingle_join.partners, shingle_join.forests
+    monkeypatch.setattr(shingle_join, "forests", lambda *given: forests(*given).where("false"))
+    monkeypatch.setattr(shingle_join, "unsettled", lambda index, *rest: index)
+    monkeypatch.setattr(shingle_join, "partners", lambda index, *rest: (rows.append(index.count()), ask(index, *rest))[1])
+    items = list(enumerate(near_copies(random.Random(1), 260, 60, 6)))
+    assert joined(spark, items) == components(items) and rows[0] > 0
+
+
 def test_index_keeps_what_can_meet(spark):
     node = lambda i: bytes([i])
     every = [
