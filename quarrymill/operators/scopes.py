@@ -9,14 +9,16 @@ all of them together, in as many rounds as the depth has binary digits.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions import colour
+from quarrymill.operators import whole
 from quarrymill.operators.cascade import INITIAL, PROPERTIES, cascaded, handed_down, own_value
 from quarrymill.operators.relations import climb
-from quarrymill.scratch import collected, drop, once
+from quarrymill.scratch import collected, drop, once, written
 
 #: Elements that ink; content that never inks; gradients; content that inks where referred to.
 SHAPES = ("path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "text", "tspan", "textpath", "use")
@@ -30,6 +32,11 @@ _PASSED = {"fill": "fill", "stroke": "stroke", "stroke_width": "stroke-width", "
 INKS = {"passed": ("fill", "stroke", "fill_opacity", "stroke_opacity", "color"), "own": ("stop-color",)}
 STROKES = {"passed": ("stroke", "stroke_width", "stroke_opacity")}
 SCOPES = {"passed": ()}
+NOTES = {"passed": ("stroke", "fill_opacity", "stroke_opacity"), "own": ("filter", "mask", "clip-path", "opacity")}
+#: The scopes that inks, strokes and notes are found in (``drawn(..., kept=INKED, **INKS)``).
+INKED, STROKED, NOTED = ("painted", "resource"), ("painted",), ("painted", "resource", "unchecked")
+#: Elements of a document that one task settles in one pass.
+WHOLE = 65536
 
 
 def fraction(raw: Column) -> Column:
@@ -43,15 +50,31 @@ def visible(raw: Column) -> Column:
     return F.coalesce(fraction(raw) > 0, F.lit(True))
 
 
+def _linking(v: Column) -> Column:
+    return v.contains("#") & v.contains("(")
+
+
+def _used(href: Column) -> Column:
+    """The id that a use's ``href`` names."""
+    href = F.trim(href)
+    return F.when((F.lower("tag") == "use") & href.startswith("#") & (F.length(href) > 1), F.substr(href, F.lit(2)))
+
+
 def referred_ids(elements: DataFrame) -> DataFrame:
     """``doc_id, id`` of everything that an attribute's ``url(#id)`` or a use's ``href`` names."""
-    named = F.filter(F.map_values("attrs"), lambda v: v.contains("#") & v.contains("("))
+    named = F.filter(F.map_values("attrs"), _linking)
     links = F.flatten(F.transform(named, lambda v: F.regexp_extract_all(v, F.lit(LINK), F.lit(1))))
-    href = F.trim(F.try_element_at("attrs", F.lit("href")))
-    used = F.when((F.lower("tag") == "use") & href.startswith("#") & (F.length(href) > 1), F.expr("substring(trim(attrs['href']), 2)"))
+    used = _used(F.try_element_at("attrs", F.lit("href")))
     return elements.select("doc_id", F.explode(F.array_compact(F.concat(links, F.array(used)))).alias("id")).distinct()
 
 
+def _links(attrs: dict[str, Column] | None) -> Column:
+    """An element's attributes as one text where any of them links; no link reaches over two quotes."""
+    if attrs is None:
+        return F.when(F.exists(F.map_values("attrs"), lambda v: F.coalesce(_linking(v), F.lit(False))), F.array_join(F.map_values("attrs"), "''"))
+    return F.when(reduce(Column.__or__, map(_linking, attrs.values())), F.concat_ws("''", *attrs.values()))
+
+
 def resolved(elements: DataFrame, combinators: str = " ", passed: Sequence[str] | None = None, own: Sequence[str] = ()) -> DataFrame:
     """``elements`` with the inherited properties in force (``fill, stroke, stroke_width,
     fill_opacity, stroke_opacity, color``; null: nobody declares it), ``scaled`` (a scaling transform
@@ -92,6 +115,39 @@ def resolved(elements: DataFrame, combinators: str = " ", passed: Sequence[str]
     return found.withColumn("scope", F.when(F.col("visibility") == "hidden", "hidden").otherwise(F.col("container")))
 
 
+def drawn(elements: DataFrame, passed: Sequence[str], own: Sequence[str] = (), kept: Sequence[str] | None = None, most: int = WHOLE, plain: DataFrame | None = None) -> DataFrame:
+    """``doc_id, node_id, tag, scaled, scope``, the inherited properties ``passed`` of ``resolved`` and the
+    ``own`` values of ``style``, as columns ``own_<property>``; where ``kept`` is given, of elements of these scopes.
+
+    Documents of up to ``most`` elements are dealt once and settled whole, larger ones by ``resolved``,
+    with the same result.  Selectors are those of descendants.  Where ``plain`` is given it is the same
+    table, dealt by document already and with a column ``@name`` for each attribute instead of ``attrs``."""
+    names, read = {n: _PASSED[n] for n in passed}, tuple(dict.fromkeys((*(_PASSED[n] for n in passed), "display", "opacity", "visibility", *own)))
+    # rows without a document stand alone, and need not meet in one task
+    rows = elements.repartition("doc_id", F.when(F.col("doc_id").isNull(), F.col("node_id"))) if plain is None else plain
+    attrs = None if plain is None else {c[1:]: F.col(f"`{c}`") for c in plain.columns if c.startswith("@")}
+    attr = lambda name: F.try_element_at("attrs", F.lit(name)) if attrs is None else attrs.get(name, F.lit(None).cast("string"))
+    sheet = F.when(F.lower("tag") == "style", F.col("text")) if "text" in rows.columns else F.lit(None).cast("string")
+    scaled = F.lower(F.coalesce(attr("transform"), F.lit(""))).contains("scale(")
+    values = [attr(p).alias(f"attr_{i}") for i, p in enumerate(read) if attrs is None or p in attrs]
+    rows = rows.select("doc_id", "node_id", "parent_id", "tag", *(attr(a).alias(a) for a in ("id", "class", "style")), _links(attrs).alias("links"), _used(attr("href")).alias("used"), scaled.alias("scaled"), sheet.alias("sheet"), *values)
+    kinds = dict.fromkeys(DEFERRED, whole.UNCHECKED) | dict.fromkeys(GRADIENTS, whole.RESOURCE) | dict.fromkeys(INERT, whole.INERT)
+    types, owns = dict(elements.dtypes), [f"own_{p}" for p in own]
+    schema = ", ".join([*(f"{c} {types[c]}" for c in ("doc_id", "node_id", "tag")), *(f"`{c}` string" for c in (*names, *owns)), "scaled boolean, scope string, late boolean"])
+    found = written(rows.sortWithinPartitions("doc_id", "node_id").mapInArrow(lambda batches: whole.settled(batches, names, own, kinds, LINK, kept, most), schema), "drawn")
+    out, late = found.where(~F.col("late")).drop("late"), found.where("late").select("doc_id")
+    if late.isEmpty():
+        return out
+    large = resolved(elements.join(late.hint("merge"), "doc_id", "left_semi"))
+    large = large if kept is None else large.where(F.col("scope").isin(*kept))
+    return out.unionByName(large.select("doc_id", "node_id", "tag", *names, *(own_value(p).alias(f"own_{p}") for p in own), "scaled", "scope"))
+
+
+def _own(drawing: DataFrame, prop: str) -> Column:
+    """The own value of a property in a drawing of ``resolved`` or ``drawn``."""
+    return F.col(f"`own_{prop}`") if f"own_{prop}" in drawing.columns else own_value(prop)
+
+
 def paint(raw: Column) -> Column:
     """The text of a paint in force: ``currentColor`` is the colour in force, and black where none is."""
     current = F.lower(F.trim(raw)).isin("currentcolor", "current-color")
@@ -106,7 +162,7 @@ def inks(drawing: DataFrame) -> DataFrame:
     shape = (F.col("scope") != "resource") & kind.isin(*SHAPES)
     one = lambda way, raw, when: F.when(when, F.struct(F.lit(way).alias("way"), raw.alias("raw")))
     ways = [
-        one("stop-color", paint(own_value("stop-color")), kind == "stop"),
+        one("stop-color", paint(_own(drawing, "stop-color")), kind == "stop"),
         one("fill (implicit)", F.lit("#000000"), shape & F.col("fill").isNull() & visible(F.col("fill_opacity"))),
         one("fill", paint(F.col("fill")), shape & F.col("fill").isNotNull() & visible(F.col("fill_opacity"))),
         one("stroke", paint(F.col("stroke")), shape & F.col("stroke").isNotNull() & visible(F.col("stroke_opacity"))),
@@ -132,8 +188,8 @@ def notes(drawing: DataFrame) -> DataFrame:
     """``doc_id, node_id, rule`` of what a resolved drawing has reported without failing: strokes
     under a scaling transform, effects, translucent paint, shapes in definitions that nothing uses."""
     partly = lambda raw: F.coalesce(fraction(raw) > 0, F.lit(False)) & F.coalesce(fraction(raw) < 1, F.lit(False))
-    effect = lambda p: F.lower(F.trim(F.coalesce(own_value(p), F.lit("")))).isin("", "none", "inherit", "initial", "unset")
-    group = partly(own_value("opacity"))
+    effect = lambda p: F.lower(F.trim(F.coalesce(_own(drawing, p), F.lit("")))).isin("", "none", "inherit", "initial", "unset")
+    group = partly(_own(drawing, "opacity"))
     rule = lambda name, when: F.when(when, F.lit(name))
     painted, kind = F.col("scope") == "painted", F.lower("tag")
     found = [

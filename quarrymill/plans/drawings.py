@@ -5,7 +5,7 @@ and numbered in document order.  The SQL walks down from the root, as the rules
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.operators import cascade, scopes
@@ -34,29 +34,65 @@ el AS (SELECT doc_id, n, n // 2 AS up, CASE n {" ".join(f"WHEN {n} THEN {p}" for
 asked AS (SELECT DISTINCT doc_id, 'n2' AS id FROM el WHERE fill = 'url(#n2)' UNION SELECT DISTINCT doc_id, 'n4' FROM el WHERE tag = 'use')"""
 
 
+def _of(values: tuple, at: Column) -> Column:
+    return F.get(F.array(*(F.lit(v) for v in values)), at.cast("int"))
+
+
+def _attributes(n: Column, doc: Column, sk: Column, q: Column, tag: Column) -> dict[str, Column]:
+    """The attributes of a drawing's nth line."""
+    found = {
+        "id": F.concat(F.lit("n"), n), "class": F.when(sk % 3 == 1, F.lit("hot  big")).when(sk % 3 == 0, F.lit("Hot")), "fill": _of(FILLS, sk % len(FILLS)), "stroke": F.when(n % 3 == 0, F.lit("#00f")),
+        "stroke-width": F.when(doc % 4 == 0, F.lit("0.5pt")).when(doc % 4 == 1, F.lit("2")), "style": _of(STYLES, q.cast("int") % len(STYLES)),
+        "color": F.when(n == 1, F.lit("teal")), "stop-color": F.when(n % 2 == 1, F.lit("currentColor")).otherwise(F.lit("#ABC")), "href": F.when(tag == "use", F.lit("#n4")), "transform": F.when(n == 3, F.lit("Scale(2)")),
+    }
+    return {name: value.cast("string") for name, value in found.items()}
+
+
+def _places(n: Column) -> tuple[Column, Column]:
+    """Where the nth line and its parent stand in the document."""
+    place = F.create_map(*[F.lit(x) for p in PLACE.items() for x in p])
+    up = F.when(n == 1, F.lit(0)).otherwise(F.try_element_at(place, F.floor(n / 2).cast("int")))
+    return F.try_element_at(place, n).cast("long"), up.cast("long")
+
+
 def nested_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drawings as a table of elements with the text of their sheets."""
     lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")))
     lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
-    of = lambda values, at: F.get(F.array(*(F.lit(v) for v in values)), at.cast("int"))
-    n, sk = F.col("n"), F.col("l_suppkey")
-    pair = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")))
-    tag = of(TAGS, F.col("l_partkey") % len(TAGS))
-    values = [
-        pair("id", F.concat(F.lit("n"), n)), pair("class", F.when(sk % 3 == 1, F.lit("hot  big")).when(sk % 3 == 0, F.lit("Hot"))), pair("fill", of(FILLS, sk % len(FILLS))), pair("stroke", F.when(n % 3 == 0, F.lit("#00f"))),
-        pair("stroke-width", F.when(F.col("l_orderkey") % 4 == 0, F.lit("0.5pt")).when(F.col("l_orderkey") % 4 == 1, F.lit("2"))), pair("style", of(STYLES, F.col("l_quantity").cast("int") % len(STYLES))),
-        pair("color", F.when(n == 1, F.lit("teal"))), pair("stop-color", F.when(n % 2 == 1, F.lit("currentColor")).otherwise(F.lit("#ABC"))), pair("href", F.when(tag == "use", F.lit("#n4"))), pair("transform", F.when(n == 3, F.lit("Scale(2)"))),
-    ]
-    place = F.create_map(*[F.lit(x) for p in PLACE.items() for x in p])
-    up = F.when(n == 1, F.lit(0)).otherwise(F.try_element_at(place, F.floor(n / 2).cast("int")))
-    own = lines.select(F.col("l_orderkey").alias("doc_id"), F.try_element_at(place, n).cast("long").alias("node_id"), up.cast("long").alias("parent_id"), F.lit(0).alias("ord"), F.floor(F.log2(n)).cast("int").alias("depth"), tag.alias("tag"), F.map_from_entries(F.array_compact(F.array(*values))).alias("attrs"), F.lit(None).cast("string").alias("text"))
+    n, tag = F.col("n"), _of(TAGS, F.col("l_partkey") % len(TAGS))
+    pair = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.alias("value")))
+    values = [pair(name, value) for name, value in _attributes(n, F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_quantity"), tag).items()]
+    node, up = _places(n)
+    own = lines.select(F.col("l_orderkey").alias("doc_id"), node.alias("node_id"), up.alias("parent_id"), F.lit(0).alias("ord"), F.floor(F.log2(n)).cast("int").alias("depth"), tag.alias("tag"), F.map_from_entries(F.array_compact(F.array(*values))).alias("attrs"), F.lit(None).cast("string").alias("text"))
     top = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
     none = F.create_map().cast("map<string,string>")
     roots = top.select("doc_id", F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("ord"), F.lit(-2).alias("depth"), F.lit("svg").alias("tag"), none.alias("attrs"), F.lit(None).cast("string").alias("text"))
-    sheets = top.select("doc_id", F.lit(1).cast("long").alias("node_id"), F.lit(0).cast("long").alias("parent_id"), F.lit(0).alias("ord"), F.lit(-1).alias("depth"), F.lit("style").alias("tag"), none.alias("attrs"), of(SHEETS, F.col("doc_id") % 3).alias("text"))
+    sheets = top.select("doc_id", F.lit(1).cast("long").alias("node_id"), F.lit(0).cast("long").alias("parent_id"), F.lit(0).alias("ord"), F.lit(-1).alias("depth"), F.lit("style").alias("tag"), none.alias("attrs"), _of(SHEETS, F.col("doc_id") % 3).alias("text"))
     return own.unionByName(roots).unionByName(sheets)
 
 
+def plain_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table with a column for each attribute (``@name``), its numbers dealt by document once
+    and spelled out where they are read."""
+    wanted = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(2).alias("part"), *wanted)
+    top = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("part"), *(F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in wanted))
+    rows = lines.unionByName(top).repartition("doc_id").groupBy("doc_id", "part", "l_linenumber").agg(*(F.min(c).alias(c) for c in wanted[1:]))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("l_linenumber")))
+    # an order is a root and its sheet
+    rows = rows.withColumn("part", F.explode(F.when(F.col("part") == 2, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    line, root, n = F.col("part") == 2, F.col("part") == 0, F.col("n")
+    tag = F.when(line, _of(TAGS, F.col("l_partkey") % len(TAGS))).when(root, F.lit("svg")).otherwise(F.lit("style"))
+    node, up = _places(n)
+    values = _attributes(n, F.col("doc_id"), F.col("l_suppkey"), F.col("l_quantity"), tag)
+    text = F.when(F.col("part") == 1, _of(SHEETS, F.col("doc_id") % 3))
+    return rows.select("doc_id", F.when(line, node).otherwise(F.col("part").cast("long")).alias("node_id"), F.when(line, up).when(~root, F.lit(0).cast("long")).alias("parent_id"), tag.alias("tag"), text.alias("text"), *(F.when(line, v).alias(f"@{a}") for a, v in values.items()))
+
+
+def drawn(spark: SparkSession, sf_dir: str, **wanted) -> DataFrame:
+    return scopes.drawn(nested_view(spark, sf_dir), **wanted, plain=plain_view(spark, sf_dir))
+
+
 #: What the sheets say of an element: in_g, in_gg, in_defs are whether such elements stand above it.
 _CSS = """
 css AS (SELECT w.*,
@@ -145,7 +181,7 @@ def nested_stroke_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nested_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is reported without failing."""
-    found = scopes.notes(scopes.resolved(nested_view(spark, sf_dir)))
+    found = scopes.notes(drawn(spark, sf_dir, kept=scopes.NOTED, **scopes.NOTES))
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
