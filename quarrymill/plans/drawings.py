@@ -159,7 +159,7 @@ _SHAPE = "tag IN ('path', 'rect', 'use')"
 )
 def nested_color_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings that ink in more than two colours."""
-    found = scopes.inks(scopes.resolved(nested_view(spark, sf_dir), **scopes.INKS)).select("doc_id", "colour").distinct()
+    found = scopes.inks(drawn(spark, sf_dir, kept=scopes.INKED, **scopes.INKS)).select("doc_id", "colour").distinct()
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("colours")).where("colours > 2")
 
 
