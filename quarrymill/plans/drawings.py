@@ -145,7 +145,7 @@ def cascaded_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 @family.query(f"{_ALL} SELECT doc_id, node_id, scope, i_fill AS fill, i_stroke AS stroke FROM done")
 def nested_paint_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each element's scope, and the fill and stroke in force."""
-    return scopes.resolved(nested_view(spark, sf_dir), passed=("fill", "stroke")).where("node_id > 1").select("doc_id", "node_id", "scope", "fill", "stroke")
+    return drawn(spark, sf_dir, passed=("fill", "stroke")).where("node_id > 1").select("doc_id", "node_id", "scope", "fill", "stroke")
 
 
 _SHAPE = "tag IN ('path', 'rect', 'use')"
