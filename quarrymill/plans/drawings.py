@@ -170,7 +170,7 @@ def nested_stroke_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strokes below 1.6 points that reach the sheet."""
     from quarrymill.functions import numeric
 
-    found = scopes.strokes(scopes.resolved(nested_view(spark, sf_dir), **scopes.STROKES))
+    found = scopes.strokes(drawn(spark, sf_dir, kept=scopes.STROKED, **scopes.STROKES))
     return found.select("doc_id", "node_id", F.round(numeric.length_points(F.col("width")), 6).alias("points")).where("points < 1.6")
 
 

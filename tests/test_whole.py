@@ -106,7 +106,7 @@ def test_tables_hold_whole_documents():
     assert len(cuts) > 3 and sum(cuts, []) == list(range(len(docs))) and all(c[0] in np.cumsum([0, 3, 40, 1, 1, 1, 1]) for c in cuts)
 
 
-@pytest.mark.parametrize("name", ["nested_notes", "nested_color_count", "nested_paint_scopes"])
+@pytest.mark.parametrize("name", ["nested_notes", "nested_color_count", "nested_paint_scopes", "nested_stroke_widths"])
 def test_small_drawings_take_no_rounds(spark, monkeypatch, name):
     seen, write = [], scratch.written
     monkeypatch.setattr(scratch, "written", lambda df, label: (seen.append((label, df._jdf.queryExecution().executedPlan().toString())), write(df, label))[1])
